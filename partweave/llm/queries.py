@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from partweave.llm.common import table
+from partweave.llm.jaccard import jaccard_classes
+from partweave.llm.quality import quality_report
 from partweave.llm.secrets import secret_report
+from partweave.llm.substring import dedup_substrings
 
 
 def op7_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_secret_scan": op7_secret_scan}
+def op8_line_frequency(spark, sf_dir):
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}

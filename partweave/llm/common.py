@@ -35,3 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch; texts can be long, so a row count alone bounds no memory.
+BATCH_BYTES = "4m"
+
+
+def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow(function, schema)`` in batches of a few megabytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)

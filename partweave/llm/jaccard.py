@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import stored
+from partweave.llm.common import arrow_pass, stored
 from partweave.llm.components import components
 from partweave.llm.hashing import RUN_BASES, Words, mix, rolling_hash, span_hash, text_batches
 
@@ -221,7 +221,7 @@ def jaccard_classes(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("text")
     )
     signed = stored(
-        rows.mapInArrow(lambda b: _signatures(b, n), "doc_id long, uid long, node long, size int, signature binary"), "signatures"
+        arrow_pass(rows, lambda b: _signatures(b, n), "doc_id long, uid long, node long, size int, signature binary"), "signatures"
     )
     classes = (
         signed.where("size > 0")
@@ -252,14 +252,10 @@ def _classes_from(rows, signed, classes, roots, threshold, least, n) -> DataFram
         .join(classes.select("node", "uid", "copies", "signature"), "node")
     )
     # The members' texts return as shingle sets; only representatives in some component are needed.
-    with_sets = (
-        rows.select("uid", "text")
-        .join(members, "uid")
-        .select("node", "comp", "k", "block", "copies", "signature", "text")
-        .mapInArrow(
-            lambda b: _shingles(b, n),
-            "node long, comp long, k int, block int, copies long, signature binary, shingles binary",
-        )
+    with_sets = arrow_pass(
+        rows.select("uid", "text").join(members, "uid").select("node", "comp", "k", "block", "copies", "signature", "text"),
+        lambda b: _shingles(b, n),
+        "node long, comp long, k int, block int, copies long, signature binary, shingles binary",
     )
     dealt = (
         with_sets.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import stored
+from partweave.llm.common import arrow_pass, stored
 from partweave.llm.hashing import text_batches
 
 SYMBOLS = b"#*$%&|<>"
@@ -125,7 +125,7 @@ def quality_report(
         F.col(text_col).alias("text"),
     )
     # Stored once: row numbers stay as they are, and no text is measured twice.
-    measured = stored(rows.mapInArrow(_measures, MEASURES), "quality")
+    measured = stored(arrow_pass(rows, _measures, MEASURES), "quality")
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     lines = measured.select("row_no", "host", F.explode("lines").alias("l")).select("row_no", "host", "l.*")
     frequent = (

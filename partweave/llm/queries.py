@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from partweave.llm.common import table
 from partweave.llm.jaccard import jaccard_classes
+from partweave.llm.packing import pack_documents
 from partweave.llm.quality import quality_report
 from partweave.llm.secrets import secret_report
 from partweave.llm.substring import dedup_substrings
@@ -25,4 +28,8 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}
+def op5_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}

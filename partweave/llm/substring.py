@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import stored
+from partweave.llm.common import arrow_pass, stored
 from partweave.llm.hashing import RUN_BASES, Words, rolling_hash, span_hash, text_batches
 
 WIDTH = 20
@@ -103,7 +103,7 @@ def segments_of(words: Words, width: int = WIDTH, seed: int = SEED):
 def _segments(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     rest_type = pa.list_(pa.struct([("doc", pa.int64()), ("place", pa.int64())]))
     for whole in batches:
-        for batch in text_batches(whole, "text", 8 << 20):
+        for batch in text_batches(whole, "text"):
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             tags = batch.column("tag").to_numpy(zero_copy_only=False)
             m, s, d, start, count = segments_of(Words(batch.column("text")), width, seed)
@@ -193,7 +193,7 @@ def _removed(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) ->
 def repeat_spans(rows: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(doc, place) of all repeats, for rows (doc, tag, text) dealt by doc."""
     source = rows.where("doc IS NOT NULL").select("doc", "tag", "text")
-    segments = source.mapInArrow(lambda b: _segments(b, width, seed), SEGMENTS)
+    segments = arrow_pass(source, lambda b: _segments(b, width, seed), SEGMENTS)
     size = 1 + F.coalesce(F.size("rest"), F.lit(0))
     repeated = (
         segments.groupBy("m")
@@ -265,8 +265,8 @@ def dedup_substrings(
         )
         return joined.select(F.col("doc").alias("doc_id"), "tag", "kept", "text", "places")
 
-    windows = with_places(spans.where("NOT repeat")).mapInArrow(
-        lambda b: _windows(b, width), "w1 long, w2 long, doc long, place long"
+    windows = arrow_pass(
+        with_places(spans.where("NOT repeat")), lambda b: _windows(b, width), "w1 long, w2 long, doc long, place long"
     )
     here = F.struct("doc", "place")
     heads = windows.groupBy("w1", "w2").agg(F.min(here).alias("head"), F.max(here).alias("tail")).where("head != tail")
@@ -274,5 +274,5 @@ def dedup_substrings(
     final = with_places(spans.where("repeat").select("doc", "place").unionByName(again))
     kept_type = rows.schema["kept"].dataType.simpleString()
     schema = f"doc_id long, kept {kept_type}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = final.mapInArrow(lambda b: _removed(b, width, with_text), schema)
+    out = arrow_pass(final, lambda b: _removed(b, width, with_text), schema)
     return out if keep else out.drop("kept")

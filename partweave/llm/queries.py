@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from partweave.llm.ann import nearest
 from partweave.llm.common import table
 from partweave.llm.jaccard import jaccard_classes
+from partweave.llm.langid import identify
 from partweave.llm.packing import pack_documents
 from partweave.llm.quality import quality_report
 from partweave.llm.secrets import secret_report
@@ -39,4 +40,8 @@ def op10_prefix_forest(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}
+def op4_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_language_id": op4_language_id, "op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}

@@ -11,6 +11,7 @@ from partweave.llm.common import table
 from partweave.llm.jaccard import jaccard_classes
 from partweave.llm.langid import identify
 from partweave.llm.packing import pack_documents
+from partweave.llm.pieces import encode_documents
 from partweave.llm.quality import quality_report
 from partweave.llm.secrets import secret_report
 from partweave.llm.substring import dedup_substrings
@@ -44,4 +45,8 @@ def op4_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_language_id": op4_language_id, "op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}
+def op6_sentence_pieces(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op6_sentence_pieces": op6_sentence_pieces, "op4_language_id": op4_language_id, "op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}

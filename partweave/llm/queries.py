@@ -16,6 +16,8 @@ from partweave.llm.quality import quality_report
 from partweave.llm.secrets import secret_report
 from partweave.llm.substring import dedup_substrings
 
+from partweave.llm.warc import archive_round_trip
+
 
 def op7_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
@@ -49,4 +51,8 @@ def op6_sentence_pieces(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op6_sentence_pieces": op6_sentence_pieces, "op4_language_id": op4_language_id, "op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}
+def op1_warc_round_trip(spark, sf_dir):
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_warc_round_trip": op1_warc_round_trip, "op6_sentence_pieces": op6_sentence_pieces, "op4_language_id": op4_language_id, "op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}

@@ -17,6 +17,7 @@ from partweave.llm.secrets import secret_report
 from partweave.llm.substring import dedup_substrings
 
 from partweave.llm.warc import archive_round_trip
+from partweave.llm.wrappers import extract_articles
 
 
 def op7_secret_scan(spark, sf_dir):
@@ -55,4 +56,8 @@ def op1_warc_round_trip(spark, sf_dir):
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_warc_round_trip": op1_warc_round_trip, "op6_sentence_pieces": op6_sentence_pieces, "op4_language_id": op4_language_id, "op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}
+def op3_wrapper_extraction(spark, sf_dir):
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_wrapper_extraction": op3_wrapper_extraction, "op1_warc_round_trip": op1_warc_round_trip, "op6_sentence_pieces": op6_sentence_pieces, "op4_language_id": op4_language_id, "op10_prefix_forest": op10_prefix_forest, "op5_best_fit_packing": op5_best_fit_packing, "op9_jaccard_join": op9_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op8_line_frequency": op8_line_frequency, "op7_secret_scan": op7_secret_scan}

@@ -29,7 +29,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partweave.llm.common import arrow_pass, stored
@@ -226,7 +226,12 @@ def jaccard_classes(
     classes = (
         signed.where("size > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("copy_id"), F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("head"),
+            F.count(F.lit(1)).alias("copies"),
+            F.first("signature").alias("signature"),
+        )
+        .withColumn("uid", F.col("head.uid"))
     )
     classes = stored(classes, "classes")
     bands = classes.select(
@@ -270,20 +275,33 @@ def _classes_from(rows, signed, classes, roots, threshold, least, n) -> DataFram
     linked = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     known = (
-        classes.select("node", "copy_id", "copies")
+        classes.select("node", "head", "copies")
         .join(counts, "node", "left")
         .join(linked, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
     known = stored(known, "known")
-    ids = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = known.join(ids, "root").select(F.col("node").alias("of"), "copy_id", "copies", "links", "texts", "class_id")
+    heads = known.groupBy("root").agg(F.min("head").alias("first"))
+    info = known.join(heads, "root").select(F.col("node").alias("of"), "head", "copies", "links", "texts", "first")
     alone = F.col("size") == 0
-    return signed.select("doc_id", "node", "size").join(info, (F.col("node") == F.col("of")) & (F.col("size") > 0), "left").select(
+    return signed.select("doc_id", "uid", "node", "size").join(info, (F.col("node") == F.col("of")) & (F.col("size") > 0), "left").select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("copy_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"),
+        "uid",
+        (alone | (F.col("uid") == F.col("first.uid"))).alias("keeper"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: its smallest id. Rows without words all
+    stay, but a row that is repeated as a whole stays once."""
+    uid = F.xxhash64(id_col, text_col)
+    keepers = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).where("keeper").select(F.col("uid").alias("_uid")).distinct()
+    # The merge join leaves the rows sorted, which the row number then uses.
+    met = docs.withColumn("_uid", uid).join(keepers.hint("merge"), "_uid")
+    number = F.row_number().over(Window.partitionBy("_uid").orderBy("_uid"))
+    return met.withColumn("_n", number).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -187,7 +187,7 @@ def fit(train: DataFrame, sample_rows: int = 3000) -> tuple[list[str], np.ndarra
     return languages, idf, weights, temperature(logits, np.array([y for y, _, _ in calibration]))
 
 
-def _predictions(languages: list[str], idf: np.ndarray, weights: np.ndarray, scale: float):
+def _predictions(languages: list[str], idf: np.ndarray, weights: np.ndarray, scale: float, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_batches(whole, "text"):
@@ -203,7 +203,7 @@ def _predictions(languages: list[str], idf: np.ndarray, weights: np.ndarray, sca
                     p = _softmax(vector[held] @ weights[held] / scale)
                     names.append(languages[int(p.argmax())])
                     scores.append(float(p.max()))
-                kept = [c for c in batch.schema.names if c != "text"]
+                kept = [c for c in batch.schema.names if c != "text" or with_text]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"]
                 )
@@ -217,17 +217,30 @@ def held_out(id_col: Column) -> Column:
 
 
 def identify(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    keep: tuple[str, ...] = (),
+    sample_rows: int = 3000,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; rows that are held
-    out do not train."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    train = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+    out do not train. With ``keep`` also text and those columns in a struct ``kept``."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        held_out(F.col(id_col)).alias("held_out"),
+        F.col(text_col).alias("text"),
+        F.col(lang_col).alias("lang"),
+        *([F.struct(*keep).alias("kept")] if keep else []),
+    )
+    train = rows.where("doc_id IS NOT NULL AND NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select(
         F.xxhash64("doc_id", "text").alias("key"), "lang", "text"
     )
     model = fit(train, sample_rows)
+    kept = f"text string, kept {rows.schema['kept'].dataType.simpleString()}, " if keep else ""
     return arrow_pass(
-        rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"),
-        _predictions(*model),
-        "doc_id long, held_out boolean, lang_pred string, score double",
+        rows.select("doc_id", "held_out", "text", *(["kept"] if keep else [])),
+        _predictions(*model, with_text=bool(keep)),
+        f"doc_id long, held_out boolean, {kept}lang_pred string, score double",
     )

@@ -33,7 +33,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("uid", "keeper")
 
 
 def op5_best_fit_packing(spark, sf_dir):

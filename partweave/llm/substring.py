@@ -178,7 +178,7 @@ def _removed(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) ->
                     gone.append(0)
                 kept = b" ".join(words)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode())
+                texts.append(kept.decode() if gone[-1] else text.as_py())
             columns = [pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
             names = ["n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -245,7 +245,7 @@ def dedup_substrings(
     with_text: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also kept_text
-    and the ``keep`` columns in a struct ``kept``."""
+    (the text itself where no word is removed) and the ``keep`` columns in a struct ``kept``."""
     if not 1 <= width - seed + 1 < 1 << COUNT_BITS:
         raise ValueError("a segment's window count must fit its bits")
     rows = docs.select(

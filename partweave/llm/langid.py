@@ -2,8 +2,8 @@
 
 Document frequencies of the hashed 1- to 3-grams are counted over all training
 rows (per-task partial counts, then a sum). The classifier is fitted on a
-bounded sample: per language the training rows with the smallest hashes,
-``sample_rows`` in all, of which a fifth is kept for calibration. Training is
+bounded sample: per language the training rows with the smallest hashes, about
+``sample_rows`` in all (20 a language at least), a fifth of it for calibration. Training is
 follow-the-regularised-leader (per-coordinate step sizes) with elastic-net
 penalties, so most weights are exactly zero; a temperature fitted on the
 calibration part then scales the logits. Prediction is one Arrow pass over whole
@@ -22,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.common import arrow_pass
@@ -167,16 +167,16 @@ def fit(train: DataFrame, sample_rows: int = 3000) -> tuple[list[str], np.ndarra
     for bucket, n in counted.items():
         df[bucket] = n
     idf = np.where(df > 0, np.log((1 + docs) / (1 + df)) + 1, 0)
-    languages = sorted(r["lang"] for r in train.select("lang").distinct().collect())
+    rows_of = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    languages = sorted(rows_of)
     if not languages or not docs:
         return [], idf, np.zeros((BUCKETS, 0)), 1.0
     each = max(20, sample_rows // len(languages))
-    # The sample is named by its largest hash per language, so no text is shuffled.
-    ranked = Window.partitionBy("lang").orderBy("key")
-    limits = (
-        train.select("lang", "key").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= each).groupBy("lang").agg(F.max("key").alias("last"))
+    # Keys are hashes, so the rows up to a limit are about ``each`` of a language.
+    limits = train.sparkSession.createDataFrame(
+        [(name, min(2**63 - 1, int(2**64 * each / n) - 2**63)) for name, n in rows_of.items()], "lang string, last long"
     )
-    chosen = train.join(F.broadcast(limits), "lang").where(F.col("key") <= F.col("last")).select("lang", "text")
+    chosen = train.join(F.broadcast(limits), "lang").where("key <= last").select("lang", "text")
     sample = arrow_pass(chosen, _features(idf), "lang string, at binary, value binary").collect()
     number = {name: k for k, name in enumerate(languages)}
     rows = sorted((number[r["lang"]], bytes(r["at"]), bytes(r["value"])) for r in sample)

@@ -231,7 +231,7 @@ def repeat_spans(rows: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
         .select(F.explode(F.concat(F.array(here), "rest")).alias("o"), "head")
         .select("o.doc", "o.place", (F.col("o") != F.col("head")).alias("repeat"))
     )
-    return stored(plain.unionByName(judged), "spans")
+    return plain.unionByName(judged)
 
 
 def dedup_substrings(

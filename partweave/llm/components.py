@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from partweave.llm.common import stored
 
 
+ROWS_PER_FILE = 50_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node.
 
@@ -36,7 +39,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stored(edges.where("a != b").select("a", "b").distinct(), "edges")
     seen = mark(now)
     for _ in range(max_rounds):
-        now = stored(step(step(now, True), False), "edges")
+        now = stored(step(step(now, True), False), "edges", files=1 + seen[0] // ROWS_PER_FILE)
         found = mark(now)
         if found == seen:
             break

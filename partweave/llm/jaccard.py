@@ -29,11 +29,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.common import arrow_pass, stored
-from partweave.llm.components import components
+from partweave.llm.components import ROWS_PER_FILE, components
 from partweave.llm.hashing import RUN_BASES, Words, mix, rolling_hash, span_hash, text_batches
 
 SHINGLE = 5
@@ -245,7 +245,11 @@ def jaccard_classes(
     )
     lead = bands.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
     roots = components(bands.join(lead, "key").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    return _classes_from(rows, signed, classes, stored(roots, "roots"), threshold, least, n)
+    return _classes_from(rows, signed, classes, stored(roots, "roots", files=_files(roots)), threshold, least, n)
+
+
+def _files(rows: DataFrame) -> int:
+    return 1 + rows.count() // ROWS_PER_FILE
 
 
 def _classes_from(rows, signed, classes, roots, threshold, least, n) -> DataFrame:
@@ -280,7 +284,7 @@ def _classes_from(rows, signed, classes, roots, threshold, least, n) -> DataFram
         .join(linked, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
-    known = stored(known, "known")
+    known = stored(known, "known", files=_files(classes))
     heads = known.groupBy("root").agg(F.min("head").alias("first"))
     info = known.join(heads, "root").select(F.col("node").alias("of"), "head", "copies", "links", "texts", "first")
     alone = F.col("size") == 0
@@ -300,8 +304,8 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``docs`` with one row of each class: its smallest id. Rows without words all
     stay, but a row that is repeated as a whole stays once."""
     uid = F.xxhash64(id_col, text_col)
-    keepers = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).where("keeper").select(F.col("uid").alias("_uid")).distinct()
-    # The merge join leaves the rows sorted, which the row number then uses.
-    met = docs.withColumn("_uid", uid).join(keepers.hint("merge"), "_uid")
-    number = F.row_number().over(Window.partitionBy("_uid").orderBy("_uid"))
-    return met.withColumn("_n", number).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keepers = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).where("keeper").groupBy(F.col("uid").alias("_uid")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = docs.withColumn("_uid", uid).join(keepers.hint("shuffle_hash"), "_uid")
+    # Both parts read one shuffle of the texts; only repeated rows are grouped.
+    once, repeated = joined.where("_n = 1"), joined.where("_n > 1").dropDuplicates(["_uid"])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

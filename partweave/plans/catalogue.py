@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partweave.plans import graph_queries, inference_queries, spatial_queries  # noqa: F401  (these register)
+from partweave.plans import feature_queries, graph_queries, inference_queries, scalar_queries, spatial_queries  # noqa: F401  (these register)
 from partweave.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

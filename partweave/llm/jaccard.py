@@ -305,7 +305,8 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stay, but a row that is repeated as a whole stays once."""
     uid = F.xxhash64(id_col, text_col)
     keepers = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).where("keeper").groupBy(F.col("uid").alias("_uid")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = docs.withColumn("_uid", uid).join(keepers.hint("shuffle_hash"), "_uid")
+    rows = docs.select(uid.alias("_uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(keepers.hint("shuffle_hash"), "_uid")
     # Both parts read one shuffle of the texts; only repeated rows are grouped.
     once, repeated = joined.where("_n = 1"), joined.where("_n > 1").dropDuplicates(["_uid"])
-    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(repeated).select("row.*")

@@ -278,10 +278,11 @@ def secret_report(docs: DataFrame) -> DataFrame:
     spans and all spans."""
     found = scan_secrets(docs)
     base = F.filter("spans", lambda s: s["kind_no"] < len(BASE_RULES))
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["kind_no"] == i)).cast("long").alias(f"n_{rule.kind}")
-        for i, rule in enumerate(BASE_RULES)
-    ]
+
+    def count_of(number: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind_no"] == number)).cast("long")
+
+    counts = [count_of(i).alias(f"n_{rule.kind}") for i, rule in enumerate(BASE_RULES)]
     return found.select(
         F.col("id").alias("doc_id"),
         *counts,

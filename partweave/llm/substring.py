@@ -47,6 +47,8 @@ WIDTH = 20
 SEED = 6
 #: A segment's place is one long: text tag, start word, window count.
 COUNT_BITS, START_BITS = 5, 32
+#: Of the table of repeated segments, which is small beside the texts.
+SEGMENTS_PER_FILE = 200_000
 PLACES = "array<struct<doc:long,place:long>>"
 SEGMENTS = "m long, s long, doc long, place long, rest array<struct<doc:long,place:long>>"
 
@@ -231,7 +233,7 @@ def repeat_spans(rows: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
         .select(F.explode(F.concat(F.array(here), "rest")).alias("o"), "head")
         .select("o.doc", "o.place", (F.col("o") != F.col("head")).alias("repeat"))
     )
-    return plain.unionByName(judged)
+    return stored(plain.unionByName(judged), "spans", files=1 + met.count() // SEGMENTS_PER_FILE)
 
 
 def dedup_substrings(

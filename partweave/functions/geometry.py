@@ -107,3 +107,34 @@ def ellipse(sxx: Column, syy: Column, sxy: Column) -> tuple[Column, Column, Colu
     """Half axes and angle of the ellipse with the given second moments."""
     mid, gap = (sxx + syy) / 2, F.sqrt((sxx - syy) * (sxx - syy) / 4 + sxy * sxy)
     return 2 * F.sqrt(mid + gap), 2 * F.sqrt(F.greatest(mid - gap, F.lit(0.0))), F.atan2(2 * sxy, sxx - syy) / 2
+
+
+def best_rotation(pairs: Column) -> Column:
+    """The angle that turns points (x, y) closest to their partners (u, v), for an
+    array of structs x, y, u, v of centred points."""
+    cross = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["v"] - p["y"] * p["u"])
+    inner = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["u"] + p["y"] * p["v"])
+    return F.atan2(cross, inner)
+
+
+def normalised_points(points: Column) -> Column:
+    """Points less their mean, over their root mean square norm."""
+    n = F.size(points)
+    mx = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["x"]) / n
+    my = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["y"]) / n
+    norm = F.sqrt(F.aggregate(points, F.lit(0.0), lambda a, p: a + (p["x"] - mx) * (p["x"] - mx) + (p["y"] - my) * (p["y"] - my)) / n)
+    return F.transform(points, lambda p: F.struct(((p["x"] - mx) / norm).alias("x"), ((p["y"] - my) / norm).alias("y")))
+
+
+def tiles(b: Column, nx: int, ny: int) -> Column:
+    """array of nx * ny equal rectangles of a box."""
+    w, h = (b["urx"] - b["llx"]) / nx, (b["ury"] - b["lly"]) / ny
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(nx - 1)),
+            lambda i: F.transform(
+                F.sequence(F.lit(0), F.lit(ny - 1)),
+                lambda j: box(b["llx"] + F.floor(i * w).cast("int"), b["lly"] + F.floor(j * h).cast("int"), b["llx"] + F.floor((i + 1) * w).cast("int"), b["lly"] + F.floor((j + 1) * h).cast("int")),
+            ),
+        )
+    )

@@ -155,3 +155,18 @@ def test_gabor_prefers_its_orientation(spark):
     got = images.oriented_energy(df, 4).where("x = 16 AND y = 16").orderBy("v", ascending=False).first()
     assert got.m == 0
     assert images.pyramid(df, factor=0.5, limit=10, most=5).count() == 2
+
+
+def test_longest_path_of_a_tree(spark):
+    from partweave.operators import paths
+
+    rng = random.Random(8)
+    edges = [(0, rng.randrange(k), k) for k in range(1, 30)]
+    near = {v: {a + b - v for _, a, b in edges if v in (a, b)} for v in range(30)}
+
+    def depth(v, before):
+        return 1 + max((depth(w, v) for w in near[v] if w != before), default=0)
+
+    got = paths.longest_paths(spark.createDataFrame(edges, "g int, a long, b long"), ["g"]).first().path
+    assert len(got) == max(depth(v, None) for v in range(30))
+    assert all(b in near[a] for a, b in zip(got, got[1:]))

@@ -234,3 +234,28 @@ def normalised_point_sets(spark, d):
     pairs = F.transform("n", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), (-q["y"]).alias("u"), q["x"].alias("v")))
     side = lambda c: F.aggregate("n", F.lit(0.0), lambda a, q: a + F.abs(q[c]))
     return n.select("image_id", r6(side("x")).alias("sum_x"), r6(side("y")).alias("sum_y"), r6(geo.best_rotation(pairs)).alias("turn"))
+
+
+@query(
+    with_views(
+        BEST + """, seen AS (SELECT b.part, b.idx, avg(n.x - c.x) AS mx, avg(n.y - c.y) AS my FROM best b JOIN cand c ON b.cand_id = c.cand_id AND b.part = c.part JOIN nodes n ON n.node_id = b.sub_id GROUP BY 1, 2)
+        SELECT l.part, l.idx, l.sub_m, CAST(coalesce(round(mx), l.dx) AS INT) AS dx, CAST(coalesce(round(my), l.dy) AS INT) AS dy FROM lib_sub l LEFT JOIN seen s ON l.part = s.part AND l.idx = s.idx""",
+        *ALL,
+    )
+)
+def reestimated_library(spark, d):
+    from partweave.operators import training
+
+    nodes, sub = p.nodes(spark, d), p.lib_sub(spark)
+    cand = inf.candidates(nodes, p.lib_center(spark), 0.2, 0.2)
+    best = inf.best_matches(inf.matches(cand, nodes, sub, p.kernel(spark), 0.1))
+    return training.reestimated(sub, best, cand, nodes)
+
+
+@query()
+def learned_layer(spark, d):
+    """A learned library and its inference; tests plant a pattern and find it."""
+    from partweave.operators import training
+
+    center, sub, above = training.learn_layer(p.nodes(spark, d), p.kernel(spark), training.Settings())
+    return above.groupBy("m").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("r")).alias("mean_r"))

@@ -170,3 +170,24 @@ def test_longest_path_of_a_tree(spark):
     got = paths.longest_paths(spark.createDataFrame(edges, "g int, a long, b long"), ["g"]).first().path
     assert len(got) == max(depth(v, None) for v in range(30))
     assert all(b in near[a] for a, b in zip(got, got[1:]))
+
+
+def test_learning_finds_a_planted_pattern(spark):
+    from partweave.operators import training
+    from partweave.sources.projections import kernel
+
+    rows = []
+    for image in range(12):
+        for k in range(3):
+            x, y = 10 + 15 * k, 7 + image
+            rows += [(image, 0, x, y, 0, 0.9), (image, 0, x + 3, y, 1, 0.9)]
+        rows.append((image, 0, 2 + image, 60, 2, 0.9))
+    nodes = spark.createDataFrame([(*r, 0.9, 0.9, i) for i, r in enumerate(rows)], "image_id long, z int, x int, y int, m int, r double, g double, rr double, node_id long")
+    (center, sub, above), second = training.learn_layers(nodes, kernel(spark), [training.Settings(), training.Settings(radius=16, tolerance=2)])
+    parts = {r.part: r.center_m for r in center.collect()}
+    subs = {(parts[r.part], r.sub_m, r.dx, r.dy) for r in sub.collect()}
+    assert subs == {(0, 1, 3, 0), (1, 0, -3, 0)}
+    got = above.collect()
+    assert len(got) == 72 and {r.z for r in got} == {1}
+    assert len(training.covering_parts(above, 5)) == 2
+    assert second[2].count() > 0

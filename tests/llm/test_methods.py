@@ -316,6 +316,18 @@ def test_wrappers_resolve_mismatches():
     assert wrappers.align(["h", "(q)?", "(p)+"], ["h", "q", "p"]) == ["h", "(q)?", "(p)+"]
 
 
+def test_stored_tables_live_in_the_shared_folder_until_cleared(spark, tmp_path):
+    from partweave.llm import common
+
+    own = spark.newSession()
+    own.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    table = common.stored(own.range(10).withColumn("x", F.col("id") * 2), "t", files=1)
+    assert table.agg(F.sum("x")).first()[0] == 90
+    assert list(tmp_path.glob(f"partweave/{own.sparkContext.applicationId}/t-*/*.parquet"))
+    common.clear_scratch(own)
+    assert not list(tmp_path.glob("partweave/*/t-*"))
+
+
 def test_pipeline_takes_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

@@ -17,7 +17,6 @@ rows each give a row; extra columns are ignored by ``scan_secrets``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as sre
@@ -153,16 +152,12 @@ def trigram_query(regex: str) -> list[list[str]]:
 # --- spans -------------------------------------------------------------------
 
 
-def _escaped(regex: str) -> Column:
-    return F.lit(regex)
-
-
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """array<struct<start, kind_no, end>> of one rule, in code points. The texts
     between the matches and the matches themselves give all positions."""
-    matches = F.regexp_extract_all(text, _escaped(rule.regex), F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     checked = (
-        F.regexp_extract_all(text, _escaped(rule.regex), F.lit(rule.group))
+        F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
         if rule.group
         else matches
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from partweave.operators.ranges import neighbour_counts, rank_in_cell
 
-BY_G = [F.desc, "g", "r"]
 LAYER = ("image_id", "z")
 
 

@@ -25,18 +25,15 @@ def _overlaps(box: np.ndarray, others: np.ndarray, kind: str) -> np.ndarray:
     return np.divide(inter, base, out=np.zeros_like(inter), where=base > 0)
 
 
-def keep_boxes(frame: pd.DataFrame, threshold: float, kind: str, value: str, id_col: str) -> np.ndarray:
+def keep_boxes(sides: np.ndarray, values: np.ndarray, ids: np.ndarray, threshold: float, kind: str) -> np.ndarray:
     """Greedy: the best box stays, boxes that overlap it by more than the
     threshold go, and so on. Returns the positions that stay."""
-    order = np.lexsort((frame[id_col].to_numpy(), -frame[value].to_numpy()))
-    sides = frame[SIDES].to_numpy(dtype=float)
-    alive = np.ones(len(frame), dtype=bool)
+    alive = np.ones(len(sides), dtype=bool)
     kept = []
-    for k in order:
-        if not alive[k]:
-            continue
-        kept.append(k)
-        alive &= ~(_overlaps(sides[k], sides, kind) > threshold)
+    for k in np.lexsort((ids, -values)):
+        if alive[k]:
+            kept.append(k)
+            alive &= ~(_overlaps(sides[k], sides, kind) > threshold)
     return np.array(kept, dtype=np.int64)
 
 
@@ -44,14 +41,20 @@ def suppress_boxes(
     boxes: DataFrame, keys: list[str], threshold: float, kind: str = "iou", value: str = "val", id_col: str = "box_id", most: int | None = None
 ) -> DataFrame:
     """``kind``: iou, min (share of the smaller box) or contained (share of the
-    weaker box). ``most`` keeps only so many of the best of a key before."""
+    weaker box). ``most`` keeps only so many of the best of a key before. Boxes are
+    dealt by the first key and told apart by the others within the task."""
     if most is not None:
         boxes = top_k(boxes, keys, most, value, id_col)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.iloc[keep_boxes(frame, threshold, kind, value, id_col)]
-
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+        group = frame.groupby(keys[1:], sort=False).ngroup().to_numpy() if keys[1:] else np.zeros(len(frame), dtype=int)
+        order = np.argsort(group, kind="stable")
+        sides, values, ids = frame[SIDES].to_numpy(dtype=float), frame[value].to_numpy(), frame[id_col].to_numpy()
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        parts = [own[keep_boxes(sides[own], values[own], ids[own], threshold, kind)] for own in np.split(order, cuts)]
+        return frame.iloc[np.concatenate(parts)]
+
+    return boxes.groupBy(keys[0]).applyInPandas(run, boxes.schema)
 
 
 def top_k(rows: DataFrame, keys: list[str], k: int, value: str, id_col: str) -> DataFrame:

@@ -17,10 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
-        found = LOCAL_SCRATCH
+    found = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
     return found if urlparse(found).scheme else f"file://{found}"
 
 

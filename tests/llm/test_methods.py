@@ -316,11 +316,12 @@ def test_wrappers_resolve_mismatches():
     assert wrappers.align(["h", "(q)?", "(p)+"], ["h", "q", "p"]) == ["h", "(q)?", "(p)+"]
 
 
-def test_stored_tables_live_in_the_shared_folder_until_cleared(spark, tmp_path):
+def test_stored_tables_live_in_the_shared_folder_until_cleared(spark, tmp_path, monkeypatch):
     from partweave.llm import common
 
-    own = spark.newSession()
-    own.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    own = spark
+    assert common.scratch_dir(spark).startswith("file:")
+    monkeypatch.setattr(common, "scratch_dir", lambda _: f"file://{tmp_path}")
     table = common.stored(own.range(10).withColumn("x", F.col("id") * 2), "t", files=1)
     assert table.agg(F.sum("x")).first()[0] == 90
     assert list(tmp_path.glob(f"partweave/{own.sparkContext.applicationId}/t-*/*.parquet"))

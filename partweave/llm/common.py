@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,19 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
 BATCH_BYTES = "4m"
 
 
-def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow(function, schema)`` in batches of a few megabytes."""
+#: What a Python worker remembers between tasks, by name, and how to drop it.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def arrow_pass(df: DataFrame, function, schema: str, remembers: str = "") -> DataFrame:
+    """``df.mapInArrow(function, schema)`` in batches of a few megabytes. Workers are
+    reused, so a task first drops what passes other than ``remembers`` left."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        for name, drop in MEMORIES.items():
+            if name != remembers:
+                drop()
+        return function(batches)
+
+    return df.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.llm.common import arrow_pass
+from partweave.llm.common import MEMORIES, arrow_pass
 from partweave.llm.hashing import text_batches
 
 MARKER = "▁"
@@ -221,6 +221,9 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+MEMORIES["pieces"] = load.cache_clear
+
+
 def _coded(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
@@ -251,7 +254,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     ids), round_trip (decoding gives the text back), and with ``with_ids`` ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return arrow_pass(rows, _coded(model_path, with_ids), schema)
+    return arrow_pass(rows, _coded(model_path, with_ids), schema, remembers="pieces")
 
 
 def decode_documents(coded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -264,4 +267,4 @@ def decode_documents(coded: DataFrame, model_path: str, *, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return arrow_pass(rows, run, "doc_id long, text string")
+    return arrow_pass(rows, run, "doc_id long, text string", remembers="pieces")

@@ -113,6 +113,10 @@ def _segments(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Itera
             place = (tags[d].astype(np.int64) << (COUNT_BITS + START_BITS)) | (start << COUNT_BITS) | count
             order = np.lexsort((place, doc, s, m))
             m, s, doc, place = m[order], s[order], doc[order], place[order]
+            # Repeated rows are one document: their segments count once.
+            new = np.ones(len(m), dtype=bool)
+            new[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+            m, s, doc, place = m[new], s[new], doc[new], place[new]
             lead = np.ones(len(m), dtype=bool)
             lead[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1])
             at = np.flatnonzero(lead)
@@ -221,7 +225,8 @@ def repeat_spans(rows: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
         ),
         "segments",
     )
-    # Nonbranching: all occurrences but the first. `rest` never holds the first.
+    # Nonbranching: all occurrences but the first. `rest` follows its row strictly
+    # in the order, so it never holds the first.
     plain = met.where("m IS NULL").select(
         F.explode(F.concat("rest", F.when(F.col("later"), F.array(here)).otherwise(F.array().cast(PLACES)))).alias("o")
     ).select("o.doc", "o.place", F.lit(True).alias("repeat"))

@@ -45,6 +45,18 @@ def test_substring_on_odd_rows(odd_docs):
     assert [r.n_removed for r in null] == [0, 0]
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_a_repeated_row_without_another_copy_keeps_its_text(spark, parts):
+    text = " ".join(f"a{k}" for k in range(60))
+    rows = [(7, text), (7, text), (8, " ".join(f"b{k}" for k in range(50)))]
+    # Two parts: the equal rows lie in different ones.
+    docs = spark.createDataFrame([rows[0], rows[2], rows[1]], "doc_id long, text string") if parts == 2 else spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.dedup_substrings(docs.coalesce(parts), with_text=True).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got) == sorted((d, 0, t) for d, t in rows)
+    later = spark.createDataFrame([*rows, (9, text)], "doc_id long, text string").coalesce(parts)
+    assert sorted((r.doc_id, r.n_removed) for r in substring.dedup_substrings(later).collect()) == [(7, 0), (7, 0), (8, 0), (9, 60)]
+
+
 def test_jaccard_on_odd_rows(odd_docs):
     rows = jaccard.jaccard_classes(odd_docs).collect()
     got = {r.doc_id: r for r in rows if r.doc_id is not None}

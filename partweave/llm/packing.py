@@ -63,9 +63,10 @@ class Places(dict):
         return n
 
 
-# The vocabulary file's pre-token pattern, and its form for ASCII alone.
+# The vocabulary file's pre-token pattern, and its form for ASCII alone,
+# where `re` would count \x1c to \x1f as white space and the file does not.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:

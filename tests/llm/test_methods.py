@@ -233,6 +233,13 @@ def test_word_ids_equal_the_librarys():
         assert ids[:-1].tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_ascii_control_characters_keep_their_ids():
+    e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t for c in map(chr, range(128)) for t in (c, f"a{c}b", f"!{c}!", f"1{c}'s", f"a{c * 3}b c")]
+    for text, ids in zip(texts, e(texts), strict=True):
+        assert ids[:-1].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.fixture(scope="module")
 def piece_model():
     return pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))

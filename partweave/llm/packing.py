@@ -8,8 +8,11 @@ the other, removes the bins that hold a duplicate and best-fits the displaced
 pieces, largest first. After each epoch an island sends its elites to the next
 island of its shard (a shuffle on the island's key); after the last one the
 best individual of the shard wins. Bins that a shard leaves slack go into the
-next level: their pieces are dealt anew into fewer shards until one shard is
-left, so waste does not grow with the number of shards.
+next level: their pieces are dealt anew into fewer shards of the same size, until
+one shard is left or a level hardly lowers the number of bins; then the bins stay
+as they are. No task gets more than a shard, however badly pieces combine. Copies
+are dealt over all shards by their row, so each shard has its share of them and of
+their complements.
 
 Cases: a null text is empty and gives the piece of id 0 alone; repeated rows are
 packed as documents of their own; a null doc_id is kept; extra columns are
@@ -43,6 +46,8 @@ ISLANDS, EPOCHS = 2, 2
 POPULATION, CROSSOVERS, ELITES = 4, 4, 2
 #: Bins at least this full stay as they are when a shard's slack is packed again.
 GOOD = 0.998
+#: A level that saves a smaller part than this of the bins that it packs again is the last.
+LEAST_GAIN = 0.001
 #: Words whose ids a worker remembers; past it the memory starts anew.
 CACHE_WORDS = 600_000
 
@@ -283,7 +288,8 @@ def _epoch(capacity: int, epoch: int):
 
 
 def pack_level(items: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """(row_no, piece, length, shard, bin, fill) for items (row_no, piece, length)."""
+    """(row_no, piece, length, shard, bin, fill, opens) for items (row_no, piece,
+    length); one piece of each bin opens it."""
     keyed = items.withColumn("shard", F.pmod(F.xxhash64("row_no", "piece", F.lit(shards)), F.lit(shards)))
     # A shard's pieces in a fixed order; their number is bounded by the choice of shards.
     packed = keyed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("length", "row_no", "piece"))).alias("items"))
@@ -303,7 +309,7 @@ def pack_level(items: DataFrame, shards: int, capacity: int) -> DataFrame:
             _epoch(capacity, epoch), "shard long, island int, bins int, score double, body binary"
         )
     best = elites.groupBy("shard").agg(F.min_by("body", F.struct("bins", -F.col("score"), "island")).alias("best"))
-    placed = packed.join(best, "shard").mapInPandas(_placed, "row_no long, piece int, length long, shard long, bin int, fill long")
+    placed = packed.join(best, "shard").mapInPandas(_placed, "row_no long, piece int, length long, shard long, bin int, fill long, opens boolean")
     return stored(placed, "placed", files=shards)
 
 
@@ -314,7 +320,8 @@ def _placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own["bin"] = np.frombuffer(best, dtype=np.int32)
             own["shard"] = shard
             own["fill"] = own.groupby("bin")["length"].transform("sum")
-            yield own[["row_no", "piece", "length", "shard", "bin", "fill"]]
+            own["opens"] = ~own["bin"].duplicated()
+            yield own[["row_no", "piece", "length", "shard", "bin", "fill", "opens"]]
 
 
 def pack_documents(
@@ -341,18 +348,26 @@ def pack_documents(
     rest = pieces.where(F.col("length") < capacity).select("row_no", "piece", "length")
     done, level = [], 1
     count = rest.count()
+    open_bins, open_placed = None, None
+
+    def settle(placed: DataFrame, level: int) -> None:
+        done.append(placed.select("row_no", "piece", F.struct(F.lit(level), F.col("shard"), F.col("bin").cast("long")).alias("seq")))
+
     while count:
         shards = -(-count // shard_size)
         placed = pack_level(rest, shards, capacity)
-        good = F.lit(True) if shards == 1 else F.col("fill") >= GOOD * capacity
-        done.append(placed.where(good).select("row_no", "piece", F.struct(F.lit(level), F.col("shard"), F.col("bin").cast("long")).alias("seq")))
-        if shards == 1:
+        slack = F.col("fill") < GOOD * capacity
+        bins, slack_bins, left = placed.agg(F.count_if("opens"), F.count_if(F.col("opens") & slack), F.count_if(slack)).first()
+        if open_bins is not None and bins > open_bins:
+            settle(open_placed, level - 1)
+            break
+        if shards == 1 or (open_bins is not None and bins > (1 - LEAST_GAIN) * open_bins):
+            settle(placed, level)
             break
-        rest = placed.where(~good).select("row_no", "piece", "length")
-        left = rest.count()
-        # Fewer pieces go round again; should a level settle too little, its shards grow.
-        shard_size = shard_size if left < 0.5 * count else shard_size * 2
-        count, level = left, level + 1
+        settle(placed.where(~slack), level)
+        open_placed = placed.where(slack)
+        rest = open_placed.select("row_no", "piece", "length")
+        count, open_bins, level = left, slack_bins, level + 1
     seq_type = "struct<level:int,shard:bigint,bin:bigint>"
     where = whole.select("row_no", "piece", F.col("seq").cast(seq_type).alias("seq"))
     for part in done:

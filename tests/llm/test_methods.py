@@ -212,6 +212,24 @@ def test_packing_is_near_the_bound_and_exact(spark, documents):
     assert want == {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()}
 
 
+def test_pieces_that_do_not_combine_stay_in_bounded_shards(spark, monkeypatch):
+    dealt = []
+    level = packing.pack_level
+
+    def watched(items, shards, capacity):
+        dealt.append((items.count(), shards))
+        return level(items, shards, capacity)
+
+    monkeypatch.setattr(packing, "pack_level", watched)
+    # 300 copies of 1200 ids, and a few documents that fit beside them.
+    docs = [(i, "a " * 1199) for i in range(300)] + [(1000 + i, "a " * 839) for i in range(40)]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), shard_size=32).toPandas()
+    assert all(n / shards <= 32 for n, shards in dealt) and len(dealt) < 6
+    assert sorted(got.doc_id) == [d for d, _ in docs]
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
+    assert got.sequence_id.nunique() <= 303
+
+
 def test_crossover_keeps_every_piece_once():
     rng = random.Random(6)
     lengths = np.array([rng.randrange(1, 2048) for _ in range(300)], dtype=np.int32)

@@ -332,6 +332,26 @@ def test_extraction_of_an_article(spark):
     assert got[21] == "Text of page 1 goes on"
 
 
+def test_layout_classes_teasers_and_copies_do_not_drop_articles(spark):
+    body = "<p>The whole article has many words that must stay.</p><p>And a second part of it.</p>"
+    text = "The whole article has many words that must stay. And a second part of it."
+    pages = {
+        f"<body class='has-sidebar'>{body}</body>": text,
+        f"<body class='no-comments single-post'><div class='sidebar'>Side</div>{body}</body>": text,
+        f"<body><div class='content with-sidebar'>{body}<div class='sidebar'>Side</div></div></body>": text,
+        f"<body><article class='post social'>{body}<div class='social'>Share</div></article></body>": text,
+        f"<body><form id='aspnetForm'><div class='widget'>{body}</div><div class='menu'>Menu</div></form></body>": text,
+        f"<body><main><h1>Title</h1><article>Teaser</article><div>{body}</div></main></body>": f"Title Teaser {text}",
+        f"<body><div class='ad'/>{body}<a name='x'/></body>": text,
+        f"<body><article>{body}</article><div class='comments'>{'<p>Some comment on it.</p>' * 30}</div></body>": text,
+        f"<body>{body}<div class='comments'><p>Nice</p></div><form>Mail</form></body>": text,
+    }
+    rows = [(k, f"http://h{k}.example/", html) for k, html in enumerate(pages)]
+    rows += [(100 + k, f"http://copies.example/{k}", f"<body><div>{body}</div></body>") for k in range(4)]
+    got = {r.page_id: r.text for r in wrappers.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(pages.values())) | {100 + k: text for k in range(4)}
+
+
 def test_wrappers_resolve_mismatches():
     a = wrappers.collapse(["h", "p", "p", "p", "f"])
     assert a == ["h", "(p)+", "f"]

@@ -1,18 +1,22 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm.
 
 Documents become token ids (an Arrow pass) and are cut into pieces; full pieces
-fill a sequence each. The other pieces are dealt by a hash into shards of a
-bounded number of pieces. A shard is packed on several islands. An individual
-is a list of bins; crossover injects whole well-filled bins of one parent into
-the other, removes the bins that hold a duplicate and best-fits the displaced
-pieces, largest first. After each epoch an island sends its elites to the next
-island of its shard (a shuffle on the island's key); after the last one the
-best individual of the shard wins. Bins that a shard leaves slack go into the
-next level: their pieces are dealt anew into fewer shards of the same size, until
-one shard is left or a level hardly lowers the number of bins; then the bins stay
-as they are. No task gets more than a shard, however badly pieces combine. Copies
-are dealt over all shards by their row, so each shard has its share of them and of
-their complements.
+fill a sequence each. The other pieces are dealt by a hash into shards of at most
+``shard_size`` pieces, and a shard is packed on several islands. An individual is
+a list of bins. An island starts from individuals that best-fit the pieces in a
+random order. Crossover injects whole well-filled bins of one parent into the
+other, removes the bins that hold a duplicate and best-fits the displaced pieces,
+largest first, with those of the slackest bins. A child replaces the worst
+individual if it has fewer or fuller bins. After each epoch an island keeps its
+population and sends its elites to the next island of its shard (a shuffle on the
+island's key); after the last one the best individual of the shard wins. An island
+stops early only when it has as few bins as any packing can have.
+
+Bins that a shard leaves slack go into the next level: their pieces are dealt anew
+into fewer shards of the same bound, until one shard is left or a level hardly
+lowers the number of bins; then the bins stay as they are. No task gets more than a
+shard, however badly pieces combine. Copies are dealt over all shards by their row,
+so each shard has its share of them and of their complements.
 
 Cases: a null text is empty and gives the piece of id 0 alone; repeated rows are
 packed as documents of their own; a null doc_id is kept; extra columns are
@@ -27,6 +31,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -42,10 +47,15 @@ from partweave.llm.hashing import text_batches
 CAPACITY = 2048
 END_ID = 0
 SHARD = 4096
+#: Of a sequence's number.
+BIN_BITS, SHARD_BITS = 16, 40
 ISLANDS, EPOCHS = 2, 2
-POPULATION, CROSSOVERS, ELITES = 4, 4, 2
-#: Bins at least this full stay as they are when a shard's slack is packed again.
-GOOD = 0.998
+#: An epoch ends after so many crossovers of a full shard (more of a smaller one, up to
+#: MOST_CROSSOVERS), or a third as many in a row without a new best.
+POPULATION, CROSSOVERS, MOST_CROSSOVERS, ELITES = 4, 24, 200, 2
+SHARDS_PER_TASK, ISLANDS_PER_TASK, MOST_TASKS = 16, 8, 20_000
+#: Bins at least this full are injected; those at least so full are not packed again.
+GOOD, SETTLED = 0.998, 0.9995
 #: A level that saves a smaller part than this of the bins that it packs again is the last.
 LEAST_GAIN = 0.001
 #: Words whose ids a worker remembers; past it the memory starts anew.
@@ -184,144 +194,213 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 
 # --- the genetic algorithm on one shard --------------------------------------
 
-Bins = list[list[int]]
 
+@dataclass
+class Packing:
+    """An individual: the pieces of each bin, and how full the bins are."""
 
-def best_fit(lengths: np.ndarray, bins: Bins, loose: list[int], capacity: int) -> Bins:
-    """Put each loose piece, largest first, into the fullest bin that takes it."""
-    room = sorted((capacity - int(lengths[b].sum()), k) for k, b in enumerate(bins))
-    for item in sorted(loose, key=lambda i: -lengths[i]):
-        need = int(lengths[item])
+    bins: list[list[int]]
+    fills: list[int]
+
+    def score(self, capacity: int) -> tuple[int, float]:
+        """Lower is better: the number of bins, then the mean squared fill."""
+        return len(self.bins), -sum(f * f for f in self.fills) / (capacity * capacity * max(1, len(self.fills)))
+
+
+@dataclass
+class Tally:
+    """What an epoch did."""
+
+    crossovers: int = 0
+    accepted: int = 0
+
+
+def best_fit(lengths: list[int], start: Packing, loose: list[int], capacity: int) -> Packing:
+    """Put each loose piece, in the order given, into the fullest bin that takes it."""
+    bins, fills = start.bins, start.fills
+    room = sorted((capacity - f, k) for k, f in enumerate(fills) if f < capacity)
+    for item in loose:
+        need = lengths[item]
         at = bisect_left(room, (need, -1))
         if at < len(room):
             left, k = room.pop(at)
             bins[k].append(item)
+            fills[k] += need
         else:
             left, k = capacity, len(bins)
             bins.append([item])
+            fills.append(need)
         if left > need:
             insort(room, (left - need, k))
-    return bins
-
-
-def fitness(lengths: np.ndarray, bins: Bins, capacity: int) -> float:
-    """Mean squared fill: fewer, fuller bins are better."""
-    return sum((int(lengths[b].sum()) / capacity) ** 2 for b in bins) / max(1, len(bins))
-
-
-def crossover(lengths: np.ndarray, mother: Bins, father: Bins, capacity: int, rng: random.Random) -> Bins:
-    full = [b for b in father if int(lengths[b].sum()) >= GOOD * capacity]
-    injected = [list(b) for b in full if rng.random() < 0.5]
-    taken = {i for b in injected for i in b}
-    kept, loose = [], []
-    for b in mother:
-        if taken.isdisjoint(b):
-            kept.append(list(b))
+    return start
+
+
+def crossover(lengths: list[int], mother: Packing, father: Packing, capacity: int, rng: random.Random) -> Packing:
+    """The mother with well-filled bins of the father."""
+    full = [k for k, f in enumerate(father.fills) if f >= GOOD * capacity]
+    if not full:  # pieces that combine badly: the fuller half of the father's bins
+        full = sorted(range(len(father.bins)), key=lambda k: -father.fills[k])[: -(-len(father.bins) // 2)]
+    injected = [k for k in full if rng.random() < 0.5]
+    child = Packing([list(father.bins[k]) for k in injected], [father.fills[k] for k in injected])
+    taken = bytearray(len(lengths))
+    for b in child.bins:
+        for i in b:
+            taken[i] = 1
+    loose: list[int] = []
+    kept = []
+    for k, b in enumerate(mother.bins):
+        own = [i for i in b if not taken[i]]
+        if len(own) == len(b):
+            kept.append(k)
         else:
-            loose += [i for i in b if i not in taken]
+            loose += own
     # The slackest bins give up their pieces as well.
-    kept.sort(key=lambda b: int(lengths[b].sum()))
-    give = max(1, len(kept) // 50)
-    loose += [i for b in kept[:give] for i in b]
-    return best_fit(lengths, injected + kept[give:], loose, capacity)
+    kept.sort(key=mother.fills.__getitem__)
+    give = max(1, len(kept) // rng.choice((4, 16, 64)))
+    for k in kept[:give]:
+        loose += mother.bins[k]
+    child.bins += [list(mother.bins[k]) for k in kept[give:]]
+    child.fills += [mother.fills[k] for k in kept[give:]]
+    loose.sort(key=lambda i: -lengths[i])
+    return best_fit(lengths, child, loose, capacity)
 
 
-def evolve(lengths: np.ndarray, start: list[Bins], capacity: int, seed: int) -> list[Bins]:
-    """One epoch: the population, best first."""
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: by total length, and by pieces over half a bin."""
+    return max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
+
+
+def evolve(lengths: list[int], pool: list[Packing], capacity: int, seed: int, tally: Tally | None = None) -> list[Packing]:
+    """One epoch: the population, best first. ``pool`` is the population of the
+    last epoch with the elites that came in; new individuals fill it up."""
     rng = random.Random(seed)
-    pool = list(start)
-    if not pool:
-        pool.append(best_fit(lengths, [], list(range(len(lengths))), capacity))
+    tally = tally if tally is not None else Tally()
+    least = least_bins(lengths, capacity)
+    pool = list(pool)
     while len(pool) < POPULATION:
-        loose = list(range(len(lengths)))
-        rng.shuffle(loose)
-        head = loose[: len(loose) // 20]
-        pool.append(best_fit(lengths, [[i] for i in head], loose[len(head) :], capacity))
-    least = -(-int(lengths.sum()) // capacity)
-    scored = sorted(((len(b), -fitness(lengths, b, capacity), k, b) for k, b in enumerate(pool)))
-    for k in range(CROSSOVERS):
-        if scored[0][0] == least:  # nothing can be better
+        order = list(range(len(lengths)))
+        rng.shuffle(order)
+        pool.append(best_fit(lengths, Packing([], []), order, capacity))
+    ranked = sorted(((*p.score(capacity), k, p) for k, p in enumerate(pool)))[:POPULATION]
+    births, idle = len(pool), 0
+    most = min(MOST_CROSSOVERS, -(-CROSSOVERS * SHARD // max(1, len(lengths))))
+    for _ in range(most):
+        if ranked[0][0] <= least or 3 * idle > most:
             break
-        a, b = rng.sample(range(min(len(scored), POPULATION)), 2)
-        child = crossover(lengths, scored[a][3], scored[b][3], capacity, rng)
-        entry = (len(child), -fitness(lengths, child, capacity), len(pool) + k, child)
-        if entry < scored[-1]:
-            scored[-1] = entry
-            scored.sort()
-    return [s[3] for s in scored]
-
-
-def _bin_of(bins: Bins, n: int) -> np.ndarray:
+        # The better of two is the mother, so that most children come near the best.
+        a, b = sorted(rng.sample(range(len(ranked)), 2))
+        child = crossover(lengths, ranked[a][3], ranked[b][3], capacity, rng)
+        tally.crossovers += 1
+        births += 1
+        entry = (*child.score(capacity), births, child)
+        idle += 1
+        if entry < ranked[-1]:
+            tally.accepted += 1
+            idle = 0 if entry < ranked[0] else idle
+            ranked[-1] = entry
+            ranked.sort()
+    return [r[3] for r in ranked]
+
+
+def _labels(packing: Packing, n: int) -> bytes:
+    """The bin number of each piece."""
     out = np.empty(n, dtype=np.int32)
-    for k, b in enumerate(bins):
+    for k, b in enumerate(packing.bins):
         out[b] = k
-    return out
+    return out.tobytes()
+
+
+def _from_labels(labels: bytes, lengths: np.ndarray) -> Packing:
+    bin_of = np.frombuffer(labels, dtype=np.int32)
+    order = np.argsort(bin_of, kind="stable")
+    cuts = np.flatnonzero(np.diff(bin_of[order])) + 1
+    fills = np.bincount(bin_of, lengths).astype(np.int64)
+    return Packing([part.tolist() for part in np.split(order, cuts)], fills.tolist())
 
 
-def _from_labels(labels: np.ndarray) -> Bins:
-    order = np.argsort(labels, kind="stable")
-    cuts = np.flatnonzero(np.diff(labels[order])) + 1
-    return [list(map(int, part)) for part in np.split(order, cuts)]
+POOL = "shard long, island int, rank int, bins int, score double, crossovers int, accepted int, body binary"
 
 
 def _epoch(capacity: int, epoch: int):
     """The step of one island of one shard. Rows with ``kind`` 0 hold the lengths
-    of the shard's pieces, rows with ``kind`` 1 an elite that came in, as the bin
-    number of each piece."""
+    of the shard's pieces, rows with ``kind`` 1 an individual of the island or an
+    elite that came in."""
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         lengths = np.frombuffer(frame.loc[frame["kind"] == 0, "body"].iloc[0], dtype=np.int32)
-        elites = [_from_labels(np.frombuffer(x, dtype=np.int32)) for x in sorted(frame.loc[frame["kind"] == 1, "body"])]
+        pool = [_from_labels(x, lengths) for x in sorted(frame.loc[frame["kind"] == 1, "body"])]
         shard, island = int(frame["shard"].iloc[0]), int(frame["island"].iloc[0])
-        best = evolve(lengths, elites, capacity, hash((shard, island, epoch)) & 0xFFFFFFFF)[:ELITES]
+        tally = Tally()
+        best = evolve(lengths.tolist(), pool, capacity, hash((shard, island, epoch)) & 0xFFFFFFFF, tally)
+        scores = [p.score(capacity) for p in best]
         return pd.DataFrame(
             {
                 "shard": shard,
                 "island": island,
-                "bins": [len(b) for b in best],
-                "score": [fitness(lengths, b, capacity) for b in best],
-                "body": [_bin_of(b, len(lengths)).tobytes() for b in best],
+                "rank": range(len(best)),
+                "bins": [s[0] for s in scores],
+                "score": [s[1] for s in scores],
+                "crossovers": tally.crossovers,
+                "accepted": tally.accepted,
+                "body": [_labels(p, len(lengths)) for p in best],
             }
         )
 
     return step
 
 
-def pack_level(items: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """(row_no, piece, length, shard, bin, fill, opens) for items (row_no, piece,
-    length); one piece of each bin opens it."""
+ITEM = ("doc_id", "row_no", "piece", "start", "length", "ids_crc32")
+PLACED = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long, shard long, bin int, offset long, fill long, opens boolean"
+
+
+def deal(items: DataFrame, count: int, shard_size: int) -> tuple[DataFrame, int]:
+    """(shard, items) of at most ``shard_size`` items each, and about how many."""
+    # Six standard deviations below the bound; a shard over it all the same is split.
+    mean = max(shard_size / 2, shard_size - 6 * shard_size**0.5)
+    shards = 1 if count <= shard_size else int(-(-count // mean))
     keyed = items.withColumn("shard", F.pmod(F.xxhash64("row_no", "piece", F.lit(shards)), F.lit(shards)))
-    # A shard's pieces in a fixed order; their number is bounded by the choice of shards.
-    packed = keyed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("length", "row_no", "piece"))).alias("items"))
-    packed = stored(packed, "shards", files=shards)
-    body = packed.select("shard", F.col("items.length").cast("array<int>").alias("lengths"))
-    islands = body.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")).mapInPandas(
-        lambda fs: (f.assign(kind=0, body=[np.asarray(x, dtype=np.int32).tobytes() for x in f["lengths"]])[["shard", "island", "kind", "body"]] for f in fs),
-        "shard long, island int, kind int, body binary",
+    order = ("length", *(c for c in ITEM if c != "length"))
+    lists = keyed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
+    parts = F.ceil(F.size("all") / shard_size).cast("int")
+    split = lists.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.filter("all", lambda x, i: i % F.col("parts") == F.col("part"))
+    return split.select((F.col("shard") * 1024 + F.col("part")).alias("shard"), own.alias("items")), shards
+
+
+def pack_level(items: DataFrame, count: int, shard_size: int, capacity: int) -> tuple[DataFrame, int]:
+    """PLACED rows for ITEM rows, and the number of shards; one piece of each bin opens it."""
+    dealt, shards = deal(items, count, shard_size)
+    packed = stored(dealt, "shards", files=-(-shards // SHARDS_PER_TASK))
+    # Islands are dear to compute and small to ship: a task for a few of them.
+    tasks = min(MOST_TASKS, -(-shards * ISLANDS // ISLANDS_PER_TASK))
+    islands = packed.select("shard", F.col("items.length").cast("array<int>").alias("lengths")).mapInPandas(
+        lambda fs: (f.assign(kind=0, body=[np.asarray(x, dtype=np.int32).tobytes() for x in f["lengths"]])[["shard", "kind", "body"]] for f in fs),
+        "shard long, kind int, body binary",
     )
-    elites = None
+    islands = islands.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "kind", "body")
+    pool = None
     for epoch in range(EPOCHS):
         rows = islands
-        if elites is not None:
-            moved = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.lit(1).alias("kind"), "body")
-            rows = islands.unionByName(moved)
-        elites = rows.groupBy("shard", "island").applyInPandas(
-            _epoch(capacity, epoch), "shard long, island int, bins int, score double, body binary"
-        )
-    best = elites.groupBy("shard").agg(F.min_by("body", F.struct("bins", -F.col("score"), "island")).alias("best"))
-    placed = packed.join(best, "shard").mapInPandas(_placed, "row_no long, piece int, length long, shard long, bin int, fill long, opens boolean")
-    return stored(placed, "placed", files=shards)
+        if pool is not None:
+            here, there = F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS))
+            to = F.when((F.col("rank") < ELITES) & (here != there), F.array(here, there)).otherwise(F.array(here))
+            rows = islands.unionByName(pool.select("shard", F.explode(to).alias("island"), F.lit(1).alias("kind"), "body"))
+        pool = rows.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInPandas(_epoch(capacity, epoch), POOL)
+    best = pool.groupBy("shard").agg(F.min_by("body", F.struct("bins", "score", "island", "rank")).alias("best"))
+    placed = packed.join(best, "shard").mapInPandas(_placed, PLACED)
+    return stored(placed, "placed", files=-(-shards // SHARDS_PER_TASK)), shards
 
 
 def _placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for shard, items, best in zip(frame["shard"], frame["items"], frame["best"], strict=True):
-            own = pd.DataFrame([(x["row_no"], x["piece"], x["length"]) for x in items], columns=["row_no", "piece", "length"])
-            own["bin"] = np.frombuffer(best, dtype=np.int32)
-            own["shard"] = shard
-            own["fill"] = own.groupby("bin")["length"].transform("sum")
+            own = pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in items])
+            own["shard"], own["bin"] = shard, np.frombuffer(best, dtype=np.int32)
+            grouped = own.groupby("bin")["length"]
+            own["fill"] = grouped.transform("sum")
+            own["offset"] = grouped.cumsum() - own["length"]
             own["opens"] = ~own["bin"].duplicated()
-            yield own[["row_no", "piece", "length", "shard", "bin", "fill", "opens"]]
+            yield own[[c.split()[0] for c in PLACED.split(", ")]]
 
 
 def pack_documents(
@@ -333,7 +412,11 @@ def pack_documents(
     capacity: int = CAPACITY,
     shard_size: int = SHARD,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece. Sequence
+    ids are numbers, not hashes: even ones for pieces that fill a sequence, odd ones
+    made of level, shard and bin."""
+    if not 0 < shard_size <= 1 << BIN_BITS:
+        raise ValueError("a bin's number must fit its bits")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).alias("text"))
     pieces = stored(
         arrow_pass(
@@ -344,43 +427,30 @@ def pack_documents(
         ),
         "pieces",
     )
-    whole = pieces.where(F.col("length") == capacity).select("row_no", "piece", F.struct(F.lit(0), F.col("row_no"), F.col("piece").cast("long")).alias("seq"))
-    rest = pieces.where(F.col("length") < capacity).select("row_no", "piece", "length")
-    done, level = [], 1
-    count = rest.count()
-    open_bins, open_placed = None, None
+    result = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    out = pieces.where(F.col("length") == capacity).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    rest = pieces.where(F.col("length") < capacity).select(*ITEM)
 
-    def settle(placed: DataFrame, level: int) -> None:
-        done.append(placed.select("row_no", "piece", F.struct(F.lit(level), F.col("shard"), F.col("bin").cast("long")).alias("seq")))
+    def settled(placed: DataFrame, level: int) -> DataFrame:
+        number = (F.lit(level).cast("long") * (1 << SHARD_BITS) + F.col("shard")) * (1 << BIN_BITS) + F.col("bin")
+        return out.unionByName(placed.withColumn("sequence_id", 2 * number + 1).select(*result))
 
+    level, count = 1, rest.count()
+    open_bins, open_placed = None, None
     while count:
-        shards = -(-count // shard_size)
-        placed = pack_level(rest, shards, capacity)
-        slack = F.col("fill") < GOOD * capacity
+        placed, shards = pack_level(rest, count, shard_size, capacity)
+        slack = F.col("fill") < SETTLED * capacity
         bins, slack_bins, left = placed.agg(F.count_if("opens"), F.count_if(F.col("opens") & slack), F.count_if(slack)).first()
         if open_bins is not None and bins > open_bins:
-            settle(open_placed, level - 1)
+            out = settled(open_placed, level - 1)
             break
         if shards == 1 or (open_bins is not None and bins > (1 - LEAST_GAIN) * open_bins):
-            settle(placed, level)
+            out = settled(placed, level)
             break
-        settle(placed.where(~slack), level)
+        out = settled(placed.where(~slack), level)
         open_placed = placed.where(slack)
-        rest = open_placed.select("row_no", "piece", "length")
+        rest = open_placed.select(*ITEM)
         count, open_bins, level = left, slack_bins, level + 1
-    seq_type = "struct<level:int,shard:bigint,bin:bigint>"
-    where = whole.select("row_no", "piece", F.col("seq").cast(seq_type).alias("seq"))
-    for part in done:
-        where = where.unionByName(part.select("row_no", "piece", F.col("seq").cast(seq_type).alias("seq")))
-    joined = pieces.join(where, ["row_no", "piece"])
-    order = F.array_sort(F.collect_list(F.struct("row_no", "piece", "length", "doc_id", "start", "ids_crc32")))
-    # A sequence holds at most `capacity` pieces, each of one id at least.
-    sequences = joined.groupBy("seq").agg(order.alias("own")).select(
-        F.xxhash64("seq").alias("sequence_id"),
-        F.posexplode("own").alias("k", "p"),
-        F.col("own"),
-    )
-    return sequences.select(
-        "p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id",
-        F.aggregate(F.slice("own", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("offset"),
-    )
+    return out

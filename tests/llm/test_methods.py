@@ -201,6 +201,7 @@ def test_packing_is_near_the_bound_and_exact(spark, documents):
     got = packing.pack_documents(documents, path, shard_size=64).toPandas()
     bound = -(-got.length.sum() // 2048)
     assert got.sequence_id.nunique() <= 1.03 * bound + 1
+    assert packing.pack_documents(documents, path).select("sequence_id").distinct().count() <= bound + 1
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
@@ -212,36 +213,98 @@ def test_packing_is_near_the_bound_and_exact(spark, documents):
     assert want == {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()}
 
 
-def test_pieces_that_do_not_combine_stay_in_bounded_shards(spark, monkeypatch):
-    dealt = []
+def watched_levels(monkeypatch, shard_size):
+    """Lists the sizes of all shards of each level that a packing deals."""
+    levels = []
     level = packing.pack_level
 
-    def watched(items, shards, capacity):
-        dealt.append((items.count(), shards))
-        return level(items, shards, capacity)
+    def watched(items, count, size, capacity):
+        placed, shards = level(items, count, size, capacity)
+        levels.append([r["count"] for r in placed.groupBy("shard").count().collect()])
+        assert size == shard_size
+        return placed, shards
 
     monkeypatch.setattr(packing, "pack_level", watched)
+    return levels
+
+
+def test_pieces_that_do_not_combine_stay_in_bounded_shards(spark, monkeypatch):
+    levels = watched_levels(monkeypatch, 32)
     # 300 copies of 1200 ids, and a few documents that fit beside them.
     docs = [(i, "a " * 1199) for i in range(300)] + [(1000 + i, "a " * 839) for i in range(40)]
     got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), shard_size=32).toPandas()
-    assert all(n / shards <= 32 for n, shards in dealt) and len(dealt) < 6
+    assert max(map(max, levels)) <= 32 and len(levels) < 6
     assert sorted(got.doc_id) == [d for d, _ in docs]
     assert got.groupby("sequence_id").length.sum().max() <= 2048
-    assert got.sequence_id.nunique() <= 303
+    assert got.sequence_id.nunique() <= 305
+
+
+def test_no_shard_passes_its_bound_and_sequence_ids_are_exact(spark, monkeypatch):
+    levels = watched_levels(monkeypatch, 32)
+    rng = random.Random(8)
+    docs = [(i, "a " * rng.randrange(1099, 1900)) for i in range(600)] + [(1000 + i, "a " * 2047) for i in range(3)]
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), shard_size=32).toPandas()
+    assert max(map(max, levels)) <= 32 and len(levels) < 6
+    assert got.sequence_id.nunique() == 603 == len(got)
+    # Even numbers for full pieces, odd ones for bins.
+    assert set(got[got.length == 2048].sequence_id % 2) == {0} and set(got[got.length < 2048].sequence_id % 2) == {1}
 
 
 def test_crossover_keeps_every_piece_once():
     rng = random.Random(6)
-    lengths = np.array([rng.randrange(1, 2048) for _ in range(300)], dtype=np.int32)
-    first = packing.best_fit(lengths, [], list(range(300)), 2048)
-    loose = list(range(300))
-    rng.shuffle(loose)
-    second = packing.best_fit(lengths, [[i] for i in loose[:30]], loose[30:], 2048)
-    for child in (packing.crossover(lengths, second, first, 2048, rng), *packing.evolve(lengths, [first, second], 2048, 1)):
-        assert sorted(i for b in child for i in b) == list(range(300))
-        assert all(lengths[b].sum() <= 2048 for b in child)
-    best = packing.evolve(lengths, [first, second], 2048, 1)[0]
-    assert len(best) <= len(first)
+    lengths = [rng.randrange(1, 2048) for _ in range(300)]
+    parents = []
+    for _ in range(2):
+        loose = list(range(300))
+        rng.shuffle(loose)
+        parents.append(packing.best_fit(lengths, packing.Packing([], []), loose, 2048))
+    tally = packing.Tally()
+    pool = packing.evolve(lengths, parents, 2048, 1, tally)
+    for child in (packing.crossover(lengths, *parents, 2048, rng), *pool):
+        assert sorted(i for b in child.bins for i in b) == list(range(300))
+        assert child.fills == [sum(lengths[i] for i in b) for b in child.bins] and max(child.fills) <= 2048
+    # The result is the algorithm's: children replaced the random individuals and beat them.
+    assert tally.crossovers >= 5 and tally.accepted >= 3
+    assert len(pool[0].bins) < min(len(p.bins) for p in parents)
+
+
+def test_evolution_finds_the_optimum_of_small_sets():
+    def optimum(lengths, capacity):
+        best = [len(lengths)]
+
+        def put(k, fills):
+            if len(fills) >= best[0]:
+                return
+            if k == len(lengths):
+                best[0] = len(fills)
+                return
+            for i, f in enumerate(fills):
+                if f + lengths[k] <= capacity and f not in fills[:i]:
+                    put(k + 1, [*fills[:i], f + lengths[k], *fills[i + 1 :]])
+            put(k + 1, [*fills, lengths[k]])
+
+        put(0, [])
+        return best[0]
+
+    rng = random.Random(12)
+    for n in (1, 2, 5, 8, 10):
+        for _ in range(12):
+            lengths = [rng.randrange(1, 61) for _ in range(n)]
+            assert len(packing.evolve(lengths, [], 100, rng.randrange(1 << 30))[0].bins) == optimum(sorted(lengths, reverse=True), 100)
+
+
+def test_an_island_goes_on_from_its_population_and_the_elites_that_came(monkeypatch):
+    pools = []
+    evolve = packing.evolve
+    monkeypatch.setattr(packing, "evolve", lambda lengths, pool, *rest: pools.append(pool) or evolve(lengths, pool, *rest))
+    rng = random.Random(3)
+    lengths = np.array([rng.randrange(700, 1300) for _ in range(60)], dtype=np.int32)
+    frame = pd.DataFrame({"shard": 0, "island": 0, "kind": [0], "body": [lengths.tobytes()]})
+    first = packing._epoch(2048, 0)(frame)
+    assert len(first) == packing.POPULATION and pools == [[]]
+    packing._epoch(2048, 1)(pd.concat([frame, pd.DataFrame({"shard": 0, "island": 0, "kind": 1, "body": [*first.body, *first.body[: packing.ELITES]]})]))
+    assert len(pools[1]) == packing.POPULATION + packing.ELITES
+    assert sorted(len(p.bins) for p in pools[1])[-packing.POPULATION :] and min(len(p.bins) for p in pools[1]) == first.bins.min()
 
 
 def test_word_ids_equal_the_librarys():

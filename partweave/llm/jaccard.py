@@ -1,16 +1,22 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Documents are sets of five-word shingles. Equal sets form a class (exact
-copies), and one text stands for it. Representatives that agree in a band of
-their MinHash signature are linked to the band's smallest member, so a bucket
-of n members makes n - 1 edges; the components of these edges hold every pair
-that shares a band. Inside a component pairs are compared in blocks: MinHash
-values are read a few at a time, and a pair is dropped as soon as the posterior
-probability (uniform prior) that its similarity reaches the threshold falls
-below the tolerance. The rest are verified exactly on their shingle sets. A
-component over the block size is dealt out as pairs of blocks, so no task holds
-more than two blocks. A block returns link counts and a spanning forest, never
-the pairs themselves.
+Documents are sets of five-word shingles. Equal sets (two 64-bit sums and the size)
+form a class of exact copies, numbered when the classes are stored; one text stands
+for it. A class has 96 MinHash values of 16 bits, in 24 bands of 4; classes that
+agree in a band share a bucket.
+
+Candidates are the pairs that share a bucket, never closures of it. So that sets
+travel few times, a class has a home, its largest bucket; a home whose sets are over
+``block_weight`` is split by a hash. A class goes to the task of each pair (its home, the
+home of a class that shares a bucket with it), and a task compares the members of the one
+home with those of the other, so each pair meets in exactly one task. A hot bucket thus
+becomes pairs of blocks, and a chain of documents that are each near their neighbours
+only becomes as many small tasks as it has links.
+
+Within a task MinHash values are read a few at a time, and a pair is dropped as soon
+as the posterior probability (uniform prior) that its similarity reaches the
+threshold falls below the tolerance. The rest are verified exactly on their shingle
+sets. A task returns link counts and a spanning forest, never the pairs themselves.
 
 With 24 bands of 4 a pair of similarity 0.8 shares no band with probability
 3e-6, one of 0.9 with 1e-11; the tolerance loses less than 1e-5 of links.
@@ -40,7 +46,13 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 8
-BLOCK = 2048
+#: Shingles of a block of a home, at 8 bytes each; the signature of a class counts as 64.
+BLOCK_WEIGHT = 1_000_000
+SIGNATURE_WEIGHT = 64
+#: Tasks that compare more pairs than this part of all do it by matrices.
+DENSE = 0.02
+#: Of a tile of the matrix form.
+TILE = 2048
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -62,33 +74,46 @@ def shingle_sets(words: Words, n: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """HASHES values of 32 bits."""
+    """HASHES values: the low 16 bits of least 32-bit hashes."""
     a, b = _coefficients()
     low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint64)
     for at in range(0, len(shingles), 4096):
         part = (shingles[at : at + 4096, None] * a + b) >> np.uint64(32)
         np.minimum(low, part.min(axis=0), out=low)
-    return low.astype(np.uint32)
+    return low.astype(np.uint16)
+
+
+def _set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit sums over a set."""
+    return tuple(int(mix(mix(shingles ^ np.uint64(k)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) for k in RUN_BASES)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in text_batches(whole, "text"):
-            keys, sizes, signatures = [], [], []
+            hashes, sizes, signatures = [], [], []
             for shingles in shingle_sets(Words(batch.column("text")), n):
-                total = np.uint64(mix(shingles).sum(dtype=np.uint64)) + np.uint64(len(shingles))
-                keys.append(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+                hashes.append(_set_hashes(shingles))
                 sizes.append(len(shingles))
                 signatures.append(minhash(shingles).tobytes() if len(shingles) else None)
+            h1, h2 = zip(*hashes, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("uid"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())],
-                ["doc_id", "uid", "node", "size", "signature"],
+                [batch.column("doc_id"), batch.column("uid"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())],
+                ["doc_id", "uid", "h1", "h2", "size", "signature"],
             )
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The members' shingle sets; of a repeated row one is enough."""
+    seen: set[int] = set()
     for whole in batches:
-        for batch in text_batches(whole, "text"):
+        nodes = whole.column("node").to_pylist()
+        first = []
+        for node in nodes:
+            first.append(node not in seen)
+            seen.add(node)
+        chosen = pa.RecordBatch.from_struct_array(whole.to_struct_array().filter(pa.array(first)))
+        for batch in text_batches(chosen, "text"):
             sets = [s.tobytes() for s in shingle_sets(Words(batch.column("text")), n)]
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
@@ -109,16 +134,9 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def candidate_pairs(left: np.ndarray, right: np.ndarray, same: bool, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose signatures survive every pruning step."""
-    agree = np.zeros((len(left), len(right)), dtype=np.uint8)
-    for k in range(STEP):
-        agree += left[:, k, None] == right[None, :, k]
-    i, j = np.nonzero(agree >= least[0])
-    if same:
-        i, j = i[i < j], j[i < j]
-    count = agree[i, j].astype(np.int64)
-    for step in range(1, len(least)):
+def _pruned(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, count: np.ndarray, first: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that survive the pruning steps from ``first`` on; ``count`` values agree before it."""
+    for step in range(first, len(least)):
         if not len(i):
             break
         at = slice(step * STEP, (step + 1) * STEP)
@@ -130,6 +148,44 @@ def candidate_pairs(left: np.ndarray, right: np.ndarray, same: bool, least: list
     return i, j
 
 
+def dense_pairs(left: np.ndarray, right: np.ndarray, same: bool, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs whose signatures survive every pruning step, of all pairs, tile by tile."""
+    for a in range(0, len(left), TILE):
+        for b in range(a if same else 0, len(right), TILE):
+            l, r = left[a : a + TILE], right[b : b + TILE]
+            agree = np.zeros((len(l), len(r)), dtype=np.uint8)
+            for k in range(STEP):
+                agree += l[:, k, None] == r[None, :, k]
+            i, j = np.nonzero(agree >= least[0])
+            if same and a == b:
+                i, j = i[i < j], j[i < j]
+            i, j = _pruned(l, r, i, j, agree[i, j].astype(np.int64), 1, least)
+            yield i + a, j + b
+
+
+def bucket_pairs(left: np.ndarray, right: np.ndarray, same: bool, least: list[int], most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The same for the pairs that share a band, each once; None if their buckets hold
+    more than ``most`` pairs."""
+    bands = [np.ascontiguousarray(x).view(np.uint64) for x in (left, right)]
+    keys, total, parts = [], 0, []
+    for b in range(BANDS):
+        order = np.argsort(bands[1][:, b], kind="stable")
+        held = bands[1][order, b]
+        lo, hi = np.searchsorted(held, bands[0][:, b], "left"), np.searchsorted(held, bands[0][:, b], "right")
+        total += int((hi - lo).sum()) - (len(left) if same else 0)
+        if total > most:
+            return None
+        parts.append((order, lo, hi))
+    for order, lo, hi in parts:
+        n = hi - lo
+        i = np.repeat(np.arange(len(left)), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        keys.append((i * len(right) + j)[i < j] if same else i * len(right) + j)
+    pairs = np.unique(np.concatenate(keys))
+    i, j = pairs // len(right), pairs % len(right)
+    return _pruned(left, right, i, j, np.zeros(len(i), dtype=np.int64), 0, least)
+
+
 def shared(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The exact number of common shingles of each pair (i, j)."""
     if len(i) < 64 or len(i) < 0.02 * len(left) * len(right):
@@ -152,14 +208,13 @@ def shared(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np
     return total[i, j].astype(np.int64)
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index of each index's component."""
-    label = np.arange(n)
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` names the smallest index of each index's component; the same with edges (i, j)."""
     while len(i):
         low = np.minimum(label[i], label[j])
         new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
+        for end in (i, j, label[i], label[j]):
+            np.minimum.at(new, end, low)
         new = new[new]
         if np.array_equal(new, label):
             break
@@ -168,39 +223,42 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _linked(sides: list[pd.DataFrame], threshold: float, least: list[int]) -> pd.DataFrame | None:
-    """Links of one block (one side) or between two blocks."""
+    """Links within a home (one side) or between two."""
     same = len(sides) == 1
-    signatures = [np.stack([np.frombuffer(x, dtype=np.uint32) for x in s["signature"]]) for s in sides]
-    i, j = candidate_pairs(signatures[0], signatures[-1], same, least)
-    if not len(i):
-        return None
+    sig = [np.stack([np.frombuffer(x, dtype=np.uint16) for x in s["signature"]]) for s in sides]
+    found = bucket_pairs(sig[0], sig[-1], same, least, max(10_000, int(DENSE * len(sig[0]) * len(sig[-1]))))
     sets = [[np.frombuffer(x, dtype=np.uint64) for x in s["shingles"]] for s in sides]
     size = [np.array([len(x) for x in s]) for s in sets]
-    inter = shared(sets[0], sets[-1], i, j)
-    union = size[0][i] + size[-1][j] - inter
-    held = inter + 1e-9 >= threshold * union
-    i, j = i[held], j[held]
     nodes = np.concatenate([s["node"].to_numpy() for s in sides])
     copies = np.concatenate([s["copies"].to_numpy() for s in sides])
-    j = j if same else j + len(sides[0])
-    links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
-    texts = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
-    label = _forest(len(nodes), i, j)
+    links, texts, label = np.zeros(len(nodes)), np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
+    for i, j in dense_pairs(sig[0], sig[-1], same, least) if found is None else [found]:
+        if not len(i):
+            continue
+        # Only the sets of this tile's pairs are looked at.
+        rows, cols = np.unique(i), np.unique(j)
+        inter = shared([sets[0][a] for a in rows], [sets[-1][b] for b in cols], np.searchsorted(rows, i), np.searchsorted(cols, j))
+        held = inter + 1e-9 >= threshold * (size[0][i] + size[-1][j] - inter)
+        i, j = i[held], j[held] if same else j[held] + len(sides[0])
+        links += np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
+        texts += np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
+        label = _forest(label, i, j)
     out = pd.DataFrame({"node": nodes, "links": links.astype(np.int64), "texts": texts, "to": nodes[label]})
     return out[out["texts"] > 0]
 
 
-def _blocks(frame: pd.DataFrame, threshold: float, least: list[int]) -> pd.DataFrame:
+LINKS = "node long, links long, texts long, to long"
+
+
+def _tasks(frame: pd.DataFrame, threshold: float, least: list[int]) -> pd.DataFrame:
     found = []
-    # A rerun or a repeated row may bring a representative twice.
-    frame = frame.drop_duplicates(["comp", "i", "j", "node"])
-    for (_, i, j), own in frame.groupby(["comp", "i", "j"], sort=False):
-        if len(own) < 2:
-            continue
-        sides = [own] if i == j else [own[own["block"] == i], own[own["block"] == j]]
-        if all(len(s) for s in sides) and (out := _linked(sides, threshold, least)) is not None:
+    # A rerun or a repeated row may bring a class twice.
+    frame = frame.drop_duplicates(["a", "b", "node"])
+    for (a, b), own in frame.groupby(["a", "b"], sort=False):
+        sides = [own] if a == b else [own[own["home"] == a], own[own["home"] == b]]
+        if len(own) > 1 and all(len(s) for s in sides) and (out := _linked(sides, threshold, least)) is not None:
             found.append(out)
-    return pd.concat(found) if found else pd.DataFrame({"node": [], "links": [], "texts": [], "to": []}, dtype="int64")
+    return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("node", "links", "texts", "to")}, dtype="int64")
 
 
 def jaccard_classes(
@@ -211,6 +269,7 @@ def jaccard_classes(
     threshold: float = 0.8,
     tolerance: float = 1e-6,
     n: int = SHINGLE,
+    block_weight: int = BLOCK_WEIGHT,
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id among the documents
     that links connect), copy_id (smallest doc_id with an equal shingle set),
@@ -221,74 +280,33 @@ def jaccard_classes(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("text")
     )
     signed = stored(
-        arrow_pass(rows, lambda b: _signatures(b, n), "doc_id long, uid long, node long, size int, signature binary"), "signatures"
+        arrow_pass(rows, lambda b: _signatures(b, n), "doc_id long, uid long, h1 long, h2 long, size int, signature binary"), "signatures"
     )
     classes = (
         signed.where("size > 0")
-        .groupBy("node")
+        .groupBy("h1", "h2", "size")
         .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("head"),
             F.count(F.lit(1)).alias("copies"),
             F.first("signature").alias("signature"),
         )
-        .withColumn("uid", F.col("head.uid"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     classes = stored(classes, "classes")
-    bands = classes.select(
-        "node",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                lambda b: F.xxhash64(b, F.substring(F.col("signature"), 4 * ROWS * b + 1, F.lit(4 * ROWS))),
-            )
-        ).alias("key"),
-    )
-    lead = bands.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    roots = components(bands.join(lead, "key").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    return _classes_from(rows, signed, classes, stored(roots, "roots", files=_files(roots)), threshold, least, n)
-
-
-def _files(rows: DataFrame) -> int:
-    return 1 + rows.count() // ROWS_PER_FILE
-
-
-def _classes_from(rows, signed, classes, roots, threshold, least, n) -> DataFrame:
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    groups = max(1, roots.count() // BLOCK)
-    members = (
-        roots.join(sizes, "root")
-        .select("node", F.col("root").alias("comp"), "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"))
-        .join(classes.select("node", "uid", "copies", "signature"), "node")
-    )
-    # The members' texts return as shingle sets; only representatives in some component are needed.
-    with_sets = arrow_pass(
-        rows.select("uid", "text").join(members, "uid").select("node", "comp", "k", "block", "copies", "signature", "text"),
-        lambda b: _shingles(b, n),
-        "node long, comp long, k int, block int, copies long, signature binary, shingles binary",
-    )
-    dealt = (
-        with_sets.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .withColumns({"i": F.least("block", "t"), "j": F.greatest("block", "t")})
-        # Small components share a group; each block pair of a large one is its own.
-        .withColumn("grp", F.when(F.col("k") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.xxhash64("comp", "i", "j")))
-        .select("grp", "comp", "i", "j", "block", "node", "copies", "signature", "shingles")
-    )
-    found = stored(
-        dealt.groupBy("grp").applyInPandas(lambda f: _blocks(f, threshold, least), "node long, links long, texts long, to long"), "links"
-    )
+    found = stored(_links(rows, classes, threshold, least, n, block_weight), "links")
     linked = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     known = (
-        classes.select("node", "head", "copies")
+        classes.select("node", "h1", "h2", "size", "head", "copies")
         .join(counts, "node", "left")
         .join(linked, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
     known = stored(known, "known", files=_files(classes))
     heads = known.groupBy("root").agg(F.min("head").alias("first"))
-    info = known.join(heads, "root").select(F.col("node").alias("of"), "head", "copies", "links", "texts", "first")
+    info = known.join(heads, "root").select("h1", "h2", "size", "head", "copies", "links", "texts", "first")
     alone = F.col("size") == 0
-    return signed.select("doc_id", "uid", "node", "size").join(info, (F.col("node") == F.col("of")) & (F.col("size") > 0), "left").select(
+    return signed.select("doc_id", "uid", "h1", "h2", "size").join(info, ["h1", "h2", "size"], "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("copy_id"),
@@ -300,6 +318,59 @@ def _classes_from(rows, signed, classes, roots, threshold, least, n) -> DataFram
     )
 
 
+def _files(rows: DataFrame) -> int:
+    return 1 + rows.count() // ROWS_PER_FILE
+
+
+def meetings(classes: DataFrame, block_weight: int) -> DataFrame:
+    """(node, home, a, b): the tasks of each class that shares a bucket; its own home
+    is a or b."""
+    bands = classes.select(
+        "node",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(BANDS - 1)),
+                lambda b: F.xxhash64(b, F.substring(F.col("signature"), 2 * ROWS * b + 1, F.lit(2 * ROWS))),
+            )
+        ).alias("key"),
+    )
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared_bands = stored(bands.join(sizes, "key"), "bands")
+    largest = shared_bands.groupBy("node").agg(F.max(F.struct("n", "key")).alias("top")).select("node", F.col("top.key").alias("bucket"))
+    weighed = largest.join(classes.select("node", (F.col("size") + SIGNATURE_WEIGHT).alias("weight")), "node")
+    parts = weighed.groupBy("bucket").agg(F.ceil(F.sum("weight") / block_weight).cast("int").alias("parts"))
+    homes = stored(
+        weighed.join(parts, "bucket").select("node", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("home")), "homes"
+    )
+    held = shared_bands.select("node", "key").join(homes, "node")
+    # The homes that meet in a bucket: at most as many as it has blocks and other, larger buckets.
+    met = held.groupBy("key").agg(F.collect_set("home").alias("homes")).where(F.size("homes") > 1)
+    across = held.join(met, "key").select("node", "home", F.explode("homes").alias("other")).where("home != other").distinct()
+    return homes.select("node", "home", F.col("home").alias("a"), F.col("home").alias("b")).unionByName(
+        across.select("node", "home", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"))
+    )
+
+
+def _links(rows: DataFrame, classes: DataFrame, threshold: float, least: list[int], n: int, block_weight: int) -> DataFrame:
+    """LINKS of all tasks."""
+    tasks = stored(meetings(classes, block_weight), "tasks")
+    lists = tasks.groupBy("node", "home").agg(F.collect_list(F.struct("a", "b")).alias("tasks"))
+    members = lists.join(classes.select("node", F.col("head.uid").alias("uid"), "size", "copies", "signature"), "node")
+    total = members.agg(F.sum((F.col("size") + SIGNATURE_WEIGHT) * F.size("tasks"))).first()[0] or 0
+    groups = max(1, total // block_weight)
+    # The members' texts return as shingle sets; only classes in some bucket are needed.
+    with_sets = arrow_pass(
+        rows.select("uid", "text").join(members.drop("size"), "uid").select("node", "home", "copies", "signature", "tasks", "text"),
+        lambda b: _shingles(b, n),
+        "node long, home long, copies long, signature binary, tasks array<struct<a:long,b:long>>, shingles binary",
+    )
+    # Tasks are grouped by a hash; a task is at most two blocks.
+    dealt = with_sets.select(F.explode("tasks").alias("t"), "node", "home", "copies", "signature", "shingles").select(
+        F.pmod(F.xxhash64("t.a", "t.b"), F.lit(groups)).alias("grp"), "t.a", "t.b", "node", "home", "copies", "signature", "shingles"
+    )
+    return dealt.groupBy("grp").applyInPandas(lambda f: _tasks(f, threshold, least), LINKS)
+
+
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: its smallest id. Rows without words all
     stay, but a row that is repeated as a whole stays once."""

@@ -10,19 +10,23 @@ meet under one minimizer.
 1. One Arrow pass emits the segments: minimizer, hash of the segment's whole
    word run, document and start. Copies inside one batch are folded first.
 2. An aggregate on the minimizer (combined on the map side, safe for hot
-   passages) finds the repeated ones, their first occurrence and whether the
-   path branches, that is, whether different segments share the minimizer.
-3. A join brings this back to the segments. On a nonbranching path each
-   occurrence but the first is a repeat as a whole. On a branching one, a second
-   aggregate finds the first occurrence of each distinct segment; the others
-   are repeats, and the first occurrences are expanded into single edges.
-4. Documents with expanded segments return to their source coordinates, hash
-   each window there twice and a join with each window's first occurrence
-   verifies which of them start earlier elsewhere.
-5. The repeat spans of a document are joined to its text and removed.
-
-Windows are judged on the input. Segment identity is 128 bits (minimizer and
-run), window identity as well.
+   passages) finds the repeated ones and whether the path branches there, that is,
+   whether different segments share the minimizer; a join brings this back.
+3. Compaction: segments that occur twice or more get numbers. An aggregate finds
+   each one's successors and predecessors over all its occurrences; where A is only
+   ever followed by B and B only ever preceded by A, a join links them. Pointer
+   doubling, one join a round, takes each segment to the head of its nonbranching
+   path. All occurrences of a path but the first are repeats of it.
+4. Where paths branch, the first occurrence of each distinct segment is expanded
+   into single edges: its document hashes the windows twice, a join with each
+   window's first occurrence finds those that start earlier elsewhere, and
+   neighbouring ones are joined to runs.
+5. Source coordinates verify: each repeat names its source (document, start,
+   windows); the source's words are cut from its text and sent to the repeat's
+   document, which removes words only where its own are the same.
+
+Windows are judged on the input. Hashes (128 bits of a segment or window) only
+propose; an equal run under two hashes would be missed, never removed wrongly.
 
 Cases: a null text has no words. Rows that share doc_id and text are one
 document: each gets the same result. Rows that share a doc_id only are ordered
@@ -37,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partweave.llm.common import arrow_pass, stored
@@ -49,7 +53,8 @@ SEED = 6
 COUNT_BITS, START_BITS = 5, 32
 #: Of the table of repeated segments, which is small beside the texts.
 SEGMENTS_PER_FILE = 200_000
-PLACES = "array<struct<doc:long,place:long>>"
+#: Pointer doubling settles paths of 2**rounds segments.
+ROUNDS = 48
 SEGMENTS = "m long, s long, doc long, place long, rest array<struct<doc:long,place:long>>"
 
 
@@ -102,13 +107,14 @@ def segments_of(words: Words, width: int = WIDTH, seed: int = SEED):
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def _segments(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], width: int, seed: int, mask: int) -> Iterator[pa.RecordBatch]:
     rest_type = pa.list_(pa.struct([("doc", pa.int64()), ("place", pa.int64())]))
     for whole in batches:
         for batch in text_batches(whole, "text"):
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             tags = batch.column("tag").to_numpy(zero_copy_only=False)
             m, s, d, start, count = segments_of(Words(batch.column("text")), width, seed)
+            m, s = m & np.uint64(mask), s & np.uint64(mask)
             doc = ids[d].astype(np.int64)
             place = (tags[d].astype(np.int64) << (COUNT_BITS + START_BITS)) | (start << COUNT_BITS) | count
             order = np.lexsort((place, doc, s, m))
@@ -132,8 +138,8 @@ def _segments(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Itera
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes and the place of each window of the listed segments."""
+def _windows(batches: Iterator[pa.RecordBatch], width: int, mask: int) -> Iterator[pa.RecordBatch]:
+    """Two hashes and the coordinates of each window of the listed segments."""
     for whole in batches:
         listed = pa.RecordBatch.from_struct_array(
             whole.to_struct_array().filter(whole.column("places").is_valid())
@@ -141,47 +147,66 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         for batch in text_batches(listed, "text"):
             words = Words(batch.column("text"))
             lists = batch.column("places")
-            places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            places = lists.flatten()
             row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            count = places & ((1 << COUNT_BITS) - 1)
-            start = (places >> COUNT_BITS) & ((1 << START_BITS) - 1)
-            each = np.repeat(np.arange(len(places)), count)
+            start, count = (places.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "count"))
+            each = np.repeat(np.arange(len(start)), count)
             inner = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             own = start[each] + inner
             begin = words.first[row[each]] + own
             h = words.hash
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            tag = places[each] >> (COUNT_BITS + START_BITS)
+            tag = batch.column("tag").to_numpy(zero_copy_only=False)[row[each]].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(span_hash(h, begin, begin + width, RUN_BASES[0]).view(np.int64)),
-                    pa.array(span_hash(h, begin, begin + width, RUN_BASES[1]).view(np.int64)),
+                    pa.array((span_hash(h, begin, begin + width, RUN_BASES[0]) & np.uint64(mask)).view(np.int64)),
+                    pa.array((span_hash(h, begin, begin + width, RUN_BASES[1]) & np.uint64(mask)).view(np.int64)),
                     pa.array(ids[row[each]].astype(np.int64)),
-                    pa.array((tag << (COUNT_BITS + START_BITS)) | (own << COUNT_BITS) | 1),
+                    pa.array(tag),
+                    pa.array(own),
                 ],
-                ["w1", "w2", "doc", "place"],
+                ["w1", "w2", "doc", "tag", "start"],
             )
 
 
+def _words(text) -> list[bytes]:
+    return (text.as_py() or "").encode().split()
+
+
+def _sources(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The words of the listed runs."""
+    for whole in batches:
+        listed = pa.RecordBatch.from_struct_array(whole.to_struct_array().filter(whole.column("places").is_valid()))
+        for batch in text_batches(listed, "text"):
+            out: list[tuple] = []
+            for doc, tag, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), batch.column("places").to_pylist(), strict=True):
+                words = _words(text)
+                for p in places:
+                    end = p["start"] + p["count"] + width - 1
+                    if end <= len(words):
+                        out.append((doc, tag, p["start"], p["count"], b" ".join(words[p["start"] : end])))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["sdoc", "stag", "sstart", "count", "words"])
+
+
 def _removed(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in text_batches(whole, "text"):
             totals, gone, digests, texts = [], [], [], []
             for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
-                words = (text.as_py() or "").encode().split()
+                words = _words(text)
                 totals.append(len(words))
-                if places.is_valid and len(places.values):
-                    found = places.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    start = (found >> COUNT_BITS) & ((1 << START_BITS) - 1)
-                    count = found & ((1 << COUNT_BITS) - 1)
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + count + width - 1, -1)
-                    keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                    gone.append(len(words) - len(keep))
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+                for p in places.as_py() or ():
+                    end = p["start"] + p["count"] + width - 1
+                    if end <= len(words) and b" ".join(words[p["start"] : end]) == p["words"]:
+                        edge[p["start"]] += 1
+                        edge[end] -= 1
+                keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+                gone.append(len(words) - len(keep))
+                if gone[-1]:
                     words = [words[i] for i in keep]
-                else:
-                    gone.append(0)
                 kept = b" ".join(words)
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode() if gone[-1] else text.as_py())
@@ -196,49 +221,87 @@ def _removed(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) ->
             )
 
 
-def repeat_spans(rows: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """(doc, place) of all repeats, for rows (doc, tag, text) dealt by doc."""
-    source = rows.where("doc IS NOT NULL").select("doc", "tag", "text")
-    segments = arrow_pass(source, lambda b: _segments(b, width, seed), SEGMENTS)
+REPEAT = ("doc", "tag", "start", "count", "sdoc", "stag", "sstart")
+
+
+def _here() -> Column:
+    return F.struct("doc", "place")
+
+
+def _coordinates(place: Column) -> tuple[Column, Column, Column]:
+    """Text tag, start word and window count of a place."""
+    start = F.shiftright(place, COUNT_BITS).bitwiseAND((1 << START_BITS) - 1)
+    return F.shiftright(place, COUNT_BITS + START_BITS), start, place.bitwiseAND((1 << COUNT_BITS) - 1)
+
+
+def path_heads(links: DataFrame) -> DataFrame:
+    """(g, head) of every row of ``links`` (g, up): the end of its chain of ``up``, by
+    pointer doubling. A segment without a link points to itself."""
+    now = stored(links.select("g", F.coalesce("up", "g").alias("ptr")), "pointers")
+    files = 1 + now.count() // SEGMENTS_PER_FILE
+    for _ in range(ROUNDS):
+        ahead = now.select(F.col("g").alias("ptr"), F.col("ptr").alias("next"))
+        moved = stored(now.join(ahead, "ptr").select("g", F.col("next").alias("ptr"), (F.col("next") != F.col("ptr")).alias("moved")), "pointers", files=files)
+        now = moved.select("g", "ptr")
+        if not moved.where("moved").limit(1).count():
+            break
+    return now.withColumnRenamed("ptr", "head")
+
+
+def compacted_repeats(met: DataFrame) -> DataFrame:
+    """REPEAT rows of the nonbranching paths over repeated segments (m, s, doc, place, rest)."""
     size = 1 + F.coalesce(F.size("rest"), F.lit(0))
-    repeated = (
-        segments.groupBy("m")
-        .agg(
-            F.sum(size).alias("n"),
-            F.min("s").alias("s0"),
-            F.max("s").alias("s1"),
-            F.min(F.struct("doc", "place")).alias("first"),
-        )
-        .where("n > 1")
-        .select("m", (F.col("s0") != F.col("s1")).alias("branches"), "first")
+    segments = stored(
+        met.groupBy("m", "s").agg(F.sum(size).alias("n"), F.min(_here()).alias("first")).where("n > 1").withColumn("g", F.monotonically_increasing_id()), "nodes"
+    )
+    each = met.join(segments.select("m", "s", "g"), ["m", "s"]).select(
+        "g", F.explode(F.concat(F.array(_here()), F.coalesce("rest", F.expr("CAST(array() AS array<struct<doc:long,place:long>>)")))).alias("o")
     )
-    here = F.struct("doc", "place")
-    # Only what follows needs is stored: paths that do not branch need no key.
-    met = stored(
-        segments.join(repeated, "m").select(
-            F.when(F.col("branches"), F.col("m")).alias("m"),
-            F.when(F.col("branches"), F.col("s")).alias("s"),
-            "doc",
-            "place",
-            F.coalesce("rest", F.array().cast(PLACES)).alias("rest"),
-            (here != F.col("first")).alias("later"),
-        ),
-        "segments",
+    tag, start, count = _coordinates(F.col("o.place"))
+    # Repeated rows are one document; their segments count once.
+    occurrences = stored(
+        each.select("g", "o.doc", tag.alias("tag"), start.alias("start"), count.alias("count")).repartition("doc", "tag").dropDuplicates(["doc", "tag", "start"]),
+        "occurrences",
     )
-    # Nonbranching: all occurrences but the first. `rest` follows its row strictly
-    # in the order, so it never holds the first.
-    plain = met.where("m IS NULL").select(
-        F.explode(F.concat("rest", F.when(F.col("later"), F.array(here)).otherwise(F.array().cast(PLACES)))).alias("o")
-    ).select("o.doc", "o.place", F.lit(True).alias("repeat"))
-    branching = met.where("m IS NOT NULL")
-    heads = branching.groupBy("m", "s").agg(F.min(here).alias("head"))
-    # Each segment's first occurrence is to be expanded, the others are repeats.
-    judged = (
-        branching.join(heads, ["m", "s"])
-        .select(F.explode(F.concat(F.array(here), "rest")).alias("o"), "head")
-        .select("o.doc", "o.place", (F.col("o") != F.col("head")).alias("repeat"))
+    along = Window.partitionBy("doc", "tag").orderBy("start")
+    ends = F.col("start") + F.col("count")
+    beside = occurrences.select(
+        "g",
+        F.when(F.lead("start").over(along) == ends, F.lead("g").over(along)).alias("next"),
+        F.when(F.lag(ends).over(along) == F.col("start"), F.lag("g").over(along)).alias("before"),
+        "count",
+    )
+
+    def only(c: str) -> Column:
+        """The one neighbour that all occurrences have, or null."""
+        return F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), F.min(c))
+
+    degrees = stored(beside.groupBy("g").agg(only("next").alias("next"), only("before").alias("before"), F.max("count").alias("count")), "degrees")
+    follows = degrees.select(F.col("next").alias("g"), F.col("g").alias("from")).where("g IS NOT NULL")
+    links = degrees.join(follows, (degrees["g"] == follows["g"]) & (degrees["before"] == follows["from"]), "left").select(degrees["g"], F.col("from").alias("up"))
+    lengths = path_heads(links).join(degrees.select("g", "count"), "g").groupBy(F.col("head").alias("g")).agg(F.sum("count").alias("windows"))
+    stag, sstart, _ = _coordinates(F.col("first.place"))
+    paths = segments.join(lengths, "g").select("g", "windows", F.col("first.doc").alias("sdoc"), stag.alias("stag"), sstart.alias("sstart"))
+    found = occurrences.join(paths, "g").where("NOT (doc = sdoc AND tag = stag AND start = sstart)")
+    return found.select("doc", "tag", "start", F.col("windows").alias("count"), "sdoc", "stag", "sstart")
+
+
+def _runs(windows: DataFrame) -> DataFrame:
+    """REPEAT rows of windows (w1, w2, doc, tag, start) that have an earlier equal one."""
+    dealt = windows.repartition("w1", "w2")
+    here = F.struct("doc", "tag", "start")
+    heads = dealt.groupBy("w1", "w2").agg(F.min(here).alias("head"), F.max(here).alias("tail")).where("head != tail")
+    later = dealt.join(heads, ["w1", "w2"]).where(here != F.col("head")).select("doc", "tag", "start", "head")
+    later = later.repartition("doc", "tag").dropDuplicates(["doc", "tag", "start"])
+    keys = ["doc", "tag", F.col("head.doc").alias("sdoc"), F.col("head.tag").alias("stag"), (F.col("start") - F.col("head.start")).alias("shift")]
+    shifted = later.select(*keys, "start")
+    run = Window.partitionBy("doc", "tag", "sdoc", "stag", "shift").orderBy("start")
+    return (
+        shifted.withColumn("run", F.col("start") - F.row_number().over(run))
+        .groupBy("doc", "tag", "sdoc", "stag", "shift", "run")
+        .agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("count"))
+        .select("doc", "tag", "start", "count", "sdoc", "stag", (F.col("start") - F.col("shift")).alias("sstart"))
     )
-    return stored(plain.unionByName(judged), "spans", files=1 + met.count() // SEGMENTS_PER_FILE)
 
 
 def dedup_substrings(
@@ -250,35 +313,52 @@ def dedup_substrings(
     width: int = WIDTH,
     seed: int = SEED,
     with_text: bool = False,
+    hash_bits: int = 64,
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``with_text`` also kept_text
-    (the text itself where no word is removed) and the ``keep`` columns in a struct ``kept``."""
+    (the text itself where no word is removed) and the ``keep`` columns in a struct
+    ``kept``. Fewer ``hash_bits`` make clashes, which verification must catch."""
     if not 1 <= width - seed + 1 < 1 << COUNT_BITS:
         raise ValueError("a segment's window count must fit its bits")
+    mask = (1 << hash_bits) - 1
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc"),
         F.xxhash64(text_col).bitwiseAND(0xFFFF).alias("tag"),
         F.col(text_col).alias("text"),
         (F.struct(*keep) if keep else F.lit(None).cast("string")).alias("kept"),
     )
-    spans = repeat_spans(rows, width, seed)
-    tag_of = F.shiftright("place", COUNT_BITS + START_BITS)
+    segments = arrow_pass(rows.where("doc IS NOT NULL").select("doc", "tag", "text"), lambda b: _segments(b, width, seed, mask), SEGMENTS)
+    size = 1 + F.coalesce(F.size("rest"), F.lit(0))
+    repeated = (
+        segments.groupBy("m").agg(F.sum(size).alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1")
+        .select("m", (F.col("s0") != F.col("s1")).alias("branches"))
+    )
+    met = stored(segments.join(repeated, "m"), "segments")
+    whole = stored(compacted_repeats(met), "repeats")
+    tag, start, count = _coordinates(F.col("at.place"))
+    expanded = stored(
+        met.where("branches").groupBy("m", "s").agg(F.min(_here()).alias("at")).select("at.doc", tag.alias("tag"), start.alias("start"), count.alias("count")), "expanded"
+    )
 
-    def with_places(found: DataFrame) -> DataFrame:
-        """The same left join both times, so that one shuffle of the texts serves both."""
-        lists = found.groupBy(F.col("doc").alias("of"), tag_of.alias("of_tag")).agg(F.collect_list("place").alias("places"))
+    def with_places(found: DataFrame, *columns: str) -> DataFrame:
+        """The same left join each time, so that one shuffle of the texts serves all."""
+        lists = found.groupBy(F.col("doc").alias("of"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct(*columns)).alias("places"))
         joined = rows.join(
             lists.hint("shuffle_hash"), (F.col("doc") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left"
         )
         return joined.select(F.col("doc").alias("doc_id"), "tag", "kept", "text", "places")
 
     windows = arrow_pass(
-        with_places(spans.where("NOT repeat")), lambda b: _windows(b, width), "w1 long, w2 long, doc long, place long"
+        with_places(expanded, "start", "count"), lambda b: _windows(b, width, mask), "w1 long, w2 long, doc long, tag long, start long"
+    )
+    repeats = whole.unionByName(_runs(windows)).select(*REPEAT)
+    wanted = repeats.select(F.col("sdoc").alias("doc"), F.col("stag").alias("tag"), F.col("sstart").alias("start"), "count").distinct()
+    source_key = ["sdoc", "stag", "sstart", "count"]
+    sources = arrow_pass(
+        with_places(wanted, "start", "count"), lambda b: _sources(b, width), "sdoc long, stag long, sstart long, count long, words binary"
     )
-    here = F.struct("doc", "place")
-    heads = windows.groupBy("w1", "w2").agg(F.min(here).alias("head"), F.max(here).alias("tail")).where("head != tail")
-    again = windows.join(heads, ["w1", "w2"]).where(here != F.col("head")).select("doc", "place")
-    final = with_places(spans.where("repeat").select("doc", "place").unionByName(again))
+    words = sources.groupBy(*source_key).agg(F.min("words").alias("words"))
+    final = with_places(repeats.join(words, source_key), "start", "count", "words")
     kept_type = rows.schema["kept"].dataType.simpleString()
     schema = f"doc_id long, kept {kept_type}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     out = arrow_pass(final, lambda b: _removed(b, width, with_text), schema)

@@ -7,7 +7,11 @@ become the marker U+2581, and one marker is put before the text. A piece holds
 a marker only at its start, so a text falls into units (markers and the
 characters up to the next marker) that no piece crosses; other white space
 stands alone. The distinct units of a batch walk the trie together in numpy:
-one array step per position and depth, for all units at once.
+one array step per position and depth, for all units at once. Units of unbroken text
+walk it alone in a window of ``WINDOW`` characters: at its end the best paths to the
+last positions are traced back to where they meet, what lies before is settled, and
+the scores after it are carried over, so the result is that of the whole unit and
+memory does not grow with it.
 
 The path of highest score wins; of equal ones the one whose last piece is
 longest, and so on from the end. A character that no piece starts at falls back
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +42,10 @@ from partweave.llm.hashing import text_batches
 MARKER = "▁"
 UNIT = re.compile("▁*[^▁\\s]+|▁+|\\s")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-CACHE_UNITS = 100_000
+#: Characters of the units that a worker remembers, and of the longest that it does.
+CACHE_CHARS, CACHE_UNIT = 4 << 20, 64
+#: Units longer than this walk the trie alone, in windows of so many characters.
+LONG_UNIT, WINDOW = 256, 1 << 16
 #: Scores are whole numbers of this part, so sums are exact and ties are ties.
 SCALE = 1e6
 
@@ -125,6 +133,9 @@ class Pieces:
         self.byte_score = -np.round(SCALE * (np.log(len(rank)) + 10))
         self.longest = max(map(len, words))
         self.known: dict[str, np.ndarray] = {}
+        self.known_chars = 0
+        #: The trie as lists, for walks one step at a time; made when a long unit comes.
+        self.lists: tuple[list[int], ...] | None = None
 
     def encode_units(self, units: list[str]) -> list[np.ndarray]:
         """Viterbi for many units at once."""
@@ -132,9 +143,13 @@ class Pieces:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
         at = 0
         while at < len(order):
-            # Units of about one length; a very long one stands alone.
+            if len(units[order[at]]) > LONG_UNIT:
+                out[order[at]] = self.encode_long(units[order[at]])
+                at += 1
+                continue
+            # Units of about one length.
             end = at + 1
-            width = max(8, 2 * len(units[order[at]]))
+            width = min(LONG_UNIT, max(8, 2 * len(units[order[at]])))
             while end < len(order) and end - at < 8192 and len(units[order[end]]) <= width:
                 end += 1
             for k, ids in zip(order[at:end], self._viterbi([units[k] for k in order[at:end]]), strict=True):
@@ -201,14 +216,90 @@ class Pieces:
             out.append(np.array(ids[::-1], dtype=np.int32))
         return out
 
+    def encode_long(self, unit: str, window: int = WINDOW) -> np.ndarray:
+        """Viterbi of one unit, window by window."""
+        if self.lists is None:
+            self.lists = tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.score))
+        base, check, value, score = self.lists
+        out = array("i")
+        done = 0  # settled characters
+        best: list[float] = [0.0]  # from ``done`` on
+        back: list[int] = [0]
+        piece: list[int] = [-1]
+        reached = 0  # positions walked from, beyond ``done``
+        while done < len(unit):
+            held = min(len(unit), done + reached + window + self.longest)
+            symbol = self.trie.symbol[np.frombuffer(unit[done:held].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tolist()
+            last = min(len(unit) - done, reached + window)
+            room = len(symbol) + 1 - len(best)
+            best += [-np.inf] * room
+            back += [0] * room
+            piece += [-1] * room
+            for p in range(reached, last):
+                state, q, here, single = 0, p, best[p], False
+                while q < len(symbol):
+                    c = symbol[q]
+                    to = base[state] + c
+                    if not c or to >= len(check) or check[to] != state:
+                        break
+                    state, q = to, q + 1
+                    number = value[state]
+                    if number >= 0:
+                        single = single or q == p + 1
+                        # Starts come in order, so on a tie the longer piece stays.
+                        if here + score[number] > best[q]:
+                            best[q], back[q], piece[q] = here + score[number], p, number
+                if not single:
+                    size = len(unit[done + p].encode("utf-8", "surrogatepass"))
+                    if here + self.byte_score * size > best[p + 1]:
+                        best[p + 1], back[p + 1], piece[p + 1] = here + self.byte_score * size, p, -1
+            reached = last
+            if done + last == len(unit):
+                meet = last
+            else:
+                # Every later path passes one of the positions from ``last`` on that a piece
+                # reaches; all were reached from before ``last``.
+                meet = self._meeting(back, [q for q in range(last, min(last + self.longest, len(best))) if best[q] > -np.inf])
+            out.extend(self._traced(unit, done, back, piece, meet))
+            best, back, piece = best[meet:], [max(0, b - meet) for b in back[meet:]], piece[meet:]
+            done, reached = done + meet, reached - meet
+        return np.array(out, dtype=np.int32)
+
+    @staticmethod
+    def _meeting(back: list[int], ends: list[int]) -> int:
+        """The last position that the best paths to all ``ends`` share."""
+        paths = sorted(set(ends))
+        while len(paths) > 1:
+            # The furthest steps back; paths that meet become one.
+            paths = sorted({*paths[:-1], back[paths[-1]]})
+        return paths[0]
+
+    def _traced(self, unit: str, done: int, back: list[int], piece: list[int], at: int) -> list[int]:
+        ids: list[int] = []
+        while at:
+            start, number = back[at], piece[at]
+            if number >= 0:
+                ids.append(number)
+            else:
+                ids += [int(self.bytes[b]) for b in reversed(unit[done + start : done + at].encode("utf-8", "surrogatepass"))]
+            at = start
+        return ids[::-1]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [UNIT.findall(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
-        if len(self.known) > CACHE_UNITS:
+        if self.known_chars > CACHE_CHARS:
             self.known.clear()
+            self.known_chars = 0
         new = list({u for units in split for u in units if u not in self.known})
-        self.known.update(zip(new, self.encode_units(new), strict=True))
-        known = self.known
-        return [np.concatenate([known[u] for u in units]) if units else np.zeros(0, np.int32) for units in split]
+        coded = dict(zip(new, self.encode_units(new), strict=True))
+        out = []
+        for units in split:
+            own = [coded[u] if u in coded else self.known[u] for u in units]
+            out.append(np.concatenate(own) if own else np.zeros(0, np.int32))
+        short = {u: ids for u, ids in coded.items() if len(u) <= CACHE_UNIT}
+        self.known.update(short)
+        self.known_chars += sum(map(len, short))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Piece texts joined, markers as spaces, without the one that encoding put first."""

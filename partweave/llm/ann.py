@@ -1,41 +1,55 @@
 """Nearest neighbours by a hash-prefix forest.
 
-Vectors are dealt into shards, queries into blocks; each pair of a shard and a
-query block is one task of bounded size. A shard builds its forest: per tree, a
-sorted array of long hash strings (signs of random projections; inner products
-become angles by one more coordinate that fills vectors up to the shard's
-largest norm). A query descends each tree to its longest prefix match and then
-ascends all trees in step: at prefix length x its candidates are the vectors
-that share x leading bits in some tree. With s the k-th best similarity so far,
-a vector at least that near shares no x-bit prefix with probability
+The vectors are sorted by a hash string (signs of random projections) and cut into
+shards of neighbouring strings by Spark's range partitioning. A directory, one row a
+shard, holds each shard's centre and radius. Queries go to shards, the corpus stays:
+each query first visits the shard whose centre is nearest, then only those shards
+whose bound, centre times query plus radius times the query's length, reaches the
+k-th best score so far. Vectors and queries of a shard meet in one partition, vectors
+first, so a task builds the shard's forest once and streams its queries through it;
+a shard with more than ``query_block`` queries is searched by several tasks.
+
+A forest has, per tree, a sorted array of long hash strings (signs of random
+projections; inner products become angles by one more coordinate that fills vectors
+up to the shard's largest norm). A query descends each tree to its longest prefix
+match and then ascends all trees in step: at prefix length x its candidates are the
+vectors that share x leading bits in some tree. With s the k-th best similarity so
+far, a vector at least that near shares no x-bit prefix with probability
 (1 - p(s)**x)**trees, p(s) = 1 - arccos(s) / pi; the ascent goes on to the longest
-x for which this is at most ``miss``, to the whole shard if need be. So there is
-no cap on candidates, and hard data cost more instead of losing recall.
-Candidates are scored exactly in double precision; a window over the queries
-merges the shards' results.
+x for which this is at most ``miss``, to the whole shard if need be. So there is no
+cap on candidates, and hard data cost more instead of losing recall. Candidates are
+scored on the original vectors in double precision; a window over the queries merges
+the shards' results.
 
 Of equal vectors only the k + 1 smallest ids can be among the k nearest of any
 query, so the others are not indexed; they are queries all the same.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component
-take no part, nor do null ids. Exactly repeated rows count once. Rows that
-share an id but not the vector are queries of their own. Vectors of different
-lengths never meet. Extra columns are ignored.
+take no part, nor do null ids. Exactly repeated rows count once. Rows that share an
+id but not the vector are queries of their own, and candidates of each other. Vectors
+of different lengths never meet. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from partweave.llm.common import stored
 
 TREES, BITS = 128, 16
-SHARD_ROWS = 65_536
-QUERY_BLOCK = 512
-RESULT = "query_key long, query_id long, vec_id long, score double"
+SHARD_ROWS = 32_768
+QUERY_BLOCK = 32_768
+#: Bits of the hash string by which shards are cut.
+ORDER_BITS = 48
+#: Of the shards' directory, which goes to every task.
+DIRECTORY_BYTES = 256 << 20
+RESULT = "query_row long, query_id long, vec_id long, score double"
 
 
 def usable(vector: Column) -> Column:
@@ -43,14 +57,25 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions, and lengths up to one common factor, whatever the magnitude."""
+    vectors = vectors.astype(np.float64)
+    own = np.abs(vectors).max(axis=1, keepdims=True)
+    vectors = vectors / own
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / norms, norms[:, 0] * (own[:, 0] / own.max())
+
+
 class Forest:
     def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 7):
         self.vectors, self.trees, self.bits = vectors, trees, bits
-        norms = np.linalg.norm(vectors.astype(np.float64), axis=1)
-        self.largest = float(norms.max())
-        fill = np.sqrt(np.maximum(self.largest**2 - norms**2, 0)).astype(np.float32)
+        unit, norms = _unit(vectors)
+        norms = norms / norms.max()
+        #: Scaled so that the longest has length 1.
+        self.small = (unit * norms[:, None]).astype(np.float32)
+        fill = np.sqrt(np.maximum(1 - norms**2, 0)).astype(np.float32)
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * bits)).astype(np.float32)
-        codes = self._codes(vectors, fill)
+        codes = self._codes(self.small, fill)
         self.order = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(codes.T, self.order, axis=1)
 
@@ -72,7 +97,8 @@ class Forest:
 
     def search(self, queries: np.ndarray, k: int, miss: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query the rows of the k or more best found (all ties of the k-th) and their scores."""
-        codes = self._codes(queries, np.zeros(len(queries), dtype=np.float32))
+        unit = _unit(queries)[0].astype(np.float32)
+        codes = self._codes(unit, np.zeros(len(queries), dtype=np.float32))
         low = np.zeros((self.bits + 1, self.trees, len(queries)), dtype=np.int32)
         high = np.full_like(low, len(self.vectors))
         for t in range(self.trees):
@@ -84,51 +110,126 @@ class Forest:
         found = (high - low).sum(axis=1)
         out = []
         mark = np.zeros(len(self.vectors), dtype=bool)
-        for q, query in enumerate(queries):
-            norm = float(np.linalg.norm(query.astype(np.float64)))
+        for q, query in enumerate(unit):
             deep = np.flatnonzero(found[:, q] >= 4 * k)
             x = int(deep[-1]) if len(deep) else 0
-            rows, scores = self._scored(query, q, x, low, high, mark)
+            rows, near = self._near(query, q, x, low, high, mark)
             if x:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -norm * self.largest
-                need = min(x, self._level(kth / (norm * self.largest), miss))
+                kth = np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else -1.0
+                need = min(x, self._level(kth, miss))
                 if need < x:
-                    rows, scores = self._scored(query, q, need, low, high, mark)
+                    rows, near = self._near(query, q, need, low, high, mark)
             if len(rows) > k:
                 # Single precision screens; everything near the k-th stays for the exact score.
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                rows = rows[scores >= kth - 1e-4 * norm * self.largest]
-            out.append((rows, self.vectors[rows].astype(np.float64) @ query.astype(np.float64)))
+                kth = np.partition(near, len(near) - k)[len(near) - k]
+                rows = rows[near >= kth - 1e-4]
+            # A sum by row, so that equal vectors get equal scores wherever they stand.
+            out.append((rows, (self.vectors[rows].astype(np.float64) * queries[q].astype(np.float64)).sum(axis=1)))
         return out
 
-    def _scored(self, query, q, x, low, high, mark) -> tuple[np.ndarray, np.ndarray]:
+    def _near(self, query, q, x, low, high, mark) -> tuple[np.ndarray, np.ndarray]:
         if x == 0:
-            return np.arange(len(self.vectors)), self.vectors @ query
+            return np.arange(len(self.vectors)), self.small @ query
         for t in range(self.trees):
             mark[self.order[t, low[x, t, q] : high[x, t, q]]] = True
         rows = np.flatnonzero(mark)
         mark[rows] = False
-        return rows, self.vectors[rows] @ query
+        return rows, self.small[rows] @ query
+
+
+def _stack(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy())
+
+
+def _strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hash string by which the corpus is sorted."""
+    planes: dict[int, np.ndarray] = {}
+    for frame in frames:
+        code = np.zeros(len(frame), dtype=np.int64)
+        sizes = frame["vector"].map(len).to_numpy()
+        for dim in np.unique(sizes):
+            if dim not in planes:
+                planes[dim] = np.random.default_rng(1).standard_normal((dim, ORDER_BITS))
+            own = np.flatnonzero(sizes == dim)
+            signs = _unit(_stack(frame["vector"].iloc[own]))[0] @ planes[dim] > 0
+            code[own] = signs @ (1 << np.arange(ORDER_BITS, dtype=np.int64)[::-1])
+        yield frame.assign(code=code)
+
+
+def _centre(frame: pd.DataFrame) -> pd.DataFrame:
+    x = _stack(frame["vector"]).astype(np.float64)
+    centre = x.mean(axis=0)
+    radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+    return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "dim": [x.shape[1]], "centre": [centre], "radius": [radius]})
+
 
+def _visits(directory: dict[int, tuple], first: bool):
+    """Rows (query, shard): the first shard of each query, or all others that the
+    bound does not rule out. ``kth`` is the k-th best score so far or null."""
 
-def _search_block(k: int, miss: float, trees: int, bits: int):
-    def search(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_key": [], "query_id": [], "vec_id": [], "score": []})
-        if not len(corpus) or not len(queries):
-            return empty.astype({"query_key": "int64", "query_id": "int64", "vec_id": "int64"})
-        ids = corpus["vec_id"].to_numpy()
-        forest = Forest(np.stack(corpus["vector"].to_numpy()).astype(np.float32), trees, bits)
-        own = queries["vec_id"].to_numpy()
-        parts = []
-        # One more than k: the query itself may be among its nearest.
-        for i, (rows, scores) in enumerate(forest.search(np.stack(queries["vector"].to_numpy()).astype(np.float32), k + 1, miss)):
-            other = ids[rows] != own[i]
-            rows, scores = rows[other], scores[other]
-            best = np.lexsort((ids[rows], -scores))[:k]
-            parts.append(pd.DataFrame({"query_key": queries["key"].iloc[i], "query_id": own[i], "vec_id": ids[rows[best]], "score": scores[best]}))
-        return pd.concat(parts)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for at in range(0, len(whole), 1024):
+                frame = whole.iloc[at : at + 1024]
+                sizes = frame["vector"].map(len).to_numpy()
+                for dim in np.unique(sizes):
+                    if dim not in directory:
+                        continue
+                    shards, centres, radii = directory[dim]
+                    own = frame.iloc[np.flatnonzero(sizes == dim)]
+                    x = _stack(own["vector"]).astype(np.float64)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        middle = x @ centres.T
+                        bound = middle + np.linalg.norm(x, axis=1)[:, None] * radii
+                    # Sums that leave the range of doubles rule nothing out.
+                    home = np.nan_to_num(middle, nan=0.0, posinf=0.0, neginf=0.0).argmax(axis=1)
+                    if first:
+                        yield own.assign(shard=shards[home])
+                        continue
+                    kth = own["kth"].to_numpy(dtype=np.float64, na_value=-np.inf)
+                    slack = 1e-9 * (1 + np.abs(bound))
+                    go = ~(bound + slack < kth[:, None])
+                    go[np.arange(len(own)), home] = False
+                    i, j = np.nonzero(go)
+                    yield own.drop(columns="kth").iloc[i].assign(shard=shards[j])
 
-    return search
+    return run
+
+
+def _search(k: int, miss: float, trees: int, bits: int):
+    """Streams partitions sorted by shard and part, vectors (asks false) before queries."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, forest, rows, ids = None, [], None, None, None
+        for whole in frames:
+            for (key, asks), frame in whole.groupby([whole["shard"].astype(str) + "/" + whole["dim"].astype(str) + "/" + whole["part"].astype(str), "asks"], sort=False):
+                if key != at:
+                    at, parts, forest = key, [], None
+                if not asks:
+                    parts.append(frame[["row", "vec_id", "vector"]])
+                    continue
+                if forest is None:
+                    if not parts:
+                        continue
+                    corpus = pd.concat(parts)
+                    parts, rows, ids = [], corpus["row"].to_numpy(), corpus["vec_id"].to_numpy()
+                    forest = Forest(_stack(corpus["vector"]), trees, bits)
+                for low in range(0, len(frame), 512):
+                    yield _best(forest, rows, ids, frame.iloc[low : low + 512], k, miss)
+
+    return run
+
+
+def _best(forest: Forest, rows: np.ndarray, ids: np.ndarray, queries: pd.DataFrame, k: int, miss: float) -> pd.DataFrame:
+    found = []
+    # One more than k: the query itself may be among its nearest.
+    results = forest.search(_stack(queries["vector"]), k + 1, miss)
+    for own, own_id, (at, scores) in zip(queries["row"], queries["vec_id"], results, strict=True):
+        other = rows[at] != own
+        at, scores = at[other], scores[other]
+        best = np.lexsort((ids[at], -scores))[:k]
+        found.append(pd.DataFrame({"query_row": own, "query_id": own_id, "vec_id": ids[at[best]], "score": scores[best]}))
+    return pd.concat(found)
 
 
 def nearest(
@@ -146,26 +247,59 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row with ``is_query``
     among all rows but its own, by inner product, ties to the smaller id."""
+    of = vectors.schema[vector_col].dataType
+    kept = "array<float>" if isinstance(of, ArrayType) and isinstance(of.elementType, FloatType) else "array<double>"
     rows = (
         vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-        .select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"), is_query.alias("asks"))
-        .withColumn("key", F.xxhash64("vec_id", "vector"))
-        .dropDuplicates(["key"])
+        .select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kept).alias("vector"), is_query.alias("asks"))
+        .dropDuplicates(["vec_id", "vector"])
+        .withColumn("row", F.monotonically_increasing_id())
     )
     rows = stored(rows, "vectors")
     same = Window.partitionBy("vector").orderBy("vec_id")
-    corpus = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy", "asks")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dim = F.size("vector").alias("dim")
-    left = corpus.select("vec_id", "vector", dim, F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
-    right = rows.where("asks").select("key", "vec_id", "vector", dim, F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
-    on = ["dim", "shard", "block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_search_block(k, miss, trees, bits), RESULT)
-    best = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+    corpus = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("row", "vec_id", "vector")
+    shards = max(1, -(-rows.count() // shard_rows))
+    coded = corpus.mapInPandas(_strings, f"row long, vec_id long, vector {kept}, code long")
+    dealt = stored(
+        coded.repartitionByRange(shards, "code", "row").select("row", "vec_id", "vector", F.size("vector").alias("dim"), F.spark_partition_id().alias("shard")),
+        "corpus",
     )
+    directory = _directory(dealt)
+    queries = rows.where("asks").select("row", "vec_id", "vector")
+    columns = f"row long, vec_id long, vector {kept}, shard int"
+
+    def searched(visits: DataFrame) -> DataFrame:
+        asks = stored(visits.select("row", "vec_id", "vector", F.size("vector").alias("dim"), "shard"), "visits")
+        blocks = asks.groupBy("shard", "dim").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        columns = ["shard", "dim", "row", "vec_id", "vector"]
+        both = dealt.join(blocks, ["shard", "dim"]).select(*columns, every, F.lit(False).alias("asks")).unionByName(
+            asks.join(blocks, ["shard", "dim"]).select(*columns, part, F.lit(True).alias("asks"))
+        )
+        tasks = blocks.agg(F.sum("parts")).first()[0] or 1
+        met = both.repartition(int(tasks), "shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", "asks")
+        return stored(met.mapInPandas(_search(k, miss, trees, bits), RESULT), "found")
+
+    found = searched(queries.mapInPandas(_visits(directory, True), columns))
+    if sum(len(d[0]) for d in directory.values()) > 1:
+        order = Window.partitionBy("query_row").orderBy(F.desc("score"))
+        kth = found.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(F.col("query_row").alias("row"), F.col("score").alias("kth"))
+        more = queries.join(kth, "row", "left").select("row", "vec_id", "vector", "kth").mapInPandas(_visits(directory, False), columns)
+        found = found.unionByName(searched(more))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _directory(dealt: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By vector length: shards, centres and radii. One row a shard, so its size is that
+    of the corpus divided by ``shard_rows``; checked all the same."""
+    table = stored(dealt.groupBy("shard", "dim").applyInPandas(_centre, "shard int, dim int, centre array<double>, radius double"), "directory", files=1)
+    size = table.agg(F.sum(8 * (F.col("dim") + 3))).first()[0] or 0
+    if size > DIRECTORY_BYTES:
+        raise ValueError("the shards' directory is too large to send to tasks: raise shard_rows")
+    out: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    frame = table.toPandas()
+    for dim, own in frame.groupby("dim"):
+        out[int(dim)] = (own["shard"].to_numpy(np.int32), np.stack(own["centre"].to_numpy()).astype(np.float64), own["radius"].to_numpy())
+    return out

@@ -1,5 +1,6 @@
 """Methods against brute force, exact round trips and held-out accuracy."""
 
+import io
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partweave.llm import ann, hashing, jaccard, langid, oracles, packing, pieces, quality, queries, secrets, warc, wrappers
+from partweave.llm import ann, hashing, jaccard, langid, oracles, packing, pieces, quality, queries, secrets, substring, warc, wrappers
 from partweave.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,42 @@ def test_oracles(spark, name):
     assert oracles.OP2
 
 
+def brute_removed(docs, width=20):
+    """n_removed by doc_id, from all windows."""
+    seen, out = set(), {}
+    for d, text in sorted(docs):
+        words = (text or "").encode().split()
+        gone = set()
+        for i in range(len(words) - width + 1):
+            w = tuple(words[i : i + width])
+            if w in seen:
+                gone.update(range(i, i + width))
+            seen.add(w)
+        out[d] = len(gone)
+    return out
+
+
+def test_hash_clashes_remove_nothing(spark):
+    rng = random.Random(10)
+    docs = [(d, " ".join(f"u{d}x{rng.randrange(10**6)}" for _ in range(80))) for d in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for bits in (1, 4):
+        assert {r.n_removed for r in substring.dedup_substrings(df, hash_bits=bits).collect()} == {0}
+
+
+def test_paths_compact_to_their_heads_and_branches_are_resolved(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    long_, short = [word() for _ in range(900)], [word() for _ in range(35)]
+    docs = [(d, " ".join([word() for _ in range(rng.randrange(30))] + long_ + [word()])) for d in range(6)]
+    docs += [(10 + d, " ".join([word() for _ in range(25)] + short[d : 30 + d % 6] + [word() for _ in range(9)] + long_[100 + d : 300])) for d in range(12)]
+    docs += [(30, "a " * 70), (31, "a " * 45), (32, " ".join(long_[:19])), (33, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup_substrings(df).collect()} == brute_removed(docs)
+    links = spark.createDataFrame([(k, k - 1 if k % 100 else None) for k in range(1000)], "g long, up long")
+    assert {(r.g, r.head) for r in substring.path_heads(links).collect()} == {(k, k - k % 100) for k in range(1000)}
+
+
 def test_word_hashes_do_not_depend_on_the_place():
     texts = ["a bb  ccc\n\tbb", None, "", "\x0bbb a b ccc", "x" * 3_000_000 + " bb", "é ééé bb"]
     w = hashing.Words(texts)
@@ -109,8 +146,7 @@ def test_shared_counts_both_ways():
     assert (jaccard.shared(sets, sets, i[:9], j[:9]) == exact[:9]).all()
 
 
-def test_large_groups_split_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+def test_large_groups_split_into_blocks(spark):
     rng = random.Random(4)
     base = [f"b{k}" for k in range(120)]
     rows = []
@@ -118,13 +154,52 @@ def test_large_groups_split_into_blocks(spark, monkeypatch):
         own = list(base)
         own[rng.randrange(120)] = f"e{d}"
         rows.append((d, " ".join(own)))
-    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # About eight sets a block.
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), block_weight=8 * 180).collect()
     assert {r.class_id for r in got} == {0}
     sets = {d: {tuple(t.split()[i : i + 5]) for i in range(116)} for d, t in rows}
     for r in got:
         assert r.n_links == sum(len(sets[r.doc_id] & s) >= 0.8 * len(sets[r.doc_id] | s) for d, s in sets.items() if d != r.doc_id)
 
 
+def test_both_ways_to_pair_agree():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 16, jaccard.HASHES)
+    sig = np.where(rng.random((60, jaccard.HASHES)) < 0.15, rng.integers(0, 1 << 16, (60, jaccard.HASHES)), base).astype(np.uint16)
+    least = jaccard.least_matches(0.8, 1e-6)
+    for left, right, same in ((sig, sig, True), (sig[:25], sig[25:], False)):
+        dense = {(i, j) for a, b in jaccard.dense_pairs(left, right, same, least) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        bucket = set(zip(*(x.tolist() for x in jaccard.bucket_pairs(left, right, same, least, 1 << 40)), strict=True))
+        bands = [x.reshape(len(x), jaccard.BANDS, jaccard.ROWS) for x in (left, right)]
+        share = {(i, j) for i, j in dense if (bands[0][i] == bands[1][j]).all(axis=1).any()}
+        assert bucket == share and share
+        assert jaccard.bucket_pairs(left, right, same, least, 10) is None
+
+
+def chain(n, width=60, step=4):
+    """Documents that are near their neighbours only: windows of one long text."""
+    return [(d, " ".join(f"c{k}" for k in range(d * step, d * step + width))) for d in range(n)]
+
+
+def test_a_chain_is_compared_in_linear_time(spark):
+    """Similarity of neighbours is 52/60; the closure of the chain is never compared."""
+    least = jaccard.least_matches(0.8, 1e-6)
+    shipped = {}
+    for n in (500, 2000):
+        docs = spark.createDataFrame(chain(n), "doc_id long, text string")
+        rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
+        signed = jaccard.arrow_pass(rows, lambda b: jaccard._signatures(b, 5), "doc_id long, uid long, h1 long, h2 long, size int, signature binary")
+        classes = signed.select(F.struct("doc_id", "uid").alias("head"), F.lit(1).alias("copies"), "size", "signature", F.col("doc_id").alias("node"))
+        tasks = jaccard.meetings(jaccard.stored(classes, "classes"), jaccard.BLOCK_WEIGHT)
+        sizes = tasks.groupBy("a", "b").count()
+        shipped[n] = sizes.agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
+    assert all(shipped[2000][k] < 4.5 * shipped[500][k] for k in (0, 1))
+    got = {r.doc_id: r for r in jaccard.jaccard_classes(spark.createDataFrame(chain(500), "doc_id long, text string")).collect()}
+    assert {r.class_id for r in got.values()} == {0}
+    assert [got[d].n_links for d in (0, 1, 250, 499)] == [1, 2, 2, 1]
+    assert least
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
@@ -174,6 +249,39 @@ def test_shards_and_blocks_merge(spark):
     assert hits / 75 >= 0.9
 
 
+def test_shards_are_ruled_out_by_their_bound_and_scores_are_the_originals(spark):
+    """Clusters far apart: a query visits few shards and still finds what brute force finds.
+    Vectors of doubles are scored as doubles."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 12)) * 50
+    x = np.concatenate([c + rng.standard_normal((80, 12)) for c in centres])
+    rng.shuffle(x)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, shard_rows=60).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 480, 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert len(got[q]) == 5 and all(v == pytest.approx(s[i], rel=1e-14) for i, v in got[q])
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {i for i, _ in got[q]})
+    assert hits / 120 >= 0.95
+    directory = {12: (np.arange(6, dtype=np.int32), centres, np.full(6, 8.0))}
+    asks = pd.DataFrame({"row": [0], "vec_id": [0], "vector": [centres[2]]})
+    home = pd.concat(ann._visits(directory, True)(iter([asks])))
+    assert home["shard"].tolist() == [int((centres @ centres[2]).argmax())]
+    more = pd.concat(ann._visits(directory, False)(iter([asks.assign(kth=float(centres[2] @ centres[2]))])))
+    assert len(more) < 5
+
+
+def test_rows_that_share_an_id_are_candidates_of_each_other(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1e300, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect()]
+    assert sorted(got) == sorted([(0, 0), (0, 1), (0, 2)] * 2)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'")
@@ -348,12 +456,24 @@ def test_viterbi_against_all_splits(piece_model, documents):
                     best[end] = (best[start][0] + step, best[start][1] + ids)
         return list(best[-1][1])
 
-    texts = [r.text[:200] for r in documents.limit(25).collect() if r.text] + ["a  b   c", "日本 \U0001f600x\n\ty", "  ", "\x00é", " lead"]
+    texts = [r.text for r in documents.collect() if r.text] + ["a  b   c", "日本 \U0001f600x\n\ty", "  ", "\x00é", " lead"]
     for text, ids in zip(texts, piece_model.encode(texts), strict=True):
         assert ids.tolist() == brute(pieces.MARKER + text.replace(" ", pieces.MARKER))
         assert piece_model.decode(ids) == text
 
 
+def test_unbroken_text_is_cut_in_windows_without_a_trace(piece_model):
+    rng = random.Random(2)
+    units = ["".join(rng.choice("日本語中国人大学生我的是不了在有abcdefgh the\U0001f600é".replace(" ", "")) for _ in range(2500)), "xy" * 1500, pieces.MARKER * 700, "a" * 900]
+    for unit, want in zip(units, piece_model._viterbi(units), strict=True):
+        for window in (1, 7, 100, 1 << 16):
+            assert piece_model.encode_long(unit, window).tolist() == want.tolist()
+    text = "".join(rng.choice("日本語中国人大学生我的是不了在有") for _ in range(1_000_000))
+    ids = piece_model.encode([text])[0]
+    assert piece_model.decode(ids) == text
+    assert all(len(u) <= pieces.CACHE_UNIT for u in piece_model.known)
+
+
 def test_decoding_in_spark(spark, documents):
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.encode_documents(documents, path, with_ids=True)
@@ -368,16 +488,62 @@ def test_archives_are_gzip_members_and_damage_is_found(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, "http://a/3", "y" * 20_000_000)], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(df, str(tmp_path / "w"))
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
-    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 3 == len(list(warc.members(data)))
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == 3 == len(list(warc.members(io.BytesIO(data))))
+    assert gzip.decompress(data).count(b"WARC-Date: ") == 3
     got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w"), with_payload=True).collect()}
     assert bytes(got[1].payload) == "<p>é</p>".encode() and got[2].payload is None and got[2].refers_to == 1 and got[3].payload_bytes == 20_000_000
-    record = warc.record_bytes(1, "u", b"payload", None, False)
-    assert warc.parse_record(record)[6] == b"payload"
+    record = warc.record_bytes(1, 5, "u", b"payload", None, "2020-01-01T00:00:00Z")
+    assert warc.parse_record(record)[-1] == b"payload"
     for broken in (record.replace(b"payload\r\n\r\n", b"paYload\r\n\r\n"), record[:-5], record.replace(b"WARC/1.1", b"XARC/1.1")):
         with pytest.raises(warc.WarcError):
             warc.parse_record(broken)
     with pytest.raises(warc.WarcError):
-        list(warc.members(warc.member(record)[:-9]))
+        list(warc.members(io.BytesIO(warc.member(record)[:-9])))
+
+
+def test_archives_are_bounded_and_long_ones_are_read_in_pieces(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", random.Random(i).randbytes(2000).hex()) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), archive_bytes=8000, date="2020-01-01T00:00:00Z")
+    parts = sorted((tmp_path / "w").glob("part-*"))
+    assert len(parts) > 10 and max(p.stat().st_size for p in parts) <= 8000
+    # One archive of all members, longer than what travels whole.
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "all.warc.gz").write_bytes(b"".join(p.read_bytes() for p in parts))
+    reads = [warc.read_archives(spark, str(tmp_path / d), with_payload=True, whole_bytes=n).collect() for d, n in (("w", 1 << 20), ("long", 8000))]
+    for got in reads:
+        assert {(r.page_id, bytes(r.payload).decode()) for r in got} == {(i, t) for i, _, t in rows}
+        assert len({r.record_id for r in got}) == 60
+
+
+def test_the_reader_holds_a_step_and_a_record():
+    class Source:
+        def __init__(self, data):
+            self.data, self.at, self.most = data, 0, 0
+
+        def read(self, n):
+            self.most = max(self.most, n)
+            part = self.data[self.at : self.at + n]
+            self.at += len(part)
+            return part
+
+    data = b"".join(warc.member(warc.record_bytes(i, i, "u", random.Random(i).randbytes(50_000), None, "d")) for i in range(40))
+    source, ahead = Source(data), 0
+    for k, record in enumerate(warc.members(source)):
+        assert warc.parse_record(record)[1] == k
+        ahead = max(ahead, source.at - (k + 1) * 50_000)
+    assert source.most <= warc.FEED and ahead < 2 * warc.FEED and k == 39
+
+
+def test_record_ids_are_unique_and_dangling_revisits_are_found(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, "v", "alone"), (None, "v", "alone")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w"))
+    assert got.select("record_id").distinct().count() == 6
+    assert sorted((str(r.page_id), r.record_type) for r in got.collect()) == sorted([("1", "response")] * 2 + [("2", "revisit"), ("None", "revisit"), ("None", "response"), ("None", "response")])
+    assert warc.dangling_revisits(got).count() == 0
+    assert warc.dangling_revisits(got.where("page_id IS NULL OR page_id = 2")).count() == 1
 
 
 PAGE = """<html><head><title>T</title><script>var a="</p><p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li><li><a href="/x">X</a></li></ul></nav>

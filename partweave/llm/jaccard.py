@@ -6,8 +6,8 @@ for it. A class has 96 MinHash values of 16 bits, in 24 bands of 4; classes that
 agree in a band share a bucket.
 
 Candidates are the pairs that share a bucket, never closures of it. So that sets
-travel few times, a class has a home, its largest bucket; a home whose sets are over
-``block_weight`` is split by a hash. A class goes to the task of each pair (its home, the
+travel few times, a class has a home: of the largest buckets of the classes that it
+meets the one that most have. A home whose sets are over ``block_weight`` is split by a hash. A class goes to the task of each pair (its home, the
 home of a class that shares a bucket with it), and a task compares the members of the one
 home with those of the other, so each pair meets in exactly one task. A hot bucket thus
 becomes pairs of blocks, and a chain of documents that are each near their neighbours
@@ -323,8 +323,8 @@ def _files(rows: DataFrame) -> int:
 
 
 def meetings(classes: DataFrame, block_weight: int) -> DataFrame:
-    """(node, home, a, b): the tasks of each class that shares a bucket; its own home
-    is a or b."""
+    """(node, home, tasks): of each class that shares a bucket the pairs (a, b) of homes,
+    one of them its own, whose members it is compared with."""
     bands = classes.select(
         "node",
         F.explode(
@@ -337,6 +337,11 @@ def meetings(classes: DataFrame, block_weight: int) -> DataFrame:
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared_bands = stored(bands.join(sizes, "key"), "bands")
     largest = shared_bands.groupBy("node").agg(F.max(F.struct("n", "key")).alias("top")).select("node", F.col("top.key").alias("bucket"))
+    # Of the buckets that are homes of those it meets, a class takes the one chosen most
+    # often, so that near copies share a home although their largest buckets differ.
+    chosen = shared_bands.select("node", "key").join(largest.join(largest.groupBy("bucket").count(), "bucket"), "node")
+    leading = chosen.groupBy("key").agg(F.max(F.struct("count", "bucket")).alias("lead"))
+    largest = shared_bands.join(leading, "key").groupBy("node").agg(F.max("lead").alias("lead")).select("node", F.col("lead.bucket").alias("bucket"))
     weighed = largest.join(classes.select("node", (F.col("size") + SIGNATURE_WEIGHT).alias("weight")), "node")
     parts = weighed.groupBy("bucket").agg(F.ceil(F.sum("weight") / block_weight).cast("int").alias("parts"))
     homes = stored(
@@ -345,19 +350,19 @@ def meetings(classes: DataFrame, block_weight: int) -> DataFrame:
     held = shared_bands.select("node", "key").join(homes, "node")
     # The homes that meet in a bucket: at most as many as it has blocks and other, larger buckets.
     met = held.groupBy("key").agg(F.collect_set("home").alias("homes")).where(F.size("homes") > 1)
-    across = held.join(met, "key").select("node", "home", F.explode("homes").alias("other")).where("home != other").distinct()
-    return homes.select("node", "home", F.col("home").alias("a"), F.col("home").alias("b")).unionByName(
-        across.select("node", "home", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"))
-    )
+    # A class meets a home once, in however many of its 24 buckets.
+    others = held.join(met, "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("homes"))).alias("others"))
+    pair = lambda x: F.struct(F.least("home", x).alias("a"), F.greatest("home", x).alias("b"))
+    everyone = F.array_union(F.array("home"), F.coalesce("others", F.array("home")))
+    return homes.join(others, "node", "left").select("node", "home", F.transform(everyone, pair).alias("tasks"))
 
 
 def _links(rows: DataFrame, classes: DataFrame, threshold: float, least: list[int], n: int, block_weight: int) -> DataFrame:
     """LINKS of all tasks."""
     tasks = stored(meetings(classes, block_weight), "tasks")
-    lists = tasks.groupBy("node", "home").agg(F.collect_list(F.struct("a", "b")).alias("tasks"))
-    members = lists.join(classes.select("node", F.col("head.uid").alias("uid"), "size", "copies", "signature"), "node")
+    members = tasks.join(classes.select("node", F.col("head.uid").alias("uid"), "size", "copies", "signature"), "node")
     total = members.agg(F.sum((F.col("size") + SIGNATURE_WEIGHT) * F.size("tasks"))).first()[0] or 0
-    groups = max(1, total // block_weight)
+    groups = max(1, 4 * total // block_weight)
     # The members' texts return as shingle sets; only classes in some bucket are needed.
     with_sets = arrow_pass(
         rows.select("uid", "text").join(members.drop("size"), "uid").select("node", "home", "copies", "signature", "tasks", "text"),

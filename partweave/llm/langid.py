@@ -2,8 +2,10 @@
 
 Document frequencies of the hashed 1- to 3-grams are counted over all training
 rows (per-task partial counts, then a sum). The classifier is fitted on a
-bounded sample: per language the training rows with the smallest hashes, about
-``sample_rows`` in all (20 a language at least), a fifth of it for calibration. Training is
+bounded sample of different texts: per language those with the smallest hashes, at most
+``sample_rows`` in all (but one a language at least), a fifth of it for calibration.
+Texts are told apart by a hash, so however many copies a text has, it is in the sample
+once or not at all, and no language goes without. Training is
 follow-the-regularised-leader (per-coordinate step sizes) with elastic-net
 penalties, so most weights are exactly zero; a temperature fitted on the
 calibration part then scales the logits. Prediction is one Arrow pass over whole
@@ -11,8 +13,8 @@ texts.
 
 Cases: a text that is null or has no letter gives ``und`` with score 0; without
 training rows every document does. Rows without lang, text or id do not train.
-A null id is not held out. Repeated rows and extra columns change nothing for
-other rows' results beyond their weight in training.
+A null id is not held out. Repeated rows count in the document frequencies and once in
+the sample; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partweave.llm.common import arrow_pass
@@ -156,6 +158,16 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def sample(train: DataFrame, sample_rows: int) -> DataFrame:
+    """(lang, key) of the texts with the smallest hashes of each language, ``sample_rows``
+    in all at most (one a language at least)."""
+    keys = train.select("lang", "key").distinct()
+    # Ranks are cut off on the map side, so a frequent language is no large group.
+    ranked = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= sample_rows)
+    languages = ranked.agg(F.count_distinct("lang")).first()[0]
+    return ranked.where(F.col("n") <= max(1, sample_rows // max(1, languages))).select("lang", "key")
+
+
 def fit(train: DataFrame, sample_rows: int = 3000) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """(languages, idf, weights, temperature) from rows (key, lang, text)."""
     counted = {
@@ -167,19 +179,15 @@ def fit(train: DataFrame, sample_rows: int = 3000) -> tuple[list[str], np.ndarra
     for bucket, n in counted.items():
         df[bucket] = n
     idf = np.where(df > 0, np.log((1 + docs) / (1 + df)) + 1, 0)
-    rows_of = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
-    languages = sorted(rows_of)
+    chosen = sample(train, sample_rows)
+    # One row of each chosen text: whatever copies a text has, they are equal.
+    texts = train.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    rows = arrow_pass(texts, _features(idf), "lang string, at binary, value binary").collect()
+    languages = sorted({r["lang"] for r in rows})
     if not languages or not docs:
         return [], idf, np.zeros((BUCKETS, 0)), 1.0
-    each = max(20, sample_rows // len(languages))
-    # Keys are hashes, so the rows up to a limit are about ``each`` of a language.
-    limits = train.sparkSession.createDataFrame(
-        [(name, min(2**63 - 1, int(2**64 * each / n) - 2**63)) for name, n in rows_of.items()], "lang string, last long"
-    )
-    chosen = train.join(F.broadcast(limits), "lang").where("key <= last").select("lang", "text")
-    sample = arrow_pass(chosen, _features(idf), "lang string, at binary, value binary").collect()
     number = {name: k for k, name in enumerate(languages)}
-    rows = sorted((number[r["lang"]], bytes(r["at"]), bytes(r["value"])) for r in sample)
+    rows = sorted((number[r["lang"]], bytes(r["at"]), bytes(r["value"])) for r in rows)
     rows = [(y, np.frombuffer(a, dtype=np.int32), np.frombuffer(v, dtype=np.float32).astype(float)) for y, a, v in rows]
     calibration, training = rows[::5], [r for k, r in enumerate(rows) if k % 5]
     weights = ftrl(training or rows, len(languages))
@@ -235,7 +243,7 @@ def identify(
         *([F.struct(*keep).alias("kept")] if keep else []),
     )
     train = rows.where("doc_id IS NOT NULL AND NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select(
-        F.xxhash64("doc_id", "text").alias("key"), "lang", "text"
+        F.xxhash64("text").alias("key"), "lang", "text"
     )
     model = fit(train, sample_rows)
     kept = f"text string, kept {rows.schema['kept'].dataType.simpleString()}, " if keep else ""

@@ -289,6 +289,52 @@ def test_language_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def test_the_sample_is_bounded_and_holds_every_language_once_a_text(spark):
+    rows = [(i, "der gleiche deutsche Text steht immer wieder da", "de") for i in range(3000)]
+    rows += [(5000 + i, f"english text number {'abcdefghij'[i % 10]} {'klmnop'[i % 6]}", "en") for i in range(300)]
+    rows += [(9000 + i, "un seul texte fran\u00e7ais", "fr") for i in range(3)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(F.xxhash64("text").alias("key"), "lang", "text")
+    for most in (6, 40):
+        got = [(r.lang, r.key) for r in langid.sample(train, most).collect()]
+        assert len(got) == len(set(got)) <= most
+        assert Counter(lang for lang, _ in got) == {"de": 1, "fr": 1, "en": min(30, most // 3)}
+    languages, *_ = langid.fit(train, 40)
+    assert languages == ["de", "en", "fr"]
+
+
+def test_document_frequencies_and_predictions_from_given_weights(spark):
+    texts = ["ab ab", "abc", None, "b1b", "1 2", "", "\u00e9a"]
+    train = spark.createDataFrame([(k, "xx" if k % 2 else "yy", t) for k, t in enumerate(texts) if t is not None], "key long, lang string, text string").repartition(3)
+    _, idf, _, _ = langid.fit(train)
+
+    def grams(text):
+        letters = re.sub(r"[^a-z\u00e9]+", " ", text)
+        return {letters[i : i + n] for n in langid.ORDERS for i in range(len(letters) - n + 1)}
+
+    with_letters = [t for t in texts if t and re.search(r"[a-z\u00e9]", t)]
+    df = Counter(g for t in with_letters for g in grams(t))
+    for text in with_letters:
+        counts = langid.ngram_counts(text)
+        want = sorted(np.log((1 + len(with_letters)) / (1 + df[g])) + 1 for g in grams(text))
+        assert np.allclose(sorted(idf[counts > 0]), want)
+    rng = np.random.default_rng(1)
+    weights = rng.standard_normal((langid.BUCKETS, 3))
+    run = langid._predictions(["p", "q", "r"], idf, weights, 2.0, with_text=False)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    for text, r in zip(texts, got, strict=True):
+        counts = langid.ngram_counts(text)
+        if counts is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        value = np.array([(1 + np.log(c)) * i if c else 0.0 for c, i in zip(counts, idf, strict=True)])
+        logits = value / np.sqrt((value**2).sum()) @ weights / 2.0
+        p = np.exp(logits) / np.exp(logits).sum()
+        assert r["lang_pred"] == "pqr"[p.argmax()] and r["score"] == pytest.approx(p.max())
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(5)
     rows = []

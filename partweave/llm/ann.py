@@ -1,11 +1,12 @@
 """Nearest neighbours by a hash-prefix forest.
 
-The vectors are sorted by a hash string (signs of random projections) and cut into
-shards of neighbouring strings by Spark's range partitioning. A directory, one row a
-shard, holds each shard's centre and radius. Queries go to shards, the corpus stays:
+The vectors are cut into shards by a hash string (signs of random projections), at
+quantiles of the strings, so that a shard holds neighbouring ones; where one string
+has too many vectors a hash of the row splits them. A directory, one row a shard, holds
+each shard's centre and radius. Queries go to shards, the corpus stays:
 each query first visits the shard whose centre is nearest, then only those shards
 whose bound, centre times query plus radius times the query's length, reaches the
-k-th best score so far. Vectors and queries of a shard meet in one partition, vectors
+k-th best score so far, and they return only what reaches it. Vectors and queries of a shard meet in one partition, vectors
 first, so a task builds the shard's forest once and streams its queries through it;
 a shard with more than ``query_block`` queries is searched by several tasks.
 
@@ -191,7 +192,7 @@ def _visits(directory: dict[int, tuple], first: bool):
                     go = ~(bound + slack < kth[:, None])
                     go[np.arange(len(own)), home] = False
                     i, j = np.nonzero(go)
-                    yield own.drop(columns="kth").iloc[i].assign(shard=shards[j])
+                    yield own.iloc[i].assign(shard=shards[j])
 
     return run
 
@@ -224,8 +225,9 @@ def _best(forest: Forest, rows: np.ndarray, ids: np.ndarray, queries: pd.DataFra
     found = []
     # One more than k: the query itself may be among its nearest.
     results = forest.search(_stack(queries["vector"]), k + 1, miss)
-    for own, own_id, (at, scores) in zip(queries["row"], queries["vec_id"], results, strict=True):
-        other = rows[at] != own
+    least = queries["kth"].to_numpy(dtype=np.float64, na_value=-np.inf)
+    for own, own_id, kth, (at, scores) in zip(queries["row"], queries["vec_id"], least, results, strict=True):
+        other = (rows[at] != own) & ~(scores < kth)
         at, scores = at[other], scores[other]
         best = np.lexsort((ids[at], -scores))[:k]
         found.append(pd.DataFrame({"query_row": own, "query_id": own_id, "vec_id": ids[at[best]], "score": scores[best]}))
@@ -258,30 +260,27 @@ def nearest(
     rows = stored(rows, "vectors")
     same = Window.partitionBy("vector").orderBy("vec_id")
     corpus = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("row", "vec_id", "vector")
-    shards = max(1, -(-rows.count() // shard_rows))
-    coded = corpus.mapInPandas(_strings, f"row long, vec_id long, vector {kept}, code long")
-    dealt = stored(
-        coded.repartitionByRange(shards, "code", "row").select("row", "vec_id", "vector", F.size("vector").alias("dim"), F.spark_partition_id().alias("shard")),
-        "corpus",
-    )
+    coded = stored(corpus.mapInPandas(_strings, f"row long, vec_id long, vector {kept}, code long"), "strings")
+    dealt = stored(_sharded(coded, shard_rows), "corpus")
     directory = _directory(dealt)
     queries = rows.where("asks").select("row", "vec_id", "vector")
-    columns = f"row long, vec_id long, vector {kept}, shard int"
+    columns = f"row long, vec_id long, vector {kept}, kth double, shard long"
 
     def searched(visits: DataFrame) -> DataFrame:
-        asks = stored(visits.select("row", "vec_id", "vector", F.size("vector").alias("dim"), "shard"), "visits")
+        asks = stored(visits.select("row", "vec_id", "vector", F.size("vector").alias("dim"), "shard", "kth"), "visits")
         blocks = asks.groupBy("shard", "dim").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("parts"))
         part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part")
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
         columns = ["shard", "dim", "row", "vec_id", "vector"]
-        both = dealt.join(blocks, ["shard", "dim"]).select(*columns, every, F.lit(False).alias("asks")).unionByName(
-            asks.join(blocks, ["shard", "dim"]).select(*columns, part, F.lit(True).alias("asks"))
+        none = F.lit(None).cast("double").alias("kth")
+        both = dealt.join(blocks, ["shard", "dim"]).select(*columns, none, every, F.lit(False).alias("asks")).unionByName(
+            asks.join(blocks, ["shard", "dim"]).select(*columns, "kth", part, F.lit(True).alias("asks"))
         )
         tasks = blocks.agg(F.sum("parts")).first()[0] or 1
         met = both.repartition(int(tasks), "shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", "asks")
         return stored(met.mapInPandas(_search(k, miss, trees, bits), RESULT), "found")
 
-    found = searched(queries.mapInPandas(_visits(directory, True), columns))
+    found = searched(queries.withColumn("kth", F.lit(None).cast("double")).mapInPandas(_visits(directory, True), columns))
     if sum(len(d[0]) for d in directory.values()) > 1:
         order = Window.partitionBy("query_row").orderBy(F.desc("score"))
         kth = found.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(F.col("query_row").alias("row"), F.col("score").alias("kth"))
@@ -291,15 +290,32 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _sharded(coded: DataFrame, shard_rows: int) -> DataFrame:
+    """(row, vec_id, vector, dim, shard) of about ``shard_rows`` vectors a shard."""
+    ranges = -(-coded.count() // shard_rows)
+    cuts = coded.approxQuantile("code", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    at = np.unique(np.array(cuts, dtype=np.int64))
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[["row", "vec_id", "vector"]].assign(range=np.searchsorted(at, frame["code"].to_numpy(), side="right"))
+
+    kept = coded.schema["vector"].dataType.simpleString()
+    ranged = coded.mapInPandas(deal, f"row long, vec_id long, vector {kept}, range long")
+    parts = ranged.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / (2 * shard_rows)).cast("int").alias("parts"))
+    split = F.col("range") * (1 << 20) + F.pmod(F.xxhash64("row"), F.col("parts"))
+    return ranged.join(parts, "range").select("row", "vec_id", "vector", F.size("vector").alias("dim"), split.alias("shard"))
+
+
 def _directory(dealt: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By vector length: shards, centres and radii. One row a shard, so its size is that
     of the corpus divided by ``shard_rows``; checked all the same."""
-    table = stored(dealt.groupBy("shard", "dim").applyInPandas(_centre, "shard int, dim int, centre array<double>, radius double"), "directory", files=1)
+    table = stored(dealt.groupBy("shard", "dim").applyInPandas(_centre, "shard long, dim int, centre array<double>, radius double"), "directory", files=1)
     size = table.agg(F.sum(8 * (F.col("dim") + 3))).first()[0] or 0
     if size > DIRECTORY_BYTES:
         raise ValueError("the shards' directory is too large to send to tasks: raise shard_rows")
     out: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     frame = table.toPandas()
     for dim, own in frame.groupby("dim"):
-        out[int(dim)] = (own["shard"].to_numpy(np.int32), np.stack(own["centre"].to_numpy()).astype(np.float64), own["radius"].to_numpy())
+        out[int(dim)] = (own["shard"].to_numpy(np.int64), np.stack(own["centre"].to_numpy()).astype(np.float64), own["radius"].to_numpy())
     return out

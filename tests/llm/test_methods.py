@@ -268,8 +268,8 @@ def test_shards_are_ruled_out_by_their_bound_and_scores_are_the_originals(spark)
         assert len(got[q]) == 5 and all(v == pytest.approx(s[i], rel=1e-14) for i, v in got[q])
         hits += len(set(np.argsort(-s)[:5].tolist()) & {i for i, _ in got[q]})
     assert hits / 120 >= 0.95
-    directory = {12: (np.arange(6, dtype=np.int32), centres, np.full(6, 8.0))}
-    asks = pd.DataFrame({"row": [0], "vec_id": [0], "vector": [centres[2]]})
+    directory = {12: (np.arange(6), centres, np.full(6, 8.0))}
+    asks = pd.DataFrame({"row": [0], "vec_id": [0], "vector": [centres[2]], "kth": [None]})
     home = pd.concat(ann._visits(directory, True)(iter([asks])))
     assert home["shard"].tolist() == [int((centres @ centres[2]).argmax())]
     more = pd.concat(ann._visits(directory, False)(iter([asks.assign(kth=float(centres[2] @ centres[2]))])))

@@ -118,12 +118,15 @@ def best_rotation(pairs: Column) -> Column:
 
 
 def normalised_points(points: Column) -> Column:
-    """Points less their mean, over their root mean square norm."""
+    """Points less their mean, over their root mean square norm. The mean and the norm
+    are fields of one-element arrays, so each is computed once and not once a point."""
+    total = lambda value: F.aggregate(points, F.lit(0.0), lambda a, p: a + value(p))
     n = F.size(points)
-    mx = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["x"]) / n
-    my = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["y"]) / n
-    norm = F.sqrt(F.aggregate(points, F.lit(0.0), lambda a, p: a + (p["x"] - mx) * (p["x"] - mx) + (p["y"] - my) * (p["y"] - my)) / n)
-    return F.transform(points, lambda p: F.struct(((p["x"] - mx) / norm).alias("x"), ((p["y"] - my) / norm).alias("y")))
+    means = F.array(F.struct((total(lambda p: p["x"]) / n).alias("x"), (total(lambda p: p["y"]) / n).alias("y")))
+    norm = lambda m: F.sqrt(total(lambda p: (p["x"] - m["x"]) * (p["x"] - m["x"]) + (p["y"] - m["y"]) * (p["y"] - m["y"])) / n)
+    known = F.transform(means, lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), norm(m).alias("norm")))
+    scaled = F.transform(known, lambda k: F.transform(points, lambda p: F.struct(((p["x"] - k["x"]) / k["norm"]).alias("x"), ((p["y"] - k["y"]) / k["norm"]).alias("y"))))
+    return scaled[0]
 
 
 def tiles(b: Column, nx: int, ny: int) -> Column:

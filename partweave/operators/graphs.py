@@ -1,41 +1,45 @@
 """Part graphs: closures over edges, support, coverage, paths, spanning trees.
 
-Closures are unrolled semi-naive joins. A frontier goes down one edge at a time
-and the loop ends when it is empty, after ``max_depth`` steps at most, since
-hierarchies have few layers. ``closure`` is the one materialised table (node,
-leaf) that supports, boxes and coverage are aggregated from.
+A closure is a semi-naive loop of joins: a frontier goes down one edge at a time,
+without the nodes already reached, is stored in the shared folder, and the loop
+ends when it is empty. ``closure`` is the one materialised table (node, reached)
+that supports, boxes and coverage are aggregated from.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LAYERS = 16
-
+from partweave.operators.ordering import numbered, running_sum
+from partweave.sources.scratch import stored
 
 def named(edges: DataFrame, names: list[str] | None) -> DataFrame:
     return edges if names is None else edges.where(F.col("name").isin(names))
 
 
 def closure(
-    edges: DataFrame, start: DataFrame | None = None, *, names: list[str] | None = None, depth: int = MAX_LAYERS, expand: Column | None = None
+    edges: DataFrame, start: DataFrame | None = None, *, names: list[str] | None = None, depth: int | None = None, expand: Column | None = None
 ) -> DataFrame:
-    """(node, reached, dist) over at most ``depth`` edges, the start included at
-    distance 0. ``start`` (node) defaults to all edge sources; ``expand`` is a
-    condition on the edge. For layered graphs: each node is reached at one distance."""
+    """(node, reached, dist): everything that edges reach, or ``depth`` of them, each at
+    its least distance, the start included at distance 0. ``start`` (node) defaults to
+    all edge sources; ``expand`` is a condition on the edge. Cycles end by themselves."""
     steps = named(edges, names)
     if expand is not None:
         steps = steps.where(expand)
-    steps = steps.select(F.col("src").alias("reached"), "dst")
+    steps = stored(steps.select(F.col("src").alias("reached"), "dst").distinct(), "steps")
     if start is None:
         start = edges.select(F.col("src").alias("node")).distinct()
-    front = start.select("node", F.col("node").alias("reached"), F.lit(0).alias("dist"))
-    out = front
-    for _ in range(depth):
-        front = front.join(steps, "reached").select("node", F.col("dst").alias("reached"), (F.col("dist") + 1).alias("dist")).distinct()
+    front = stored(start.select("node", F.col("node").alias("reached"), F.lit(0).alias("dist")).distinct(), "front")
+    out, dist = front, 0
+    while depth is None or dist < depth:
+        dist += 1
+        ahead = front.join(steps, "reached").select("node", F.col("dst").alias("reached")).distinct()
+        front = stored(ahead.join(out.select("node", "reached"), ["node", "reached"], "left_anti").withColumn("dist", F.lit(dist)), "front")
+        if front.limit(1).count() == 0:
+            break
         out = out.unionByName(front)
     return out
 
@@ -70,7 +74,7 @@ def cumulative_coverage(support: DataFrame, ranks: DataFrame) -> DataFrame:
     number needs no distinct window."""
     first = support.join(ranks, "node").groupBy("leaf").agg(F.min("rank").alias("rank"))
     added = first.groupBy("rank").agg(F.count(F.lit(1)).alias("added"))
-    return added.select("rank", F.sum("added").over(Window.orderBy("rank")).alias("covered"))
+    return running_sum(added, [], ["rank"], F.col("added"), "covered").select("rank", "covered")
 
 
 def coverage(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -90,9 +94,9 @@ def edge_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def shortest_distances(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, reached, dist): breadth first; a node keeps its least distance."""
-    return closure(edges, start, depth=depth).groupBy("node", "reached").agg(F.min("dist").alias("dist"))
+def shortest_distances(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, reached, dist) breadth first, up to ``depth`` edges or to the end."""
+    return closure(edges, start, depth=depth)
 
 
 def inverse(edges: DataFrame, name: str) -> DataFrame:
@@ -124,7 +128,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("dense_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    """``rows`` numbered from 0 within each key, however large."""
+    return numbered(rows, keys, order, "dense_id").withColumn("dense_id", F.col("dense_id") - 1)
 
 
 def spanning_trees(points: DataFrame, keys: list[str], id_col: str = "node_id") -> DataFrame:

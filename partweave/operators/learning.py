@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partweave.operators.descriptors import cooccurrence
+from partweave.operators.ordering import numbered, running_sum
 from partweave.operators.ranges import window_join
 from partweave.operators.suppression import pick_peaks
+from partweave.sources.scratch import stored
 
 
 def duplets(nodes: DataFrame, *, radius: int, peak_radius: int, share: float, most: int) -> DataFrame:
@@ -72,7 +74,7 @@ def greedy_types(covers: DataFrame, most: int) -> list[tuple[int, int]]:
     """Greedy set cover: (type, newly covered) in the order of choice. ``covers`` is
     (m, leaf). A step is one aggregation; it collects one row, the winner."""
     chosen: list[tuple[int, int]] = []
-    pairs = covers.select("m", "leaf").distinct().cache()
+    pairs = stored(covers.select("m", "leaf").distinct(), "covers")
     left = pairs
     for _ in range(most):
         best = left.groupBy("m").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("m")).first()
@@ -81,30 +83,31 @@ def greedy_types(covers: DataFrame, most: int) -> list[tuple[int, int]]:
         chosen.append((best["m"], best["n"]))
         done = pairs.where(F.col("m").isin([m for m, _ in chosen])).select("leaf").distinct()
         left = pairs.join(done, "leaf", "left_anti")
-    pairs.unpersist()
     return chosen
 
 
 def learned_thresholds(scored: DataFrame, share: float = 0.05) -> DataFrame:
     """Per type the value that all but ``share`` of the positives reach; ``scored``
     is (m, r, positive)."""
-    w = Window.partitionBy("m").orderBy("r", "node_id")
-    pos = scored.where("positive").withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("m")))
-    return pos.where(F.col("rn") == F.floor(share * F.col("n")) + 1).select("m", F.col("r").alias("threshold"))
+    counts = scored.where("positive").groupBy("m", "r").agg(F.count(F.lit(1)).alias("c"))
+    totals = counts.groupBy("m").agg(F.sum("c").alias("n"))
+    upto = running_sum(counts, ["m"], ["r"], F.col("c"), "upto")
+    reached = upto.join(totals, "m").where(F.col("upto") >= F.floor(share * F.col("n")) + 1)
+    return reached.groupBy("m").agg(F.min("r").alias("threshold"))
 
 
 def inserted_parts(library: DataFrame, new: DataFrame) -> DataFrame:
     """``library`` (part, structure) with the new structures that it lacks, numbered on."""
     fresh = new.select("structure").distinct().join(library.select("structure"), "structure", "left_anti")
     start = library.agg(F.coalesce(F.max("part") + 1, F.lit(0)).alias("start"))
-    numbered = fresh.withColumn("k", F.row_number().over(Window.orderBy("structure")) - 1)
-    return library.unionByName(numbered.crossJoin(start).select((F.col("start") + F.col("k")).cast("int").alias("part"), "structure"))
+    added = numbered(fresh, [], ["structure"], "k").crossJoin(start)  # one row
+    return library.unionByName(added.select((F.col("start") + F.col("k") - 1).cast("int").alias("part"), "structure"))
 
 
 def kept_parts(library: DataFrame, keep: DataFrame) -> DataFrame:
     """Only the listed parts, densely renumbered: (part, old_part, structure)."""
     kept = library.join(keep.select("part").distinct(), "part", "left_semi")
-    return kept.select((F.row_number().over(Window.orderBy("part")) - 1).alias("part"), F.col("part").alias("old_part"), "structure")
+    return numbered(kept, [], ["part"], "k").select((F.col("k") - 1).cast("int").alias("part"), F.col("part").alias("old_part"), "structure")
 
 
 def position_sets(nodes: DataFrame, most: int) -> DataFrame:

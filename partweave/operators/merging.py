@@ -37,8 +37,10 @@ def merge_tiles(nodes: DataFrame, tiles: DataFrame) -> DataFrame:
 def highest_group(rows: DataFrame) -> DataFrame:
     """Of each group type the members with the highest group id; rows without a
     group pass."""
-    top = F.max("group_id").over(Window.partitionBy("group_type"))
-    return rows.withColumn("_top", top).where(F.col("group_id").isNull() | (F.col("group_id") == F.col("_top"))).drop("_top")
+    top = rows.groupBy(F.col("group_type").alias("_type")).agg(F.max("group_id").alias("_top"))
+    # One row a type, so the frequent types' rows need not meet in a task.
+    found = rows.join(top, F.col("group_type").eqNullSafe(F.col("_type")), "left")
+    return found.where(F.col("group_id").isNull() | (F.col("group_id") == F.col("_top"))).drop("_type", "_top")
 
 
 def layer_difference(a: DataFrame, b: DataFrame, tolerance: int = 2, keys: tuple[str, ...] = ("image_id", "m")) -> DataFrame:

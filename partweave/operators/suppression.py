@@ -2,8 +2,7 @@
 
 Greedy rules depend on order, so each has a total order ending in an id. They run
 per key (an image, an image and type): Spark deals the keys out, a task holds one
-key's boxes. ``rounds`` variants without Python settle in joins: a box is decided
-once every better box it meets is.
+key's boxes.
 """
 
 from __future__ import annotations

@@ -20,21 +20,21 @@ def node_dumps(spark, d):
 
 @query(
     with_views(
-        "SELECT image_id, string_agg('- {x: ' || x || ', y: ' || y || ', type: ' || m || ', r: ' || printf('%.4f', r) || '}', chr(10) ORDER BY z, x, y, m) AS text FROM nodes WHERE m = 1 GROUP BY image_id",
+        "SELECT image_id, string_agg('- {x: ' || x || ', y: ' || y || ', type: ' || m || ', r: ' || printf('%.4f', r) || '}', chr(10) ORDER BY z, x, y, m) AS text FROM nodes GROUP BY image_id",
         "nodes",
     )
 )
 def yaml_dumps(spark, d):
-    return ex.yaml_nodes(p.nodes(spark, d).where("m = 1"))
+    return ex.yaml_nodes(p.nodes(spark, d))
 
 
-NEAR = """WITH e AS (SELECT a.image_id, a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.image_id = b.image_id AND a.m = 4 AND b.m = 4 AND a.node_id < b.node_id
+NEAR = """WITH e AS (SELECT a.image_id, a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.image_id = b.image_id AND a.m = b.m AND a.node_id < b.node_id
   AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3)"""
 
 
 def _near_edges(spark, d):
-    nodes = p.nodes(spark, d).where("m = 4").select("image_id", "x", "y", "node_id")
-    met = window_join(nodes, nodes, ["image_id"], 3, 3).where("node_id < o_node_id")
+    nodes = p.nodes(spark, d).select("image_id", "m", "x", "y", "node_id")
+    met = window_join(nodes, nodes, ["image_id", "m"], 3, 3).where("node_id < o_node_id")
     return met.select("image_id", F.col("node_id").alias("a"), F.col("o_node_id").alias("b"))
 
 

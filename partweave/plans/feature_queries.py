@@ -8,6 +8,7 @@ from partweave.operators import clustering as cl
 from partweave.operators import descriptors as ds
 from partweave.operators import images as im
 from partweave.operators import learning as ln
+from partweave.operators.ordering import numbered
 from partweave.plans.registry import query, r6, rounded
 from partweave.sources import projections as p
 from partweave.sources.projections import with_views
@@ -139,9 +140,7 @@ def learned_thresholds(spark, d):
 def inserted_parts(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
     old = part.where("p_size <= 10").select(F.col("p_type").alias("structure")).distinct()
-    from pyspark.sql import Window
-
-    library = old.select((F.row_number().over(Window.orderBy("structure")) - 1).cast("int").alias("part"), "structure")
+    library = numbered(old, [], ["structure"], "k").select((F.col("k") - 1).cast("int").alias("part"), "structure")
     return ln.inserted_parts(library, part.select(F.col("p_type").alias("structure")))
 
 
@@ -179,21 +178,21 @@ def quantised_histograms(spark, d):
 @query()
 def mean_shift_clusters(spark, d):
     """Iterated means have no SQL form; tests use separated clouds."""
-    return cl.mean_shift(p.nodes(spark, d).where("m = 3").select("image_id", "x", "y", "node_id"), ["image_id"], sigma=3.0)
+    return cl.mean_shift(p.nodes(spark, d).select("image_id", "m", "x", "y", "node_id"), ["image_id", "m"], sigma=3.0)
 
 
 @query(
     with_views(
-        """WITH pts AS (SELECT image_id, node_id, x, y FROM nodes WHERE m = 5),
-        near AS (SELECT a.node_id AS a, b.node_id AS b FROM pts a JOIN pts b ON a.image_id = b.image_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25),
+        """WITH pts AS (SELECT image_id, m, node_id, x, y FROM nodes),
+        near AS (SELECT a.node_id AS a, b.node_id AS b FROM pts a JOIN pts b ON a.image_id = b.image_id AND a.m = b.m AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25),
         reach AS (SELECT a AS node_id, a AS c FROM near UNION SELECT n.b, r.c FROM reach r JOIN near n ON n.a = r.node_id)
-        SELECT p.image_id, p.node_id, min(r.c) AS cluster FROM pts p JOIN reach r USING (node_id) GROUP BY p.image_id, p.node_id""",
+        SELECT p.image_id, p.m, p.node_id, min(r.c) AS cluster FROM pts p JOIN reach r USING (node_id) GROUP BY p.image_id, p.m, p.node_id""",
         "nodes",
         recursive=True,
     )
 )
 def agglomerated_nodes(spark, d):
-    return cl.agglomerate(p.nodes(spark, d).where("m = 5").select("image_id", "x", "y", "node_id"), ["image_id"], distance=5.0)
+    return cl.agglomerate(p.nodes(spark, d).select("image_id", "m", "x", "y", "node_id"), ["image_id", "m"], distance=5.0)
 
 
 CELLS = "SELECT image_id, x, y, max(r) AS v FROM nodes GROUP BY image_id, x, y"

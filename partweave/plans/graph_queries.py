@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partweave.operators import graphs as gr
+from partweave.operators.ordering import numbered
 from partweave.plans.registry import query, r6, rounded
 from partweave.sources import projections as p
 from partweave.sources import sinks
@@ -67,14 +68,14 @@ def closure_ends(spark, d):
 
 @query(
     with_views(
-        "SELECT round(avg(CASE WHEN e.dst IS NULL THEN 0 ELSE 1 END), 6) AS covered_share, count(*) AS n_nodes FROM leaf_points l LEFT JOIN (SELECT DISTINCT dst FROM edges WHERE src % 3 = 0) e ON e.dst = l.leaf",
+        "SELECT round(avg(CASE WHEN e.dst IS NULL THEN 0 ELSE 1 END), 6) AS covered_share, count(*) AS n_nodes FROM leaf_points l LEFT JOIN (SELECT DISTINCT dst FROM edges) e ON e.dst = l.leaf",
         "edges",
         "leaf_points",
     )
 )
 def layer_coverage(spark, d):
     nodes = p.leaf_points(spark, d).select(F.col("leaf").alias("node"))
-    return rounded(gr.coverage(p.edges(spark, d).where("src % 3 = 0"), nodes), "covered_share")
+    return rounded(gr.coverage(p.edges(spark, d), nodes), "covered_share")
 
 
 @query(
@@ -87,11 +88,9 @@ def layer_coverage(spark, d):
     )
 )
 def cumulative_coverage(spark, d):
-    from pyspark.sql import Window
-
     support = _leaves(spark, d, 3).where("z = 3").select("node", "leaf")
     sizes = support.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    ranks = sizes.select("node", F.row_number().over(Window.orderBy(F.desc("n"), "node")).cast("long").alias("rank"))
+    ranks = numbered(sizes, [], [F.desc("n"), "node"]).select("node", "rank")
     return gr.cumulative_coverage(support, ranks)
 
 
@@ -126,7 +125,7 @@ def induced_edges(spark, d):
 
 @query(with_views("SELECT z, src, dst, CAST(row_number() OVER (PARTITION BY z ORDER BY src, dst) - 1 AS INT) AS dense_id FROM edges WHERE z >= 2", "edges"))
 def dense_edge_ids(spark, d):
-    return gr.dense_ids(p.edges(spark, d).where("z >= 2"), ["z"], ["src", "dst"]).select("z", "src", "dst", "dense_id")
+    return gr.dense_ids(p.edges(spark, d).where("z >= 2"), ["z"], ["src", "dst"]).select("z", "src", "dst", F.col("dense_id").cast("int").alias("dense_id"))
 
 
 @query(with_views("SELECT DISTINCT z AS z_src, name, z - 1 AS z_dst FROM edges", "edges"))
@@ -179,7 +178,7 @@ def layer_support_statistics(spark, d):
     )
 )
 def leaf_paths(spark, d):
-    edges = gr.dense_ids(p.edges(spark, d), ["src"], ["dst"]).withColumn("idx", F.col("dense_id") + 1)
+    edges = gr.dense_ids(p.edges(spark, d), ["src"], ["dst"]).withColumn("idx", (F.col("dense_id") + 1).cast("int"))
     start = edges.where("z = 2").select(F.col("src").alias("node")).distinct()
     found = gr.edge_paths(edges.where("z <= 2"), start, 2).where("size(path) = 2")
     return found.select("node", F.col("reached").alias("leaf"), F.concat(F.lit("path"), F.array_join(F.col("path").cast("array<string>"), ".")).alias("path"))
@@ -188,7 +187,7 @@ def leaf_paths(spark, d):
 @query()
 def spanning_trees(spark, d):
     """Prim's rule has no SQL form; tests compare with Kruskal's."""
-    return gr.spanning_trees(p.nodes(spark, d).where("m = 0"), ["image_id"])
+    return gr.spanning_trees(p.nodes(spark, d), ["image_id", "m"])
 
 
 @query()
@@ -196,6 +195,6 @@ def neighbour_cliques(spark, d):
     """Maximal cliques have no SQL form; tests compare with all subsets."""
     from partweave.operators.ranges import window_join
 
-    nodes = p.nodes(spark, d).where("m = 2").select("image_id", "x", "y", "node_id")
-    met = window_join(nodes, nodes, ["image_id"], 4, 4).where("node_id < o_node_id")
-    return gr.cliques(met.select("image_id", F.col("node_id").alias("a"), F.col("o_node_id").alias("b")), ["image_id"])
+    nodes = p.nodes(spark, d).select("image_id", "m", "x", "y", "node_id")
+    met = window_join(nodes, nodes, ["image_id", "m"], 4, 4).where("node_id < o_node_id")
+    return gr.cliques(met.select("image_id", "m", F.col("node_id").alias("a"), F.col("o_node_id").alias("b")), ["image_id", "m"])

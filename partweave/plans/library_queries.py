@@ -203,8 +203,8 @@ def matched_path_maps(spark, d):
 @query()
 def longest_tree_paths(spark, d):
     """Longest paths of the spanning trees; tests compare with all pairs."""
-    trees = gr.spanning_trees(p.nodes(spark, d).where("m = 0"), ["image_id"])
-    return pt.longest_paths(trees.select("image_id", "a", "b"), ["image_id"])
+    trees = gr.spanning_trees(p.nodes(spark, d), ["image_id", "m"])
+    return pt.longest_paths(trees.select("image_id", "m", "a", "b"), ["image_id", "m"])
 
 
 @query(
@@ -221,19 +221,19 @@ def rectangle_tiles(spark, d):
 
 @query(
     with_views(
-        """WITH s AS (SELECT image_id, avg(x) AS mx, avg(y) AS my, sqrt(var_pop(x) + var_pop(y)) AS norm FROM nodes WHERE m = 6 GROUP BY image_id HAVING count(*) > 1)
-        SELECT n.image_id, round(sum(abs(n.x - mx) / norm), 6) AS sum_x, round(sum(abs(n.y - my) / norm), 6) AS sum_y,
-          round(atan2(sum((n.x - mx) * (n.x - mx) + (n.y - my) * (n.y - my)), sum(0.0)), 6) AS turn FROM nodes n JOIN s USING (image_id) WHERE n.m = 6 AND norm > 0 GROUP BY n.image_id""",
+        """WITH s AS (SELECT image_id, m, avg(x) AS mx, avg(y) AS my, sqrt(var_pop(x) + var_pop(y)) AS norm FROM nodes GROUP BY image_id, m HAVING count(*) > 1)
+        SELECT n.image_id, n.m, round(sum(abs(n.x - mx) / norm), 6) AS sum_x, round(sum(abs(n.y - my) / norm), 6) AS sum_y,
+          round(atan2(sum((n.x - mx) * (n.x - mx) + (n.y - my) * (n.y - my)), sum(0.0)), 6) AS turn FROM nodes n JOIN s ON n.image_id = s.image_id AND n.m = s.m WHERE norm > 0 GROUP BY n.image_id, n.m""",
         "nodes",
     )
 )
 def normalised_point_sets(spark, d):
     """A set turned by a right angle is found at that angle."""
-    sets = p.nodes(spark, d).where("m = 6").groupBy("image_id").agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("pts"))
-    n = sets.where("size(pts) > 1").select("image_id", geo.normalised_points(F.col("pts")).alias("n"))
+    sets = p.nodes(spark, d).groupBy("image_id", "m").agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("pts"))
+    n = sets.where("size(pts) > 1").select("image_id", "m", geo.normalised_points(F.col("pts")).alias("n"))
     pairs = F.transform("n", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), (-q["y"]).alias("u"), q["x"].alias("v")))
     side = lambda c: F.aggregate("n", F.lit(0.0), lambda a, q: a + F.abs(q[c]))
-    return n.select("image_id", r6(side("x")).alias("sum_x"), r6(side("y")).alias("sum_y"), r6(geo.best_rotation(pairs)).alias("turn"))
+    return n.select("image_id", "m", r6(side("x")).alias("sum_x"), r6(side("y")).alias("sum_y"), r6(geo.best_rotation(pairs)).alias("turn"))
 
 
 @query(

@@ -22,13 +22,13 @@ SIDE = "greatest(0, least(b.urx, g.urx) - greatest(b.llx, g.llx)) * greatest(0,
         round({SIDE} * 1.0 / ((b.urx - b.llx) * (b.ury - b.lly) + (g.urx - g.llx) * (g.ury - g.lly) - {SIDE}), 6) AS iou,
         round({SIDE} * 1.0 / least((b.urx - b.llx) * (b.ury - b.lly), (g.urx - g.llx) * (g.ury - g.lly)), 6) AS min_overlap,
         least(b.llx, g.llx) AS u_llx, greatest(b.ury, g.ury) AS u_ury, 63 - b.urx AS mirrored, CAST(round(b.llx * 0.75) AS INT) AS scaled, b.lly - 2 AS padded
-        FROM boxes b JOIN gt g ON b.image_id = g.image_id AND b.m = g.m AND b.box_id % 5 = 0""",
+        FROM boxes b JOIN gt g ON b.image_id = g.image_id AND b.m = g.m""",
         "boxes",
         "gt",
     )
 )
 def rectangle_functions(spark, d):
-    boxes = p.boxes(spark, d).where("box_id % 5 = 0").select("image_id", "m", "box_id", geo.columns_box().alias("b"))
+    boxes = p.boxes(spark, d).select("image_id", "m", "box_id", geo.columns_box().alias("b"))
     truth = p.ground_truth(spark, d).select("image_id", "m", "gt_id", geo.columns_box().alias("g"))
     a, b = F.col("b"), F.col("g")
     union = geo.union_box(a, b)
@@ -146,11 +146,11 @@ def configuration_functions(spark, d):
 
 
 @query(
-    with_views("SELECT vec_id, string_agg((i - 1 + 1) || ':' || v, ' ' ORDER BY i) AS line FROM (SELECT vec_id, unnest(range(1, 5)) AS i, unnest(list_transform(h[1:4], lambda v: CAST(floor(v * 100) AS INT))) AS v FROM hist) WHERE v <> 0 GROUP BY vec_id", "hist")
+    with_views("SELECT vec_id, string_agg((i - 1 + 1) || ':' || v, ' ' ORDER BY i) AS line FROM (SELECT vec_id, unnest(range(1, len(h) + 1)) AS i, unnest(list_transform(h, lambda v: CAST(floor(v * 100) AS INT))) AS v FROM hist) WHERE v <> 0 GROUP BY vec_id", "hist")
 )
 def sparse_vectors(spark, d):
-    short = F.transform(F.slice("h", 1, 4), lambda v: F.floor(v * 100).cast("int"))
-    return p.histograms(spark, d).select("vec_id", ar.sparse_text(short).alias("line")).where("line <> ''")
+    whole = F.transform("h", lambda v: F.floor(v * 100).cast("int"))
+    return p.histograms(spark, d).select("vec_id", ar.sparse_text(whole).alias("line")).where("line <> ''")
 
 
 @query(

@@ -17,14 +17,15 @@ def streamed_frame_windows(spark, d):
 @query(
     with_views(
         """WITH marked AS (SELECT *, CASE WHEN abs(value - lag(value) OVER w) > 50 THEN 1 ELSE 0 END AS new FROM frames WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
-        numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY frame) AS BIGINT) AS session FROM marked),
-        closed AS (SELECT *, max(session) OVER (PARTITION BY user_id) AS last FROM numbered)
-        SELECT user_id, session, count(*) AS n, round(avg(value), 6) AS mean_value FROM closed WHERE session < last GROUP BY user_id, session""",
+        numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY frame) AS BIGINT) AS session FROM marked)
+        SELECT user_id, session, count(*) AS n, round(avg(value), 6) AS mean_value FROM numbered GROUP BY user_id, session""",
         "frames",
     )
 )
 def streamed_sessions(spark, d):
-    return rounded(runs.run_available(frames.change_sessions(runs.event_stream(spark, d), 50.0)), "mean_value")
+    """Those that ended, and those still open when the stream stops."""
+    ended, state = runs.run_with_state(frames.change_sessions(runs.event_stream(spark, d), 50.0))
+    return rounded(ended.unionByName(frames.open_sessions(state)), "mean_value")
 
 
 @query(with_views("SELECT m, count(*) AS n, round(avg(value), 6) AS mean_value, round(var_samp(value), 6) AS var_value FROM frames GROUP BY m", "frames"))

@@ -46,7 +46,7 @@ def sliding_windows(stream: DataFrame, size: int) -> DataFrame:
 def change_sessions(stream: DataFrame, threshold: float) -> DataFrame:
     """A session of a user goes on while a frame's value differs from the last one
     by no more than the threshold; a finished session is emitted when the next one
-    begins. The state holds the open session's numbers and the last value."""
+    begins. The state holds the open session's numbers and the last value: ``open_sessions``."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         session, n, total, last = state.get if state.exists else (0, 0, 0.0, 0.0)
@@ -65,6 +65,12 @@ def change_sessions(stream: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def open_sessions(state: DataFrame) -> DataFrame:
+    """The sessions that ``change_sessions`` has not ended, from its state."""
+    held = F.col("value.groupState")
+    return state.select(F.col("key.user_id").alias("user_id"), held["session"].alias("session"), held["n"].alias("n"), (held["total"] / held["n"]).alias("mean_value")).where("n > 0")
+
+
 def merged_frames(stream: DataFrame) -> DataFrame:
     """The best response per user, type and position over all frames so far."""
     return stream.groupBy("user_id", "m").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n_frames"))

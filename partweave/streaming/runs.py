@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_FOLDER = "file:///tmp/checkpoints/partweave-streams"
+from partweave.sources.scratch import new_path
+
+
+def _run(stream: DataFrame, mode: str) -> str:
+    """Process what the sources hold; the folder with the result and the log. A batch
+    that is tried again replaces what it wrote; in complete mode the last one stays."""
+    folder = new_path(stream.sparkSession, "stream")
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/part" if mode == "complete" else f"{folder}/out/part-{number}")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        return LOCAL_FOLDER
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+
+def _result(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)  # no batch came
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what the sources hold and return the result as a table in the shared
-    folder. In complete mode each batch replaces the table."""
-    spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """The result of all that the sources hold, as a table in the shared folder."""
+    return _result(stream.sparkSession, stream, _run(stream, mode))
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
 
-    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+def run_with_state(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, DataFrame]:
+    """The result, and the state (key, value) that the stream's operator still holds,
+    by Spark's state reader."""
+    spark = stream.sparkSession
+    folder = _run(stream, mode)
+    return _result(spark, stream, folder), spark.read.format("statestore").load(f"{folder}/log")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

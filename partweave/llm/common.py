@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Used only where the session names no shared folder, as in local tests.
-LOCAL_SCRATCH = "/tmp/checkpoints/partweave"
-
+from partweave.sources.scratch import shared_folder
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return found if urlparse(found).scheme else f"file://{found}"
+    return shared_folder(spark)
 
 
 def _own_folder(spark: SparkSession) -> str:

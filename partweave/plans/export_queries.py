@@ -10,7 +10,9 @@ from partweave.plans.registry import query
 from partweave.plans.spatial_queries import _BEST
 from partweave.sources import exports as ex
 from partweave.sources import projections as p
+from partweave.sources import text as tx
 from partweave.sources.projections import with_views
+from partweave.sources.scratch import new_path
 
 
 @query(with_views("SELECT image_id, string_agg(z || ' ' || x || ' ' || y || ' ' || m || ' ' || printf('%.4f', r), chr(10) ORDER BY z, x, y, m) AS text FROM nodes GROUP BY image_id", "nodes"))
@@ -105,3 +107,43 @@ def type_table(spark, d):
 )
 def part_json(spark, d):
     return ex.part_json(p.lib_center(spark), p.lib_sub(spark))
+
+
+def _written(rows, name):
+    """A one-column table as text below the shared folder."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.text(path)
+    return path
+
+
+@query(with_views("SELECT CAST(gt_id AS VARCHAR) AS name, llx, lly, urx, ury, gt_id / 4.0 AS value FROM gt", "gt"))
+def written_rectangles(spark, d):
+    """A rectangle list, written and read."""
+    line = F.concat_ws(" ", "gt_id", "llx", "lly", "urx", "ury", (F.col("gt_id") / 4.0))
+    return tx.read_rectangles(spark, _written(p.ground_truth(spark, d).select(line), "rectangles"))
+
+
+@query(with_views("SELECT CAST(image_id AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY image_id ORDER BY gt_id) - 1 AS INT) AS k, llx AS x, lly AS y, urx - llx AS w, ury - lly AS h FROM gt", "gt"))
+def written_annotations(spark, d):
+    """Boxes by image, written and read."""
+    box = F.concat_ws(" ", "llx", "lly", F.col("urx") - F.col("llx"), F.col("ury") - F.col("lly"))
+    boxes = F.transform(F.array_sort(F.collect_list(F.struct("gt_id", box.alias("b")))), lambda s: s["b"])
+    lines = p.ground_truth(spark, d).groupBy("image_id").agg(F.array_join(boxes, "; ").alias("b")).select(F.concat_ws(": ", "image_id", "b"))
+    return tx.read_annotations(spark, _written(lines, "annotations"))
+
+
+@query(with_views("SELECT CAST(round(sum(len(h))) AS BIGINT) AS n, count(*) AS n_rows, round(sum(list_sum(h)), 4) AS total FROM hist", "hist"))
+def written_vectors(spark, d):
+    """Vectors as lines of numbers, written and read."""
+    lines = p.histograms(spark, d).select(F.array_join(F.col("h").cast("array<string>"), " "))
+    read = tx.read_vectors(spark, _written(lines, "vectors"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return read.agg(F.sum(F.size("v")).alias("n"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(total), 4).alias("total"))
+
+
+@query("SELECT stem, count(*) AS n FROM (SELECT replace(p_brand, '#', '') || '_' || p_size % 10 || '.ly1' AS name, replace(p_brand, '#', '') || '' AS stem FROM part) GROUP BY stem")
+def written_names(spark, d):
+    """A list file's names by stem, written and read."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    names = part.select(F.concat(F.translate("p_brand", "#", ""), F.lit("_"), F.col("p_size") % 10, F.lit(".ly1")))
+    return tx.read_names(spark, _written(names, "names")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))

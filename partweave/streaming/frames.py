@@ -21,6 +21,7 @@ def running_statistics(stream: DataFrame, key: str = "m") -> DataFrame:
 def timed_counts(stream: DataFrame, width: str, late: str, key: str = "m") -> DataFrame:
     """Counts per event-time window; rows later than ``late`` are dropped with
     their windows' state."""
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks know no other type
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), key).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,10 +11,10 @@ from partweave.streaming import frames
 
 
 def test_ground_truth_stops_at_the_first_bad_line(spark, tmp_path):
-    (tmp_path / "a.groundtruth").write_text("1 2 30.9 40 mug\n5 6 7 8\nbroken\n9 9 9 9 mug")
+    (tmp_path / "a.groundtruth").write_text("  1 2 30.9 40 mug \n5 6 7 81\nbroken\n9 9 9 9 mug")
     (tmp_path / "b.groundtruth").write_text("")
     rows = text.read_ground_truth(spark, str(tmp_path)).orderBy("k").collect()
-    assert [(r.llx, r.lly, r.urx, r.ury, r.label) for r in rows] == [(1, 2, 30, 40, "mug"), (5, 6, 7, 8, "")]
+    assert [(r.llx, r.lly, r.urx, r.ury, r.label) for r in rows] == [(1, 2, 30, 40, "mug"), (5, 6, 7, 81, "")]
     assert text.read_ground_truth(spark, str(tmp_path), label="mug").count() == 1
 
 

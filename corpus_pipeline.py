@@ -33,31 +33,49 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no clear language, go."""
+    """Documents without a letter, or of no clear language, go.
+
+    A null, empty or letterless text has no language and goes; repeated rows stay or go
+    together; without training rows every document goes; an empty table stays empty.
+    """
     found = identify(docs, keep=_others(docs))
     held = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return held.select(*[(F.col(c) if c in ("doc_id", "text") else F.col("kept")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, that of the smallest doc_id.
+
+    A text without words (or null) is alone and stays; of a repeated row one stays; a
+    null doc_id stays only where its group has no other; an empty table stays empty.
+    """
     return keep_one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the texts."""
+    """Repeated passages leave the texts; documents stay, with what is left of them.
+
+    A null text stays null, a text of repeats only becomes empty; repeated rows are one
+    document and all keep the same text; a row without doc_id is left as it is.
+    """
     found = dedup_substrings(docs, keep=_others(docs), with_text=True)
     return _documents(found, F.col("kept_text"), docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a marker."""
+    """Secrets are replaced by a marker; documents stay.
+
+    A null text has no secret; repeated rows are scanned each; an empty table stays empty.
+    """
     found = scan_secrets(docs, keep=_others(docs)).withColumnRenamed("id", "doc_id")
     return _documents(found, redacted(F.col("text"), F.col("spans")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences."""
+    """The documents' pieces, packed into sequences.
+
+    A null or empty text is a piece of the end id alone; repeated rows are packed each.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -44,7 +44,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from partweave.llm.common import stored
 
 TREES, BITS = 128, 16
-SHARD_ROWS = 32_768
+SHARD_ROWS = 65_536
 QUERY_BLOCK = 32_768
 #: Bits of the hash string by which shards are cut.
 ORDER_BITS = 48

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partweave.operators import clustering, graphs, ordering, structure, suppression
+from partweave.operators import clustering, graphs, ordering, structure, suppression, variants
 from partweave.sources import scratch, text
 from partweave.streaming import frames, runs
 
@@ -129,3 +129,16 @@ def test_lists_of_rectangles_boxes_points_and_raw_numbers(spark, tmp_path):
     values.tofile(tmp_path / "raw")
     got = text.read_raw_numbers(spark, str(tmp_path / "raw")).orderBy("at").toPandas()
     assert (got.v.to_numpy() == values).all() and (got["at"] == np.arange(70_000)).all()
+
+
+def test_subspace_distances_and_principal_axes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 5)) @ rng.standard_normal((5, 5))
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id int, h array<double>").repartition(3)
+    mean, values, axes = clustering.principal_axes(df, "h", 2)
+    centred = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert values == pytest.approx((s**2 / len(x))[:2])
+    want = ((centred - centred @ vt[:2].T @ vt[:2]) ** 2).sum(axis=1)
+    got = {r.id: r.d2 for r in variants.subspace_distances(df, mean.tolist(), axes.T.tolist()).collect()}
+    assert [got[k] for k in range(40)] == pytest.approx(want.tolist(), abs=1e-9)

@@ -55,6 +55,8 @@ COUNT_BITS, START_BITS = 5, 32
 SEGMENTS_PER_FILE = 200_000
 #: Pointer doubling settles paths of 2**rounds segments.
 ROUNDS = 48
+#: Occurrences of one run that a task joins with it; hotter runs are dealt by a salt.
+HOT = 10_000
 SEGMENTS = "m long, s long, doc long, place long, rest array<struct<doc:long,place:long>>"
 
 
@@ -184,10 +186,10 @@ def _sources(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 for p in places:
                     end = p["start"] + p["count"] + width - 1
                     if end <= len(words):
-                        out.append((doc, tag, p["start"], p["count"], b" ".join(words[p["start"] : end])))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["sdoc", "stag", "sstart", "count", "words"])
+                        out.append((doc, tag, p["start"], p["count"], p["salts"], b" ".join(words[p["start"] : end])))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["sdoc", "stag", "sstart", "count", "salts", "words"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,7 @@ def _removed(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) ->
             )
 
 
-REPEAT = ("doc", "tag", "start", "count", "sdoc", "stag", "sstart")
+REPEAT = ("doc", "tag", "start", "count", "sdoc", "stag", "sstart", "salts")
 
 
 def _here() -> Column:
@@ -234,6 +236,19 @@ def _coordinates(place: Column) -> tuple[Column, Column, Column]:
     return F.shiftright(place, COUNT_BITS + START_BITS), start, place.bitwiseAND((1 << COUNT_BITS) - 1)
 
 
+def _salts(occurrences: Column) -> Column:
+    return F.ceil(occurrences / HOT).cast("int")
+
+
+def _salt() -> Column:
+    """Which copy of a hot run an occurrence meets."""
+    return F.pmod(F.xxhash64("doc", "tag", "start"), F.col("salts")).cast("int").alias("salt")
+
+
+def _copies() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+
+
 def path_heads(links: DataFrame) -> DataFrame:
     """(g, head) of every row of ``links`` (g, up): the end of its chain of ``up``, by
     pointer doubling. A segment without a link points to itself."""
@@ -254,13 +269,13 @@ def compacted_repeats(met: DataFrame) -> DataFrame:
     segments = stored(
         met.groupBy("m", "s").agg(F.sum(size).alias("n"), F.min(_here()).alias("first")).where("n > 1").withColumn("g", F.monotonically_increasing_id()), "nodes"
     )
-    each = met.join(segments.select("m", "s", "g"), ["m", "s"]).select(
-        "g", F.explode(F.concat(F.array(_here()), F.coalesce("rest", F.expr("CAST(array() AS array<struct<doc:long,place:long>>)")))).alias("o")
+    each = met.join(segments.select("m", "s", "g", _salts(F.col("n")).alias("salts")), ["m", "s"]).select(
+        "g", "salts", F.explode(F.concat(F.array(_here()), F.coalesce("rest", F.expr("CAST(array() AS array<struct<doc:long,place:long>>)")))).alias("o")
     )
     tag, start, count = _coordinates(F.col("o.place"))
     # Repeated rows are one document; their segments count once.
     occurrences = stored(
-        each.select("g", "o.doc", tag.alias("tag"), start.alias("start"), count.alias("count")).repartition("doc", "tag").dropDuplicates(["doc", "tag", "start"]),
+        each.select("g", "salts", "o.doc", tag.alias("tag"), start.alias("start"), count.alias("count")).repartition("doc", "tag").dropDuplicates(["doc", "tag", "start"]),
         "occurrences",
     )
     along = Window.partitionBy("doc", "tag").orderBy("start")
@@ -281,26 +296,28 @@ def compacted_repeats(met: DataFrame) -> DataFrame:
     links = degrees.join(follows, (degrees["g"] == follows["g"]) & (degrees["before"] == follows["from"]), "left").select(degrees["g"], F.col("from").alias("up"))
     lengths = path_heads(links).join(degrees.select("g", "count"), "g").groupBy(F.col("head").alias("g")).agg(F.sum("count").alias("windows"))
     stag, sstart, _ = _coordinates(F.col("first.place"))
-    paths = segments.join(lengths, "g").select("g", "windows", F.col("first.doc").alias("sdoc"), stag.alias("stag"), sstart.alias("sstart"))
-    found = occurrences.join(paths, "g").where("NOT (doc = sdoc AND tag = stag AND start = sstart)")
-    return found.select("doc", "tag", "start", F.col("windows").alias("count"), "sdoc", "stag", "sstart")
+    paths = segments.join(lengths, "g").withColumn("salts", _salts(F.col("n"))).select("g", _copies(), "windows", F.col("first.doc").alias("sdoc"), stag.alias("stag"), sstart.alias("sstart"))
+    dealt = occurrences.select("g", "salts", _salt(), "doc", "tag", "start")
+    found = dealt.join(paths, ["g", "salt"]).where("NOT (doc = sdoc AND tag = stag AND start = sstart)")
+    return found.select("doc", "tag", "start", F.col("windows").alias("count"), "sdoc", "stag", "sstart", "salts")
 
 
 def _runs(windows: DataFrame) -> DataFrame:
     """REPEAT rows of windows (w1, w2, doc, tag, start) that have an earlier equal one."""
     dealt = windows.repartition("w1", "w2")
     here = F.struct("doc", "tag", "start")
-    heads = dealt.groupBy("w1", "w2").agg(F.min(here).alias("head"), F.max(here).alias("tail")).where("head != tail")
-    later = dealt.join(heads, ["w1", "w2"]).where(here != F.col("head")).select("doc", "tag", "start", "head")
+    heads = dealt.groupBy("w1", "w2").agg(F.min(here).alias("head"), F.max(here).alias("tail"), F.count(F.lit(1)).alias("n")).where("head != tail")
+    later = dealt.join(heads, ["w1", "w2"]).where(here != F.col("head")).select("doc", "tag", "start", "head", "n")
     later = later.repartition("doc", "tag").dropDuplicates(["doc", "tag", "start"])
     keys = ["doc", "tag", F.col("head.doc").alias("sdoc"), F.col("head.tag").alias("stag"), (F.col("start") - F.col("head.start")).alias("shift")]
-    shifted = later.select(*keys, "start")
+    shifted = later.select(*keys, "start", "n")
     run = Window.partitionBy("doc", "tag", "sdoc", "stag", "shift").orderBy("start")
     return (
         shifted.withColumn("run", F.col("start") - F.row_number().over(run))
         .groupBy("doc", "tag", "sdoc", "stag", "shift", "run")
-        .agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("count"))
-        .select("doc", "tag", "start", "count", "sdoc", "stag", (F.col("start") - F.col("shift")).alias("sstart"))
+        # Repeats of one source run hold the same windows, so they count the same.
+        .agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("count"), F.max("n").alias("n"))
+        .select("doc", "tag", "start", "count", "sdoc", "stag", (F.col("start") - F.col("shift")).alias("sstart"), _salts(F.col("n")).alias("salts"))
     )
 
 
@@ -352,13 +369,14 @@ def dedup_substrings(
         with_places(expanded, "start", "count"), lambda b: _windows(b, width, mask), "w1 long, w2 long, doc long, tag long, start long"
     )
     repeats = whole.unionByName(_runs(windows)).select(*REPEAT)
-    wanted = repeats.select(F.col("sdoc").alias("doc"), F.col("stag").alias("tag"), F.col("sstart").alias("start"), "count").distinct()
+    wanted = repeats.groupBy(F.col("sdoc").alias("doc"), F.col("stag").alias("tag"), F.col("sstart").alias("start"), "count").agg(F.max("salts").alias("salts"))
     source_key = ["sdoc", "stag", "sstart", "count"]
     sources = arrow_pass(
-        with_places(wanted, "start", "count"), lambda b: _sources(b, width), "sdoc long, stag long, sstart long, count long, words binary"
+        with_places(wanted, "start", "count", "salts"), lambda b: _sources(b, width), "sdoc long, stag long, sstart long, count long, salts int, words binary"
     )
-    words = sources.groupBy(*source_key).agg(F.min("words").alias("words"))
-    final = with_places(repeats.join(words, source_key), "start", "count", "words")
+    words = sources.groupBy(*source_key).agg(F.max("salts").alias("salts"), F.min("words").alias("words")).select(*source_key, "words", _copies())
+    dealt = repeats.select("doc", "tag", "start", *source_key, _salt())
+    final = with_places(dealt.join(words, [*source_key, "salt"]), "start", "count", "words")
     kept_type = rows.schema["kept"].dataType.simpleString()
     schema = f"doc_id long, kept {kept_type}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     out = arrow_pass(final, lambda b: _removed(b, width, with_text), schema)

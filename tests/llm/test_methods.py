@@ -63,7 +63,10 @@ def test_hash_clashes_remove_nothing(spark):
         assert {r.n_removed for r in substring.dedup_substrings(df, hash_bits=bits).collect()} == {0}
 
 
-def test_paths_compact_to_their_heads_and_branches_are_resolved(spark):
+@pytest.mark.parametrize("hot", [substring.HOT, 2])
+def test_paths_compact_to_their_heads_and_branches_are_resolved(spark, monkeypatch, hot):
+    """With a low limit most runs are hot and dealt by a salt."""
+    monkeypatch.setattr(substring, "HOT", hot)
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(10**6)}"
     long_, short = [word() for _ in range(900)], [word() for _ in range(35)]

@@ -346,7 +346,7 @@ def rotated_boxes(spark, d):
 
 @query(
     """SELECT p_partkey, CAST(floor(log2(p_size)) AS INT) AS log2, split_part(p_type, ' ', 1) || ' ' || split_part(p_type, ' ', 2) AS two_tokens, replace(p_brand, '#', '_') || p_size AS named,
-    list_transform([2, 0, 1], lambda i: [p_size, p_size + 1, p_size * 2][i + 1]) AS permuted, round(exp(-(p_size * p_size / 800.0)) / (2 * pi() * 400), 9) AS normal2 FROM part"""
+    (p_size * 2) || ',' || p_size || ',' || (p_size + 1) AS permuted, round(exp(-(p_size * p_size / 800.0)) / (2 * pi() * 400), 9) AS normal2 FROM part"""
 )
 def token_functions(spark, d):
     """Whole logarithms, first tokens, names with numbers, permutations, 2-D normals."""
@@ -356,7 +356,7 @@ def token_functions(spark, d):
         "p_partkey", F.floor(F.log2("p_size")).cast("int").alias("log2"),
         F.concat_ws(" ", F.coalesce(F.try_element_at(F.split("p_type", " "), F.lit(1)), F.lit("")), F.coalesce(F.try_element_at(F.split("p_type", " "), F.lit(2)), F.lit(""))).alias("two_tokens"),
         F.concat(F.translate("p_brand", "#", "_"), F.col("p_size").cast("string")).alias("named"),
-        F.transform(F.array(F.lit(2), F.lit(0), F.lit(1)), lambda i: three[i]).alias("permuted"),
+        F.array_join(F.transform(F.array(F.lit(2), F.lit(0), F.lit(1)), lambda i: three[i].cast("string")), ",").alias("permuted"),
         F.round(F.exp(-(F.col("p_size") * F.col("p_size") / 800.0)) / (2 * 3.141592653589793 * 400), 9).alias("normal2"),
     )
 

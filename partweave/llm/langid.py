@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partweave.llm.common import arrow_pass
+from partweave.llm.common import arrow_pass, stored
 from partweave.llm.hashing import text_batches
 
 BUCKETS = 1 << 14
@@ -179,7 +179,8 @@ def fit(train: DataFrame, sample_rows: int = 3000) -> tuple[list[str], np.ndarra
     for bucket, n in counted.items():
         df[bucket] = n
     idf = np.where(df > 0, np.log((1 + docs) / (1 + df)) + 1, 0)
-    chosen = sample(train, sample_rows)
+    # Stored, so that Spark knows how small it is and need not shuffle the texts to meet it.
+    chosen = stored(sample(train, sample_rows), "sample", files=1)
     # One row of each chosen text: whatever copies a text has, they are equal.
     texts = train.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
     rows = arrow_pass(texts, _features(idf), "lang string, at binary, value binary").collect()

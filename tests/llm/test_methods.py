@@ -662,6 +662,14 @@ def test_a_merge_tree_gives_what_one_alignment_gives(spark):
         assert by_core["body/div.top"] == (True, 90) and by_core["body/div.txt/p"] == (False, 90)
 
 
+def test_a_wrapper_keeps_the_items_of_most_pages(monkeypatch):
+    monkeypatch.setattr(wrappers, "MOST_ITEMS", 3)
+    own = [wrappers.Item(c, pages=n) for c, n in zip("abcde", (1, 9, 2, 9, 3), strict=True)]
+    assert [i.core for i in wrappers._frequent(own)] == ["b", "d", "e"] and wrappers._frequent(own[:3]) == own[:3]
+    # What no item matches is text.
+    assert wrappers.matched(["b"], wrappers.runs(["b", "x"])) == [0, -1]
+
+
 def scrambled(html, seed):
     """The same page with other class names."""
     name = lambda old: "".join(random.Random(f"{seed}/{old}").choices("qzxkvj", k=6))

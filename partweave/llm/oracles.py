@@ -70,3 +70,81 @@ root AS (SELECT a AS doc_id, min(c) AS class_id FROM reach GROUP BY a),
 n AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_same, min(b) FILTER (WHERE same) AS low, count(DISTINCT s) FILTER (WHERE NOT same) AS n_texts FROM link GROUP BY a)
 SELECT d.doc_id, class_id, least(d.doc_id, coalesce(low, d.doc_id)) AS copy_id, coalesce(n_same, 0) + 1 AS n_copies, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_linked_texts
 FROM d JOIN root USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def _op11() -> str:
+    """Four rounds of the assignment, each a pair of relations: nearest entries and moved entries."""
+    gap = "list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)"
+    parts = []
+    for n in range(5):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min({{'d': {gap}, 'k': k}}) AS best FROM p JOIN b{n} USING (part) GROUP BY vec_id, part)")
+        if n < 4:
+            parts.append(f"""m{n} AS (SELECT part, k, list(c ORDER BY pos) AS c FROM (SELECT part, best.k AS k, pos, floor(sum(x[pos]) / count(*)) AS c
+  FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS pos FROM a{n}) GROUP BY part, best.k, pos) GROUP BY part, k)""")
+            parts.append(f"b{n + 1} AS MATERIALIZED (SELECT part, k, coalesce(m{n}.c, b{n}.c) AS c FROM b{n} LEFT JOIN m{n} USING (part, k))")
+    return f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, list_slice(v, CAST(part * len(v) / 4 + 1 AS INT), CAST((part + 1) * len(v) / 4 AS INT)) AS x FROM e, (SELECT unnest(range(0, 4)) AS part)),
+b0 AS MATERIALIZED (SELECT * FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x AS c FROM p) WHERE k < 256),
+{", ".join(parts)},
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', CAST(best.k AS INT)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, k, pos)) AS codebooks_sha256
+  FROM (SELECT part, k, unnest(c) AS c, unnest(range(0, len(c))) AS pos FROM b4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN e USING (vec_id), s"""
+
+
+OP11 = _op11()
+
+_FAR = 1 << 40
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _after(state: str, letter: str, cost: str, when: str = "") -> str:
+    """A state's cheapest way with one more edit, out of reach unless ``when``."""
+    price = f"{state}.c + {cost}" if not when else f"CASE WHEN {when} THEN {state}.c + {cost} ELSE {_FAR} END"
+    return f"{{'c': {price}, 'a': {state}.a || '{letter}'}}"
+
+
+def _op12() -> str:
+    """The grammar's states as columns n (none yet), s, u and a (the last role), each with
+    its cheapest way: cost and letters; a recursion over the turns."""
+    kept = lambda state, initial: _after(state, "K", "t", f"NOT gone AND i = '{initial}'")
+    other = lambda state: _after(state, "R", "3 + t", "NOT gone")
+    gone = lambda state: _after(state, "D", "4")
+    to_u = [w for state in ("w.n", "w.s", "w.a") for w in (kept(state, "u"), other(state))]
+    insert = lambda state: _after(state, "I", "3")
+    step = "xor(v >> 1, CAST(3988292384 AS UBIGINT) * (v & 1))"
+    return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], CAST(range(8) AS UBIGINT[])), lambda v, unused: {step})), CAST(4294967295 AS UBIGINT)) % 20 AS harm FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+  CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE harm <> 0),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') AS cut,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM d),
+g AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS t, substr(role, 1, 1) AS i FROM f),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS done, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS n, {{'c': CAST({_FAR} AS BIGINT), 'a': ''}} AS s, {{'c': CAST(3 AS BIGINT), 'a': 'I'}} AS u, {{'c': CAST(6 AS BIGINT), 'a': 'II'}} AS a FROM g
+  UNION ALL SELECT conv_id, done, n, s, {_least("u", insert("n"), insert("s"), insert("a"))} AS u, {_least("a", insert(_least("u", insert("n"), insert("s"), insert("a"))))} AS a FROM (
+  SELECT w.conv_id, done + 1 AS done, {gone("w.n")} AS n, {_least(gone("w.s"), kept("w.n", "s"))} AS s, {_least(gone("w.u"), *to_u)} AS u, {_least(gone("w.a"), kept("w.u", "a"), other("w.u"))} AS a
+  FROM w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND g.pos = w.done + 1)),
+best AS (SELECT conv_id, {_least("w.n", "w.a")} AS b FROM w WHERE done = (SELECT max(g.pos) FROM g WHERE g.conv_id IS NOT DISTINCT FROM w.conv_id)),
+letter AS (SELECT conv_id, b.a AS audit, unnest(string_split(b.a, '')) AS letter, unnest(range(1, length(b.a) + 1)) AS j FROM best WHERE b.a <> ''),
+placed AS (SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS pos FROM letter),
+line AS (SELECT p.conv_id, j, letter, g.role, g.text, row_number() OVER (PARTITION BY p.conv_id ORDER BY j) AS o, first_value(letter = 'K' AND g.i = 's') OVER (PARTITION BY p.conv_id ORDER BY j) AS lead
+  FROM placed p LEFT JOIN g ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.pos = g.pos AND p.letter <> 'I' WHERE letter <> 'D'),
+sha AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - CAST(lead AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j)) AS sha FROM line GROUP BY conv_id),
+pair AS (SELECT conv_id, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS two FROM g),
+bad AS (SELECT conv_id, count(*) AS illegal FROM pair WHERE two NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+  count(*) FILTER (NOT gone AND cut) AS truncated FROM g GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN bad ON c.conv_id IS NOT DISTINCT FROM bad.conv_id
+  LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN sha ON c.conv_id IS NOT DISTINCT FROM sha.conv_id"""
+
+
+OP12 = _op12()

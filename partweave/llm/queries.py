@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from partweave.llm import oracles
 from partweave.llm.ann import nearest
+from partweave.llm.codes import code_report
 from partweave.llm.common import table
 from partweave.llm.jaccard import jaccard_classes
 from partweave.llm.langid import identify
@@ -16,7 +17,8 @@ from partweave.llm.pieces import encode_documents
 from partweave.llm.quality import quality_report
 from partweave.llm.secrets import secret_report
 from partweave.llm.substring import dedup_substrings
-
+from partweave.llm.toxicity import score_toxicity
+from partweave.llm.turns import repair_conversations
 from partweave.llm.warc import archive_round_trip
 from partweave.llm.wrappers import extract_articles
 
@@ -61,6 +63,18 @@ def op3_wrapper_extraction(spark, sf_dir):
     return extract_articles(table(spark, sf_dir, "pages"))
 
 
+def op11_annular_codes(spark, sf_dir):
+    return code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,9 +86,12 @@ QUERIES = {
     "op8_line_frequency": op8_line_frequency,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_prefix_forest": op10_prefix_forest,
+    "op11_annular_codes": op11_annular_codes,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_toxicity": op13_toxicity,
 }
 
-#: The others' results (a classifier, a packing, wrappers, pieces, near neighbours)
+#: The others' results (classifiers, a packing, wrappers, pieces, near neighbours)
 #: are not expressible in SQL; tests/llm compares them with plain versions.
 ORACLE: dict[str, str] = {
     "op1_warc_round_trip": oracles.OP1,
@@ -82,4 +99,6 @@ ORACLE: dict[str, str] = {
     "op7_secret_scan": oracles.OP7,
     "op8_line_frequency": oracles.OP8,
     "op9_jaccard_join": oracles.OP9,
+    "op11_annular_codes": oracles.OP11,
+    "op12_conversation_repair": oracles.OP12,
 }

@@ -7,7 +7,8 @@ a list of bins. An island starts from individuals that best-fit the pieces in a
 random order. Crossover injects whole well-filled bins of one parent into the
 other, removes the bins that hold a duplicate and best-fits the displaced pieces,
 largest first, with those of the slackest bins. A child replaces the worst
-individual if it has fewer or fuller bins. After each epoch an island keeps its
+individual if it has fewer or fuller bins and is like none of the others; a
+population that no longer improves keeps its best and starts anew beside it. After each epoch an island keeps its
 population and sends its elites to the next island of its shard (a shuffle on the
 island's key); after the last one the best individual of the shard wins. An island
 stops early only when it has as few bins as any packing can have.
@@ -51,8 +52,8 @@ SHARD = 4096
 BIN_BITS, SHARD_BITS = 16, 40
 ISLANDS, EPOCHS = 2, 2
 #: An epoch ends after so many crossovers of a full shard (more of a smaller one, up to
-#: MOST_CROSSOVERS), or a third as many in a row without a new best.
-POPULATION, CROSSOVERS, MOST_CROSSOVERS, ELITES = 4, 24, 200, 2
+#: MOST_CROSSOVERS); after IDLE in a row without a new best all but the best start anew.
+POPULATION, CROSSOVERS, MOST_CROSSOVERS, IDLE, ELITES = 4, 24, 1000, 8, 2
 SHARDS_PER_TASK, ISLANDS_PER_TASK, MOST_TASKS = 16, 8, 20_000
 #: Bins at least this full are injected; those at least so full are not packed again.
 GOOD, SETTLED = 0.998, 0.9995
@@ -270,36 +271,54 @@ def least_bins(lengths: list[int], capacity: int) -> int:
     return max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
 
 
+def likeness(lengths: list[int], packing: Packing) -> int:
+    """Equal for packings that differ by pieces of one length only."""
+    return hash(tuple(sorted(tuple(sorted(lengths[i] for i in b)) for b in packing.bins)))
+
+
 def evolve(lengths: list[int], pool: list[Packing], capacity: int, seed: int, tally: Tally | None = None) -> list[Packing]:
-    """One epoch: the population, best first. ``pool`` is the population of the
-    last epoch with the elites that came in; new individuals fill it up."""
+    """One epoch: the population, best first, of individuals that differ. ``pool`` is the
+    population of the last epoch with the elites that came in; new individuals fill it up."""
     rng = random.Random(seed)
     tally = tally if tally is not None else Tally()
     least = least_bins(lengths, capacity)
-    pool = list(pool)
-    while len(pool) < POPULATION:
+    births = 0
+
+    def entry(packing: Packing) -> tuple:
+        nonlocal births
+        births += 1
+        return *packing.score(capacity), births, likeness(lengths, packing), packing
+
+    def fresh() -> Packing:
         order = list(range(len(lengths)))
         rng.shuffle(order)
-        pool.append(best_fit(lengths, Packing([], []), order, capacity))
-    ranked = sorted(((*p.score(capacity), k, p) for k, p in enumerate(pool)))[:POPULATION]
-    births, idle = len(pool), 0
-    most = min(MOST_CROSSOVERS, -(-CROSSOVERS * SHARD // max(1, len(lengths))))
-    for _ in range(most):
-        if ranked[0][0] <= least or 3 * idle > most:
+        return best_fit(lengths, Packing([], []), order, capacity)
+
+    def ranking(found: list[tuple]) -> list[tuple]:
+        alike: dict[int, tuple] = {}
+        for e in sorted(found):
+            alike.setdefault(e[3], e)
+        return list(alike.values())[:POPULATION]
+
+    ranked = ranking([entry(p) for p in pool] + [entry(fresh()) for _ in range(POPULATION - len(pool))])
+    idle = 0
+    for _ in range(min(MOST_CROSSOVERS, -(-CROSSOVERS * SHARD // max(1, len(lengths))))):
+        if ranked[0][0] <= least:
             break
+        if idle >= IDLE or len(ranked) < 2:  # what is left is alike: keep the best alone
+            ranked, idle = ranking([ranked[0], *(entry(fresh()) for _ in range(POPULATION - 1))]), 0
+            if len(ranked) < 2:
+                break
         # The better of two is the mother, so that most children come near the best.
         a, b = sorted(rng.sample(range(len(ranked)), 2))
-        child = crossover(lengths, ranked[a][3], ranked[b][3], capacity, rng)
+        child = entry(crossover(lengths, ranked[a][4], ranked[b][4], capacity, rng))
         tally.crossovers += 1
-        births += 1
-        entry = (*child.score(capacity), births, child)
         idle += 1
-        if entry < ranked[-1]:
+        if (len(ranked) < POPULATION or child < ranked[-1]) and all(child[3] != r[3] for r in ranked):
             tally.accepted += 1
-            idle = 0 if entry < ranked[0] else idle
-            ranked[-1] = entry
-            ranked.sort()
-    return [r[3] for r in ranked]
+            idle = 0 if child < ranked[0] else idle
+            ranked = ranking([*ranked, child])
+    return [r[4] for r in ranked]
 
 
 def _labels(packing: Packing, n: int) -> bytes:

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset a local session takes
-    one of its own; a cluster has no folder that all machines see, which is an error."""
+    """The folder of ``spark.checkpoint.dir``, on the default file system where it names
+    none. Where it is unset a local session takes one of its own; a cluster has no folder
+    that all machines see, which is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "/tmp/checkpoints/partweave"
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+        return "file:///tmp/checkpoints/partweave"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -70,3 +70,48 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert sessions == {k: v for k, v in full.items() if k[1] != last[k[0]]}
     stats = _run(spark, frames.running_statistics(read()), tmp_path, "stats").first()
     assert stats.n == 120 and stats.var_value == pytest.approx(batch.agg(F.var_samp("value")).first()[0])
+
+
+def test_a_folder_without_a_scheme_lies_on_the_default_file_system(spark):
+    from partweave.sources.scratch import shared_folder
+
+    hadoop, before = spark._jsc.hadoopConfiguration(), spark.conf.get("spark.checkpoint.dir", None)
+    default = hadoop.get("fs.defaultFS")
+    try:
+        hadoop.set("fs.defaultFS", "viewfs://store/")
+        hadoop.set("fs.viewfs.mounttable.store.link./ckpt", "file:///tmp/elsewhere")
+        spark.conf.set("spark.checkpoint.dir", "/ckpt")
+        assert shared_folder(spark) == "viewfs://store/ckpt"
+        spark.conf.set("spark.checkpoint.dir", "file:/tmp/here")
+        assert shared_folder(spark).startswith("file:/")
+        spark.conf.unset("spark.checkpoint.dir")
+        assert shared_folder(spark) == "file:///tmp/checkpoints/partweave"
+    finally:
+        hadoop.set("fs.defaultFS", default)
+        if before:
+            spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_workers_import_the_package_from_another_working_folder(tmp_path):
+    """A zip of the package, as executors get it by ``--py-files``."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(str(tmp_path / "partweave"), "zip", root, "partweave")
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.addPyFile({archive!r})
+from partweave.functions import arrays
+def run(frames):
+    from partweave.functions import arrays
+    for f in frames:
+        yield f
+print("rows", spark.range(3).mapInPandas(run, "id long").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 3" in out.stdout, out.stderr[-2000:]

@@ -16,7 +16,12 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         return "file:///tmp/checkpoints/partweave"
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The path with the file system that Spark would take it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 

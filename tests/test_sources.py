@@ -73,23 +73,18 @@ def test_streams_agree_with_batch(spark, tmp_path):
 
 
 def test_a_folder_without_a_scheme_lies_on_the_default_file_system(spark):
-    from partweave.sources.scratch import shared_folder
+    from partweave.sources.scratch import qualified
 
-    hadoop, before = spark._jsc.hadoopConfiguration(), spark.conf.get("spark.checkpoint.dir", None)
+    hadoop = spark._jsc.hadoopConfiguration()
     default = hadoop.get("fs.defaultFS")
     try:
         hadoop.set("fs.defaultFS", "viewfs://store/")
         hadoop.set("fs.viewfs.mounttable.store.link./ckpt", "file:///tmp/elsewhere")
-        spark.conf.set("spark.checkpoint.dir", "/ckpt")
-        assert shared_folder(spark) == "viewfs://store/ckpt"
-        spark.conf.set("spark.checkpoint.dir", "file:/tmp/here")
-        assert shared_folder(spark).startswith("file:/")
-        spark.conf.unset("spark.checkpoint.dir")
-        assert shared_folder(spark) == "file:///tmp/checkpoints/partweave"
+        assert qualified(spark, "/ckpt") == "viewfs://store/ckpt"
+        assert qualified(spark, "file:///tmp/here").startswith("file:/")
     finally:
         hadoop.set("fs.defaultFS", default)
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+    assert qualified(spark, "/ckpt").startswith("file:/")
 
 
 def test_workers_import_the_package_from_another_working_folder(tmp_path):

@@ -13,15 +13,20 @@ aggregate per position (combined on the map side, so a host with a third of all
 shrinks at once; copies of a page count once). The distinct sequences of a host are
 merged in a tree, ``FAN`` a task, whose depth grows with their number.
 
-The wrapper gives the host's content element, the deepest one that holds most of the
-letters of its slots (links and furniture aside), and marks items that are constant on
-three or more distinct pages and on half of all, or mostly links, as template. A
-page is then matched against the wrapper, block by block. Its text is what lies in the
-content element; outside ``article`` and ``main`` template items are left out. Elements
-for menus, headers, footers, sidebars, notices, adverts, forms or comments are left
-out by tag and role, and, where the wrapper leaves it open, by class or id. Classes
-of html, body, main and article, and classes that say what a layout has
-(``with-sidebar``), do not count, nor do classes and forms around most of the page's text.
+An expression has a bounded number of items, so that aligning it takes bounded memory.
+What a host has beyond them is not lost: it is summed by token in a table, as many rows
+as it takes, and a page gets the rows of its own tokens by a join.
+
+The wrapper decides first. It gives the host's content element, the deepest one that
+holds most of the letters of its slots (links aside), and marks items that are constant on
+three or more distinct pages and on half of all, or mostly links, as template. A page is
+matched against the wrapper, block by block. Its text is what lies in the content element;
+outside ``article`` and ``main`` template items are left out. Tags, roles and class words
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) have no say in that;
+they only leave out what varies within the content element like the article itself, such
+as adverts and comments. Classes of html, body, main and article, and classes that say
+what a layout has (``with-sidebar``), do not count, nor do classes and forms around most of
+the page's text.
 
 A host of fewer than three distinct pages proves no wrapper, and a page with more
 text in slots elsewhere does not follow it: such a page's text is ``main`` where it
@@ -41,6 +46,7 @@ from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -89,7 +95,6 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
-LONGEST_GROUP = 8
 #: Elements that hold text and no layout: their parent is the content element.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption address summary".split())
 #: Distinct pages that prove a wrapper, and the part of a host's pages for a constant.
@@ -98,8 +103,8 @@ PROOF, MOST = 3, 0.5
 CONTENT = 0.6
 #: Sequences that a task merges.
 FAN = 64
-#: Items of a wrapper; where a host has more, those of the fewest pages are left out, and
-#: what a page has of them is matched by nothing, that is, decided as text of the page.
+#: Items of an expression; where a host has more, those of the fewest pages lie beside it,
+#: as rows by their token.
 MOST_ITEMS = 4096
 TEXT, TEMPLATE, LINKS = 0, 1, 2
 
@@ -249,11 +254,30 @@ FIELDS = "core:string,repeated:boolean,optional:boolean,low:long,high:long,pages
 SEPARATOR = "\n"
 
 
+def _group_sizes(cores: list[str], size: int) -> int | None:
+    """The least size from ``size`` on of a group that stands at least twice in a row. Only
+    stretches of tokens that all occur again can hold one."""
+    seen: dict[str, int] = {}
+    number = np.fromiter((seen.setdefault(c, len(seen)) for c in cores), dtype=np.int64, count=len(cores))
+    again = np.bincount(number)[number] > 1
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+    best = None
+    for at, end in zip(edge[0::2], edge[1::2], strict=True):
+        own = number[at:end]
+        for n in range(size, min(len(own) // 2, (best or len(own)) - 1) + 1):
+            gaps = np.flatnonzero(own[n:] != own[:-n])
+            if np.diff(np.concatenate([[-1], gaps, [len(own) - n]])).max() > n:  # n equal pairs in a row
+                best = n
+                break
+    return best
+
+
 def runs(tokens: list[str]) -> list[tuple[str, bool, int, int]]:
-    """(core, repeated, first token, end) of the items: repeated neighbours and
-    repeated groups of up to LONGEST_GROUP become one."""
+    """(core, repeated, first token, end) of the items: repeated neighbours and repeated
+    groups of any length become one, short groups first."""
     now = [(t, False, k, k + 1) for k, t in enumerate(tokens)]
-    for size in range(1, LONGEST_GROUP + 1):
+    size = 0
+    while (size := _group_sizes([t[0] for t in now], size + 1)) is not None:
         out: list[tuple[str, bool, int, int]] = []
         cores, at = [t[0] for t in now], 0
         while at < len(now):
@@ -302,8 +326,19 @@ def expression(items: list[Item]) -> str:
     return " ".join(map(str, items))
 
 
+def deepest(mass: dict[str, int]) -> str:
+    """The path of the deepest layout element that holds most of the slots' letters, or ''.
+    ``mass``: letters by path, of all paths or of those that hold as much."""
+    total, best = sum(m for path, m in mass.items() if "/" not in path), ""
+    for path, m in mass.items():
+        names = [re.match(r"[a-z0-9]*", part)[0] for part in path.split("/")]
+        if total and m >= CONTENT * total and TEXT_TAGS.isdisjoint(names) and path.count("/") >= best.count("/") + bool(best):
+            best = path
+    return best
+
+
 def content_element(items: list[Item]) -> str:
-    """The path of the deepest layout element with most of the slots' letters, or ''."""
+    """The content element of an expression alone."""
     mass: dict[str, int] = {}
     for item in items:
         if item.low == item.high or 2 * item.links > item.chars:
@@ -314,14 +349,7 @@ def content_element(items: list[Item]) -> str:
             for k in range(1, len(parts) + 1):
                 path = "/".join(parts[:k])
                 mass[path] = mass.get(path, 0) + item.chars // len(cores)
-    total, at = sum(m for path, m in mass.items() if "/" not in path), ""
-    while total:
-        below = [p for p in mass if p.startswith(f"{at}/" if at else "") and p.count("/") == (at.count("/") + 1 if at else 0)]
-        best = max(below, key=lambda p: (mass[p], p), default=None)
-        if best is None or mass[best] < CONTENT * total or re.match(r"[a-z0-9]+", best.rpartition("/")[2])[0] in TEXT_TAGS:
-            break
-        at = best
-    return at
+    return deepest(mass)
 
 
 def marks(items: list[Item], pages: int) -> list[int]:
@@ -341,28 +369,28 @@ def matched(cores: list[str], items: list[tuple[str, bool, int, int]]) -> list[i
     return [place.get(item[0], -1) if k < 0 else k for item, k in zip(items, out, strict=True)]
 
 
-def page_text(found: list[tuple[str, str, int, int]], cores: list[str], verdicts: list[int], element: str | None) -> list[str]:
-    """The texts of a page's blocks that make its article. ``element`` is None where the
-    host proves no wrapper."""
+def page_text(
+    found: list[tuple[str, str, int, int]], cores: list[str], verdicts: list[int], element: str | None, rest: dict[str, int] | None = None
+) -> tuple[list[str], bool]:
+    """The texts of a page's blocks that make its article, and whether the wrapper decided.
+    ``element`` is None where the host proves no wrapper, ``rest`` has the verdicts of
+    cores that its expression lacks."""
     items = runs([f[0] for f in found])
     verdict = [TEXT] * len(found)
-    for (_, _, first, end), k in zip(items, matched(cores, items), strict=True):
+    for (core, _, first, end), k in zip(items, matched(cores, items), strict=True):
         for b in range(first, end):
-            verdict[b] = verdicts[k] if k >= 0 else TEXT
-    template = {f[0] for f, v in zip(found, verdict, strict=True) if v != TEXT}
+            verdict[b] = verdicts[k] if k >= 0 else (rest or {}).get(core, TEXT)
     if element is not None:
+        # The expression comes first: slots in the content element against slots elsewhere.
         inside = lambda path: path == element or path.startswith(f"{element}/") or not element
-        kept, beside = [], 0
-        for (path, text, _, kind), v in zip(found, verdict, strict=True):
-            if not kind or (kind == 3 and v != TEXT):
-                continue
-            if inside(path):
-                kept.append(text)
-            else:
-                beside += len(text)
-        if kept and sum(map(len, kept)) >= beside:
-            return kept
-    return content(found, template)
+        slots = [(f, inside(f[0])) for f, v in zip(found, verdict, strict=True) if v == TEXT or (f[3] in (1, 2, 4) and inside(f[0]))]
+        held, beside = (sum(len(f[1]) for f, own in slots if own == side) for side in (True, False))
+        # Tags and class words only tell adverts and comments within the element.
+        kept = [f[1] for f, own in slots if own and f[3]]
+        if kept and held >= beside:
+            return kept, True
+    template = {f[0] for f, v in zip(found, verdict, strict=True) if v != TEXT}
+    return content(found, template), False
 
 
 def host_of(url: Column) -> Column:
@@ -376,6 +404,11 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _page_key(found: list[tuple[str, str, int, int]]) -> int:
+    """Equal for copies of a page: they have the same blocks."""
+    return _hash("\0".join(f"{f[0]}\0{f[1]}\0{f[2]}" for f in found))
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind_of = pa.list_(pa.struct([("repeated", pa.bool_()), ("text", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
     for whole in batches:
@@ -390,46 +423,60 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         {
                             "repeated": repeated,
                             "text": _hash("\0".join(f[1] for f in found[a:b])),
-                            # Furniture has no say in where the content is.
-                            "chars": sum(len(f[1]) for f in found[a:b] if f[3]),
-                            "links": sum(f[2] for f in found[a:b] if f[3]),
+                            "chars": sum(len(f[1]) for f in found[a:b]),
+                            "links": sum(f[2] for f in found[a:b]),
                         }
                         for _, repeated, a, b in own
                     ]
                 )
-                # Copies of a page have the same blocks.
-                pages.append(_hash("\0".join(f"{f[0]}\0{f[1]}\0{f[2]}" for f in found)))
+                pages.append(_page_key(found))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(streams, pa.string()), pa.array(items, kind_of), pa.array(pages, pa.int64())], ["host", "stream", "items", "page"])
 
 
-def _frequent(items: list[Item]) -> list[Item]:
-    """At most MOST_ITEMS of a wrapper's items, those of most pages, in their order."""
-    if len(items) <= MOST_ITEMS:
-        return items
-    kept = sorted(sorted(range(len(items)), key=lambda k: (-items[k].pages, k))[:MOST_ITEMS])
-    return [items[k] for k in kept]
+def _parted(items: list[Item], most: int) -> tuple[list[Item], list[Item]]:
+    """``most`` of a wrapper's items, those of most pages, in their order, and the rest."""
+    if len(items) <= most:
+        return items, []
+    kept = set(sorted(range(len(items)), key=lambda k: (-items[k].pages, k))[:most])
+    return [i for k, i in enumerate(items) if k in kept], [i for k, i in enumerate(items) if k not in kept]
 
 
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """One wrapper from some of a host's, those of most pages first."""
+def _merge(frame: pd.DataFrame, most: int) -> pd.DataFrame:
+    """One wrapper from some of a host's, those of most pages first; what its expression
+    has no room for comes in a row of its own, with ``rest``."""
     frame = frame.sort_values(["pages", "stream"], ascending=[False, True])
     wrapper: list[Item] | None = None
+    rest: list[Item] = []
     for own in frame["items"]:
         items = [Item(**i) for i in own]
         wrapper = items if wrapper is None else align(wrapper, items)
-        if len(wrapper) > 2 * MOST_ITEMS:
-            wrapper = _frequent(wrapper)
-    wrapper = _frequent(wrapper)
-    return pd.DataFrame(
-        {"host": [frame["host"].iloc[0]], "stream": [SEPARATOR.join(i.core for i in wrapper)], "items": [[vars(i) for i in wrapper]], "pages": [int(frame["pages"].sum())]}
-    )
+        if len(wrapper) > 2 * most:
+            wrapper, more = _parted(wrapper, most)
+            rest += more
+    wrapper, more = _parted(wrapper, most)
+    rows = [(SEPARATOR.join(i.core for i in wrapper), [vars(i) for i in wrapper], int(frame["pages"].sum()), False)]
+    if rest or more:
+        rows.append(("", [vars(i) for i in rest + more], 0, True))
+    out = pd.DataFrame(rows, columns=["stream", "items", "pages", "rest"])
+    out.insert(0, "host", frame["host"].iloc[0])
+    return out
+
+
+@dataclass
+class Wrappers:
+    """``expressions``: (host, stream, items, pages), one a host; ``rest``: (host, core, low,
+    high, pages, chars, links) of items beyond the expressions, or None; ``streams``:
+    (host, page, stream, items) of the distinct pages."""
 
+    expressions: DataFrame
+    rest: DataFrame | None
+    streams: DataFrame
 
-def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", fan: int = FAN) -> DataFrame:
-    """(host, stream, items, pages): a wrapper a host, and its distinct pages."""
+
+def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", fan: int = FAN, most_items: int = MOST_ITEMS) -> Wrappers:
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     seen = arrow_pass(rows, _streams, f"host string, stream string, items {SEEN}, page long")
-    distinct = stored(seen.groupBy("host", "page").agg(F.min(F.struct("stream", "items")).alias("s")).select("host", "s.*"), "streams")
+    distinct = stored(seen.groupBy("host", "page").agg(F.min(F.struct("stream", "items")).alias("s")).select("host", "page", "s.*"), "streams")
     by_place = (
         distinct.select("host", "stream", F.posexplode("items").alias("at", "i"))
         .groupBy("host", "stream", "at")
@@ -437,56 +484,114 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
             F.max("i.repeated").alias("repeated"), F.min("i.text").alias("low"), F.max("i.text").alias("high"),
             F.count(F.lit(1)).alias("pages"), F.sum("i.chars").alias("chars"), F.sum("i.links").alias("links"),
         )
-    )
+    )
     core = F.split("stream", SEPARATOR)[F.col("at")].alias("core")
     item = F.struct("at", core, "repeated", F.lit(False).alias("optional"), "low", "high", "pages", "chars", "links")
     level = by_place.groupBy("host", "stream").agg(F.array_sort(F.collect_list(item)).alias("placed"), F.max("pages").alias("pages")).select(
         "host", "stream", F.col("placed").cast(f"array<struct<at:int,{FIELDS}>>").alias("placed"), "pages"
     ).select("host", "stream", F.transform("placed", lambda x: x.dropFields("at")).alias("items"), "pages")
     level = stored(level, "wrappers")
+    rest = None
     while True:
         sizes = level.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         most = sizes.agg(F.max("n")).first()[0] or 1
         if most == 1:
-            return level
+            break
         # Only hosts with several sequences go on; a part of one is at most about ``fan``.
         part = F.pmod(F.xxhash64("stream", F.lit(most)), F.ceil(F.col("n") / fan).cast("int"))
         dealt = level.join(sizes, "host").withColumn("part", part)
-        merged = dealt.where("n > 1").select("host", "stream", "items", "pages", "part").groupBy("host", "part").applyInPandas(
-            lambda f: _merge(f), f"host string, stream string, items array<struct<{FIELDS}>>, pages long"
+        merged = stored(
+            dealt.where("n > 1").select("host", "stream", "items", "pages", "part").groupBy("host", "part").applyInPandas(
+                lambda f: _merge(f, most_items), f"host string, stream string, items array<struct<{FIELDS}>>, pages long, rest boolean"
+            ),
+            "merged",
         )
-        level = stored(dealt.where("n = 1").select("host", "stream", "items", "pages").unionByName(merged), "wrappers")
+        own = merged.where("rest").select("host", F.explode("items").alias("i")).select("host", "i.*")
+        rest = own if rest is None else rest.unionByName(own)
+        level = stored(dealt.where("n = 1").select("host", "stream", "items", "pages").unionByName(merged.where("NOT rest").drop("rest")), "wrappers")
+    if rest is not None:
+        sums = [F.min("low").alias("low"), F.max("high").alias("high"), *(F.sum(c).alias(c) for c in ("pages", "chars", "links"))]
+        rest = stored(rest.groupBy("host", "core").agg(*sums), "rest")
+        rest = rest if rest.limit(1).count() else None
+    return Wrappers(level, rest, distinct)
+
+
+def content_elements(found: Wrappers) -> DataFrame:
+    """(host, element) from expressions and rest together: letters of slots summed by path.
+    Of an element that holds most of them each host has one a depth."""
+    items = found.expressions.select("host", F.explode("items").alias("i")).select("host", "i.core", "i.low", "i.high", "i.chars", "i.links")
+    if found.rest is not None:
+        items = items.unionByName(found.rest.select("host", "core", "low", "high", "chars", "links"))
+    slots = items.where("low <> high AND 2 * links <= chars").withColumn("cores", F.split("core", " "))
+    each = slots.select("host", F.expr("chars DIV size(cores)").alias("chars"), F.explode("cores").alias("core")).withColumn("parts", F.split("core", "/"))
+    paths = each.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/"))).alias("path"))
+    mass = paths.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    total = mass.where(~F.col("path").contains("/")).groupBy("host").agg(F.sum("chars").alias("total"))
+    large = mass.join(total, "host").where((F.col("total") > 0) & (F.col("chars") >= CONTENT * F.col("total")))
+    tags = F.transform(F.split("path", "/"), lambda p: F.regexp_extract(p, "^[a-z0-9]*", 0))
+    layout = large.where(~F.exists(tags, lambda t: t.isin(*sorted(TEXT_TAGS))))
+    return layout.groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), "path")).alias("element"))
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a host's pages need of its wrapper."""
+    """What a host's pages need of its expression."""
     for batch in batches:
-        verdicts, elements = [], []
-        for items, pages in zip(batch.column("items").to_pylist(), batch.column("pages").to_pylist(), strict=True):
-            own = [Item(**i) for i in items]
-            verdicts.append(marks(own, pages))
-            elements.append(content_element(own) if pages >= PROOF else None)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("stream"), pa.array(verdicts, pa.list_(pa.int32())), pa.array(elements, pa.string())], ["host", "stream", "verdicts", "element"])
+        verdicts = [marks([Item(**i) for i in items], pages) for items, pages in zip(batch.column("items").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+        kept = ["host", "stream", "pages", "element"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(verdicts, pa.list_(pa.int32()))], [*kept, "verdicts"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the key of their page."""
+    for whole in batches:
+        for batch in text_batches(whole, "html"):
+            keys = pa.array([_page_key(blocks(html.as_py())) for html in batch.column("html")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "page"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in text_batches(whole, "html"):
-            columns = [batch.column(c).to_pylist() for c in ("stream", "verdicts", "element")]
-            texts = [
-                " ".join(page_text(blocks(html.as_py()), (stream or "").split(SEPARATOR) if verdicts else [], verdicts or [], element))
-                for html, stream, verdicts, element in zip(batch.column("html"), *columns, strict=True)
-            ]
-            kept = [c for c in batch.schema.names if c not in ("html", "stream", "verdicts", "element")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
-
-
-def extract_articles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    wrappers = infer_wrappers(pages, url_col=url_col, html_col=html_col)
+            columns = [batch.column(c).to_pylist() for c in ("stream", "verdicts", "element", "rest")]
+            texts, by_wrapper = [], []
+            for html, stream, verdicts, element, rest in zip(batch.column("html"), *columns, strict=True):
+                cores = (stream or "").split(SEPARATOR) if verdicts else []
+                own, decided = page_text(blocks(html.as_py()), cores, verdicts or [], element, {r["core"]: r["verdict"] for r in rest or ()})
+                texts.append(" ".join(own))
+                by_wrapper.append(decided)
+            kept = [c for c in batch.schema.names if c not in ("html", "stream", "verdicts", "element", "rest")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(by_wrapper)], [*kept, "text", "by_wrapper"])
+
+
+REST = "array<struct<core:string,verdict:int>>"
+
+
+def _rest_of_pages(found: Wrappers, known: DataFrame) -> DataFrame:
+    """(host, page, rest): of each distinct page the cores beyond its host's expression that
+    are template or links there."""
+    one = (F.col("low") == F.col("high")) & (F.col("r.pages") >= PROOF) & (F.col("r.pages") >= MOST * F.col("k.pages"))
+    verdict = F.when(one, TEMPLATE).when((2 * F.col("links") > F.col("chars")) & (F.col("chars") > 0), LINKS).otherwise(TEXT)
+    judged = found.rest.alias("r").join(known.select("host", "pages").alias("k"), "host").select("host", "core", verdict.alias("verdict")).where(F.col("verdict") != TEXT)
+    held = found.streams.select("host", "page", F.explode(F.array_distinct(F.split("stream", SEPARATOR))).alias("core"))
+    return held.join(judged, ["host", "core"]).groupBy("host", "page").agg(F.collect_list(F.struct("core", "verdict")).cast(REST).alias("rest"))
+
+
+def extract_articles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", fan: int = FAN, most_items: int = MOST_ITEMS) -> DataFrame:
+    """page_id, url, text, by_wrapper (whether the host's wrapper decided), n_chars of every page."""
+    found = infer_wrappers(pages, url_col=url_col, html_col=html_col, fan=fan, most_items=most_items)
+    elements = content_elements(found)
+    proven = F.when(F.col("pages") >= PROOF, F.coalesce("element", F.lit("")))
+    ready = found.expressions.join(elements, "host", "left").select("host", "stream", "items", "pages", proven.alias("element"))
     # One row a host; Spark broadcasts it where its size allows, else joins by host.
-    known = stored(arrow_pass(wrappers, _decided, "host string, stream string, verdicts array<int>, element string"), "decided")
+    known = stored(arrow_pass(ready, _decided, "host string, stream string, pages long, element string, verdicts array<int>"), "decided")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
-    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "stream", "verdicts", "element")
-    return arrow_pass(joined, _texts, schema).withColumn("n_chars", F.length("text").cast("long"))
+    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string"
+    columns = ["page_id", "url", "html", "stream", "verdicts", "element"]
+    joined = rows.join(known, "host", "left").select(*columns, F.lit(None).cast(REST).alias("rest"))
+    if found.rest is not None:
+        # Pages of the hosts whose expression has not room for all: by host and page.
+        large = stored(found.rest.select("host").distinct(), "large", files=1)
+        keyed = arrow_pass(rows.join(large, "host", "left_semi").select("page_id", "url", "html", "host"), _keys, f"{schema}, html string, host string, page long")
+        beyond = keyed.join(_rest_of_pages(found, known), ["host", "page"], "left").join(known, "host").select(*columns, "rest")
+        joined = rows.join(large, "host", "left_anti").join(known, "host", "left").select(*columns, F.lit(None).cast(REST).alias("rest")).unionByName(beyond)
+    return arrow_pass(joined, _texts, f"{schema}, text string, by_wrapper boolean").withColumn("n_chars", F.length("text").cast("long"))

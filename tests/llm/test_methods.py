@@ -655,19 +655,133 @@ def test_a_merge_tree_gives_what_one_alignment_gives(spark):
         rows.append((i, f"http://deep.example/{i}", f"<body><div class='top'>Site</div>{extra}<div class='txt'><p>Text {i} {rng.random()}</p></div></body>"))
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     kept = lambda w: sorted((i.core, i.low == i.high, i.pages, i.chars) for i in w[0]["items"])
-    flat, deep = (wrappers.infer_wrappers(df, fan=fan).collect() for fan in (1000, 4))
+    flat, deep = (wrappers.infer_wrappers(df, fan=fan).expressions.collect() for fan in (1000, 4))
     assert len(flat) == len(deep) == 1 and flat[0].pages == deep[0].pages == 90
     for got in (flat, deep):
         by_core = {c: (constant, n) for c, constant, n, _ in kept(got)}
         assert by_core["body/div.top"] == (True, 90) and by_core["body/div.txt/p"] == (False, 90)
 
 
-def test_a_wrapper_keeps_the_items_of_most_pages(monkeypatch):
-    monkeypatch.setattr(wrappers, "MOST_ITEMS", 3)
+def test_an_expression_keeps_the_items_of_most_pages_and_the_rest_beside():
     own = [wrappers.Item(c, pages=n) for c, n in zip("abcde", (1, 9, 2, 9, 3), strict=True)]
-    assert [i.core for i in wrappers._frequent(own)] == ["b", "d", "e"] and wrappers._frequent(own[:3]) == own[:3]
-    # What no item matches is text.
+    kept, rest = wrappers._parted(own, 3)
+    assert [i.core for i in kept] == ["b", "d", "e"] and [i.core for i in rest] == ["a", "c"] and wrappers._parted(own[:3], 3) == (own[:3], [])
+    # What no item matches is decided by the rest, else it is text.
     assert wrappers.matched(["b"], wrappers.runs(["b", "x"])) == [0, -1]
+    found = [("b", "one", 0, 3), ("x", "two", 3, 3), ("y", "three", 0, 3)]
+    assert wrappers.page_text(found, ["b"], [wrappers.TEXT], "", {"x": wrappers.LINKS}) == (["one", "three"], True)
+
+
+def test_repeated_groups_of_any_length():
+    """Against a plain search of every size and place."""
+
+    def plain(tokens):
+        now = [(t, False) for t in tokens]
+        size = 1
+        while size <= len(now) // 2:
+            cores, out, at = [c for c, _ in now], [], 0
+            while at < len(now):
+                n = 1
+                while cores[at + n * size : at + (n + 1) * size] == cores[at : at + size] and at + (n + 1) * size <= len(cores):
+                    n += 1
+                out.append((" ".join(cores[at : at + size]), True) if n > 1 else now[at])
+                at += n * size if n > 1 else 1
+            now, size = out, size + 1
+        return now
+
+    rng = random.Random(21)
+    for _ in range(300):
+        group = [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 15))]
+        tokens = [rng.choice("xyz") for _ in range(rng.randrange(4))] + group * rng.randrange(1, 4) + [rng.choice("xyab") for _ in range(rng.randrange(6))]
+        got = wrappers.runs(tokens)
+        assert [(c, r) for c, r, _, _ in got] == plain(tokens)
+        assert [at for _, _, at, _ in got] == [0, *(end for _, _, _, end in got[:-1])][: len(got)] and (not got or got[-1][3] == len(tokens))
+    long_group = [f"t{k}" for k in range(40)]
+    assert [r for _, r, _, _ in wrappers.runs(["h", *long_group, *long_group, "f"])] == [False, True, False]
+
+
+def brute_wrapper(pages):
+    """Of a small host by counting tokens, without alignment: cores that are constant on
+    three and half of the distinct pages, cores that are mostly links, and the deepest
+    layout path with most letters of the others."""
+    found = [wrappers.blocks(h) for h in dict.fromkeys(pages)]
+    texts, letters, links = defaultdict(set), Counter(), Counter()
+    on = Counter()
+    for page in found:
+        for core, _, first, end in wrappers.runs([b[0] for b in page]):
+            own = page[first:end]
+            texts[core].add("\0".join(b[1] for b in own))
+            letters[core] += sum(len(b[1]) for b in own)
+            links[core] += sum(b[2] for b in own)
+        on.update({core for core, *_ in wrappers.runs([b[0] for b in page])})
+    template = {c for c in texts if len(texts[c]) == 1 and on[c] >= 3 and 2 * on[c] >= len(found)}
+    linked = {c for c in texts if c not in template and 2 * links[c] > letters[c]}
+    mass = Counter()
+    for core in texts:
+        if len(texts[core]) > 1 and 2 * links[core] <= letters[core]:
+            for one in core.split(" "):
+                parts = one.split("/")
+                mass.update({"/".join(parts[:k]): letters[core] // len(core.split(" ")) for k in range(1, len(parts) + 1)})
+    return template, linked, wrappers.deepest(mass)
+
+
+@pytest.mark.parametrize("most_items", [wrappers.MOST_ITEMS, 4])
+def test_wrappers_of_small_hosts_equal_brute_force(spark, most_items):
+    """Tokens that stand once on a page, in a fixed order, so that counting them is exact;
+    with four items an expression the rest comes from the table beside it."""
+    rng = random.Random(22)
+    rows, hosts = [], {}
+    for host in range(6):
+        boxes = [f"box{chr(97 + k)}" for k in range(rng.randrange(5, 9))]
+        fixed = {b: rng.random() < 0.4 for b in boxes}
+        linked = {b: rng.random() < 0.3 for b in boxes}
+        for page in range(rng.randrange(3, 12)):
+            html = "<body>"
+            for b in boxes:
+                if rng.random() < 0.85:
+                    text = f"Same words of {b}" if fixed[b] else f"Words {rng.random()} of page {page} in {b}"
+                    html += f"<div class='{b}'>" + (f"<a href='/'>{text}</a>" if linked[b] else text) + "</div>"
+            html += f"<div class='inner'><div class='most'>{' '.join(str(rng.random()) for _ in range(30))}</div></div></body>"
+            rows.append((len(rows), f"http://s{host}.example/{page}", html))
+            hosts.setdefault(f"s{host}.example", []).append(html)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = wrappers.infer_wrappers(df, fan=3, most_items=most_items)
+    elements = {r["host"]: r["element"] for r in wrappers.content_elements(found).collect()}
+    rest = {} if found.rest is None else {(r["host"], r["core"]): r for r in found.rest.collect()}
+    assert bool(rest) == (most_items == 4)
+    for r in found.expressions.collect():
+        template, linked, element = brute_wrapper(hosts[r["host"]])
+        assert elements[r["host"]] == element and element.endswith("div.inner/div.most")
+        own = [wrappers.Item(**i.asDict()) for i in r["items"]]
+        verdicts = {i.core: v for i, v in zip(own, wrappers.marks(own, r["pages"]), strict=True)}
+        if most_items != 4:
+            assert {c for c, v in verdicts.items() if v == wrappers.TEMPLATE} == template
+            assert {c for c, v in verdicts.items() if v == wrappers.LINKS} == linked
+        # Nothing is lost: pages and letters of both together are those of the host.
+        chars = sum(i.chars for i in own) + sum(x["chars"] for (h, _), x in rest.items() if h == r["host"])
+        assert chars == sum(len(b[1]) for html in dict.fromkeys(hosts[r["host"]]) for b in wrappers.blocks(html))
+    want = {r["page_id"]: r["text"] for r in wrappers.extract_articles(df).collect()}
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_articles(df, fan=3, most_items=most_items).collect()}
+    assert got == want and len({t for t in got.values()}) == len(rows)
+
+
+def test_on_the_tables_the_wrapper_decides_most_pages(spark):
+    """And does so without tags, roles or class words."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = wrappers.infer_wrappers(pages)
+    elements = {r["host"]: r["element"] for r in wrappers.content_elements(found).collect()}
+    known = {r["host"]: ([wrappers.Item(**i.asDict()) for i in r["items"]], r["pages"]) for r in found.expressions.collect()}
+    got = {r["page_id"]: r for r in wrappers.extract_articles(pages).collect()}
+    by_wrapper = same = 0
+    for r in pages.withColumn("host", wrappers.host_of(F.col("url"))).collect():
+        own, n = known[r["host"]]
+        if not got[r["page_id"]]["by_wrapper"]:
+            continue
+        by_wrapper += 1
+        plain = [(path, text, links, 3) for path, text, links, _ in wrappers.blocks(r["html"])]  # no block is known as furniture
+        texts, decided = wrappers.page_text(plain, [i.core for i in own], wrappers.marks(own, n), elements.get(r["host"], ""))
+        same += decided and " ".join(texts) == got[r["page_id"]]["text"]
+    assert by_wrapper >= 0.8 * len(got) and same >= 0.95 * by_wrapper
 
 
 def scrambled(html, seed):

@@ -10,17 +10,17 @@ k-th best score so far, and they return only what reaches it. Vectors and querie
 first, so a task builds the shard's forest once and streams its queries through it;
 a shard with more than ``query_block`` queries is searched by several tasks.
 
-A forest has, per tree, a sorted array of long hash strings (signs of random
-projections; inner products become angles by one more coordinate that fills vectors
-up to the shard's largest norm). A query descends each tree to its longest prefix
-match and then ascends all trees in step: at prefix length x its candidates are the
-vectors that share x leading bits in some tree. With s the k-th best similarity so
-far, a vector at least that near shares no x-bit prefix with probability
-(1 - p(s)**x)**trees, p(s) = 1 - arccos(s) / pi; the ascent goes on to the longest
-x for which this is at most ``miss``, to the whole shard if need be. So there is no
-cap on candidates, and hard data cost more instead of losing recall. Candidates are
-scored on the original vectors in double precision; a window over the queries merges
-the shards' results.
+A forest has, per tree, a sorted array of long hash strings: 64 bits drawn from a pool
+of signs of random projections (inner products become angles by one more coordinate
+that fills vectors up to the shard's largest norm). A query descends each tree to its
+longest prefix match and then all trees ascend in step: the candidates at prefix length
+x share x leading bits with the query in some tree, and between two lengths one part of
+the trees after another goes up. Where the ascent stops is measured, not assumed: the
+exact neighbours of a few of the shard's own vectors tell by which step all but ``miss``
+of them are found. It goes on where a query has less than k candidates, to the whole
+shard if need be. So there is no cap on candidates, and hard data cost more instead of
+losing recall. Candidates are scored on the original vectors in double precision; a window
+over the queries merges the shards' results.
 
 Of equal vectors only the k + 1 smallest ids can be among the k nearest of any
 query, so the others are not indexed; they are queries all the same.
@@ -43,8 +43,13 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from partweave.llm.common import stored
 
-TREES, BITS = 128, 16
-SHARD_ROWS = 65_536
+#: Trees of a shard, bits of a string, and the signs from which strings draw their bits.
+TREES, BITS, POOL = 256, 64, 1024
+#: Of a shard: rows, and bytes of its vectors as doubles.
+SHARD_ROWS, SHARD_BYTES = 32_768, 32 << 20
+#: Vectors whose exact neighbours tell where the ascent stops, and parts of the trees that
+#: go up one after another.
+MEASURED, PARTS = 64, 8
 QUERY_BLOCK = 32_768
 #: Bits of the hash string by which shards are cut.
 ORDER_BITS = 48
@@ -67,6 +72,17 @@ def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vectors / norms, norms[:, 0] * (own[:, 0] / own.max())
 
 
+def _shared(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The number of leading bits that two strings share."""
+    differ, out = a ^ b, np.zeros(np.broadcast(a, b).shape, dtype=np.int16)
+    for x in range(1, bits + 1):
+        same = differ >> np.uint64(bits - x) == 0
+        if not same.any():
+            break
+        out += same
+    return out
+
+
 class Forest:
     def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 7):
         self.vectors, self.trees, self.bits = vectors, trees, bits
@@ -74,68 +90,107 @@ class Forest:
         norms = norms / norms.max()
         #: Scaled so that the longest has length 1.
         self.small = (unit * norms[:, None]).astype(np.float32)
-        fill = np.sqrt(np.maximum(1 - norms**2, 0)).astype(np.float32)
-        self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * bits)).astype(np.float32)
-        codes = self._codes(self.small, fill)
-        self.order = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(codes.T, self.order, axis=1)
+        self.fill = np.sqrt(np.maximum(1 - norms**2, 0)).astype(np.float32)
+        rng = np.random.default_rng(seed)
+        self.planes = rng.standard_normal((vectors.shape[1] + 1, POOL)).astype(np.float32)
+        self.picks = np.stack([rng.permutation(POOL)[:bits] for _ in range(trees)])
+        codes = self._codes(self.small, self.fill).T
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(codes, self.order, axis=1)
+        self.stops: dict[tuple, tuple[int, int]] = {}
+        #: Vectors looked at, of all that a search of every query over all would look at.
+        self.looked = self.all = 0
 
     def _codes(self, vectors: np.ndarray, last: np.ndarray) -> np.ndarray:
-        weight = (1 << np.arange(self.bits)[::-1]).astype(np.float32)
-        out = np.empty((len(vectors), self.trees), dtype=np.int32)
-        for at in range(0, len(vectors), 4096):
-            part = vectors[at : at + 4096] @ self.planes[:-1] + last[at : at + 4096, None] * self.planes[-1]
-            out[at : at + 4096] = (part > 0).reshape(len(part), self.trees, self.bits) @ weight
+        out = np.empty((len(vectors), self.trees), dtype=np.uint64)
+        pad = np.zeros((1024, 64 - self.bits), dtype=bool)
+        for at in range(0, len(vectors), 1024):
+            signs = vectors[at : at + 1024] @ self.planes[:-1] + last[at : at + 1024, None] * self.planes[-1] > 0
+            for t, pick in enumerate(self.picks):
+                packed = np.packbits(np.concatenate([pad[: len(signs)], signs[:, pick]], axis=1), axis=1)
+                out[at : at + 1024, t] = packed.view(">u8")[:, 0]
         return out
 
-    def _level(self, similarity: float, miss: float) -> int:
-        """The longest prefix with which a vector that near is missed with at most ``miss``."""
-        p = 1 - np.arccos(np.clip(similarity, -1, 1)) / np.pi
-        for x in range(self.bits, 0, -1):
-            if (1 - p**x) ** self.trees <= miss:
-                return x
-        return 0
+    def stop(self, k: int, miss: float) -> tuple[int, int]:
+        """(x, t): the ascent stops at prefix length x, with the first t trees one above."""
+        if (k, miss) not in self.stops:
+            self.stops[k, miss] = self._measured(k, miss)
+        return self.stops[k, miss]
+
+    def _measured(self, k: int, miss: float) -> tuple[int, int]:
+        n = len(self.vectors)
+        if n <= 2 * k:
+            return 0, 0
+        own = np.unique(np.linspace(0, n - 1, MEASURED).astype(np.int64))
+        unit = _unit(self.vectors[own])[0].astype(np.float32)
+        scores = unit @ self.small.T
+        scores[np.arange(len(own)), own] = -np.inf
+        near = np.argpartition(-scores, k, axis=1)[:, :k]
+        asked = self._codes(unit, np.zeros(len(own), dtype=np.float32))
+        held = self._codes(self.small[near.ravel()], self.fill[near.ravel()]).reshape(len(own), k, self.trees)
+        deep = _shared(asked[:, None, :], held, self.bits)
+        # The longest match of each neighbour, over all trees and over the first parts of them.
+        parts = [self.trees * p // PARTS for p in range(1, PARTS)]
+        whole, upto = deep.max(axis=2), {t: deep[:, :, :t].max(axis=2) for t in parts if t}
+        for x in range(int(whole.max()), 0, -1):
+            for t in (0, *upto):
+                found = whole >= x if not t else (whole >= x) | (upto[t] >= x - 1)
+                if found.mean() >= 1 - miss:
+                    return x, t
+        return 0, 0
+
+    def _ranges(self, codes: np.ndarray, x: int, trees: range) -> tuple[np.ndarray, np.ndarray]:
+        """Where each query's first x bits stand, by tree."""
+        low = np.zeros((self.trees, len(codes)), dtype=np.int32)
+        high = np.zeros_like(low)
+        rest = np.uint64((1 << (self.bits - x)) - 1)
+        for t in trees:
+            lead = codes[:, t] & ~rest
+            low[t] = np.searchsorted(self.sorted[t], lead, side="left")
+            high[t] = np.searchsorted(self.sorted[t], lead | rest, side="right")
+        return low, high
 
     def search(self, queries: np.ndarray, k: int, miss: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query the rows of the k or more best found (all ties of the k-th) and their scores."""
         unit = _unit(queries)[0].astype(np.float32)
         codes = self._codes(unit, np.zeros(len(queries), dtype=np.float32))
-        low = np.zeros((self.bits + 1, self.trees, len(queries)), dtype=np.int32)
-        high = np.full_like(low, len(self.vectors))
-        for t in range(self.trees):
-            for x in range(1, self.bits + 1):
-                drop = self.bits - x
-                lead = codes[:, t] >> drop << drop
-                low[x, t] = np.searchsorted(self.sorted[t], lead, side="left")
-                high[x, t] = np.searchsorted(self.sorted[t], lead + (1 << drop), side="left")
-        found = (high - low).sum(axis=1)
-        out = []
+        x, above = self.stop(k, miss)
+        out: list = [None] * len(queries)
+        open_ = np.arange(len(queries))
         mark = np.zeros(len(self.vectors), dtype=bool)
-        for q, query in enumerate(unit):
-            deep = np.flatnonzero(found[:, q] >= 4 * k)
-            x = int(deep[-1]) if len(deep) else 0
-            rows, near = self._near(query, q, x, low, high, mark)
+        while len(open_):
             if x:
-                kth = np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else -1.0
-                need = min(x, self._level(kth, miss))
-                if need < x:
-                    rows, near = self._near(query, q, need, low, high, mark)
-            if len(rows) > k:
-                # Single precision screens; everything near the k-th stays for the exact score.
-                kth = np.partition(near, len(near) - k)[len(near) - k]
-                rows = rows[near >= kth - 1e-4]
-            # A sum by row, so that equal vectors get equal scores wherever they stand.
-            out.append((rows, (self.vectors[rows].astype(np.float64) * queries[q].astype(np.float64)).sum(axis=1)))
+                low, high = self._ranges(codes[open_], x, range(above, self.trees))
+                if above:
+                    more = self._ranges(codes[open_], x - 1, range(above))
+                    low, high = low + more[0], high + more[1]
+            left = []
+            for k_, q in enumerate(open_):
+                rows = self._union(low[:, k_], high[:, k_], mark) if x else np.arange(len(self.vectors))
+                if len(rows) < k and x:
+                    left.append(q)
+                else:
+                    out[q] = self._best(rows, unit[q], queries[q], k)
+            open_, x, above = np.array(left, dtype=np.int64), max(x - 1, 0), 0
         return out
 
-    def _near(self, query, q, x, low, high, mark) -> tuple[np.ndarray, np.ndarray]:
-        if x == 0:
-            return np.arange(len(self.vectors)), self.small @ query
-        for t in range(self.trees):
-            mark[self.order[t, low[x, t, q] : high[x, t, q]]] = True
+    def _union(self, low: np.ndarray, high: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        for t in np.flatnonzero(high > low):
+            mark[self.order[t, low[t] : high[t]]] = True
         rows = np.flatnonzero(mark)
         mark[rows] = False
-        return rows, self.small[rows] @ query
+        return rows
+
+    def _best(self, rows: np.ndarray, unit: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.looked += len(rows)
+        self.all += len(self.vectors)
+        near = (self.small[rows] if len(rows) < len(self.small) else self.small) @ unit
+        if len(rows) > k:
+            # Single precision screens; everything near the k-th stays for the exact score.
+            kth = np.partition(near, len(near) - k)[len(near) - k]
+            rows = rows[near >= kth - 1e-4]
+        # A sum by row, so that equal vectors get equal scores wherever they stand.
+        return rows, (self.vectors[rows].astype(np.float64) * query.astype(np.float64)).sum(axis=1)
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -245,10 +300,12 @@ def nearest(
     trees: int = TREES,
     bits: int = BITS,
     shard_rows: int = SHARD_ROWS,
+    shard_bytes: int = SHARD_BYTES,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row with ``is_query``
-    among all rows but its own, by inner product, ties to the smaller id."""
+    among all rows but its own, by inner product, ties to the smaller id. Of the neighbours measured in a shard at
+    most ``miss`` may be passed over."""
     of = vectors.schema[vector_col].dataType
     kept = "array<float>" if isinstance(of, ArrayType) and isinstance(of.elementType, FloatType) else "array<double>"
     rows = (
@@ -261,7 +318,7 @@ def nearest(
     same = Window.partitionBy("vector").orderBy("vec_id")
     corpus = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("row", "vec_id", "vector")
     coded = stored(corpus.mapInPandas(_strings, f"row long, vec_id long, vector {kept}, code long"), "strings")
-    dealt = stored(_sharded(coded, shard_rows), "corpus")
+    dealt = stored(_sharded(coded, shard_rows, shard_bytes), "corpus")
     directory = _directory(dealt)
     queries = rows.where("asks").select("row", "vec_id", "vector")
     columns = f"row long, vec_id long, vector {kept}, kth double, shard long"
@@ -290,9 +347,12 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _sharded(coded: DataFrame, shard_rows: int) -> DataFrame:
-    """(row, vec_id, vector, dim, shard) of about ``shard_rows`` vectors a shard."""
-    ranges = -(-coded.count() // shard_rows)
+def _sharded(coded: DataFrame, shard_rows: int, shard_bytes: int) -> DataFrame:
+    """(row, vec_id, vector, dim, shard) of about ``shard_rows`` vectors a shard, fewer
+    where these would pass ``shard_bytes`` as doubles."""
+    count, longest = coded.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    shard_rows = max(1, min(shard_rows, shard_bytes // (8 * (longest or 1))))
+    ranges = -(-count // shard_rows)
     cuts = coded.approxQuantile("code", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     at = np.unique(np.array(cuts, dtype=np.int64))
 

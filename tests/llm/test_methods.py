@@ -234,6 +234,47 @@ def test_recall_of_the_forest():
     assert hits / 1200 >= 0.9
 
 
+def measured(x, queries):
+    """(recall of the 20 nearest, share of the vectors looked at) of a forest over all rows."""
+    forest, hits = ann.Forest(x), 0
+    for q, (rows, scores) in zip(queries, forest.search(x[queries], 21, 0.05), strict=True):
+        exact = (x @ x[q]).astype(np.float64)
+        exact[q] = -np.inf
+        best = [r for r in rows[np.argsort(-scores)] if r != q][:20]
+        hits += len(set(np.argsort(-exact)[:20].tolist()) & set(best))
+    return hits / (20 * len(queries)), forest.looked / forest.all
+
+
+def test_the_forest_looks_at_a_part_of_the_vectors():
+    """The share is printed; on clusters it is small, without any it is what recall takes."""
+    rng = np.random.default_rng(5)
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").sort_values("vec_id")
+    tables = np.stack(table["embedding"].to_numpy()).astype(np.float32)
+    loose = rng.standard_normal((50_000, 64)).astype(np.float32)
+    centres = rng.standard_normal((300, 64))
+    tight = (centres[rng.integers(0, 300, 50_000)] + 0.5 * rng.standard_normal((50_000, 64))).astype(np.float32)
+    for name, x, queries, most in (("sf0.1", tables, range(0, 2000, 20), 0.7), ("50,000 without clusters", loose, range(0, 50_000, 500), 0.7), ("50,000 in clusters", tight, range(0, 50_000, 500), 0.15)):
+        recall, share = measured(x, np.array(queries))
+        print(f"{name}: recall {recall:.3f}, share looked at {share:.3f}")
+        assert recall >= 0.9 and share <= most, (name, recall, share)
+
+
+def test_prefixes_and_ranges_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    forest = ann.Forest(rng.standard_normal((400, 10)).astype(np.float32), trees=5, bits=24)
+    codes = np.empty((400, 5), dtype=np.uint64)
+    codes[forest.order.T, np.arange(5)] = forest.sorted.T
+    text = [[format(int(c), "024b") for c in row] for row in codes]
+    plain = lambda a, b: next((k for k in range(24) if a[k] != b[k]), 24)
+    shared = ann._shared(codes[:20, None, :], codes[None, :50, :], 24)
+    assert all(shared[i, j, t] == plain(text[i][t], text[j][t]) for i in range(20) for j in range(50) for t in range(5))
+    for x in (1, 3, 24):
+        low, high = forest._ranges(codes[:20], x, range(5))
+        for i in range(20):
+            for t in range(5):
+                assert set(forest.order[t, low[t, i] : high[t, i]].tolist()) == {j for j in range(400) if text[j][t][:x] == text[i][t][:x]}
+
+
 def test_shards_and_blocks_merge(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 8)).astype(np.float32)

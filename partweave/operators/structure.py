@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partweave.operators.clustering import assignment
 from partweave.operators.ordering import numbered
+from partweave.operators.ranges import window_join
 
 
 def split_by_neighbour(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -73,27 +78,63 @@ def merged_libraries(center: DataFrame, sub: DataFrame, into: DataFrame) -> tupl
     return named(kept(center), "center_m"), named(kept(sub), "sub_m")
 
 
-def similarities(sub: DataFrame, types: DataFrame, sigma: float) -> DataFrame:
-    """(part, other, similarity) of parts with equally many subparts: over all orders of the
-    other's subparts the best mean of type similarity times a normal of the distance.
-    ``types`` is (m, other, s); what it lacks is 0. Recursive: a layer's result is the
-    next layer's ``types``."""
-    lists = sub.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("idx", "sub_m", "dx", "dy"))).alias("subs"))
-    sizes = sorted(r[0] for r in lists.select(F.size("subs")).distinct().collect())  # of a part: a handful of numbers
-    scored = None
-    for n in sizes:
-        own = lists.where(F.size("subs") == n)
-        order = F.explode(F.array(*[F.array(*map(F.lit, o)) for o in permutations(range(n))]))
-        other = own.select(F.col("part").alias("other"), F.col("subs").alias("o_subs"), order.alias("o"))
-        # A library's parts of one size: a model, not data.
-        pairs = own.crossJoin(other).select("part", "other", "o", F.explode(F.arrays_zip("subs", F.transform("o", lambda k: F.col("o_subs")[k]).alias("turned"))).alias("z"))
-        a, b = F.col("z.subs"), F.col("z.turned")
-        d2 = (a["dx"] - b["dx"]) * (a["dx"] - b["dx"]) + (a["dy"] - b["dy"]) * (a["dy"] - b["dy"])
-        each = pairs.select("part", "other", "o", a["sub_m"].alias("m"), b["sub_m"].alias("t"), F.exp(-d2 / (2.0 * sigma * sigma)).alias("near"))
-        met = each.join(types.withColumnRenamed("other", "t"), ["m", "t"], "left").groupBy("part", "other", "o").agg(F.avg(F.coalesce("s", F.lit(0.0)) * F.col("near")).alias("mean"))
-        best = met.groupBy("part", "other").agg(F.max("mean").alias("similarity"))
-        scored = best if scored is None else scored.unionByName(best)
-    return scored
+def mask_similarities(masks: DataFrame) -> DataFrame:
+    """(m, other, s): the normalised correlation of the masks (m, x, y, v) of two types."""
+    other = masks.select(F.col("m").alias("other"), "x", "y", F.col("v").alias("w"))
+    size = masks.groupBy("m").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    dots = masks.join(other, ["x", "y"]).groupBy("m", "other").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    met = dots.join(size, "m").join(size.select(F.col("m").alias("other"), F.col("size").alias("o_size")), "other")
+    return met.select("m", "other", F.try_divide("dot", F.col("size") * F.col("o_size")).alias("s")).where("s IS NOT NULL")
+
+
+def similarities(sub: DataFrame, types: DataFrame, sigma: float, least: float) -> DataFrame:
+    """(part, other, similarity) of parts with equally many subparts that are similar by
+    ``least`` or more: over all matchings of their subparts the best mean of type
+    similarity times a normal of the distance. ``types`` is (m, other, s); what it lacks
+    is 0. Recursive: a layer's result is the next layer's ``types``.
+
+    A mean of ``least`` takes one pair of subparts as similar as that, so parts meet only
+    where such a pair does: in cells as wide as its distance can be. What meets is
+    matched exactly, by assignment."""
+    if not least > 0:
+        raise ValueError("parts meet by a least similarity above 0")
+    lists = sub.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("idx", "sub_m", "dx", "dy"))).alias("subs")).withColumn("n", F.size("subs"))
+    strongest = types.agg(F.max("s")).first()[0]  # one number
+    if strongest is None or strongest < least:
+        return lists.select("part", F.col("part").alias("other"), F.lit(0.0).alias("similarity")).where("false")
+    reach = int(sigma * (2 * math.log(strongest / least)) ** 0.5) + 1
+    places = sub.join(lists.select("part", "n"), "part").select("part", "n", "sub_m", F.col("dx").alias("x"), F.col("dy").alias("y"))
+    asked = places.join(types.where(F.col("s") >= least).select(F.col("m").alias("sub_m"), F.col("other").alias("t"), "s"), "sub_m").select("part", "n", "t", "s", "x", "y")
+    met = window_join(asked, places.select("n", F.col("sub_m").alias("t"), "x", "y", F.col("part").alias("other")), ["n", "t"], reach, reach)
+    d2 = (F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y"))
+    near = met.where(F.col("s") * F.exp(-d2 / (2.0 * sigma * sigma)) >= least * (1 - 1e-9))
+    pairs = near.select("part", F.col("o_other").alias("other")).distinct()
+    # Scores of all pairs of subparts of two parts: a small square, computed in the row. A
+    # subpart carries the similarities of its type, as many as ``types`` has for it.
+    of_type = types.groupBy("m").agg(F.collect_list(F.struct("other", "s")).alias("alike"))
+    known = sub.join(of_type.withColumnRenamed("m", "sub_m"), "sub_m", "left").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("idx", "dx", "dy", "alike"))).alias("subs"))
+    both = pairs.join(known, "part").join(lists.select(F.col("part").alias("other"), F.col("subs").alias("o_subs")), "other")
+
+    def cell(own, other):
+        gap = (own["dx"] - other["dx"]) * (own["dx"] - other["dx"]) + (own["dy"] - other["dy"]) * (own["dy"] - other["dy"])
+        s = F.get(F.filter(own["alike"], lambda e: e["other"] == other["sub_m"]), F.lit(0))["s"]
+        return F.coalesce(s, F.lit(0.0)) * F.exp(-gap / (2.0 * sigma * sigma))
+
+    square = both.select("part", "other", F.transform("subs", lambda own: F.transform("o_subs", lambda other: cell(own, other))).alias("cells"))
+    # No matching is better than each subpart with its best partner.
+    bound = F.aggregate("cells", F.lit(0.0), lambda t, row: t + F.array_max(row)) / F.size("cells")
+    square = square.where(bound >= least * (1 - 1e-9))
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for own in frame["cells"]:
+                v = np.stack(list(own))
+                found.append(float(v[np.arange(len(v)), assignment(1 - v)].mean()))
+            yield frame[["part", "other"]].assign(similarity=found)
+
+    kind = sub.schema["part"].dataType.simpleString()
+    return square.mapInPandas(best, f"part {kind}, other {kind}, similarity double").where(F.col("similarity") >= least)
 
 
 def similarity_roots(similar: DataFrame, least: float) -> DataFrame:

@@ -11,7 +11,7 @@ from partweave.plans.spatial_queries import _BEST
 from partweave.sources import exports as ex
 from partweave.sources import projections as p
 from partweave.sources import text as tx
-from partweave.sources.projections import with_views
+from partweave.sources.projections import with_library, with_views
 from partweave.sources.scratch import new_path
 
 
@@ -98,15 +98,13 @@ def type_table(spark, d):
 
 
 @query(
-    with_views(
-        """SELECT c.part, '{"part":' || c.part || ',"center_m":' || center_m || ',"bp":' || bp || ',"subparts":[' || (SELECT string_agg('{"idx":' || idx || ',"sub_m":' || sub_m || ',"dx":' || dx || ',"dy":' || dy || '}', ',' ORDER BY idx)
-        FROM lib_sub s WHERE s.part = c.part) || ']}' AS json FROM lib_center c""",
-        "lib_center",
-        "lib_sub",
+    with_library(
+        """SELECT c.part, '{"part":' || c.part || ',"center_m":' || center_m || ',"bp":' || bp || ',"subparts":[' || coalesce((SELECT string_agg('{"idx":' || idx || ',"sub_m":' || sub_m || ',"dx":' || dx || ',"dy":' || dy || '}', ',' ORDER BY idx)
+        FROM lib_sub s WHERE s.part = c.part), '') || ']}' AS json FROM lib_center c"""
     )
 )
 def part_json(spark, d):
-    return ex.part_json(p.lib_center(spark), p.lib_sub(spark))
+    return ex.part_json(p.part_center(spark, d), p.part_sub(spark, d))
 
 
 def _written(rows, name):

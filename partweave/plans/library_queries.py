@@ -13,20 +13,21 @@ from partweave.operators import paths as pt
 from partweave.plans.inference_queries import ALL, BEST, CAND
 from partweave.plans.registry import query, r6, rounded
 from partweave.sources import projections as p
-from partweave.sources.projections import with_views
+from partweave.sources.projections import with_library, with_views
 
 LIB = ("lib_center", "lib_sub")
 
 
-@query(with_views("SELECT c.part, c.center_m || coalesce('|' || (SELECT string_agg(sub_m || ':' || dx || ':' || dy, '|' ORDER BY idx) FROM lib_sub s WHERE s.part = c.part), '') AS structure FROM lib_center c", *LIB))
+@query(with_library("SELECT c.part, c.center_m || coalesce('|' || (SELECT string_agg(sub_m || ':' || dx || ':' || dy, '|' ORDER BY idx) FROM lib_sub s WHERE s.part = c.part), '') AS structure FROM lib_center c"))
 def part_structures(spark, d):
-    return lb.structures(p.lib_center(spark), p.lib_sub(spark))
+    return lb.structures(p.part_center(spark, d), p.part_sub(spark, d))
 
 
-@query(with_views("SELECT DISTINCT part, dx, dy, unnest([sub_m, (sub_m + 3) % 6]) AS m FROM lib_sub", *LIB))
+@query(with_library("SELECT DISTINCT part, dx, dy, unnest([sub_m, (sub_m + 3) % 6]) AS m FROM lib_sub"))
 def similar_offsets(spark, d):
-    similar = spark.range(6).select(F.col("id").cast("int").alias("m"), ((F.col("id") + 3) % 6).cast("int").alias("other"))
-    return lb.similar_offsets(p.lib_sub(spark), similar)
+    sub = p.part_sub(spark, d)
+    similar = sub.select(F.col("sub_m").alias("m"), ((F.col("sub_m") + 3) % 6).alias("other")).distinct()
+    return lb.similar_offsets(sub, similar)
 
 
 @query("SELECT n_nationkey AS m, n_nationkey // 4 * 4 AS root, CAST(CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey // 4 ELSE -1 END AS INT) AS number FROM nation")
@@ -39,54 +40,48 @@ USES = "uses AS (SELECT part, center_m AS m FROM lib_center UNION ALL SELECT par
 
 
 @query(
-    with_views(
+    with_library(
         f"""WITH {USES}, one AS (SELECT part AS m, count(*) AS n FROM uses GROUP BY part), two AS (SELECT u.part AS m, sum(coalesce(o.n, 1)) AS n FROM uses u LEFT JOIN one o USING (m) GROUP BY u.part)
-        SELECT CAST(m AS INT) AS part, CAST(n AS BIGINT) AS n FROM two""",
-        *LIB,
+        SELECT CAST(m AS INT) AS part, CAST(n AS BIGINT) AS n FROM two"""
     )
 )
 def part_leaf_counts(spark, d):
-    return lb.part_leaves(p.lib_center(spark), p.lib_sub(spark), 2)
+    return lb.part_leaves(p.part_center(spark, d), p.part_sub(spark, d), 2)
 
 
-MASKS = """WITH first AS (SELECT m, x, y, exp(-(x * x + y * y) / 2.0) AS v FROM range(6) AS a(m), range(-1, 2) AS b(x), range(-1, 2) AS c(y)),
-uses AS (SELECT part, center_m AS m, 0 AS dx, 0 AS dy FROM lib_center UNION ALL SELECT part, sub_m, dx, dy FROM lib_sub),
-one AS (SELECT part AS m, f.x + dx AS x, f.y + dy AS y, max(v) AS v FROM uses u JOIN first f USING (m) GROUP BY 1, 2, 3),
+MASKS = """WITH uses AS (SELECT part, center_m AS m, 0 AS dx, 0 AS dy FROM lib_center UNION ALL SELECT part, sub_m, dx, dy FROM lib_sub),
+one AS (SELECT part AS m, f.x + dx AS x, f.y + dy AS y, max(v) AS v FROM uses u JOIN masks f USING (m) GROUP BY 1, 2, 3),
 two AS (SELECT part, o.x + 2 * dx AS x, o.y + 2 * dy AS y, max(v) AS v FROM uses u JOIN one o USING (m) GROUP BY 1, 2, 3)"""
 
 
-def _masks(spark):
-    side = F.sequence(F.lit(-1), F.lit(1))
-    first = spark.range(6).select(F.col("id").cast("int").alias("m")).withColumn("x", F.explode(side)).withColumn("y", F.explode(side))
-    first = first.withColumn("v", F.exp(-(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / 2.0))
-    return lb.masks(p.lib_center(spark), p.lib_sub(spark), first, 2, contraction=2)
+def _masks(spark, d):
+    return lb.masks(p.part_center(spark, d), p.part_sub(spark, d), p.type_masks(spark, d), 2, contraction=2)
 
 
-@query(with_views(MASKS + " SELECT part, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(v, 6) AS v FROM two", *LIB))
+@query(with_library(MASKS + " SELECT part, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(v, 6) AS v FROM two"))
 def part_masks(spark, d):
-    return rounded(_masks(spark), "v")
+    return rounded(_masks(spark, d), "v")
 
 
-@query(with_views(MASKS + " SELECT part, count(*) AS n_cells, round(avg(x), 6) AS mx, round(avg(y), 6) AS my FROM two WHERE v >= 0.5 GROUP BY part", *LIB))
+@query(with_library(MASKS + " SELECT part, count(*) AS n_cells, round(avg(x), 6) AS mx, round(avg(y), 6) AS my FROM two WHERE v >= 0.5 GROUP BY part"))
 def part_regions(spark, d):
-    return rounded(lb.regions(_masks(spark), 0.5), "mx", "my")
+    return rounded(lb.regions(_masks(spark, d), 0.5), "mx", "my")
 
 
 @query(
-    with_views(
+    with_library(
         MASKS + """, c AS (SELECT part, list(DISTINCT x * 1000 + y ORDER BY x * 1000 + y) AS cells FROM two WHERE v >= 0.5 GROUP BY part)
-        SELECT part, min(part) OVER (PARTITION BY cells) AS same_as FROM c""",
-        *LIB,
+        SELECT part, min(part) OVER (PARTITION BY cells) AS same_as FROM c"""
     )
 )
 def equal_part_regions(spark, d):
-    return lb.equal_regions(_masks(spark), 0.5)
+    return lb.equal_regions(_masks(spark, d), 0.5)
 
 
-@query(with_views("SELECT part, CASE WHEN part % 2 = 0 THEN 'cat' || part ELSE '' END AS name FROM lib_center", "lib_center"))
+@query(with_library("SELECT c.part, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS name FROM lib_center c JOIN part ON c.part = p_partkey"))
 def category_names(spark, d):
-    names = spark.range(0, 6, 2).select(F.col("id").cast("int").alias("m"), F.concat(F.lit("cat"), "id").alias("name"))
-    return lb.category_names(p.lib_center(spark), names)
+    names = spark.read.parquet(f"{d}/part.parquet").where("p_size % 2 = 0").select(F.col("p_partkey").cast("int").alias("m"), F.col("p_brand").alias("name"))
+    return lb.category_names(p.part_center(spark, d), names)
 
 
 VARIANTS = "(VALUES (0.8), (1.0), (1.2)) AS f(f), (VALUES (0, 0), (1, 0), (0, 1)) AS s(sx, sy)"

@@ -16,9 +16,8 @@ from partweave.operators import suppression as su
 from partweave.plans.graph_queries import LEAVES
 from partweave.plans.registry import query, r6, rounded
 from partweave.sources import projections as p
-from partweave.sources.projections import with_views
+from partweave.sources.projections import with_library, with_views
 
-LIB = ("lib_center", "lib_sub")
 
 
 @query(
@@ -185,45 +184,47 @@ def uncovered_types(spark, d):
 
 
 @query(
-    with_views(
+    with_library(
         """WITH map AS (SELECT part, part // 2 AS "to" FROM lib_center), first AS (SELECT "to", min(part) AS part FROM map GROUP BY "to")
-        SELECT f."to" AS part, idx, coalesce(t."to", sub_m) AS sub_m, dx, dy FROM lib_sub s JOIN first f ON s.part = f.part LEFT JOIN map t ON t.part = s.sub_m""",
-        *LIB,
+        SELECT f."to" AS part, idx, coalesce(t."to", sub_m) AS sub_m, dx, dy FROM lib_sub s JOIN first f ON s.part = f.part LEFT JOIN map t ON t.part = s.sub_m"""
     )
 )
 def merged_libraries(spark, d):
-    into = p.lib_center(spark).select("part", F.expr("CAST(part DIV 2 AS INT)").alias("to"))
-    return st.merged_libraries(p.lib_center(spark), p.lib_sub(spark), into)[1].select("part", "idx", "sub_m", "dx", "dy")
+    center = p.part_center(spark, d)
+    into = center.select("part", F.expr("CAST(part DIV 2 AS INT)").alias("to"))
+    return st.merged_libraries(center, p.part_sub(spark, d), into)[1].select("part", "idx", "sub_m", "dx", "dy")
 
 
-TYPE_SIMILARITY = "types AS (SELECT CAST(a AS INT) AS m, CAST(b AS INT) AS t, CASE WHEN a = b THEN 1.0 WHEN abs(a - b) = 3 THEN 0.5 ELSE 0.0 END AS s FROM range(6) r(a), range(6) q(b))"
-SIMILAR = f"""WITH {TYPE_SIMILARITY}, n AS (SELECT part, count(*) AS n FROM lib_sub GROUP BY part),
-turned AS (SELECT part, idx, idx AS turn_idx, 0 AS o FROM lib_sub UNION ALL SELECT s.part, idx, n.n + 1 - idx, 1 FROM lib_sub s JOIN n ON s.part = n.part),
-each AS (SELECT a.part, b.part AS other, t.o, avg(y.s * exp(-((a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy)) / 32.0)) AS mean FROM lib_sub a JOIN n na ON na.part = a.part
-  JOIN turned t ON t.idx = a.idx JOIN lib_sub b ON b.part = t.part AND b.idx = t.turn_idx JOIN n nb ON nb.part = b.part AND nb.n = na.n JOIN types y ON y.m = a.sub_m AND y.t = b.sub_m GROUP BY 1, 2, 3),
-alike AS (SELECT part, other, max(mean) AS similarity FROM each GROUP BY 1, 2)"""
+#: Types are as similar as their masks correlate; parts by the best matching of their subparts.
+SIMILAR = """WITH types AS (SELECT a.m, b.m AS t, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS s FROM masks a JOIN masks b USING (x, y) GROUP BY 1, 2),
+n AS (SELECT part, count(*) AS n FROM lib_sub GROUP BY part), sized AS (SELECT s.*, n FROM lib_sub s JOIN n USING (part)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY idx) AS k FROM sized),
+orders AS (SELECT * FROM (VALUES (1, 0, 1, 1), (2, 0, 1, 1), (2, 0, 2, 2), (2, 1, 1, 2), (2, 1, 2, 1), (3, 0, 1, 1), (3, 0, 2, 2), (3, 0, 3, 3), (3, 1, 1, 1), (3, 1, 2, 3), (3, 1, 3, 2), (3, 2, 1, 2), (3, 2, 2, 1), (3, 2, 3, 3),
+  (3, 3, 1, 2), (3, 3, 2, 3), (3, 3, 3, 1), (3, 4, 1, 3), (3, 4, 2, 1), (3, 4, 3, 2), (3, 5, 1, 3), (3, 5, 2, 2), (3, 5, 3, 1)) AS v(n, o, k, l)),
+each AS (SELECT a.part, b.part AS other, o, avg(y.s * exp(-((a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy)) / 8.0)) AS mean FROM placed a JOIN orders USING (n, k)
+  JOIN placed b ON b.n = a.n AND b.k = l JOIN types y ON y.m = a.sub_m AND y.t = b.sub_m GROUP BY 1, 2, 3),
+alike AS (SELECT part, other, max(mean) AS similarity FROM each GROUP BY 1, 2 HAVING max(mean) >= 0.8)"""
 
 
-def _similarities(spark):
-    types = spark.range(6).select(F.col("id").cast("int").alias("m")).crossJoin(spark.range(6).select(F.col("id").cast("int").alias("other")))
-    s = F.when(F.col("m") == F.col("other"), 1.0).when(F.abs(F.col("m") - F.col("other")) == 3, 0.5).otherwise(0.0)
-    return st.similarities(p.lib_sub(spark), types.withColumn("s", s), 4.0)
+def _similarities(spark, d):
+    return st.similarities(p.part_sub(spark, d), st.mask_similarities(p.type_masks(spark, d)), 2.0, 0.8)
 
 
-@query(with_views(SIMILAR + " SELECT part, other, round(similarity, 6) AS similarity FROM alike", *LIB))
+@query(with_library(SIMILAR + " SELECT part, other, round(similarity, 6) AS similarity FROM alike"))
 def part_similarities(spark, d):
-    return rounded(_similarities(spark), "similarity")
+    return rounded(_similarities(spark, d), "similarity")
 
 
-@query(with_views(SIMILAR + " SELECT part, min(other) AS root FROM alike WHERE similarity >= 0.05 GROUP BY part", *LIB))
+@query(with_library(SIMILAR + " SELECT part, min(other) AS root FROM alike GROUP BY part"))
 def similarity_roots(spark, d):
-    return st.similarity_roots(_similarities(spark), 0.05)
+    return st.similarity_roots(_similarities(spark, d), 0.8)
 
 
-@query(with_views("SELECT part, CAST(6 + dense_rank() OVER (ORDER BY name) - 1 AS INT) AS category FROM (SELECT part, CASE WHEN bp = 3 THEN 'large' ELSE 'small' END AS name FROM lib_center)", *LIB))
+@query(with_library("SELECT part, CAST((SELECT max(part) FROM lib_center) + dense_rank() OVER (ORDER BY name) AS INT) AS category FROM (SELECT part, CASE WHEN bp = 3 THEN 'large' ELSE 'small' END AS name FROM lib_center)"))
 def category_parts(spark, d):
-    members = p.lib_center(spark).select("part", F.when(F.col("bp") == 3, "large").otherwise("small").alias("name"))
-    return st.with_categories(p.lib_center(spark), members)
+    center = p.part_center(spark, d)
+    members = center.select("part", F.when(F.col("bp") == 3, "large").otherwise("small").alias("name"))
+    return st.with_categories(center, members)
 
 
 @query("SELECT p_partkey AS part, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS kept FROM part")
@@ -232,20 +233,16 @@ def redundant_parts(spark, d):
     return st.redundant(named)
 
 
-@query(
-    with_views(
-        "SELECT part, min(x0) AS llx, max(x0) AS urx, min(y0) AS lly, max(y0) AS ury FROM (SELECT part, 0 AS x0, 0 AS y0 FROM lib_center UNION ALL SELECT part, dx, dy FROM lib_sub) GROUP BY part", *LIB
-    )
-)
+@query(with_library("SELECT part, min(x0) AS llx, max(x0) AS urx, min(y0) AS lly, max(y0) AS ury FROM (SELECT part, 0 AS x0, 0 AS y0 FROM lib_center UNION ALL SELECT part, dx, dy FROM lib_sub) GROUP BY part"))
 def part_extents(spark, d):
     """Bounding boxes of the library's geometry around its centres."""
-    points = p.lib_center(spark).select("part", F.lit(0).alias("x"), F.lit(0).alias("y")).unionByName(p.lib_sub(spark).select("part", F.col("dx").alias("x"), F.col("dy").alias("y")))
+    points = p.part_center(spark, d).select("part", F.lit(0).alias("x"), F.lit(0).alias("y")).unionByName(p.part_sub(spark, d).select("part", F.col("dx").alias("x"), F.col("dy").alias("y")))
     return points.groupBy("part").agg(F.min("x").alias("llx"), F.max("x").alias("urx"), F.min("y").alias("lly"), F.max("y").alias("ury"))
 
 
-@query(with_views("SELECT a.sub_m AS a, b.sub_m AS b, count(*) AS n FROM lib_sub a JOIN lib_sub b ON a.part = b.part AND a.idx < b.idx GROUP BY 1, 2", *LIB))
+@query(with_library("SELECT a.sub_m AS a, b.sub_m AS b, count(*) AS n FROM lib_sub a JOIN lib_sub b ON a.part = b.part AND a.idx < b.idx GROUP BY 1, 2"))
 def subpart_pairs(spark, d):
-    sub = p.lib_sub(spark)
+    sub = p.part_sub(spark, d)
     other = sub.select("part", F.col("idx").alias("o"), F.col("sub_m").alias("b"))
     return sub.join(other, "part").where("idx < o").groupBy(F.col("sub_m").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
 
@@ -525,14 +522,15 @@ def types_by_category(spark, d):
 
 @query(
     with_views(
-        """SELECT CAST(a AS INT) AS bin, CAST(b AS INT) AS other, round(exp(-least(abs(a - b), 8 - abs(a - b)) * least(abs(a - b), 8 - abs(a - b)) / 2.0), 6) AS w FROM range(8) r(a), range(8) q(b)""",
-        "lib_center",
+        """WITH b AS (SELECT image_id, y // 16 * 4 + x // 16 AS bin, avg(x) AS cx, avg(y) AS cy FROM nodes GROUP BY 1, 2)
+        SELECT a.image_id, CAST(a.bin AS INT) AS bin, CAST(b.bin AS INT) AS other, round(exp(-((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) / 512.0), 6) AS w
+        FROM b a JOIN b USING (image_id) WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 576""",
+        "nodes",
     )
 )
 def bin_weights(spark, d):
-    """Weights between the bins of a circle, a fixed table of eight by eight."""
-    bins = spark.range(8).select(F.col("id").cast("int").alias("bin"))
-    pairs = bins.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    gap = F.abs(F.col("bin") - F.col("other"))
-    near = F.least(gap, 8 - gap)
-    return pairs.select("bin", "other", r6(F.exp(-near * near / 2.0)).alias("w"))
+    """Gaussian weights between the bins of an image whose centroids lie within 24 pixels."""
+    bins = p.nodes(spark, d).groupBy("image_id", F.expr("CAST(y DIV 16 * 4 + x DIV 16 AS INT)").alias("bin")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    other = bins.select("image_id", F.col("bin").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    d2 = (F.col("cx") - F.col("ox")) * (F.col("cx") - F.col("ox")) + (F.col("cy") - F.col("oy")) * (F.col("cy") - F.col("oy"))
+    return bins.join(other, "image_id").where(d2 <= 576).select("image_id", "bin", "other", r6(F.exp(-d2 / 512.0)).alias("w"))

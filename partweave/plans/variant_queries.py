@@ -13,7 +13,7 @@ from partweave.plans.inference_queries import ALL, CAND, RESP
 from partweave.plans.library_queries import PATHS, _path_maps
 from partweave.plans.registry import query, r6, rounded
 from partweave.sources import projections as p
-from partweave.sources.projections import with_views
+from partweave.sources.projections import with_library, with_views
 
 SLID = (
     CAND
@@ -131,14 +131,13 @@ def angle_classes(spark, d):
 
 
 @query(
-    with_views(
+    with_library(
         """WITH more AS (SELECT part, sub_m, -dx AS dx, -dy AS dy FROM lib_sub WHERE idx = 1), last AS (SELECT part, max(idx) AS last FROM lib_sub GROUP BY part)
-        SELECT part, idx, sub_m, dx, dy FROM lib_sub UNION ALL SELECT m.part, CAST(last + row_number() OVER (PARTITION BY m.part ORDER BY sub_m, dx, dy) AS INT), sub_m, dx, dy FROM more m JOIN last l ON l.part = m.part""",
-        "lib_sub",
+        SELECT part, idx, sub_m, dx, dy FROM lib_sub UNION ALL SELECT m.part, CAST(last + row_number() OVER (PARTITION BY m.part ORDER BY sub_m, dx, dy) AS INT), sub_m, dx, dy FROM more m JOIN last l ON l.part = m.part"""
     )
 )
 def extended_parts(spark, d):
-    sub = p.lib_sub(spark)
+    sub = p.part_sub(spark, d)
     more = sub.where("idx = 1").select("part", "sub_m", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"))
     return va.extended_parts(sub, more)
 

@@ -76,7 +76,8 @@ def type_table(nodes: DataFrame, types: list[int]) -> DataFrame:
 
 
 def part_json(lib_center: DataFrame, lib_sub: DataFrame) -> DataFrame:
-    """(part, json): a part with its subparts as JSON."""
+    """(part, json): a part with its subparts as JSON, an empty list if it has none."""
     subs = lib_sub.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("idx", "sub_m", "dx", "dy"))).alias("subparts"))
     full = lib_center.join(subs, "part", "left")
-    return full.select("part", F.to_json(F.struct("part", "center_m", "bp", "subparts")).alias("json"))
+    held = F.coalesce("subparts", F.array().cast(subs.schema["subparts"].dataType)).alias("subparts")
+    return full.select("part", F.to_json(F.struct("part", "center_m", "bp", held)).alias("json"))

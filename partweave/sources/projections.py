@@ -139,6 +139,32 @@ def lib_sub(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LIB_SUB_ROWS, "part int, idx int, sub_m int, dx int, dy int")
 
 
+def part_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library that grows with the tables: a part for each row of ``part``."""
+    return _table(spark, sf_dir, "part").selectExpr(
+        "CAST(p_partkey AS INT) AS part", "CAST(p_size % 6 AS INT) AS center_m", "CAST(p_size % 3 - 1 AS INT) AS cmx", "CAST(p_partkey % 3 - 1 AS INT) AS cmy", "CAST(2 + p_size % 2 AS INT) AS bp"
+    )
+
+
+def part_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its subparts, one to three a part, from the part's first lines."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_linenumber <= 1 + l_partkey % 3")
+    return lines.groupBy(F.col("l_partkey").cast("int").alias("part"), F.col("l_linenumber").cast("int").alias("idx")).agg(
+        F.expr("CAST(min(l_suppkey + l_orderkey) % 6 AS INT)").alias("sub_m"), F.expr("CAST(min(l_orderkey) % 11 - 5 AS INT)").alias("dx"), F.expr("CAST(max(l_orderkey) % 11 - 5 AS INT)").alias("dy")
+    )
+
+
+def type_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(m, x, y, v): how often a node of the lowest layer has another one at each place
+    around it, by its type: the masks of the six types that the library is made of."""
+    own = nodes(spark, sf_dir).where("m < 6").select("image_id", "m", "x", "y")
+    around = own.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    taken = nodes(spark, sf_dir).select("image_id", F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    aims = around.withColumns({"px": F.col("x") + F.col("i"), "py": F.col("y") + F.col("j")})
+    hit = aims.join(taken.withColumn("hit", F.lit(1)), ["image_id", "px", "py"], "left")
+    return hit.groupBy("m", F.col("i").alias("x"), F.col("j").alias("y")).agg((F.count("hit") / F.count(F.lit(1))).alias("v"))
+
+
 def kernel(spark: SparkSession) -> DataFrame:
     side = F.sequence(F.lit(-2), F.lit(2))
     return (
@@ -182,6 +208,24 @@ SQL = {
 }
 
 
+#: The library that grows with the tables, under the names of the fixed one.
+LIBRARY = {
+    "lib_center": """SELECT CAST(p_partkey AS INT) AS part, CAST(p_size % 6 AS INT) AS center_m, CAST(p_size % 3 - 1 AS INT) AS cmx, CAST(p_partkey % 3 - 1 AS INT) AS cmy,
+        CAST(2 + p_size % 2 AS INT) AS bp FROM part""",
+    "lib_sub": """SELECT CAST(l_partkey AS INT) AS part, CAST(l_linenumber AS INT) AS idx, CAST(min(l_suppkey + l_orderkey) % 6 AS INT) AS sub_m, CAST(min(l_orderkey) % 11 - 5 AS INT) AS dx,
+        CAST(max(l_orderkey) % 11 - 5 AS INT) AS dy FROM lineitem WHERE l_linenumber <= 1 + l_partkey % 3 GROUP BY 1, 2""",
+    "masks": f"""SELECT a.m, i AS x, j AS y, count(t.x) * 1.0 / count(*) AS v FROM (SELECT image_id, m, x, y, i, j FROM ({SQL["nodes"]}), range(-1, 2) AS r(i), range(-1, 2) AS s(j) WHERE m < 6) a
+        LEFT JOIN (SELECT DISTINCT image_id, x, y FROM ({SQL["nodes"]})) t ON a.image_id = t.image_id AND t.x = a.x + i AND t.y = a.y + j GROUP BY a.m, i, j""",
+}
+
+
+def with_library(sql: str) -> str:
+    """``sql`` with the library that grows with the tables, and the masks of its types."""
+    views = ", ".join(f"{n} AS ({q})" for n, q in LIBRARY.items())
+    body = sql.strip()
+    return f"WITH {views}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views} {body}"
+
+
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """``sql`` with the named relations as common table expressions."""
     views = ", ".join(f"{n} AS ({SQL[n]})" for n in names)

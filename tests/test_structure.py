@@ -86,11 +86,36 @@ def test_similarities_look_at_all_orders(spark):
     types = [(a, a, 1.0) for a in range(4)]
     got = {
         (r.part, r.other): r.similarity
-        for r in structure.similarities(spark.createDataFrame(sub, "part int, idx int, sub_m int, dx int, dy int"), spark.createDataFrame(types, "m int, other int, s double"), 2.0).collect()
+        for r in structure.similarities(spark.createDataFrame(sub, "part int, idx int, sub_m int, dx int, dy int"), spark.createDataFrame(types, "m int, other int, s double"), 2.0, 0.05).collect()
     }
     assert got[0, 1] == got[1, 0] == got[0, 0] == got[2, 2] == pytest.approx(1) and (0, 2) not in got
 
 
+def test_similarities_equal_all_pairs_and_orders(spark):
+    rng = random.Random(3)
+    subs = {k: [(rng.randrange(4), rng.randrange(-5, 6), rng.randrange(-5, 6)) for _ in range(rng.randrange(1, 5))] for k in range(25)}
+    table = {(a, b): 1.0 if a == b else rng.random() for a in range(4) for b in range(4) if rng.random() < 0.8}
+    sub = spark.createDataFrame([(k, i, *t) for k, own in subs.items() for i, t in enumerate(own)], "part int, idx int, sub_m int, dx int, dy int")
+    types = spark.createDataFrame([(a, b, s) for (a, b), s in table.items()], "m int, other int, s double")
+    for least in (0.1, 0.4):
+        want = {}
+        for a, b in itertools.product(subs, subs):
+            if len(subs[a]) == len(subs[b]):
+                term = lambda p, q: table.get((p[0], q[0]), 0.0) * np.exp(-((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) / 8)
+                best = max(np.mean([term(p, q) for p, q in zip(subs[a], o, strict=True)]) for o in itertools.permutations(subs[b]))
+                if best >= least:
+                    want[a, b] = best
+        got = {(r.part, r.other): r.similarity for r in structure.similarities(sub, types, 2.0, least).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_mask_similarities_are_normalised_correlations(spark):
+    masks = {0: {(0, 0): 1.0, (1, 0): 0.5}, 1: {(0, 0): 0.2, (1, 0): 0.1}, 2: {(0, 1): 1.0}, 3: {(0, 0): 0.0}}
+    rows = [(m, x, y, v) for m, own in masks.items() for (x, y), v in own.items()]
+    got = {(r.m, r.other): r.s for r in structure.mask_similarities(spark.createDataFrame(rows, "m int, x int, y int, v double")).collect()}
+    assert got[0, 1] == pytest.approx(1) and (0, 2) not in got and not [k for k in got if 3 in k]
+
+
 def test_repeated_batches_replace_what_they_wrote(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, 5.0, "a"), (1, 2, 90.0, "a"), (2, 3, 7.0, "b")], "user_id long, event_id long, value double, m string").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -7,11 +7,13 @@ agree in a band share a bucket.
 
 Candidates are the pairs that share a bucket, never closures of it. So that sets
 travel few times, a class has a home: of the largest buckets of the classes that it
-meets the one that most have. A home whose sets are over ``block_weight`` is split by a hash. A class goes to the task of each pair (its home, the
-home of a class that shares a bucket with it), and a task compares the members of the one
-home with those of the other, so each pair meets in exactly one task. A hot bucket thus
-becomes pairs of blocks, and a chain of documents that are each near their neighbours
-only becomes as many small tasks as it has links.
+meets the one that most have. A home whose sets are over ``block_weight`` is split by a
+hash. A class goes to the task of each pair (its home, the home of a class that shares a
+bucket with it), one row each, and a task compares the members of the one home with those
+of the other, so each pair meets in exactly one task. A hot bucket thus becomes pairs of
+blocks, and a chain of documents that are each near their neighbours only becomes as many
+small tasks as it has links. Signatures go to the tasks first; a task names the members of
+which some pair is not ruled out, and only their sets follow.
 
 Within a task MinHash values are read a few at a time, and a pair is dropped as soon
 as the posterior probability (uniform prior) that its similarity reaches the
@@ -35,7 +37,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partweave.llm.common import arrow_pass, stored
@@ -104,19 +106,31 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The members' shingle sets; of a repeated row one is enough."""
-    seen: set[int] = set()
+    """The members' shingle sets, a row a task. Rows of one text follow one another, and its
+    set is computed once; of a repeated row one is enough."""
+    seen: set[tuple] = set()
+    last: tuple[bytes | None, bytes] = (None, b"")
     for whole in batches:
-        nodes = whole.column("node").to_pylist()
-        first = []
-        for node in nodes:
-            first.append(node not in seen)
-            seen.add(node)
-        chosen = pa.RecordBatch.from_struct_array(whole.to_struct_array().filter(pa.array(first)))
-        for batch in text_batches(chosen, "text"):
-            sets = [s.tobytes() for s in shingle_sets(Words(batch.column("text")), n)]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
+        for batch in text_batches(whole, "text"):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "node")), strict=True))
+            kept = []
+            for k, key in enumerate(keys):
+                if key not in seen:
+                    seen.add(key)
+                    kept.append(k)
+            if not kept:
+                continue
+            own = batch.take(pa.array(kept))
+            uids = own.column("uid").to_pylist()
+            first = [k for k, u in enumerate(uids) if u != (uids[k - 1] if k else last[0])]
+            new = iter([x.tobytes() for x in shingle_sets(Words(own.column("text").take(pa.array(first, pa.int64()))), n)])
+            sets, starts = [], set(first)
+            for k, u in enumerate(uids):
+                if k in starts:
+                    last = (u, next(new))
+                sets.append(last[1])
+            names = [c for c in own.schema.names if c not in ("text", "uid")]
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -222,17 +236,23 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _linked(sides: list[pd.DataFrame], threshold: float, least: list[int]) -> pd.DataFrame | None:
-    """Links within a home (one side) or between two."""
+def _candidates(sides: list[pd.DataFrame], least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs, within a home (one side) or between two, that the signatures do not rule out."""
     same = len(sides) == 1
     sig = [np.stack([np.frombuffer(x, dtype=np.uint16) for x in s["signature"]]) for s in sides]
     found = bucket_pairs(sig[0], sig[-1], same, least, max(10_000, int(DENSE * len(sig[0]) * len(sig[-1]))))
+    yield from dense_pairs(sig[0], sig[-1], same, least) if found is None else [found]
+
+
+def _linked(sides: list[pd.DataFrame], threshold: float, least: list[int]) -> pd.DataFrame:
+    """Links within a home (one side) or between two."""
+    same = len(sides) == 1
     sets = [[np.frombuffer(x, dtype=np.uint64) for x in s["shingles"]] for s in sides]
     size = [np.array([len(x) for x in s]) for s in sets]
     nodes = np.concatenate([s["node"].to_numpy() for s in sides])
     copies = np.concatenate([s["copies"].to_numpy() for s in sides])
     links, texts, label = np.zeros(len(nodes)), np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
-    for i, j in dense_pairs(sig[0], sig[-1], same, least) if found is None else [found]:
+    for i, j in _candidates(sides, least):
         if not len(i):
             continue
         # Only the sets of this tile's pairs are looked at.
@@ -247,18 +267,35 @@ def _linked(sides: list[pd.DataFrame], threshold: float, least: list[int]) -> pd
     return out[out["texts"] > 0]
 
 
+def _open(sides: list[pd.DataFrame], least: list[int]) -> pd.DataFrame:
+    """The members that are in some candidate pair of the task."""
+    held = [np.zeros(len(s), dtype=bool) for s in sides]
+    for i, j in _candidates(sides, least):
+        held[0][i] = True
+        held[-1][j] = True
+    return pd.concat([s.loc[h, ["node", "home", "a", "b"]] for s, h in zip(sides, held, strict=True)])
+
+
 LINKS = "node long, links long, texts long, to long"
+MET = "node long, home long, a long, b long"
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text, nulls apart from empty ones."""
+    parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string"))) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat(parts[0], F.lit(":"), parts[1]).cast("binary")))
 
 
-def _tasks(frame: pd.DataFrame, threshold: float, least: list[int]) -> pd.DataFrame:
+def _tasks(frame: pd.DataFrame, work, columns: list[str]) -> pd.DataFrame:
+    """``work`` on each task (a, b) of a group: the members of one home, or of two."""
     found = []
     # A rerun or a repeated row may bring a class twice.
     frame = frame.drop_duplicates(["a", "b", "node"])
     for (a, b), own in frame.groupby(["a", "b"], sort=False):
         sides = [own] if a == b else [own[own["home"] == a], own[own["home"] == b]]
-        if len(own) > 1 and all(len(s) for s in sides) and (out := _linked(sides, threshold, least)) is not None:
-            found.append(out)
-    return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("node", "links", "texts", "to")}, dtype="int64")
+        if len(own) > 1 and all(len(s) for s in sides):
+            found.append(work(sides))
+    return pd.concat(found) if found else pd.DataFrame({c: [] for c in columns}, dtype="int64")
 
 
 def jaccard_classes(
@@ -277,10 +314,10 @@ def jaccard_classes(
     n_linked_texts (different shingle sets among them)."""
     least = least_matches(threshold, tolerance)
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("uid"), F.col(text_col).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("uid"), F.col(text_col).alias("text")
     )
     signed = stored(
-        arrow_pass(rows, lambda b: _signatures(b, n), "doc_id long, uid long, h1 long, h2 long, size int, signature binary"), "signatures"
+        arrow_pass(rows, lambda b: _signatures(b, n), "doc_id long, uid binary, h1 long, h2 long, size int, signature binary"), "signatures"
     )
     classes = (
         signed.where("size > 0")
@@ -323,8 +360,8 @@ def _files(rows: DataFrame) -> int:
 
 
 def meetings(classes: DataFrame, block_weight: int) -> DataFrame:
-    """(node, home, tasks): of each class that shares a bucket the pairs (a, b) of homes,
-    one of them its own, whose members it is compared with."""
+    """(node, home, a, b): of each class that shares a bucket the pairs (a, b) of homes, one
+    of them its own, whose members it is compared with."""
     bands = classes.select(
         "node",
         F.explode(
@@ -348,38 +385,42 @@ def meetings(classes: DataFrame, block_weight: int) -> DataFrame:
         weighed.join(parts, "bucket").select("node", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("home")), "homes"
     )
     held = shared_bands.select("node", "key").join(homes, "node")
-    # The homes that meet in a bucket: at most as many as it has blocks and other, larger buckets.
-    met = held.groupBy("key").agg(F.collect_set("home").alias("homes")).where(F.size("homes") > 1)
+    # The homes that meet in a bucket, as rows; most buckets have one.
+    several = held.groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("key")
+    mixed = stored(held.join(several, "key"), "mixed")
+    others = mixed.select("key", F.col("home").alias("other")).distinct()
     # A class meets a home once, in however many of its 24 buckets.
-    others = held.join(met, "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("homes"))).alias("others"))
-    pair = lambda x: F.struct(F.least("home", x).alias("a"), F.greatest("home", x).alias("b"))
-    everyone = F.array_union(F.array("home"), F.coalesce("others", F.array("home")))
-    return homes.join(others, "node", "left").select("node", "home", F.transform(everyone, pair).alias("tasks"))
+    met = mixed.join(others, "key").where("home <> other").select("node", "home", "other").distinct()
+    every = homes.select("node", "home", F.col("home").alias("other")).unionByName(met)
+    return every.select("node", "home", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"))
 
 
 def _links(rows: DataFrame, classes: DataFrame, threshold: float, least: list[int], n: int, block_weight: int) -> DataFrame:
-    """LINKS of all tasks."""
+    """LINKS of all tasks. Signatures travel first; sets only to tasks where the pruning
+    leaves a pair of theirs."""
     tasks = stored(meetings(classes, block_weight), "tasks")
-    members = tasks.join(classes.select("node", F.col("head.uid").alias("uid"), "size", "copies", "signature"), "node")
-    total = members.agg(F.sum((F.col("size") + SIGNATURE_WEIGHT) * F.size("tasks"))).first()[0] or 0
+    groups = max(1, 4 * SIGNATURE_WEIGHT * tasks.count() // block_weight)
+    # Tasks are grouped by a hash; a task is at most two blocks.
+    group = lambda count: F.pmod(F.xxhash64("a", "b"), F.lit(count)).alias("grp")
+    signed = tasks.join(classes.select("node", "signature"), "node").select(group(groups), "node", "home", "a", "b", "signature")
+    open_ = stored(signed.groupBy("grp").applyInPandas(lambda f: _tasks(f, lambda s: _open(s, least), ["node", "home", "a", "b"]), MET), "open")
+    members = open_.join(classes.select("node", F.col("head.uid").alias("uid"), "size", "copies", "signature"), "node")
+    total = members.agg(F.sum(F.col("size") + SIGNATURE_WEIGHT)).first()[0] or 0
     groups = max(1, 4 * total // block_weight)
-    # The members' texts return as shingle sets; only classes in some bucket are needed.
+    # The members' texts return as shingle sets; only classes in some candidate pair are needed.
     with_sets = arrow_pass(
-        rows.select("uid", "text").join(members.drop("size"), "uid").select("node", "home", "copies", "signature", "tasks", "text"),
+        rows.select("uid", "text").join(members.drop("size"), "uid").select("uid", "node", "home", "a", "b", "copies", "signature", "text"),
         lambda b: _shingles(b, n),
-        "node long, home long, copies long, signature binary, tasks array<struct<a:long,b:long>>, shingles binary",
-    )
-    # Tasks are grouped by a hash; a task is at most two blocks.
-    dealt = with_sets.select(F.explode("tasks").alias("t"), "node", "home", "copies", "signature", "shingles").select(
-        F.pmod(F.xxhash64("t.a", "t.b"), F.lit(groups)).alias("grp"), "t.a", "t.b", "node", "home", "copies", "signature", "shingles"
+        f"{MET}, copies long, signature binary, shingles binary",
     )
-    return dealt.groupBy("grp").applyInPandas(lambda f: _tasks(f, threshold, least), LINKS)
+    dealt = with_sets.select(group(groups), "a", "b", "node", "home", "copies", "signature", "shingles")
+    return dealt.groupBy("grp").applyInPandas(lambda f: _tasks(f, lambda s: _linked(s, threshold, least), ["node", "links", "texts", "to"]), LINKS)
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: its smallest id. Rows without words all
     stay, but a row that is repeated as a whole stays once."""
-    uid = F.xxhash64(id_col, text_col)
+    uid = row_key(id_col, text_col)
     keepers = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).where("keeper").groupBy(F.col("uid").alias("_uid")).agg(F.count(F.lit(1)).alias("_n"))
     rows = docs.select(uid.alias("_uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(keepers.hint("shuffle_hash"), "_uid")

@@ -191,11 +191,11 @@ def test_a_chain_is_compared_in_linear_time(spark):
     shipped = {}
     for n in (500, 2000):
         docs = spark.createDataFrame(chain(n), "doc_id long, text string")
-        rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-        signed = jaccard.arrow_pass(rows, lambda b: jaccard._signatures(b, 5), "doc_id long, uid long, h1 long, h2 long, size int, signature binary")
+        rows = docs.select("doc_id", jaccard.row_key("doc_id", "text").alias("uid"), "text")
+        signed = jaccard.arrow_pass(rows, lambda b: jaccard._signatures(b, 5), "doc_id long, uid binary, h1 long, h2 long, size int, signature binary")
         classes = signed.select(F.struct("doc_id", "uid").alias("head"), F.lit(1).alias("copies"), "size", "signature", F.col("doc_id").alias("node"))
         tasks = jaccard.meetings(jaccard.stored(classes, "classes"), jaccard.BLOCK_WEIGHT)
-        sizes = tasks.select(F.explode("tasks").alias("t")).groupBy("t").count()
+        sizes = tasks.groupBy("a", "b").count()
         shipped[n] = sizes.agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
     assert all(shipped[2000][k] < 4.5 * shipped[500][k] for k in (0, 1))
     got = {r.doc_id: r for r in jaccard.jaccard_classes(spark.createDataFrame(chain(500), "doc_id long, text string")).collect()}
@@ -204,6 +204,32 @@ def test_a_chain_is_compared_in_linear_time(spark):
     assert least
 
 
+def test_a_bucket_of_many_homes_makes_rows_not_arrays(spark):
+    """20,000 classes that share one band, and one with ten others each: every class meets
+    every block of the large bucket once, as a row; no row or task grows with the bucket."""
+    rng = np.random.default_rng(15)
+    signatures = rng.integers(0, 1 << 16, (20_000, jaccard.HASHES), dtype=np.uint16)
+    signatures[:, : jaccard.ROWS] = 7
+    signatures[:, jaccard.ROWS : 2 * jaccard.ROWS] = (np.arange(20_000) // 10)[:, None].astype(np.uint16)
+    rows = [(k, 400, x.tobytes()) for k, x in enumerate(signatures)]
+    classes = spark.createDataFrame(pd.DataFrame(rows, columns=["node", "size", "signature"])).repartition(4)
+    tasks = jaccard.meetings(classes, 1_000_000)
+    assert tasks.dtypes == [("node", "bigint"), ("home", "bigint"), ("a", "bigint"), ("b", "bigint")]
+    blocks = -(-20_000 * (400 + jaccard.SIGNATURE_WEIGHT) // 1_000_000)
+    assert tasks.count() == 20_000 * blocks == tasks.distinct().count()
+    assert tasks.groupBy("a", "b").count().agg(F.max("count")).first()[0] < 3 * 20_000 / blocks
+    # No two are near: no task asks for a set.
+    least = jaccard.least_matches(0.8, 1e-6)
+    part = tasks.join(classes, "node").where("a = b").limit(4000).toPandas()
+    assert len(jaccard._tasks(part, lambda s: jaccard._open(s, least), ["node", "home", "a", "b"])) == 0
+
+
+def test_rows_have_keys_of_128_bits(spark):
+    rows = [(1, "a"), (1, None), (None, "a"), (None, None), (1, ""), (11, "a"), (1, "1:+a"), (None, "+a"), (None, "-")]
+    keys = [r["k"] for r in spark.createDataFrame(rows, "i long, t string").select(jaccard.row_key("i", "t").alias("k")).collect()]
+    assert len(set(keys)) == len(rows) and {len(k) for k in keys} == {16}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]

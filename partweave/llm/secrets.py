@@ -149,6 +149,10 @@ def trigram_query(regex: str) -> list[list[str]]:
     return sorted(sorted(clause) for clause in query)
 
 
+#: Steps of a fold over a list.
+FOLD = 512
+
+
 # --- spans -------------------------------------------------------------------
 
 
@@ -174,30 +178,62 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
         ),
     )
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, z: F.struct(
-            (acc["at"] + z["gap"] + z["hit"]).alias("at"),
-            F.when(
-                z["part"] >= rule.min_length,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + z["gap"]).alias("start"),
-                            F.lit(number).alias("kind_no"),
-                            (acc["at"] + z["gap"] + z["hit"]).alias("end"),
-                        )
+
+    def placed(chunk: Column, at: Column) -> Column:
+        """The spans of a chunk that begins at a place."""
+        return F.aggregate(
+            chunk,
+            F.struct(at.alias("at"), none.alias("spans")),
+            lambda acc, z: F.struct(
+                (acc["at"] + z["gap"] + z["hit"]).alias("at"),
+                F.when(
+                    z["part"] >= rule.min_length,
+                    F.concat(
+                        acc["spans"],
+                        F.array(
+                            F.struct(
+                                (acc["at"] + z["gap"]).alias("start"),
+                                F.lit(number).alias("kind_no"),
+                                (acc["at"] + z["gap"] + z["hit"]).alias("end"),
+                            )
+                        ),
                     ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(F.size(matches) > 0, placed).otherwise(none)
+                )
+                .otherwise(acc["spans"])
+                .alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda t, z: t + z["gap"] + z["hit"])
+    return F.when(F.size(matches) > 0, _by_chunks(lengths, total, placed)).otherwise(none)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _by_chunks(items: Column, total, work) -> Column:
+    """The joined results of ``work`` on chunks of a list, each with the sum of ``total`` over
+    the chunks before it. A fold copies what it has gathered at each step, so it must not
+    run over a list of any length; over chunks the copies are in proportion to it."""
+
+    def chunked(own: Column) -> Column:
+        last = F.floor((F.size(own) - 1) / FOLD).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(own, k * FOLD + 1, F.lit(FOLD)))
+        return F.transform(chunks, lambda c: F.struct(c.alias("c"), total(c).alias("n")))
+
+    def placed(chunks: Column) -> Column:
+        starts = F.aggregate(
+            chunks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, c: F.struct((acc["at"] + c["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: work(c["c"], at)))
+
+    return _let(_let(items, chunked), placed)
 
 
 def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -288,19 +324,46 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, spans: Column, marker: str = "[SECRET]") -> Column:
     """``text`` with each stretch covered by spans replaced by ``marker``."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(marker)),
+
+    def folded(own: Column, reach: Column) -> Column:
+        """The stretches of a chunk; the first one has no start and ends where those before reach."""
+        none = F.array(F.struct(F.lit(-1).alias("start"), reach.alias("end")))
+        merged = lambda out, s: F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))
+        return F.aggregate(
+            own,
+            none,
+            lambda out, s: F.when(
+                s["start"] < F.element_at(out, -1)["end"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(merged(out, s)))
+            ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
+        )
+
+    def chunked(own: Column) -> Column:
+        last = F.floor((F.size(own) - 1) / FOLD).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(own, k * FOLD + 1, F.lit(FOLD)))
+        return F.transform(chunks, lambda c: F.struct(c.alias("c"), F.array_max(F.transform(c, lambda s: s["end"])).alias("n")))
+
+    def piece(chunk: Column, reach: Column) -> Column:
+        """The text from where the chunks before reach to where this one does."""
+        own = F.substring(text, reach + 1, F.greatest(reach, chunk["n"]) - reach)
+
+        def joined(z: Column) -> Column:
+            found = z["found"]
+            return F.array_join(
+                F.transform(
+                    found,
+                    lambda s, i: F.when(s["start"] < 0, "").otherwise(
+                        F.concat(F.substring(z["own"], F.get(found, i - 1)["end"] - reach + 1, s["start"] - F.get(found, i - 1)["end"]), F.lit(marker))
+                    ),
+                ),
+                "",
             )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    )
+
+        return _let(F.struct(own.alias("own"), folded(chunk["c"], reach).alias("found")), joined)
+
+    def whole(chunks: Column) -> Column:
+        reaches = F.aggregate(chunks, F.array(F.lit(0)), lambda out, c: F.concat(out, F.array(F.greatest(F.element_at(out, -1), c["n"]))))
+        starts = _let(reaches, lambda r: F.zip_with(chunks, F.slice(r, F.lit(1), F.size(r) - 1), piece))
+        end = F.array_max(F.transform(chunks, lambda c: c["n"]))
+        return F.concat(F.array_join(starts, ""), F.substring(text, end + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_let(spans, chunked), whole))

@@ -230,6 +230,31 @@ def test_rows_have_keys_of_128_bits(spark):
     assert len(set(keys)) == len(rows) and {len(k) for k in keys} == {16}
 
 
+def test_redaction_and_spans_do_not_depend_on_the_folds_length(spark, monkeypatch):
+    """Overlapping, contained and touching spans against a plain loop, across chunk borders."""
+    rng = random.Random(16)
+    rows = []
+    for k in range(100):
+        text = "".join(rng.choice("abc\u00e9\U0001f600 x") for _ in range(rng.randrange(60)))
+        starts = sorted(rng.randrange(len(text)) for _ in range(rng.randrange(14))) if text else []
+        rows.append((k, text, [(a, 0, min(len(text), a + rng.randrange(1, 9))) for a in starts]))
+    df = spark.createDataFrame(rows, "k int, t string, s array<struct<start:int,kind_no:int,end:int>>")
+    hexes = [" ".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((8, 16, 40)))) for _ in range(rng.randrange(30))) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(hexes)), "doc_id long, text string")
+    found = []
+    for fold in (3, 512):
+        monkeypatch.setattr(secrets, "FOLD", fold)
+        got = {r.k: r.o for r in df.select("k", secrets.redacted(F.col("t"), F.col("s")).alias("o")).collect()}
+        for k, text, spans in rows:
+            at, out = 0, ""
+            for a, _, b in spans:
+                out += text[at:a] + "[SECRET]" if a >= at else ""
+                at = max(at, b)
+            assert got[k] == out + text[at:]
+        found.append(sorted((r.id, r.spans) for r in secrets.scan_secrets(docs).collect()))
+    assert found[0] == found[1]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]

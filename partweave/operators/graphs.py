@@ -83,15 +83,20 @@ def coverage(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(hit, "node", "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("covered_share"), F.count(F.lit(1)).alias("n_nodes"))
 
 
-def edge_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, reached, path): paths of edge indices."""
-    step = edges.select(F.col("src").alias("reached"), "dst", "idx")
-    front = start.select("node", F.col("node").alias("reached"), F.array().cast("array<int>").alias("path"))
-    out = front
-    for _ in range(depth):
-        front = front.join(step, "reached").select("node", F.col("dst").alias("reached"), F.concat("path", F.array("idx")).alias("path"))
+def edge_paths(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, reached, path): paths of edge indices, to their ends or of up to ``depth`` edges.
+    A path does not come back to a node that it holds."""
+    step = stored(edges.select(F.col("src").alias("reached"), "dst", "idx"), "steps")
+    front = start.select("node", F.col("node").alias("reached"), F.array().cast("array<int>").alias("path"), F.array("node").alias("over"))
+    out, length = front, 0
+    while depth is None or length < depth:
+        length += 1
+        ahead = front.join(step, "reached").where(~F.array_contains("over", F.col("dst")))
+        front = stored(ahead.select("node", F.col("dst").alias("reached"), F.concat("path", F.array("idx")).alias("path"), F.concat("over", F.array("dst")).alias("over")), "paths")
+        if front.limit(1).count() == 0:
+            break
         out = out.unionByName(front)
-    return out
+    return out.drop("over")
 
 
 def shortest_distances(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
@@ -193,9 +198,10 @@ def cliques(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sampled_children(edges: DataFrame, seed: int) -> DataFrame:
-    """One child per (src, idx), drawn with a probability proportional to r: the
-    largest of -ln(u)/r's inverse race, with u from a hash so reruns agree."""
-    u = (F.pmod(F.xxhash64("src", "idx", "dst", F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit((1 << 30) + 1)
+    """One child per (src, idx), drawn with a probability proportional to r: the least of
+    the races -ln(u) / r, with u from a hash (48 bits of an MD5) so reruns agree."""
+    name = F.concat_ws(":", "src", "idx", "dst", F.lit(seed))
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("double") + 1) / F.lit(float((1 << 48) + 1))
     race = (-F.ln(u) / F.col("r")).alias("race")
     return edges.where("r > 0").groupBy("src", "idx").agg(F.min_by("dst", F.struct(race, "dst")).alias("dst"))
 

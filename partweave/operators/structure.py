@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from partweave.operators.clustering import assignment
 from partweave.operators.ordering import numbered
 from partweave.operators.ranges import window_join
+from partweave.sources.scratch import stored
 
 
 def split_by_neighbour(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -31,13 +32,21 @@ def without_incoming(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return gone.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def first_children(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, leaf): the end of the way over each node's first child (the smallest)."""
-    first = edges.groupBy("src").agg(F.min("dst").alias("child"))
-    now = start.select("node", F.col("node").alias("leaf"))
-    for _ in range(depth):
-        now = now.join(first, F.col("leaf") == F.col("src"), "left").select("node", F.coalesce("child", "leaf").alias("leaf"))
-    return now
+def first_children(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, leaf): the end of the way over each node's first child (the smallest), however
+    long it is; a way that comes back to where it was has no end and no row."""
+    first = stored(edges.groupBy("src").agg(F.min("dst").alias("child")), "first")
+    open_ = stored(start.select("node", F.col("node").alias("leaf")).distinct(), "ways")
+    # The length of a way without a circle is below the number of nodes with a child.
+    most, ends = first.count(), None
+    for _ in range(most + 1):
+        step = stored(open_.join(first, F.col("leaf") == F.col("src"), "left").select("node", "leaf", "child"), "ways")
+        ended = step.where("child IS NULL").select("node", "leaf")
+        ends = ended if ends is None else ends.unionByName(ended)
+        open_ = step.where("child IS NOT NULL AND child <> node").select("node", F.col("child").alias("leaf"))
+        if open_.limit(1).count() == 0:
+            break
+    return ends
 
 
 def subtree_sums(support: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:

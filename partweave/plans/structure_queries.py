@@ -53,7 +53,7 @@ def nodes_without_incoming(spark, d):
 )
 def first_child_leaves(spark, d):
     edges = p.edges(spark, d)
-    return st.first_children(edges, edges.where("z = 3").select(F.col("src").alias("node")).distinct(), 3)
+    return st.first_children(edges, edges.where("z = 3").select(F.col("src").alias("node")).distinct())
 
 
 @query(
@@ -401,15 +401,16 @@ def merged_tiles(spark, d):
 
 @query(
     with_views(
-        """SELECT e.src, e.dst FROM edges e WHERE e.z = 2 AND e.dst = (SELECT arg_min(f.dst, f.dst) FROM edges f WHERE f.src = e.src AND f.z = 2)""", "edges"
+        """WITH w AS (SELECT src, dst // 10 % 3 AS idx, dst, 1.0 + dst // 10 % 7 AS r FROM edges WHERE z <= 2),
+        u AS (SELECT *, (CAST('0x' || substr(md5(src || ':' || idx || ':' || dst || ':5'), 1, 12) AS BIGINT) + 1) / CAST(281474976710657 AS DOUBLE) AS u FROM w)
+        SELECT src, CAST(idx AS INT) AS idx, arg_min(dst, {'race': -ln(u) / r, 'dst': dst}) AS dst FROM u GROUP BY src, idx""",
+        "edges",
     )
 )
 def sampled_children(spark, d):
-    """With one child of positive weight each, the draw has no choice."""
-    edges = p.edges(spark, d).where("z = 2")
-    first = F.min("dst").over(Window.partitionBy("src"))
-    weighed = edges.withColumn("idx", F.lit(0)).withColumn("r", F.when(F.col("dst") == first, 1.0).otherwise(0.0))
-    return gr.sampled_children(weighed, 5).select("src", "dst")
+    """Children in three classes of a node, each drawn by a weight of 1 to 7."""
+    edges = p.edges(spark, d).where("z <= 2").withColumns({"idx": F.expr("CAST(dst DIV 10 % 3 AS INT)"), "r": F.expr("CAST(1 + dst DIV 10 % 7 AS DOUBLE)")})
+    return gr.sampled_children(edges, 5).select("src", "idx", "dst")
 
 
 @query()

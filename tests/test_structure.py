@@ -116,6 +116,24 @@ def test_mask_similarities_are_normalised_correlations(spark):
     assert got[0, 1] == pytest.approx(1) and (0, 2) not in got and not [k for k in got if 3 in k]
 
 
+def test_draws_follow_their_weights(spark):
+    df = spark.createDataFrame([(n, 0, 10 * n + k, float(w)) for n in range(3000) for k, w in enumerate((1, 2, 5, 0))], "src long, idx int, dst long, r double")
+    got = [r.dst % 10 for r in graphs.sampled_children(df, 7).collect()]
+    share = [got.count(k) / 3000 for k in range(4)]
+    assert len(got) == 3000 and all(abs(a - w / 8) < 0.03 for a, w in zip(share, (1, 2, 5, 0), strict=True)) and share[3] == 0
+
+
+def test_ways_and_paths_go_to_their_end_and_leave_circles(spark):
+    edges = [(k, k + 1, 0) for k in range(12)] + [(5, 99, 1), (50, 51, 0), (51, 52, 0), (52, 51, 0), (60, 60, 0)]
+    df = spark.createDataFrame(edges, "src long, dst long, idx int")
+    start = spark.createDataFrame([(0,), (12,), (50,), (60,)], "node long")
+    assert {(r.node, r.leaf) for r in structure.first_children(df, start).collect()} == {(0, 12), (12, 12)}
+    paths = {(r.node, tuple(r.path)): r.reached for r in graphs.edge_paths(df, start).collect()}
+    assert paths[0, (0,) * 12] == 12 and paths[0, (0,) * 5 + (1,)] == 99 and paths[50, (0, 0)] == 52
+    assert max(len(p) for _, p in paths) == 12 and sum(n == 60 for n, _ in paths) == 1
+    assert max(len(r.path) for r in graphs.edge_paths(df, start, 3).collect()) == 3
+
+
 def test_repeated_batches_replace_what_they_wrote(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, 5.0, "a"), (1, 2, 90.0, "a"), (2, 3, 7.0, "b")], "user_id long, event_id long, value double, m string").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -29,7 +29,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours = queries.QUERIES[name](spark, SF).toPandas()
     theirs = con.sql(queries.ORACLE[name]).df()

@@ -1,9 +1,10 @@
 """Layer inference: candidates, window matching of subparts, responses, selection.
 
-All joins are on exploded cells: a candidate asks, per subpart and kernel cell,
-for the nodes of one type at one position. The library and the kernel are
-tables of the model, whose size does not depend on the images; Spark decides
-from their statistics whether to broadcast them.
+Candidates meet nodes in tiles: a candidate asks, per subpart, in the one to four tiles
+that the kernel's window touches, for the nodes of one type, and what lies inside gets
+its cell's weight. Where the nodes are dealt by image, all of this stays in place. The
+library and the kernel are tables of the model, whose size does not depend on the
+images; Spark decides from their statistics whether to broadcast them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from partweave.operators.nodes import dedup_top_k, response_filter
 
+#: The side of the tiles in which windows meet nodes.
+TILE = 8
+
 
 def candidates(nodes: DataFrame, lib_center: DataFrame, least_r: float, least_g: float, allowed: list[int] | None = None) -> DataFrame:
     """Nodes with the parts whose centre type they have."""
@@ -28,19 +32,27 @@ def candidates(nodes: DataFrame, lib_center: DataFrame, least_r: float, least_g:
 def matches(cand: DataFrame, nodes: DataFrame, lib_sub: DataFrame, kernel: DataFrame, least: float) -> DataFrame:
     """Per candidate and subpart the nodes in the kernel window whose response
     times the kernel weight is over ``least``."""
+    # No response is over 1, so cells of too little weight can never match.
+    heavy = kernel.where(F.col("w") > least)
+    hull = heavy.agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))  # one row
+    tile = lambda c: F.floor(c / TILE).cast("int")
     asked = (
         cand.join(lib_sub, "part")
-        .crossJoin(kernel)  # the model's kernel, a few cells
-        .select(
-            "image_id", "cand_id", "part", "idx", "w",
-            (F.col("x") + F.col("dx") + F.col("i")).alias("ax"), (F.col("y") + F.col("dy") + F.col("j")).alias("ay"), "sub_m",
-        )
-    )
-    sub = nodes.select(F.col("image_id").alias("s_image"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("m").alias("sm"), F.col("r").alias("s_r"), F.col("rr").alias("s_rr"), F.col("node_id").alias("sub_id"))
-    # No response is over 1, so cells of too little weight can never match.
-    met = asked.where(F.col("w") > least).join(
-        sub, (F.col("image_id") == F.col("s_image")) & (F.col("ax") == F.col("sx")) & (F.col("ay") == F.col("sy")) & (F.col("sub_m") == F.col("sm"))
+        .select("image_id", "cand_id", "part", "idx", "sub_m", (F.col("x") + F.col("dx")).alias("ax"), (F.col("y") + F.col("dy")).alias("ay"))
+        .crossJoin(hull)
+        .withColumn("tx", F.explode(F.sequence(tile(F.col("ax") + F.col("i0")), tile(F.col("ax") + F.col("i1")))))
+        .withColumn("ty", F.explode(F.sequence(tile(F.col("ay") + F.col("j0")), tile(F.col("ay") + F.col("j1")))))
     )
+    sub = nodes.select(
+        F.col("image_id").alias("s_image"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("m").alias("sm"), F.col("r").alias("s_r"), F.col("rr").alias("s_rr"), F.col("node_id").alias("sub_id"),
+        tile(F.col("x")).alias("stx"), tile(F.col("y")).alias("sty"),
+    )
+    i, j = F.col("sx") - F.col("ax"), F.col("sy") - F.col("ay")
+    met = asked.join(
+        sub,
+        (F.col("image_id") == F.col("s_image")) & (F.col("tx") == F.col("stx")) & (F.col("ty") == F.col("sty")) & (F.col("sub_m") == F.col("sm"))
+        & i.between(F.col("i0"), F.col("i1")) & j.between(F.col("j0"), F.col("j1")),
+    ).withColumns({"i": i, "j": j}).join(heavy, ["i", "j"])
     return met.withColumn("v", F.col("s_r") * F.col("w")).where(F.col("v") > least).select("image_id", "cand_id", "part", "idx", "sub_id", "s_r", "s_rr", "v")
 
 
@@ -59,18 +71,18 @@ def strong_links(found: DataFrame, share: float) -> DataFrame:
 
     if share <= 0:
         return found
-    top = F.max("v").over(Window.partitionBy("cand_id", "part", "idx"))
+    top = F.max("v").over(Window.partitionBy("image_id", "cand_id", "part", "idx"))
     return found.withColumn("_top", top).where(F.col("v") >= share * F.col("_top")).drop("_top")
 
 
 def responses(cand: DataFrame, best: DataFrame, power: float = 1.0, multiply: bool = True) -> DataFrame:
     """r: mean of the centre's and the subparts' r; rr: realised share of basic
     parts; g: product (or sum) of the match values times rr."""
-    per = best.groupBy("cand_id", "part").agg(
+    per = best.groupBy("image_id", "cand_id", "part").agg(
         F.sum("s_r").alias("sum_r"), F.count(F.lit(1)).alias("n_sub"), F.sum("s_rr").alias("sum_rr"),
         (F.product("v") if multiply else F.sum("v")).alias("pv"),
     )
-    met = cand.join(per, ["cand_id", "part"])
+    met = cand.join(per, ["image_id", "cand_id", "part"])
     rr = (F.lit(1.0) + F.col("sum_rr")) / F.col("bp")
     return met.select(
         "image_id", (F.col("z") + 1).alias("z"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("part").alias("m"),

@@ -53,10 +53,12 @@ def missing_subparts(cand: DataFrame, best: DataFrame, lib_sub: DataFrame, most_
     """Hypothetical nodes (image_id, x, y, m, votes): places of unrealised subparts
     of candidates that miss at most a share of theirs."""
     asked = cand.join(lib_sub, "part").select("image_id", "cand_id", "part", "idx", "sub_m", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    gone = asked.join(best.select("cand_id", "part", "idx"), ["cand_id", "part", "idx"], "left_anti")
-    total = asked.groupBy("cand_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    few = gone.groupBy("cand_id", "part").agg(F.count(F.lit(1)).alias("g")).join(total, ["cand_id", "part"]).where(F.col("g") / F.col("n") <= most_share)
-    votes = gone.join(few.select("cand_id", "part"), ["cand_id", "part"], "left_semi")
+    key = ["image_id", "cand_id", "part"]
+    # One pass: how many each candidate asks for and misses stands beside each place asked for.
+    met = asked.join(best.select(*key, "idx", F.lit(1).alias("hit")), [*key, "idx"], "left")
+    own = Window.partitionBy(*key)
+    counted = met.withColumns({"_g": F.count_if(F.col("hit").isNull()).over(own), "_n": F.count(F.lit(1)).over(own)})
+    votes = counted.where(F.col("hit").isNull() & (F.col("_g") / F.col("_n") <= most_share))
     return votes.groupBy("image_id", "x", "y", F.col("sub_m").alias("m")).agg(F.count(F.lit(1)).alias("votes"))
 
 

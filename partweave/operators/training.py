@@ -50,8 +50,11 @@ def learn_layer(nodes: DataFrame, kernel: DataFrame, settings: Settings) -> tupl
     peaks = learning.duplets(nodes, radius=s.radius, peak_radius=s.peak_radius, share=s.peak_share, most=s.peaks)
     sequences = learning.part_sequences(nodes, peaks, tolerance=s.tolerance, least=s.least, longest=s.longest)
     center, sub = library_tables(sequences, s.most_parts)
-    # The library is read again by every job that uses it: a table of a few parts.
+    # The library is read again by every job that uses it: a table of a few parts, whose
+    # size Spark knows once it is there.
     center, sub = center.cache(), sub.cache()
+    for table in (center, sub):
+        table.count()
     above = inference.infer_layer(nodes, center, sub, kernel, least_r=s.least_r, least_g=s.least_g, match=s.match, per_position=s.per_position)
     return center, sub, above.select("image_id", "z", "x", "y", "m", "r", "g", "rr", "node_id")
 
@@ -69,9 +72,9 @@ def learn_layers(nodes: DataFrame, kernel: DataFrame, settings: list[Settings])
 
 def reestimated(lib_sub: DataFrame, found: DataFrame, cand: DataFrame, nodes: DataFrame) -> DataFrame:
     """``lib_sub`` with each subpart's offset moved to the mean of its realised ones;
-    ``found`` is (cand_id, part, idx, sub_id)."""
-    at = nodes.select(F.col("node_id").alias("sub_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    seen = found.join(cand.select("cand_id", "part", "x", "y"), ["cand_id", "part"]).join(at, "sub_id")
+    ``found`` is (image_id, cand_id, part, idx, sub_id)."""
+    at = nodes.select("image_id", F.col("node_id").alias("sub_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    seen = found.join(cand.select("image_id", "cand_id", "part", "x", "y"), ["image_id", "cand_id", "part"]).join(at, ["image_id", "sub_id"])
     mean = seen.groupBy("part", "idx").agg(F.round(F.avg(F.col("sx") - F.col("x"))).cast("int").alias("mx"), F.round(F.avg(F.col("sy") - F.col("y"))).cast("int").alias("my"))
     return lib_sub.join(mean, ["part", "idx"], "left").select("part", "idx", "sub_m", F.coalesce("mx", "dx").alias("dx"), F.coalesce("my", "dy").alias("dy"))
 

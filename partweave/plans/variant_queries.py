@@ -45,7 +45,7 @@ def sliding_subparts(spark, d):
 def centred_subparts(spark, d):
     nodes, cand = _cand(spark, d)
     found = va.centred_matches(cand, nodes, p.lib_sub(spark), p.kernel(spark), 0.1)
-    return found.groupBy("cand_id", "part", "idx").agg(F.count(F.lit(1)).alias("n"), r6(F.max("v")).alias("best"))
+    return found.groupBy("image_id", "cand_id", "part", "idx").agg(F.count(F.lit(1)).alias("n"), r6(F.max("v")).alias("best")).drop("image_id")
 
 
 @query(with_views(RESP + " SELECT m, count(*) AS n, round(avg(r), 6) AS mean_r, round(avg(g), 6) AS mean_g FROM resp WHERE m = 0 GROUP BY m", *ALL))

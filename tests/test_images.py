@@ -130,3 +130,19 @@ def test_part_sequences_equal_a_plain_loop(spark):
     table = spark.createDataFrame(peaks, "mc int, mn int, dx int, dy int")
     got = {r["seq"]: r["n"] for r in learning.part_sequences(df, table, tolerance=1, least=0.3, longest=3).collect()}
     assert got == want and max(s.count(">") for s in got) >= 2
+
+
+def test_strong_energy_equals_the_filter_on_all_rows(spark):
+    _, df = made(spark, 3)
+    rows = lambda d: sorted((r.image_id, r.m, r.x, r.y, round(r.v, 9)) for r in d.collect())
+    got = rows(images.strong_energy(df, 4, 0.8, 0.5))
+    assert got and got == rows(images.strong_features(images.oriented_energy(df, 4), 0.8, 0.5))
+
+
+def test_images_of_few_pixels_equal_whole_ones(spark):
+    whole = [0.0] * 48
+    whole[5], whole[40] = 0.5, 2.0
+    few = spark.createDataFrame([(7, 0, 8, 6, [40, 5], [2.0, 0.5])], "image_id long, scale int, width int, height int, at array<int>, v array<double>")
+    df = spark.createDataFrame([(7, 0, 8, 6, whole)], images.IMAGE)
+    for make in (lambda i: images.blurred(i, 5, 1.2), lambda i: images.pyramid(i, factor=0.8, limit=3, most=3)):
+        assert make(few).orderBy("scale").collect() == make(df).orderBy("scale").collect()

@@ -6,15 +6,12 @@ candidate parts, of which a library has tens to hundreds; each step is one job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partweave.operators.descriptors import cooccurrence
 from partweave.operators.ordering import numbered, running_sum
-from partweave.operators.ranges import window_join
+from partweave.operators.ranges import window_join, with_model
 from partweave.operators.suppression import pick_peaks
 from partweave.sources.scratch import stored
 
@@ -34,26 +31,18 @@ def part_sequences(nodes: DataFrame, peaks: DataFrame, *, tolerance: int, least:
     """Symbolic sequences (centre type, then subpart types) seen in the images:
     (seq, n). Each node's realised subparts are found by window joins; sequences
     are then extended best first within ``beam`` of the best."""
-    asked = nodes.join(peaks.select("mc", "mn", F.col("dx").alias("px"), F.col("dy").alias("py")), F.col("m") == F.col("mc")).select(
-        "image_id", "node_id", "m", "mn", "px", "py", (F.col("x") + F.col("px")).alias("x"), (F.col("y") + F.col("py")).alias("y")
-    )
-    met = window_join(asked, nodes.select("image_id", "x", "y", "m", "r"), ["image_id"], tolerance, tolerance).where((F.col("mn") == F.col("o_m")) & (F.col("o_r") >= least))
+    seen = with_model(nodes.select("image_id", "node_id", "m", "x", "y"), "m", peaks.select("mc", "mn", F.col("dx").alias("px"), F.col("dy").alias("py")), "mc")
+    asked = seen.select("image_id", "node_id", "m", "_p.mn", "_p.px", "_p.py", (F.col("x") + F.col("_p.px")).alias("x"), (F.col("y") + F.col("_p.py")).alias("y"))
+    met = window_join(asked, nodes.select("image_id", "x", "y", F.col("m").alias("mn"), "r").where(F.col("r") >= least), ["image_id", "mn"], tolerance, tolerance)
     realised = met.groupBy("image_id", "node_id", "m", "mn", "px", "py").agg(F.max("o_r").alias("v"))
     ranked = realised.groupBy("image_id", "node_id", "m").agg(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("k"), "mn", "px", "py"))).alias("subs"))
 
-    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for m, subs in zip(frame["m"], frame["subs"], strict=True):
-                best = -subs[0]["k"]
-                good = [s for s in subs if -s["k"] >= beam * best][:longest]
-                name = str(m)
-                for s in good:
-                    name += f">{s['mn']}@{s['px']},{s['py']}"
-                    out.append(name)
-            yield pd.DataFrame({"seq": out})
-
-    return ranked.select("m", "subs").mapInPandas(extend, "seq string").groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    best = F.element_at("subs", 1)["k"]
+    good = F.slice(F.filter("subs", lambda s: -s["k"] >= -beam * best), 1, longest)
+    names = F.transform(good, lambda s: F.concat(F.lit(">"), s["mn"], F.lit("@"), s["px"], F.lit(","), s["py"]))
+    named = ranked.select("m", names.alias("names"))
+    grown = F.transform(F.sequence(F.lit(1), F.size("names")), lambda n: F.concat(F.col("m").cast("string"), F.array_join(F.slice("names", 1, n), "")))
+    return named.select(F.explode(grown).alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cut_by_support(parts: DataFrame, most: int) -> DataFrame:

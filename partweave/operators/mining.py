@@ -1,7 +1,7 @@
 """All combinations of supported subparts around centres, size by size.
 
 A centre supports subparts: nodes found where the peaks of its type's offsets point.
-Combinations of one size are joined with their centre's supports to those of the next;
+Combinations of one size meet their centre's supports and make those of the next;
 a combination's subparts come in the order of their keys, so each set is made once, and
 a centre has no more rows than its supports allow. A combination is counted over all
 centres under its name, the centre's type and the keys of its subparts.
@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partweave.operators.ranges import window_join
-from partweave.sources.scratch import stored
+from partweave.operators.ranges import window_join, with_model
 
 
 def supported_subparts(nodes: DataFrame, peaks: DataFrame, *, tolerance: int, least: float, centre_least: float = 0.0) -> DataFrame:
@@ -22,8 +21,8 @@ def supported_subparts(nodes: DataFrame, peaks: DataFrame, *, tolerance: int, le
     the centre's. ``sub`` numbers the peaks of a type: 1000 * subpart type + peak.
     ``nodes``: (image_id, node_id, x, y, m, r, points); ``peaks``: (m, o_m, peak, dx, dy)."""
     centres = nodes.where(F.col("r") >= centre_least).select("image_id", F.col("node_id").alias("centre"), "x", "y", "m", F.col("r").alias("centre_r"))
-    aims = centres.join(peaks.select("m", "o_m", "peak", "dx", "dy"), "m").select(
-        "image_id", "centre", "m", "centre_r", F.col("o_m").alias("aim"), (F.col("o_m") * 1000 + F.col("peak")).alias("sub"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")
+    aims = with_model(centres, "m", peaks.select(F.col("m").alias("of"), "o_m", "peak", "dx", "dy"), "of").select(
+        "image_id", "centre", "m", "centre_r", F.col("_p.o_m").alias("aim"), (F.col("_p.o_m") * 1000 + F.col("_p.peak")).alias("sub"), (F.col("x") + F.col("_p.dx")).alias("x"), (F.col("y") + F.col("_p.dy")).alias("y")
     )
     other = nodes.select("image_id", "x", "y", F.col("m").alias("aim"), "node_id", "r")
     met = window_join(aims, other, ["image_id", "aim"], tolerance, tolerance).where((F.col("o_node_id") != F.col("centre")) & (F.col("o_r") > least * F.col("centre_r")))
@@ -45,28 +44,26 @@ def combinations(supports: DataFrame, *, longest: int, least_shared: int = 0, mo
     of a centre. A further subpart shares at least ``least_shared`` and at most
     ``most_shared`` points with those before it (keys ascending); with ``once`` no two
     subparts are the same node."""
-    base = stored(supports.select("image_id", "centre", "centre_m", "sub", "node_id", "r", "points"), "supports")
-    level = base.select("image_id", "centre", "centre_m", F.array("sub").alias("subs"), F.array("node_id").alias("nodes"), F.col("r").alias("value"), "points")
-    sizes = [level]
-    more = base.select("image_id", "centre", F.col("sub").alias("_sub"), F.col("node_id").alias("_node"), F.col("r").alias("_r"), F.col("points").alias("_points"))
-    for _ in range(1, longest):
-        met = level.join(more, ["image_id", "centre"]).where(F.col("_sub") > F.element_at("subs", -1))
-        if once:
-            met = met.where(~F.array_contains("nodes", F.col("_node")))
-        shared = F.size(F.array_intersect("points", "_points"))
+    # A centre's supports are a value of its row, no more than its type has peaks; so all
+    # sizes are made in place.
+    own = supports.groupBy("image_id", "centre", "centre_m").agg(F.array_sort(F.collect_list(F.struct("sub", "node_id", "r", "points"))).alias("_s"))
+    one = lambda s: F.struct(F.array(s["sub"]).alias("subs"), F.array(s["node_id"]).alias("nodes"), s["r"].alias("value"), s["points"].alias("points"))
+
+    def fits(c, s):
+        shared = F.size(F.array_intersect(c["points"], s["points"]))
         inside = shared >= least_shared if most_shared is None else shared.between(least_shared, most_shared)
-        level = stored(
-            met.where(inside).select(
-                "image_id", "centre", "centre_m", F.concat("subs", F.array("_sub")).alias("subs"), F.concat("nodes", F.array("_node")).alias("nodes"),
-                (F.col("value") + F.col("_r")).alias("value"), F.array_union("points", "_points").alias("points"),
-            ),
-            "combinations",
-        )
-        sizes.append(level)
-    out = sizes[0]
-    for level in sizes[1:]:
-        out = out.unionByName(level)
-    return out.drop("points")
+        after = s["sub"] > F.element_at(c["subs"], -1)
+        return after & ~F.array_contains(c["nodes"], s["node_id"]) & inside if once else after & inside
+
+    def grown(c):
+        more = lambda s: F.struct(F.concat(c["subs"], F.array(s["sub"])).alias("subs"), F.concat(c["nodes"], F.array(s["node_id"])).alias("nodes"), (c["value"] + s["r"]).alias("value"), F.array_union(c["points"], s["points"]).alias("points"))
+        return F.transform(F.filter("_s", lambda s: fits(c, s)), more)
+
+    level = own.withColumn("_1", F.transform("_s", one))
+    for size in range(2, longest + 1):
+        level = level.withColumn(f"_{size}", F.flatten(F.transform(f"_{size - 1}", grown)))
+    found = level.select("image_id", "centre", "centre_m", F.explode(F.concat(*[f"_{size}" for size in range(1, longest + 1)])).alias("c"))
+    return found.select("image_id", "centre", "centre_m", "c.subs", "c.nodes", "c.value")
 
 
 def combination_statistics(found: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Spatial joins: windows, nearest neighbours and theta joins as equi-joins.
 
-Points fall into square cells as wide as the window's radius; the left side is
-written once for each of the 3x3 cells its window can touch, and the join is on
-(keys, cell). So a window join never compares all pairs of an image, and an
-image's cells are dealt to many tasks.
+Points fall into square cells as wide as the window, or 8; the left side is written once for
+each of the one to four cells that its window touches, and the join is on (keys, cell).
+So a window join never compares all pairs of an image, and where both sides are dealt by
+a key already, nothing moves.
 """
 
 from __future__ import annotations
@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 def window_join(left: DataFrame, right: DataFrame, keys: list[str], dx: int, dy: int, how: str = "inner", on: Column | None = None) -> DataFrame:
     """Rows of ``left`` with those of ``right`` within dx, dy. Both have x, y and
     the keys; the right side's other columns and x, y come out prefixed ``o_``."""
-    w, h = max(1, dx), max(1, dy)
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    cell = lambda c, n: F.floor(F.col(c) / n).cast("int")
+    w, h = max(8, 2 * dx + 1), max(8, 2 * dy + 1)
+    touched = lambda c, r, n: F.explode(F.sequence(F.floor((F.col(c) - r) / n).cast("int"), F.floor((F.col(c) + r) / n).cast("int")))
     other = right.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in keys])
     other = other.withColumns({"cx": F.floor(F.col("o_x") / w).cast("int"), "cy": F.floor(F.col("o_y") / h).cast("int")})
-    spread = left.withColumn("_n", F.explode(near)).withColumns({"cx": cell("x", w) + F.col("_n.i"), "cy": cell("y", h) + F.col("_n.j")}).drop("_n")
+    spread = left.withColumn("cx", touched("x", dx, w)).withColumn("cy", touched("y", dy, h))
     inside = (F.abs(F.col("x") - F.col("o_x")) <= dx) & (F.abs(F.col("y") - F.col("o_y")) <= dy)
     match = inside if on is None else inside & on
     condition = (spread["cx"] == other["cx"]) & (spread["cy"] == other["cy"]) & match
@@ -29,6 +28,15 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], dx: int, dy:
     return spread.join(other, condition, how).drop("cx", "cy", *[f"k_{k}" for k in keys])
 
 
+def with_model(rows: DataFrame, key: str, model: DataFrame, model_key: str) -> DataFrame:
+    """``rows`` with each row of a small table of a model, as the struct ``_p``, whose key is
+    theirs. The table goes along as one value, a map by key, so rows need not move to meet
+    it, whatever Spark knows of its size."""
+    each = model.groupBy(F.col(model_key).alias("_key")).agg(F.collect_list(F.struct(*model.columns)).alias("_rows"))
+    whole = each.agg(F.map_from_entries(F.collect_list(F.struct("_key", "_rows"))).alias("_model"))  # one row
+    return rows.crossJoin(whole).withColumn("_p", F.explode(F.try_element_at("_model", F.col(key)))).drop("_model")
+
+
 def neighbour_counts(nodes: DataFrame, keys: list[str], dx: int, dy: int) -> DataFrame:
     """Per node the number, distinct types and mean r of its window, itself included."""
     met = window_join(nodes.select(*keys, "x", "y", "node_id"), nodes.select(*keys, "x", "y", "m", "r"), keys, dx, dy)

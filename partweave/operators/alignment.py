@@ -8,9 +8,11 @@ where it came from.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partweave.operators.keyed import by_keys, one_key
 from partweave.operators.ranges import window_join
 from partweave.sources.scratch import stored
 
@@ -49,11 +51,33 @@ def carried(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 def aligned_trees(pairs: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair, node, partner, origin, dist) of every node of the second tree of each pair.
-    ``paths``: (tree, path) longest paths; ``edges``: (tree, a, b) undirected."""
-    start = matched_paths(paths, paths, pairs)
-    own = pairs.select("pair", F.col("tree_b").alias("tree")).join(edges, "tree")
-    both = own.select("pair", F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(own.select("pair", F.col("b").alias("src"), F.col("a").alias("dst")))
-    return carried(start, both)
+    ``paths``: (tree, path) longest paths; ``edges``: (tree, a, b) undirected. A tree is one
+    image's, so its nodes take their partners in one task, many pairs a call; ``carried``
+    does the same for graphs of any size."""
+    start = matched_paths(paths, paths, pairs).select("pair", F.col("node").alias("a"), F.col("partner").alias("b"), F.lit(True).alias("placed"))
+    own = pairs.select("pair", F.col("tree_b").alias("tree")).join(edges.select("tree", "a", "b"), "tree")
+    rows = start.unionByName(own.select("pair", "a", "b", F.lit(False).alias("placed")))
+
+    def carry(a: np.ndarray, b: np.ndarray, placed: np.ndarray) -> list[np.ndarray]:
+        near: dict[int, list[int]] = {}
+        for v, w in zip(a[~placed].tolist(), b[~placed].tolist(), strict=True):
+            near.setdefault(v, []).append(w)
+            near.setdefault(w, []).append(v)
+        found = {n: (n, p, 0) for n, p in zip(a[placed].tolist(), b[placed].tolist(), strict=True)}
+        front, dist = dict(found), 0
+        while front:
+            dist += 1
+            ahead: dict[int, tuple[int, int, int]] = {}
+            for node, (origin, partner, _) in front.items():
+                for w in near.get(node, ()):
+                    if w not in found and (w not in ahead or (origin, partner) < ahead[w][:2]):
+                        ahead[w] = (origin, partner, dist)
+            found |= ahead
+            front = ahead
+        columns = zip(*[(n, p, o, d) for n, (o, p, d) in found.items()], strict=True) if found else [()] * 4
+        return [np.array(c, dtype=t) for c, t in zip(columns, (np.int64, np.int64, np.int64, np.int32), strict=True)]
+
+    return by_keys(rows, ["pair"], ["a", "b", "placed"], ["a", "b"], "node long, partner long, origin long, dist int", one_key(carry))
 
 
 def alignment_cost(found: DataFrame, points: DataFrame) -> DataFrame:

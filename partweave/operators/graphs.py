@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partweave.operators.keyed import by_keys, lists
 from partweave.operators.ordering import numbered, running_sum
 from partweave.sources.scratch import stored
 
@@ -137,64 +138,76 @@ def dense_ids(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return numbered(rows, keys, order, "dense_id").withColumn("dense_id", F.col("dense_id") - 1)
 
 
-def spanning_trees(points: DataFrame, keys: list[str], id_col: str = "node_id") -> DataFrame:
-    """Minimum spanning tree edges (keys, a, b, d2) per key, by Prim's rule on
-    squared distances; ties go to the smaller id."""
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", a long, b long, d2 double"
+def _prim(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(link, new, d2) by step of the trees of many point sets, a row each, filled up to one
+    length. The row's points come by id, so the first of equally near ones is the smallest."""
+    sets, n = x.shape
+    row = np.arange(sets)
+    best, link, inside = np.full((sets, n), np.inf), np.zeros((sets, n), dtype=np.int64), np.arange(n)[None] >= size[:, None]
+    now = np.zeros(sets, dtype=np.int64)
+    steps = [np.zeros((sets, max(n - 1, 0)), dtype=t) for t in (np.int64, np.int64, float)]
+    for step in range(n - 1):
+        inside[row, now] = True
+        d2 = (x - x[row, now][:, None]) ** 2 + (y - y[row, now][:, None]) ** 2
+        closer = d2 < best
+        best, link = np.where(closer, d2, best), np.where(closer, now[:, None], link)
+        best[inside] = np.inf
+        now = best.argmin(axis=1)
+        for held, found in zip(steps, (link[row, now], now, best[row, now]), strict=True):
+            held[:, step] = found
+    return tuple(steps)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(id_col)
-        xy, ids = frame[["x", "y"]].to_numpy(dtype=float), frame[id_col].to_numpy()
-        n = len(ids)
-        best, link = np.full(n, np.inf), np.zeros(n, dtype=int)
-        inside = np.zeros(n, dtype=bool)
-        rows, now = [], 0
-        for _ in range(n - 1):
-            inside[now] = True
-            d2 = ((xy - xy[now]) ** 2).sum(axis=1)
-            closer = d2 < best
-            best[closer], link[closer] = d2[closer], now
-            best[inside] = np.inf
-            now = int(best.argmin())
-            rows.append((ids[link[now]], ids[now], best[now]))
-        out = pd.DataFrame(rows, columns=["a", "b", "d2"])
-        for k in reversed(keys):
-            out.insert(0, k, frame[k].iloc[0])
-        return out
 
-    return points.groupBy(*keys).applyInPandas(run, schema)
+def spanning_trees(points: DataFrame, keys: list[str], id_col: str = "node_id") -> DataFrame:
+    """Minimum spanning tree edges (keys, a, b, d2) per key, by Prim's rule on
+    squared distances; ties go to the smaller id. A task grows the trees of many keys of
+    much the same size in step."""
+
+    def run(ends: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        sizes, found = np.diff(ends), []
+        order = np.argsort(sizes, kind="stable")
+        for some in np.array_split(order, max(1, len(order) // 32)):
+            n = int(sizes[some].max(initial=0))
+            at = ends[:-1][some][:, None] + np.minimum(np.arange(n)[None], sizes[some][:, None] - 1)
+            link, new, d2 = _prim(x[at].astype(float), y[at].astype(float), sizes[some])
+            own = np.arange(max(n - 1, 0))[None] < sizes[some][:, None] - 1
+            rows, first = np.nonzero(own)[0], ends[:-1][some]
+            found.append((some[rows], ids[first[rows] + link[own]], ids[first[rows] + new[own]], d2[own]))
+        owner, a, b, d2 = (np.concatenate(c) for c in zip(*found, strict=True))
+        return owner, a.astype(np.int64), b.astype(np.int64), d2
+
+    return by_keys(points, keys, [id_col, "x", "y"], [id_col], "a long, b long, d2 double", run)
+
+
+def _cliques(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    near: dict[int, set[int]] = {}
+    for v, w in zip(a.tolist(), b.tolist(), strict=True):
+        near.setdefault(v, set()).add(w)
+        near.setdefault(w, set()).add(v)
+    found: list[list[int]] = []
+    stack = [(set(), set(near), set())]
+    while stack:
+        chosen, open_, shut = stack.pop()
+        if not open_ and not shut:
+            found.append(sorted(chosen))
+            continue
+        pivot = max(open_ | shut, key=lambda v: len(near[v] & open_))
+        for v in sorted(open_ - near[pivot]):
+            stack.append((chosen | {v}, open_ & near[v], shut & near[v]))
+            open_ = open_ - {v}
+            shut = shut | {v}
+    return found
 
 
 def cliques(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Maximal cliques (keys, clique) of undirected edges (keys, a, b), by the
     pivoting rule."""
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", clique array<long>"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(frame["a"], frame["b"], strict=True):
-            near.setdefault(int(a), set()).add(int(b))
-            near.setdefault(int(b), set()).add(int(a))
-        found: list[list[int]] = []
-        stack = [(set(), set(near), set())]
-        while stack:
-            chosen, open_, shut = stack.pop()
-            if not open_ and not shut:
-                found.append(sorted(chosen))
-                continue
-            pivot = max(open_ | shut, key=lambda v: len(near[v] & open_))
-            for v in sorted(open_ - near[pivot]):
-                stack.append((chosen | {v}, open_ & near[v], shut & near[v]))
-                open_ = open_ - {v}
-                shut = shut | {v}
-        out = pd.DataFrame({"clique": found})
-        for k in reversed(keys):
-            out.insert(0, k, frame[k].iloc[0])
-        return out
+    def run(ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+        found = [_cliques(a[i:j], b[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return np.repeat(np.arange(len(found)), [len(f) for f in found]), lists([c for f in found for c in f])
 
-    return edges.groupBy(*keys).applyInPandas(run, schema)
+    return by_keys(edges, keys, ["a", "b"], ["a", "b"], "clique array<long>", run)
 
 
 def sampled_children(edges: DataFrame, seed: int) -> DataFrame:

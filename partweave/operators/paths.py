@@ -6,11 +6,12 @@ indices joined by dots.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.functions.arrays import chi_square
+from partweave.operators.keyed import by_keys, lists
 
 
 def under(maps: DataFrame, index: int) -> DataFrame:
@@ -40,35 +41,34 @@ def matched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _farthest(near: dict[int, list[int]], start: int) -> list[int]:
+    before, depth, queue = {start: None}, {start: 0}, [start]
+    for v in queue:
+        for w in near[v]:
+            if w not in before:
+                before[w], depth[w] = v, depth[v] + 1
+                queue.append(w)
+    end = min(depth, key=lambda v: (-depth[v], v))
+    path = [end]
+    while before[path[-1]] is not None:
+        path.append(before[path[-1]])
+    return path[::-1]
+
+
 def longest_paths(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path): the longest path by node count of each key's tree (edges a, b),
     by two searches; ties go to smaller ids."""
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", path array<long>"
-
-    def far(near: dict[int, list[int]], start: int) -> list[int]:
-        before, queue = {start: None}, [start]
-        depth = {start: 0}
-        for v in queue:
-            for w in sorted(near[v]):
-                if w not in before:
-                    before[w], depth[w] = v, depth[v] + 1
-                    queue.append(w)
-        end = min(depth, key=lambda v: (-depth[v], v))
-        path = [end]
-        while before[path[-1]] is not None:
-            path.append(before[path[-1]])
-        return path[::-1]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+
+    def longest(a: np.ndarray, b: np.ndarray) -> list[int]:
         near: dict[int, list[int]] = {}
-        for a, b in zip(frame["a"], frame["b"], strict=True):
-            near.setdefault(int(a), []).append(int(b))
-            near.setdefault(int(b), []).append(int(a))
-        first = far(near, min(near))
-        out = pd.DataFrame({"path": [far(near, first[-1])]})
-        for k in reversed(keys):
-            out.insert(0, k, frame[k].iloc[0])
-        return out
-
-    return edges.groupBy(*keys).applyInPandas(run, schema)
+        for v, w in zip(a.tolist(), b.tolist(), strict=True):
+            near.setdefault(v, []).append(w)
+            near.setdefault(w, []).append(v)
+        for ends in near.values():
+            ends.sort()
+        return _farthest(near, _farthest(near, min(near))[-1])
+
+    def run(ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+        return np.arange(len(ends) - 1), lists([longest(a[i:j], b[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)])
+
+    return by_keys(edges, keys, ["a", "b"], ["a", "b"], "path array<long>", run)

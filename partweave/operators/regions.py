@@ -9,29 +9,73 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partweave.operators.keyed import by_keys
+
 #: Nodes and weights of five-point Gauss-Legendre quadrature on 0..1.
 GAUSS = [(float((x + 1) / 2), float(w / 2)) for x, w in zip(*np.polynomial.legendre.leggauss(5), strict=True)]
 
 
-def filled(corners: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x, y): the pixels of each polygon (keys, k, x, y; whole numbers, closed by its
-    first corner). A row takes the edges that begin at it or below and end above it; between
-    each two of their crossings all pixels belong to the region, both ends included. The
-    corners belong to it as well."""
-    own = Window.partitionBy(*keys).orderBy("k")
-    first = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = lambda c: F.coalesce(F.lead(c).over(own), F.first(c).over(first))
-    edges = corners.withColumns({"bx": nxt("x"), "by": nxt("y")}).where("y <> by")
-    low = F.col("y") < F.col("by")
-    up = edges.select(*keys, *[F.when(low, F.col(a)).otherwise(F.col(b)).alias(c) for c, a, b in (("ax", "x", "bx"), ("ay", "y", "by"), ("cx", "bx", "x"), ("cy", "by", "y"))])
-    rows = up.withColumn("y", F.explode(F.sequence("ay", F.col("cy") - 1)))
-    cross = rows.withColumn("at", F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("cx") - F.col("ax")) / (F.col("cy") - F.col("ay")))
-    line = Window.partitionBy(*keys, "y").orderBy("at")
-    spans = cross.withColumns({"n": F.row_number().over(line), "to": F.lead("at").over(line)}).where("n % 2 = 1")
+def _spans(owner: np.ndarray, x: np.ndarray, y: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(owner, y, first, last), sorted, of the pixels of many polygons, without overlaps."""
+    edge = np.flatnonzero(y != y[nxt])
+    low = y[edge] < y[nxt][edge]
+    a, c = np.where(low, edge, nxt[edge]), np.where(low, nxt[edge], edge)
+    heights = y[c] - y[a]
+    a, c = np.repeat(a, heights), np.repeat(c, heights)
+    row = y[a] + np.arange(len(a)) - np.repeat(np.cumsum(heights) - heights, heights)
+    at = x[a] + (row - y[a]) * (x[c] - x[a]) / (y[c] - y[a])
+    # A polygon is closed: of the edges over a row there are two, or four, and so on.
+    order = np.lexsort((at, row, owner[a]))
+    own, row, at = owner[a][order][::2], row[order][::2], at[order]
     # A crossing a hair beside a pixel by rounding is on it.
-    left, right = F.ceil(F.col("at") - 1e-9).cast("int"), F.floor(F.col("to") + 1e-9).cast("int")
-    inside = spans.where(left <= right).select(*keys, F.explode(F.sequence(left, right)).alias("x"), F.col("y").cast("int").alias("y"))
-    return inside.unionByName(corners.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).distinct()
+    first, last = np.ceil(at[::2] - 1e-9).astype(np.int64), np.floor(at[1::2] + 1e-9).astype(np.int64)
+    some = first <= last
+    own, row, first, last = (np.concatenate(p) for p in ((own[some], owner), (row[some], y), (first[some], x), (last[some], x)))
+    order = np.lexsort((first, row, own))
+    own, row, first, last = own[order], row[order], first[order], last[order]
+    # Spans that overlap are one: the furthest end so far, counted up from row to row.
+    new_row = np.ones(len(own), dtype=bool)
+    new_row[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+    shift = (np.cumsum(new_row) - 1) * (int(last.max(initial=0)) - int(first.min(initial=0)) + 2)
+    far = np.maximum.accumulate(last + shift) - shift
+    new = new_row.copy()
+    new[1:] |= first[1:] > far[:-1]
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(own)) - 1
+    return own[begin], row[begin], first[begin], far[end[: len(begin)]]
+
+
+def filled_spans(corners: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, first, last): the pixels of each polygon (keys, k, x, y; whole numbers, closed
+    by its first corner) as spans of its rows that do not overlap. A row takes the edges that
+    begin at it or below and end above it; between each two of their crossings all pixels
+    belong to the region, both ends included. The corners belong to it as well."""
+
+    def run(ends: np.ndarray, _: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        nxt = np.arange(1, ends[-1] + 1)
+        nxt[ends[1:] - 1] = ends[:-1]
+        owner, *spans = _spans(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), x.astype(np.int64), y.astype(np.int64), nxt)
+        return owner, *[s.astype(np.int32) for s in spans]
+
+    return by_keys(corners, keys, ["k", "x", "y"], ["k"], "y int, first int, last int", run)
+
+
+def filled(corners: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y): the pixels of ``filled_spans``."""
+    return filled_spans(corners, keys).select(*keys, F.explode(F.sequence("first", "last")).alias("x"), "y")
+
+
+def filled_sizes(corners: DataFrame, keys: list[str], name: str = "n_pixels") -> DataFrame:
+    """(keys, name): how many pixels each polygon has, counted where its spans are found."""
+
+    def run(ends: np.ndarray, _: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        nxt = np.arange(1, ends[-1] + 1)
+        nxt[ends[1:] - 1] = ends[:-1]
+        owner, _, first, last = _spans(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), x.astype(np.int64), y.astype(np.int64), nxt)
+        sizes = np.bincount(owner, weights=last - first + 1, minlength=len(ends) - 1)
+        return np.arange(len(ends) - 1), sizes.astype(np.int64)
+
+    return by_keys(corners, keys, ["k", "x", "y"], ["k"], f"{name} long", run)
 
 
 def spline(points: DataFrame, keys: list[str]) -> DataFrame:

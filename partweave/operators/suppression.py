@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partweave.operators.keyed import kept_by_keys
+
 SIDES = ["llx", "lly", "urx", "ury"]
 
 
@@ -64,17 +66,17 @@ def top_k(rows: DataFrame, keys: list[str], k: int, value: str, id_col: str) ->
 def suppress_points(points: DataFrame, keys: list[str], radius: float, order: str, id_col: str) -> DataFrame:
     """Greedy discs: in order, a point stays if no kept one lies within the radius."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.iloc[np.lexsort((frame[id_col].to_numpy(), frame[order].to_numpy()))]
-        xy = frame[["x", "y"]].to_numpy(dtype=float)
-        alive, kept = np.ones(len(frame), dtype=bool), []
-        for k in range(len(frame)):
+    def run(x: np.ndarray, y: np.ndarray) -> list[int]:
+        x, y = x.astype(float), y.astype(float)
+        far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 > radius * radius
+        alive, kept = np.ones(len(x), dtype=bool), []
+        for k in range(len(x)):
             if alive[k]:
                 kept.append(k)
-                alive &= ((xy - xy[k]) ** 2).sum(axis=1) > radius * radius
-        return frame.iloc[kept]
+                alive &= far[k]
+        return kept
 
-    return points.groupBy(*keys).applyInPandas(run, points.schema)
+    return kept_by_keys(points, keys, [order, id_col], ["x", "y"], run)
 
 
 def suppress_by_leaves(support: DataFrame, keys: list[str], threshold: float, value: str = "val", id_col: str = "node_id") -> DataFrame:

@@ -35,3 +35,13 @@ def test_inference_moves_nodes_once_by_image(spark, data, no_small_images, name)
 def test_peaks_go_to_the_nodes(spark, data, no_small_images, name):
     """No node moves by its type, of which there are seven."""
     assert not {k for k in shuffles(QUERIES[name](spark, data)) if k in ("m", "mc")}
+
+
+KEYED = "spanning_trees tree_regions mean_shift_clusters suppressed_points hull_areas longest_tree_paths neighbour_cliques filled_polygons"
+
+
+@pytest.mark.parametrize("name", KEYED.split())
+def test_many_keys_take_one_call(spark, data, name):
+    """A key of a few dozen rows is no call of its own, nor are its pixels rows."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan and "sequence(" not in plan

@@ -178,3 +178,12 @@ def test_a_kernel_machine_equals_a_direct_solution(spark):
     best = cost(direct, (a * s) @ k @ (a * s))
     assert best * (1 - 1e-6) <= cost(ours, machine.weights @ machine.weights) <= 1.01 * best
     assert ((ours > 0) == (direct > 0)).mean() > 0.95
+
+
+def test_members_follow_their_classes(spark):
+    members = spark.createDataFrame([(0, 0), (3, 0), (1, 1), (2, 2), (5, 2), (7, 7), (9, 7), (8, 8)], "part int, class int")
+    edges = spark.createDataFrame([(0, 1), (1, 2)], "a int, b int")
+    cliques = merges.member_cliques(members, edges, merges.split_cliques(edges, []))
+    assert sorted(r["clique"] for r in cliques.collect()) == [[0, 1, 3], [1, 2, 5], [7, 9]]
+    roots = spark.createDataFrame([(1, 0)], "part int, root int")
+    assert {r["part"]: r["root"] for r in merges.merged_members(members, roots).collect()} == {3: 0, 1: 0, 5: 2, 9: 7}

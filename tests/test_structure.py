@@ -185,3 +185,23 @@ def test_subspace_distances_and_principal_axes(spark):
     want = ((centred - centred @ vt[:2].T @ vt[:2]) ** 2).sum(axis=1)
     got = {r.id: r.d2 for r in variants.subspace_distances(df, mean.tolist(), axes.T.tolist()).collect()}
     assert [got[k] for k in range(40)] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_copies_of_parts_are_compared_once(spark):
+    rng = random.Random(8)
+    kinds = [[(rng.randrange(3), rng.randrange(-2, 3), rng.randrange(-2, 3)) for _ in range(rng.randrange(1, 4))] for _ in range(12)]
+    subs = {k: rng.sample(kinds[k % 12], len(kinds[k % 12])) for k in range(60)}
+    sub = spark.createDataFrame([(k, i, *t) for k, own in subs.items() for i, t in enumerate(own)], "part int, idx int, sub_m int, dx int, dy int")
+    types = spark.createDataFrame([(a, b, 1.0 if a == b else 0.9) for a in range(3) for b in range(3)], "m int, other int, s double")
+    members, alike = structure.alike_classes(sub, types, 2.0, 0.8)
+    assert {r["part"]: r["class"] for r in members.collect()} == {k: min(j for j in subs if sorted(subs[j]) == sorted(subs[k])) for k in subs}
+    assert alike.count() <= 144
+    term = lambda p, q: (1.0 if p[0] == q[0] else 0.9) * np.exp(-((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) / 8)
+    want = {}
+    for a, b in itertools.product(subs, subs):
+        if len(subs[a]) == len(subs[b]):
+            best = max(np.mean([term(p, q) for p, q in zip(subs[a], o, strict=True)]) for o in itertools.permutations(subs[b]))
+            if best >= 0.8:
+                want[a, b] = best
+    got = {(r.part, r.other): r.similarity for r in structure.similarities(sub, types, 2.0, 0.8).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)

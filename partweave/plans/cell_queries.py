@@ -168,9 +168,8 @@ def weighted_overlaps(spark, d):
     )
 )
 def pasted_cells(spark, d):
-    a, b = _cells(spark, d, "m <= 3"), _cells(spark, d, "m >= 3")
-    count = lambda rule, name: ce.pasted(a, b, rule).groupBy("image_id").agg(F.count_if(F.col("v") >= 0.6).alias(name))
-    return count("max", "n_max").join(count("sum", "n_sum"), "image_id")
+    both = ce.pasted(_cells(spark, d, "m <= 3"), _cells(spark, d, "m >= 3"), ("max", "sum"))
+    return both.groupBy("image_id").agg(F.count_if(F.col("max") >= 0.6).alias("n_max"), F.count_if(F.col("sum") >= 0.6).alias("n_sum"))
 
 
 @query(

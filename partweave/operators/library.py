@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partweave.operators.ranges import with_model
+from partweave.sources.scratch import stored
+
 
 def structures(lib_center: DataFrame, lib_sub: DataFrame) -> DataFrame:
     """(part, structure): the centre type, then type and offset of each subpart in
@@ -56,10 +59,21 @@ def masks(lib_center: DataFrame, lib_sub: DataFrame, first: DataFrame, layers: i
     use = lib_center.select("part", F.col("center_m").alias("m"), F.lit(0).alias("dx"), F.lit(0).alias("dy")).unionByName(
         lib_sub.select("part", F.col("sub_m").alias("m"), "dx", "dy")
     )
+    # Dealt by part once, in a number of partitions that Spark does not bring down to the
+    # size of these short rows: the cells that they grow to are merged where they are.
+    use = use.repartition(int(use.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
     now, scale = first, 1
-    for _ in range(layers):
-        placed = use.join(now, "m").select("part", (F.col("x") + F.col("dx") * scale).alias("x"), (F.col("y") + F.col("dy") * scale).alias("y"), "v")
-        now = placed.groupBy(F.col("part").alias("m"), "x", "y").agg(F.max("v").alias("v"))
+    for layer in range(layers):
+        if layer:
+            # Of the parts below only those matter that are types above: a table of known size.
+            now = stored(now.join(use.select("m").distinct(), "m", "left_semi"), "masks")
+        cells = now.groupBy("m").agg(F.collect_list(F.struct("x", "y", "v")).alias("cells"))
+        placed = with_model(use, "m", cells, "m").select("part", F.transform("_p.cells", lambda c: F.struct((c["x"] + F.col("dx") * F.lit(scale)).alias("x"), (c["y"] + F.col("dy") * F.lit(scale)).alias("y"), c["v"].alias("v"))).alias("cells"))
+        every = F.array_sort(F.flatten(F.collect_list(F.transform("cells", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (-c["v"]).alias("low"))))))
+        whole = placed.groupBy("part").agg(every.alias("cells"))
+        # In this order the first of a place has the largest value.
+        best = F.filter("cells", lambda c, i: (i == 0) | (F.get("cells", i - 1)["x"] != c["x"]) | (F.get("cells", i - 1)["y"] != c["y"]))
+        now = whole.select(F.col("part").alias("m"), F.inline(best)).select("m", "x", "y", (-F.col("low")).alias("v"))
         scale *= contraction
     return now.withColumnRenamed("m", "part")
 

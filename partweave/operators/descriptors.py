@@ -21,8 +21,8 @@ def shape_contexts(nodes: DataFrame, *, angles: int, radii: list[float]) -> Data
 
 def dense_histogram(bins: DataFrame, keys: list[str], size: int, value: str = "n") -> DataFrame:
     """(keys, h): an array with a place per bin."""
-    maps = bins.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col(value).cast("double")))).alias("mm"))
-    return maps.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.coalesce(F.element_at("mm", b), F.lit(0.0))).alias("h"))
+    sums = bins.groupBy(*keys).agg(*[F.sum(F.when(F.col("bin") == b, F.col(value).cast("double"))).alias(f"_{b}") for b in range(size)])
+    return sums.select(*keys, F.array(*[F.coalesce(f"_{b}", F.lit(0.0)) for b in range(size)]).alias("h"))
 
 
 def compositions(nodes: DataFrame, window: int, step: int, grid: int) -> DataFrame:

@@ -42,6 +42,12 @@ KEYED = "spanning_trees tree_regions mean_shift_clusters suppressed_points hull_
 
 @pytest.mark.parametrize("name", KEYED.split())
 def test_many_keys_take_one_call(spark, data, name):
-    """A key of a few dozen rows is no call of its own, nor are its pixels rows."""
+    """A key of a few dozen rows is no call of its own."""
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapGroups" not in plan and "MapInArrow" in plan and "sequence(" not in plan
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["disc_cells", "pasted_cells", "dense_contexts"])
+def test_rows_that_grow_stay_in_their_image(spark, data, no_small_images, name):
+    """Cells and contexts are not dealt by themselves."""
+    assert {k.split(", ")[0] for k in shuffles(QUERIES[name](spark, data))} <= {"image_id"}

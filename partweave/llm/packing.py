@@ -38,6 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,9 +72,9 @@ class Places(dict):
 
     def __init__(self):
         super().__init__()
-        self.order: list[bytes] = []
+        self.order: list[str] = []
 
-    def __missing__(self, key: bytes) -> int:
+    def __missing__(self, key: str) -> int:
         self[key] = n = len(self.order)
         self.order.append(key)
         return n
@@ -104,6 +105,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.clear()
 
@@ -113,40 +115,46 @@ class WordEncoder:
         self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
         self.lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         if len(self.place) > CACHE_WORDS:
             self.clear()
         known, number = len(self.place), self.place.__getitem__
-        words = [(t or "").encode().split() for t in texts]
-        index = [np.fromiter(map(number, ws), dtype=np.int64, count=len(ws)) for ws in words]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        words = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        # Each different word of the batch is looked up once.
+        own = words.flatten().dictionary_encode()
+        places = np.fromiter(map(number, own.dictionary.to_numpy(zero_copy_only=False).tolist()), dtype=np.int64, count=len(own.dictionary))
         self._learn(self.place.order[known:])
         flat, length = np.concatenate(self.ids), np.concatenate(self.lengths)
         self.ids, self.lengths = [flat], [length]
         begin = np.cumsum(length) - length
+        index = places[own.indices.to_numpy()]
+        n = length[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        # Where each word's ids begin in ``flat``, less where they go.
+        ids = flat[np.arange(ends[-1]) + np.repeat(begin[index] - ends[:-1], n)]
+        bounds = words.offsets.to_numpy()
+        cuts = ends[bounds - bounds[0]].tolist()
         out = []
-        for own in index:
-            n = length[own]
-            total = int(n.sum())
-            # Where each word's ids begin in ``flat``, less where they go.
-            step = np.repeat(begin[own] - (np.cumsum(n) - n), n)
-            ids = np.empty(total + 1, dtype=np.uint32)
-            ids[:total] = flat[np.arange(total) + step]
-            ids[total] = END_ID
-            out.append(ids)
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            whole = np.empty(end - start + 1, dtype=np.uint32)
+            whole[:-1] = ids[start:end]
+            whole[-1] = END_ID
+            out.append(whole)
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         found: list[int] = []
         lengths: list[int] = []
         parts = self.parts
-        for raw in words:
-            word = raw.decode()
+        for word in words:
             before = len(found)
             if "<" in word and any(t in word for t in self.special):
                 found += self.tokenizer.encode(word, add_special_tokens=False).ids
             else:
-                if raw.isascii():
-                    pieces = ASCII_PRE_TOKEN.findall(word.lower())
+                if word.isascii():
+                    lower = word.lower()
+                    pieces = (lower,) if lower.isalpha() else ASCII_PRE_TOKEN.findall(lower)
                 else:
                     word = unicodedata.normalize("NFC", word)
                     # Letter by letter: only a sigma's lower case would look at its neighbours.
@@ -164,7 +172,7 @@ class WordEncoder:
     def _merge(self, piece: str) -> list[int]:
         if not (piece.isascii() and piece.isprintable()):
             piece = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return [t.id for t in self.tokenize(piece)]
 
 
 @lru_cache(maxsize=1)
@@ -182,7 +190,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
         for batch in text_batches(whole, "text", 2 << 20):
             rows = []
             keys = zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), strict=True)
-            for (doc, row), ids in zip(keys, encode(batch.column("text").to_pylist()), strict=True):
+            for (doc, row), ids in zip(keys, encode(batch.column("text")), strict=True):
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity]
                     rows.append((doc, row, piece, at, len(own), zlib.crc32(own.astype("<u4").tobytes())))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -571,6 +572,23 @@ def test_ascii_control_characters_keep_their_ids():
         assert ids[:-1].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_are_looked_up_once_a_batch():
+    class Counted(packing.Places):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    e.place = Counted()
+    texts = ["the cat  sat " * 100, None, " \t", "sat the\x0bcat"] * 10
+    found = e(pa.array(["cut off", *texts]).slice(1))
+    assert e.place.asked <= 4
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+
+
 @pytest.fixture(scope="module")
 def piece_model():
     return pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))

@@ -205,3 +205,12 @@ def test_copies_of_parts_are_compared_once(spark):
                 want[a, b] = best
     got = {(r.part, r.other): r.similarity for r in structure.similarities(sub, types, 2.0, 0.8).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pairs_of_similar_parts_do_not_move(spark):
+    sub = spark.createDataFrame([(k, 1, 0, k % 5, 0) for k in range(50)], "part int, idx int, sub_m int, dx int, dy int")
+    types = spark.createDataFrame([(0, 0, 1.0)], "m int, other int, s double")
+    found = structure.similarities(sub, types, 2.0, 0.8)
+    assert found.count() == 50 * 10 + 4 * 2 * 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "InArrow" in plan

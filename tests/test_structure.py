@@ -214,3 +214,12 @@ def test_pairs_of_similar_parts_do_not_move(spark):
     assert found.count() == 50 * 10 + 4 * 2 * 100
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "InArrow" in plan
+
+
+def test_each_two_classes_have_one_row(spark):
+    rng = random.Random(5)
+    sub = spark.createDataFrame([(k, i, rng.randrange(3), rng.randrange(-2, 3), rng.randrange(-2, 3)) for k in range(60) for i in range(k % 3 + 1)], "part int, idx int, sub_m int, dx int, dy int")
+    types = spark.createDataFrame([(a, b, 1.0 if a == b else 0.9) for a in range(3) for b in range(3)], "m int, other int, s double")
+    both, single = ({(r["class"], r["other"]): r["similarity"] for r in structure.alike_classes(sub, types, 2.0, 0.8, once=once)[1].collect()} for once in (False, True))
+    assert set(single) == {(a, b) for a, b in both if a <= b} and len(single) < len(both)
+    assert all(abs(single[k] - both[k]) < 1e-12 for k in single)

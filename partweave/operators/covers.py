@@ -20,14 +20,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partweave.operators.keyed import by_keys
 from partweave.sources.scratch import stored
 
 PART = "struct<z:int,node_id:long,x:int,y:int,types:array<int>>"
-STATE = f"image_id long, state string, depth int, covered array<long>, parts array<{PART}>, value double, done boolean"
+STATE = f"state string, depth int, covered array<long>, parts array<{PART}>, value double, done boolean"
+#: The same for Arrow.
+TYPES = [
+    pa.string(), pa.int32(), pa.list_(pa.int64()),
+    pa.list_(pa.struct([("z", pa.int32()), ("node_id", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("types", pa.list_(pa.int32()))])), pa.float64(), pa.bool_(),
+]
 
 
 @dataclass(frozen=True)
@@ -90,23 +97,30 @@ def covers_of(nodes: list[CoverNode], covered: frozenset[int], rules: CoverRules
         yield parts, frozenset(held)
 
 
+COLUMNS = ["kind", "state", "node_id", "x", "y", "m", "value", "points"]
+
+
 def _round(rules: CoverRules, depth: int, z: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """One image: its nodes of the layer (kind 0), all its points (1), its states (2)."""
-        nodes = [
-            CoverNode(int(r.node_id), int(r.x), int(r.y), int(r.m), float(r.value), frozenset(map(int, r.points)))
-            for r in frame[frame["kind"] == 0].itertuples()
-        ]
-        every = {int(p) for r in frame[frame["kind"] == 1].itertuples() for p in r.points}
+    def image(rows: list[tuple]) -> list[tuple]:
+        """One image's states: its nodes of the layer (kind 0), all its points (1), its states (2)."""
+        nodes = [CoverNode(i, x, y, m, value, frozenset(points)) for kind, _, i, x, y, m, value, points in rows if kind == 0]
+        every = {p for row in rows if row[0] == 1 for p in row[-1]}
         out = []
-        for state in frame[frame["kind"] == 2].sort_values("state").itertuples():
-            before = frozenset(map(int, state.points))
-            for number, (parts, held) in enumerate(covers_of(nodes, before, rules, depth)):
+        for state, points in sorted((row[1], row[-1]) for row in rows if row[0] == 2):
+            for number, (parts, held) in enumerate(covers_of(nodes, frozenset(points), rules, depth)):
                 value = len(held & every) / len(every) if every else 0.0
                 done = len(parts) >= rules.at("least_parts", depth) and value >= rules.at("enough", depth)
                 own = [{"z": z, "node_id": n.node_id, "x": n.x, "y": n.y, "types": types} for n, types in parts]
-                out.append((int(frame["image_id"].iloc[0]), f"{state.state}{number}.", depth, sorted(held), own, value, done))
-        return pd.DataFrame(out, columns=["image_id", "state", "depth", "covered", "parts", "value", "done"])
+                out.append((f"{state}{number}.", depth, sorted(held), own, value, done))
+        return out
+
+    def run(ends: np.ndarray, *columns: np.ndarray) -> tuple:
+        """Many images."""
+        *plain, points = columns
+        rows = list(zip(*(c.tolist() for c in plain), [p.tolist() for p in points], strict=True))
+        found = [image(rows[start:end]) for start, end in zip(ends[:-1], ends[1:], strict=True)]
+        made = list(zip(*(row for own in found for row in own), strict=True)) or [()] * 6
+        return np.repeat(np.arange(len(found)), [len(own) for own in found]), *[pa.array(c, kind) for c, kind in zip(made, TYPES, strict=True)]
 
     return run
 
@@ -118,16 +132,18 @@ def covering_objects(supports: DataFrame, points: DataFrame, top: int, depths: i
     the top layer, or whose nodes have no points, gives no object."""
     rules = rules or CoverRules()
     none = "CAST(NULL AS {}) AS {}"
+    # Not null, which would make the ids floating-point numbers.
+    blank = ["CAST(0 AS BIGINT) AS node_id", *[f"0 AS {c}" for c in "xym"]]
     nodes = supports.selectExpr("image_id", "0 AS kind", none.format("string", "state"), "z", "node_id", "x", "y", "m", "value", "points")
-    every = points.selectExpr("image_id", "1 AS kind", none.format("string", "state"), "CAST(NULL AS INT) AS z", none.format("long", "node_id"), *[none.format("int", c) for c in "xym"], none.format("double", "value"), "points")
+    every = points.selectExpr("image_id", "1 AS kind", none.format("string", "state"), "CAST(NULL AS INT) AS z", *blank, none.format("double", "value"), "points")
     states = supports.select("image_id").distinct().selectExpr("image_id", "'' AS state", "CAST(array() AS array<bigint>) AS covered")
     rounds = []
     for depth in range(depths):
         z = top - depth
         rows = nodes.where(F.col("z") == z).unionByName(every).unionByName(
-            states.selectExpr("image_id", "2 AS kind", "state", "CAST(NULL AS INT) AS z", none.format("long", "node_id"), *[none.format("int", c) for c in "xym"], none.format("double", "value"), "covered AS points")
+            states.selectExpr("image_id", "2 AS kind", "state", "CAST(NULL AS INT) AS z", *blank, none.format("double", "value"), "covered AS points")
         )
-        found = stored(rows.groupBy("image_id").applyInPandas(_round(rules, depth, z), STATE), "covers")
+        found = stored(by_keys(rows, ["image_id"], COLUMNS, ["kind"], STATE, _round(rules, depth, z)), "covers")
         rounds.append(found)
         states = found.where("NOT done").select("image_id", "state", "covered")
         if states.limit(1).count() == 0:

@@ -122,6 +122,14 @@ def test_peaks_of_blurred_maps():
     assert abs(dict(((a, b), c) for a, b, c in got)[8, 0] - v) < 1e-6
 
 
+def test_many_images_take_one_call_and_keep_large_ids(spark):
+    large = 2**60
+    supports = spark.createDataFrame([(i, z, large + 10 * i + z, 1, 1, 0, 1.0, [1, 2, 3]) for i in range(30) for z in (1, 2)], "image_id long, z int, node_id long, x int, y int, m int, value double, points array<long>")
+    points = spark.createDataFrame([(i, [1, 2, 3]) for i in range(30)], "image_id long, points array<long>")
+    found = covers.covering_objects(supports, points, top=2, depths=1, rules=covers.CoverRules(least_parts=(1,)))
+    assert {(r.image_id, tuple(p.node_id for p in r.parts)) for r in found.collect() if r.object == "0."} == {(i, (large + 10 * i + 2,)) for i in range(30)}
+
+
 def plain_models(rows, peaks, tolerance, longest, overlap, alike, distinct, start_overlap, most_starts, most_types):
     """A depth-first recursion over one image at a time."""
     often = {}

@@ -16,6 +16,7 @@ from partweave.operators import structure as st
 from partweave.plans.registry import query, rounded
 from partweave.sources import projections as p
 from partweave.sources.projections import with_views
+from partweave.sources.scratch import stored
 
 #: The 3x3 region of a node's pixels, of an image with a border of one.
 REGION = "transform(sequence(0, 8), k -> CAST((y + k DIV 3) * 66 + x + k % 3 AS BIGINT))"
@@ -38,7 +39,7 @@ def layered_supports(spark, d):
 @query()
 def covering_objects(spark, d):
     """Covers by groups of orders that go on at orders; tests compare with a plain recursion."""
-    supports = layered_supports(spark, d)
+    supports = stored(layered_supports(spark, d), "supports")
     points = supports.where("z = 1").select("image_id", F.explode("points").alias("c")).groupBy("image_id").agg(F.array_sort(F.collect_set("c")).alias("points"))
     found = cv.covering_objects(supports, points, top=2, depths=2)
     return rounded(found.select("image_id", "object", "value", "n_parts", F.array_join(F.transform("parts", lambda t: t["node_id"].cast("string")), ",").alias("nodes")), "value")

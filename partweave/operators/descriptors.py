@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partweave.functions.geometry import ellipse, polar_bin
+from partweave.operators.keyed import by_keys, near_pairs, owners
 from partweave.operators.ranges import window_join
 
 
@@ -39,15 +42,28 @@ def compositions(nodes: DataFrame, window: int, step: int, grid: int) -> DataFra
 
 
 def cooccurrence(nodes: DataFrame, radius: int, least_distance: int = 1) -> DataFrame:
-    """(mc, mn, dx, dy, v, n): summed r of neighbours by offset and type pair."""
-    met = window_join(nodes.select("image_id", "x", "y", "m"), nodes.select("image_id", "x", "y", "m", "r"), ["image_id"], radius, radius)
-    dx, dy = F.col("o_x") - F.col("x"), F.col("o_y") - F.col("y")
-    far = F.greatest(F.abs(dx), F.abs(dy)) >= least_distance
-    return (
-        met.where(far)
-        .groupBy(F.col("m").alias("mc"), F.col("o_m").alias("mn"), dx.alias("dx"), dy.alias("dy"))
-        .agg(F.sum("o_r").alias("v"), F.count(F.lit(1)).alias("n"))
-    )
+    """(mc, mn, dx, dy, v, n): summed r of neighbours by offset and type pair. Neighbours are
+    found and summed in the task of their images, so only the sums move."""
+
+    def run(ends: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple:
+        owner, x, y = owners(ends), x.astype(np.int64), y.astype(np.int64)
+        a, b = near_pairs(owner, x, y, owner, x, y, (-radius, radius), (-radius, radius))
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        far = np.maximum(np.abs(dx), np.abs(dy)) >= least_distance
+        a, b, dx, dy = a[far], b[far], dx[far], dy[far]
+        kinds, kind = np.unique(m, return_inverse=True)
+        side = 2 * radius + 1
+        cells, cell = np.unique(((kind[a] * len(kinds) + kind[b]) * side + dx + radius) * side + dy + radius, return_inverse=True)
+        some = ~np.isnan(r[b])
+        v = np.bincount(cell[some], r[b][some], minlength=len(cells))
+        v[np.bincount(cell[some], minlength=len(cells)) == 0] = np.nan
+        pair, at = np.divmod(cells, side * side)
+        whole = [kinds[pair // max(1, len(kinds))], kinds[pair % max(1, len(kinds))], at // side - radius, at % side - radius]
+        return np.zeros(len(cells), dtype=np.int64), *[c.astype(np.int32) for c in whole], pa.array(v, from_pandas=True), np.bincount(cell, minlength=len(cells))
+
+    rows = nodes.select("image_id", F.col("m").cast("int").alias("m"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("r").cast("double").alias("r"))
+    sums = by_keys(rows.dropna(subset=["image_id", "m", "x", "y"]), ["image_id"], ["m", "x", "y", "r"], [], "mc int, mn int, dx int, dy int, v double, n long", run)
+    return sums.groupBy("mc", "mn", "dx", "dy").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
 
 
 def moments(points: DataFrame, keys: list[str]) -> DataFrame:

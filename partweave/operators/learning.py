@@ -6,12 +6,14 @@ candidate parts, of which a library has tens to hundreds; each step is one job.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partweave.operators.descriptors import cooccurrence
+from partweave.operators.keyed import as_value, by_keys, near_pairs, owners, ranges
 from partweave.operators.ordering import numbered, running_sum
-from partweave.operators.ranges import window_join, with_model
 from partweave.operators.suppression import pick_peaks
 from partweave.sources.scratch import stored
 
@@ -29,20 +31,45 @@ def merge_statistics(maps: DataFrame, keys: list[str]) -> DataFrame:
 
 def part_sequences(nodes: DataFrame, peaks: DataFrame, *, tolerance: int, least: float, longest: int, beam: float = 0.9) -> DataFrame:
     """Symbolic sequences (centre type, then subpart types) seen in the images:
-    (seq, n). Each node's realised subparts are found by window joins; sequences
-    are then extended best first within ``beam`` of the best."""
-    seen = with_model(nodes.select("image_id", "node_id", "m", "x", "y"), "m", peaks.select("mc", "mn", F.col("dx").alias("px"), F.col("dy").alias("py")), "mc")
-    asked = seen.select("image_id", "node_id", "m", "_p.mn", "_p.px", "_p.py", (F.col("x") + F.col("_p.px")).alias("x"), (F.col("y") + F.col("_p.py")).alias("y"))
-    met = window_join(asked, nodes.select("image_id", "x", "y", F.col("m").alias("mn"), "r").where(F.col("r") >= least), ["image_id", "mn"], tolerance, tolerance)
-    realised = met.groupBy("image_id", "node_id", "m", "mn", "px", "py").agg(F.max("o_r").alias("v"))
-    ranked = realised.groupBy("image_id", "node_id", "m").agg(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("k"), "mn", "px", "py"))).alias("subs"))
-
-    best = F.element_at("subs", 1)["k"]
-    good = F.slice(F.filter("subs", lambda s: -s["k"] >= -beam * best), 1, longest)
-    names = F.transform(good, lambda s: F.concat(F.lit(">"), s["mn"], F.lit("@"), s["px"], F.lit(","), s["py"]))
-    named = ranked.select("m", names.alias("names"))
-    grown = F.transform(F.sequence(F.lit(1), F.size("names")), lambda n: F.concat(F.col("m").cast("string"), F.array_join(F.slice("names", 1, n), "")))
-    return named.select(F.explode(grown).alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    (seq, n). Each node's realised subparts are looked up in its image's task; sequences
+    are then extended best first within ``beam`` of the best, and counted where they are found."""
+
+    def run(peak: dict, ends: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple:
+        owner = owners(ends)
+        m, x, y = m.astype(np.int64), x.astype(np.int64), y.astype(np.int64)
+        # In this order a smaller number goes first on ties.
+        mc, mn, px, py = np.unique(np.stack([peak[c].astype(np.int64) for c in ("mc", "mn", "dx", "dy")], axis=1), axis=0).T
+        node, p = ranges(np.searchsorted(mc, m, "left"), np.searchsorted(mc, m, "right"))
+        there = np.flatnonzero(r >= least)
+        kinds = np.unique(np.concatenate([mn, m]))
+        kind = lambda own, of: own * len(kinds) + np.searchsorted(kinds, of)
+        wide = (-tolerance, tolerance)
+        a, b = near_pairs(kind(owner[node], mn[p]), x[node] + px[p], y[node] + py[p], kind(owner[there], m[there]), x[there], y[there], wide, wide)
+        # ``a`` comes in order: the best response of each place asked for.
+        first = np.flatnonzero(np.diff(a, prepend=-1))
+        v = np.maximum.reduceat(r[there[b]], first) if len(first) else np.zeros(0)
+        node, p = node[a[first]], p[a[first]]
+        best_first = np.lexsort((p, -v, node))
+        node, p, v = node[best_first], p[best_first], v[best_first]
+        start = np.flatnonzero(np.diff(node, prepend=-1))
+        size = np.diff(np.append(start, len(node)))
+        place = np.arange(len(node)) - np.repeat(start, size)
+        good = (v >= beam * np.repeat(v[start], size)) & (place < longest)
+        node, p, place = node[good], p[good], place[good]
+        # A sequence is the one without its last subpart, by number, and that subpart.
+        name, own, found, counts = {}, np.full(len(m), -1), [], []
+        for n in range(longest):
+            at = node[place == n]
+            before = own[at] if n else m[at]
+            seqs, own[at] = np.unique(np.stack([before, p[place == n]], axis=1), axis=0, return_inverse=True)
+            name = {k: f"{name[int(s)] if n else s}>{mn[q]}@{px[q]},{py[q]}" for k, (s, q) in enumerate(seqs)}
+            found += name.values()
+            counts.append(np.bincount(own[at], minlength=len(seqs)))
+        return np.zeros(len(found), dtype=np.int64), pa.array(found, pa.string()), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    rows = nodes.select("image_id", *[F.col(c).cast("int").alias(c) for c in ("m", "x", "y")], F.col("r").cast("double").alias("r")).dropna(subset=["image_id", "m", "x", "y"])
+    counted = by_keys(rows, ["image_id"], ["m", "x", "y", "r"], [], "seq string, n long", run, as_value(peaks.select("mc", "mn", "dx", "dy")))
+    return counted.groupBy("seq").agg(F.sum("n").alias("n"))
 
 
 def cut_by_support(parts: DataFrame, most: int) -> DataFrame:

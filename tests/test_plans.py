@@ -51,3 +51,11 @@ def test_many_keys_take_one_call(spark, data, name):
 def test_rows_that_grow_stay_in_their_image(spark, data, no_small_images, name):
     """Cells and contexts are not dealt by themselves."""
     assert {k.split(", ")[0] for k in shuffles(QUERIES[name](spark, data))} <= {"image_id"}
+
+
+@pytest.mark.parametrize("name", ["cooccurrence", "part_sequences"])
+def test_windows_make_no_rows_of_their_own(spark, data, no_small_images, name):
+    """What nodes ask for is looked up in their image's task: no row is written for a cell or
+    a place asked for, and none is sorted to meet nodes."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan

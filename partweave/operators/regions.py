@@ -9,40 +9,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partweave.operators.keyed import by_keys
+from partweave.operators.keyed import by_sorted_keys
 
 #: Nodes and weights of five-point Gauss-Legendre quadrature on 0..1.
 GAUSS = [(float((x + 1) / 2), float(w / 2)) for x, w in zip(*np.polynomial.legendre.leggauss(5), strict=True)]
 
+#: Up to this number a crossing and its row fit into one double to well below a hair.
+EXACT = 1 << 22
+
 
 def _spans(owner: np.ndarray, x: np.ndarray, y: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner, y, first, last), sorted, of the pixels of many polygons, without overlaps."""
+    """(owner, y, first, last), sorted, of the pixels of many polygons, without overlaps. Rows of
+    polygons are numbered, so a crossing is one number that is sorted as such."""
     edge = np.flatnonzero(y != y[nxt])
     low = y[edge] < y[nxt][edge]
     a, c = np.where(low, edge, nxt[edge]), np.where(low, nxt[edge], edge)
     heights = y[c] - y[a]
     a, c = np.repeat(a, heights), np.repeat(c, heights)
-    row = y[a] + np.arange(len(a)) - np.repeat(np.cumsum(heights) - heights, heights)
-    at = x[a] + (row - y[a]) * (x[c] - x[a]) / (y[c] - y[a])
+    up = np.arange(len(a)) - np.repeat(np.cumsum(heights) - heights, heights)
+    left, bottom = int(x.min(initial=0)) - 1, int(y.min(initial=0))
+    wide, high = int(x.max(initial=0)) - left + 2, int(y.max(initial=0)) - bottom + 1
+    at = x[a] - left + up * (x[c] - x[a]) / (y[c] - y[a])
+    row = owner[a] * high + y[a] + up - bottom
     # A polygon is closed: of the edges over a row there are two, or four, and so on.
-    order = np.lexsort((at, row, owner[a]))
-    own, row, at = owner[a][order][::2], row[order][::2], at[order]
+    if int(owner.max(initial=0) + 1) * high * wide <= EXACT:
+        key = np.sort(row * wide + at)
+        row = (key[::2] // wide).astype(np.int64)
+        begin, end = key[::2] - row * wide, key[1::2] - row * wide
+    else:
+        order = np.lexsort((at, row))
+        row, begin, end = row[order][::2], at[order][::2], at[order][1::2]
     # A crossing a hair beside a pixel by rounding is on it.
-    first, last = np.ceil(at[::2] - 1e-9).astype(np.int64), np.floor(at[1::2] + 1e-9).astype(np.int64)
+    first, last = np.ceil(begin - 1e-9).astype(np.int64), np.floor(end + 1e-9).astype(np.int64)
     some = first <= last
-    own, row, first, last = (np.concatenate(p) for p in ((own[some], owner), (row[some], y), (first[some], x), (last[some], x)))
-    order = np.lexsort((first, row, own))
-    own, row, first, last = own[order], row[order], first[order], last[order]
+    row = np.concatenate([row[some], owner * high + y - bottom])
+    first, last = np.concatenate([first[some], x - left]), np.concatenate([last[some], x - left])
+    if int(owner.max(initial=0) + 1) * high * wide <= EXACT:
+        span, last = np.divmod(np.sort((row * wide + first) * wide + last), wide)
+        row, first = np.divmod(span, wide)
+    else:
+        order = np.lexsort((last, first, row))
+        row, first, last = row[order], first[order], last[order]
     # Spans that overlap are one: the furthest end so far, counted up from row to row.
-    new_row = np.ones(len(own), dtype=bool)
-    new_row[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-    shift = (np.cumsum(new_row) - 1) * (int(last.max(initial=0)) - int(first.min(initial=0)) + 2)
-    far = np.maximum.accumulate(last + shift) - shift
-    new = new_row.copy()
-    new[1:] |= first[1:] > far[:-1]
+    far = np.maximum.accumulate(last + row * wide) - row * wide
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (first[1:] > far[:-1])
     begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(own)) - 1
-    return own[begin], row[begin], first[begin], far[end[: len(begin)]]
+    end = np.append(begin[1:], len(row)) - 1
+    own, row = np.divmod(row[begin], high)
+    return own, row + bottom, first[begin] + left, far[end[: len(begin)]] + left
 
 
 def filled_spans(corners: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +72,7 @@ def filled_spans(corners: DataFrame, keys: list[str]) -> DataFrame:
         owner, *spans = _spans(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), x.astype(np.int64), y.astype(np.int64), nxt)
         return owner, *[s.astype(np.int32) for s in spans]
 
-    return by_keys(corners, keys, ["k", "x", "y"], ["k"], "y int, first int, last int", run)
+    return by_sorted_keys(corners, keys, ["k", "x", "y"], ["k"], "y int, first int, last int", run)
 
 
 def filled(corners: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +90,7 @@ def filled_sizes(corners: DataFrame, keys: list[str], name: str = "n_pixels") ->
         sizes = np.bincount(owner, weights=last - first + 1, minlength=len(ends) - 1)
         return np.arange(len(ends) - 1), sizes.astype(np.int64)
 
-    return by_keys(corners, keys, ["k", "x", "y"], ["k"], f"{name} long", run)
+    return by_sorted_keys(corners, keys, ["k", "x", "y"], ["k"], f"{name} long", run)
 
 
 def spline(points: DataFrame, keys: list[str]) -> DataFrame:

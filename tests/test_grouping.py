@@ -32,6 +32,21 @@ def test_polygons_fill_as_a_loop_over_points(spark):
     assert regions.filled(df.where("false"), ["key"]).collect() == []
 
 
+@pytest.mark.parametrize("exact", [0, 1 << 22])
+def test_spans_of_many_polygons_equal_those_of_each(monkeypatch, exact):
+    """Crossings as one number each, and by two keys where that would not be exact."""
+    monkeypatch.setattr(regions, "EXACT", exact)
+    rng = random.Random(8)
+    own = [[(rng.randrange(-9, 40), rng.randrange(-7, 30)) for _ in range(rng.randrange(1, 30))] for _ in range(40)]
+    ends = np.cumsum([0, *map(len, own)])
+    x, y = (np.array([p[c] for o in own for p in o]) for c in (0, 1))
+    nxt = np.concatenate([np.append(np.arange(a + 1, b), a) for a, b in zip(ends[:-1], ends[1:])])
+    owner, row, first, last = regions._spans(np.repeat(np.arange(40), np.diff(ends)), x, y, nxt)
+    for k, corners in enumerate(own):
+        got = [(c, r) for r, a, b in zip(row[owner == k], first[owner == k], last[owner == k]) for c in range(a, b + 1)]
+        assert len(got) == len(set(got)) and set(got) == {(c, r) for c in range(-9, 40) for r in range(-7, 30) if inside(c, r, corners)}
+
+
 def test_splines_pass_the_points_and_their_length_is_the_integral(spark):
     rng = random.Random(2)
     points = [(key, k, rng.randrange(50), rng.randrange(50)) for key in range(4) for k in range((1, 2, 3, 12)[key])]

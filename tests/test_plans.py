@@ -59,3 +59,10 @@ def test_windows_make_no_rows_of_their_own(spark, data, no_small_images, name):
     a place asked for, and none is sorted to meet nodes."""
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_many_small_keys_are_not_gathered(spark, data, no_small_images):
+    """A polygon's corners are sorted in place and are no value of their own."""
+    df = QUERIES["filled_polygons"](spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and set(shuffles(df)) == {"image_id"}

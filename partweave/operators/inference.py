@@ -1,23 +1,21 @@
 """Layer inference: candidates, window matching of subparts, responses, selection.
 
-Candidates meet nodes in tiles: a candidate asks, per subpart, in the one to four tiles
-that the kernel's window touches, for the nodes of one type, and what lies inside gets
-its cell's weight. Where the nodes are dealt by image, all of this stays in place. The
-library and the kernel are tables of the model, whose size does not depend on the
-images; Spark decides from their statistics whether to broadcast them.
+Candidates meet nodes in their image's task: what a candidate asks for, per subpart, is looked
+up among the image's nodes of one type, and only what lies inside the kernel's window
+becomes a row, so no sort or spill grows with what is asked. The library and the kernel
+are tables of the model, whose size does not depend on the images; they go along as values.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partweave.operators.keyed import as_value, by_keys, near_pairs, owners, ranges
 from partweave.operators.nodes import dedup_top_k, response_filter
 
-#: The side of the tiles in which windows meet nodes.
-TILE = 8
-
-
 def candidates(nodes: DataFrame, lib_center: DataFrame, least_r: float, least_g: float, allowed: list[int] | None = None) -> DataFrame:
     """Nodes with the parts whose centre type they have."""
     if allowed:
@@ -32,28 +30,40 @@ def candidates(nodes: DataFrame, lib_center: DataFrame, least_r: float, least_g:
 def matches(cand: DataFrame, nodes: DataFrame, lib_sub: DataFrame, kernel: DataFrame, least: float) -> DataFrame:
     """Per candidate and subpart the nodes in the kernel window whose response
     times the kernel weight is over ``least``."""
+    whole = {"id": "long", "m": "int", "x": "int", "y": "int", "r": "double", "rr": "double"}
+    cast = lambda **own: [F.col("image_id"), *[own.get(c, F.col(c)).cast(t).alias(c) for c, t in whole.items()]]
+    asking = cand.select(*cast(id=F.col("cand_id"), m=F.col("part"), r=F.lit(None), rr=F.lit(None)), F.lit(True).alias("asks"))
+    there = nodes.select(*cast(id=F.col("node_id")), F.lit(False).alias("asks")).dropna(subset=["r"])
+    both = asking.unionByName(there).dropna(subset=["image_id", "m", "x", "y"])
     # No response is over 1, so cells of too little weight can never match.
-    heavy = kernel.where(F.col("w") > least)
-    hull = heavy.agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))  # one row
-    tile = lambda c: F.floor(c / TILE).cast("int")
-    asked = (
-        cand.join(lib_sub, "part")
-        .select("image_id", "cand_id", "part", "idx", "sub_m", (F.col("x") + F.col("dx")).alias("ax"), (F.col("y") + F.col("dy")).alias("ay"))
-        .crossJoin(hull)
-        .withColumn("tx", F.explode(F.sequence(tile(F.col("ax") + F.col("i0")), tile(F.col("ax") + F.col("i1")))))
-        .withColumn("ty", F.explode(F.sequence(tile(F.col("ay") + F.col("j0")), tile(F.col("ay") + F.col("j1")))))
-    )
-    sub = nodes.select(
-        F.col("image_id").alias("s_image"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("m").alias("sm"), F.col("r").alias("s_r"), F.col("rr").alias("s_rr"), F.col("node_id").alias("sub_id"),
-        tile(F.col("x")).alias("stx"), tile(F.col("y")).alias("sty"),
-    )
-    i, j = F.col("sx") - F.col("ax"), F.col("sy") - F.col("ay")
-    met = asked.join(
-        sub,
-        (F.col("image_id") == F.col("s_image")) & (F.col("tx") == F.col("stx")) & (F.col("ty") == F.col("sty")) & (F.col("sub_m") == F.col("sm"))
-        & i.between(F.col("i0"), F.col("i1")) & j.between(F.col("j0"), F.col("j1")),
-    ).withColumns({"i": i, "j": j}).join(heavy, ["i", "j"])
-    return met.withColumn("v", F.col("s_r") * F.col("w")).where(F.col("v") > least).select("image_id", "cand_id", "part", "idx", "sub_id", "s_r", "s_rr", "v")
+    model = as_value(lib_sub.select("part", "idx", "sub_m", "dx", "dy"), kernel.where(F.col("w") > least).select("i", "j", "w"))
+
+    def run(subs: dict, heavy: dict, ends: np.ndarray, id_: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray, rr: np.ndarray, asks: np.ndarray) -> tuple:
+        owner, asks = owners(ends), asks.astype(bool)
+        m, x, y = m.astype(np.int64), x.astype(np.int64), y.astype(np.int64)
+        by_part = np.argsort(subs["part"], kind="stable")
+        part, idx, sub_m, dx, dy = (subs[c][by_part].astype(np.int64) for c in ("part", "idx", "sub_m", "dx", "dy"))
+        c, n = np.flatnonzero(asks), np.flatnonzero(~asks)
+        k, s = ranges(np.searchsorted(part, m[c], "left"), np.searchsorted(part, m[c], "right"))
+        c = c[k]
+        if not len(c) or not len(n) or not len(heavy["w"]):
+            c, s = c[:0], s[:0]
+            heavy = {"i": np.zeros(1, int), "j": np.zeros(1, int), "w": np.zeros(1)}
+        low, high = (heavy["i"].min(), heavy["j"].min()), (heavy["i"].max(), heavy["j"].max())
+        weights = np.full((high[0] - low[0] + 1, high[1] - low[1] + 1), -np.inf)
+        weights[heavy["i"] - low[0], heavy["j"] - low[1]] = heavy["w"]
+        kinds = np.unique(np.concatenate([sub_m, m[n]]))
+        kind = lambda own, of: own * len(kinds) + np.searchsorted(kinds, of)
+        ax, ay = x[c] + dx[s], y[c] + dy[s]
+        a, b = near_pairs(kind(owner[c], sub_m[s]), ax, ay, kind(owner[n], m[n]), x[n], y[n], (low[0], high[0]), (low[1], high[1]))
+        to = n[b]
+        v = r[to] * weights[x[to] - ax[a] - low[0], y[to] - ay[a] - low[1]]
+        held = v > least
+        a, to, v = a[held], to[held], v[held]
+        return owner[c[a]], id_[c[a]], part[s[a]].astype(np.int32), idx[s[a]].astype(np.int32), id_[to], r[to], pa.array(rr[to], from_pandas=True), v
+
+    found = by_keys(both, ["image_id"], [*whole, "asks"], [], "cand_id long, part int, idx int, sub_id long, s_r double, s_rr double, v double", run, model)
+    return found.repartition("image_id")
 
 
 def best_matches(found: DataFrame) -> DataFrame:

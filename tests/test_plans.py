@@ -66,3 +66,10 @@ def test_many_small_keys_are_not_gathered(spark, data, no_small_images):
     df = QUERIES["filled_polygons"](spark, data)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and set(shuffles(df)) == {"image_id"}
+
+
+@pytest.mark.parametrize("name", ["part_responses", "second_layer_summary", "reestimated_library"])
+def test_matches_write_no_row_for_a_tile(spark, data, no_small_images, name):
+    """What candidates ask for becomes a row only where it is found."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString().upper()
+    assert "FLOOR(" not in plan and "MAPINARROW" in plan

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from partweave.operators import images, learning
+from partweave.plans import feature_queries
+from partweave.sources import projections
 
 IMAGE = "image_id long, width int, height int, pixels array<double>"
 
@@ -139,6 +141,14 @@ def test_strong_energy_equals_the_filter_on_all_rows(spark):
     assert got and got == rows(images.strong_features(images.oriented_energy(df, 4), 0.8, 0.5))
 
 
+def test_the_query_of_energies_has_every_pixel_and_orientation(spark, data):
+    found = feature_queries.oriented_energy(spark, data).cache()
+    n = projections.nodes(spark, data).select("image_id").distinct().count()
+    assert found.count() == found.select("image_id", "m", "x", "y").distinct().count() == n * 6 * 64 * 64
+    assert found.selectExpr("min(m)", "max(m)", "min(x)", "max(x)", "min(y)", "max(y)").first() == (0, 5, 0, 63, 0, 63)
+    found.unpersist()
+
+
 def test_images_of_few_pixels_equal_whole_ones(spark):
     whole = [0.0] * 48
     whole[5], whole[40] = 0.5, 2.0

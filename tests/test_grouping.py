@@ -164,6 +164,25 @@ def test_subtrees_equal_an_exhaustive_search(spark):
     assert {r["depth"] for r in merges.subtrees(df, roots, depth=2, degree=2, least_depth=2).collect()} == {2}
 
 
+def test_subtrees_of_near_nodes_equal_an_exhaustive_search(spark):
+    rng = random.Random(9)
+    nodes = [(g, rng.randrange(-3, 6), rng.randrange(6), 100 * g + k) for g in range(5) for k in range(14 - 3 * g)] + [(7, 0, 0, 700), (8, None, 0, 800), (8, 0, 0, 801)]
+    df = spark.createDataFrame(nodes, "g int, x int, y int, node_id long").repartition(3)
+    near = {}
+    for (g, x, y, a), (h, u, v, b) in product(nodes[:-3], repeat=2):
+        if g == h and a != b and abs(x - u) <= 2 and abs(y - v) <= 1:
+            near.setdefault(a, set()).add(b)
+    for depth, degree in ((2, 2), (3, 2), (2, 3), (2, 1), (0, 2)):
+        got = merges.near_subtrees(df, ["g"], 2, 1, depth=depth, degree=degree).collect()
+        assert {r["root"] for r in got} == set(near)
+        for root in near:
+            want, level = plain_subtrees(near, root, depth, degree)
+            own = [r for r in got if r["root"] == root]
+            assert sorted(r["nodes"] for r in own) == sorted(map(sorted, want))
+            assert all(r["g"] == root // 100 and r["depth"] == max(level[n] for n in r["nodes"]) for r in own)
+    assert {r["depth"] for r in merges.near_subtrees(df, ["g"], 2, 1, depth=2, degree=2, least_depth=2).collect()} == {2}
+
+
 def test_a_kernel_machine_equals_a_direct_solution(spark):
     rng = np.random.default_rng(8)
     x = rng.uniform(-2, 3, (80, 2))

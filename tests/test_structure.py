@@ -3,12 +3,13 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from partweave.operators import clustering, graphs, ordering, structure, suppression, variants
-from partweave.sources import scratch, text
+from partweave.sources import projections, scratch, text
 from partweave.streaming import frames, runs
 
 
@@ -223,3 +224,46 @@ def test_each_two_classes_have_one_row(spark):
     both, single = ({(r["class"], r["other"]): r["similarity"] for r in structure.alike_classes(sub, types, 2.0, 0.8, once=once)[1].collect()} for once in (False, True))
     assert set(single) == {(a, b) for a, b in both if a <= b} and len(single) < len(both)
     assert all(abs(single[k] - both[k]) < 1e-12 for k in single)
+
+
+@pytest.mark.parametrize("most, pairs", [(4096, 1 << 18), (4096, 7), (0, 1 << 18)])
+def test_moves_that_are_looked_up_give_all_similar_pairs(spark, monkeypatch, most, pairs):
+    """In pieces, and by comparing where there are too many moves."""
+    monkeypatch.setattr(structure, "PAIRS", pairs)
+    rng = np.random.default_rng(12)
+    for n, least in ((1, 0.8), (2, 0.8), (3, 0.85), (3, 0.8)):
+        rows = rng.integers(-4, 5, (120, n, 2))
+        rows[60:] = rows[rng.integers(0, 60, 60)][:, rng.permutation(n)] + rng.integers(-1, 2, (60, n, 2))
+        asks = np.arange(120) % 3 == 0
+        monkeypatch.setattr(structure, "MOST_MOVES", most)
+        moves = structure._moves(n, 1.0, 2.0, least)
+        assert (moves is None) == (most == 0)
+        if moves is None:
+            continue
+        got = [p for a, b in structure._moved_pairs(rows[:, :, 0], rows[:, :, 1], asks, moves) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        mean = lambda a, b: max(np.exp(-((rows[a] - rows[b][list(o)]) ** 2).sum(axis=1) / 8).mean() for o in itertools.permutations(range(n)))
+        want = {(a, b) for a in np.flatnonzero(asks).tolist() for b in np.flatnonzero(~asks).tolist() if mean(a, b) >= least}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    far = np.array([[[0, 0]] * 4, [[10**9, 10**9]] * 4])
+    assert structure._moved_pairs(far[:, :, 0], far[:, :, 1], np.array([True, False]), (np.zeros((1, 4)), np.zeros((1, 4)))) is None
+
+
+def test_type_masks_count_nodes_without_a_place(spark, tmp_path):
+    """A null part gives a node that counts in its type and meets no other."""
+    rows = [(0, 0, 1), (0, 1, 1), (0, 0, 2), (64, None, 1), (64, None, 7), (None, 0, 1), (None, 1, 1), (70, 5, 1)]
+    lines = spark.createDataFrame([(o, p, n, 1.0, 0.1, 0.1) for o, p, n in rows], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {(m, x, y): v for m, x, y, v in con.sql(projections.LIBRARY["masks"]).fetchall()}
+    assert {(r.m, r.x, r.y): r.v for r in projections.type_masks(spark, str(tmp_path)).collect()} == want
+
+
+def test_the_first_similar_class_of_each(spark):
+    rng = random.Random(6)
+    sub = spark.createDataFrame([(k, i, rng.randrange(3), rng.randrange(-2, 3), rng.randrange(-2, 3)) for k in range(60) for i in range(k % 3 + 1)], "part int, idx int, sub_m int, dx int, dy int")
+    types = spark.createDataFrame([(a, b, 1.0 if a == b else 0.9) for a in range(3) for b in range(3)], "m int, other int, s double")
+    classes = structure.part_classes(sub).where("part = class")
+    every = structure.class_similarities(classes, types, 2.0, 0.8).groupBy("class").agg(F.min("other")).collect()
+    first = structure.class_similarities(classes, types, 2.0, 0.8, first=True).groupBy("class").agg(F.min("other")).collect()
+    assert sorted(first) == sorted(every) and len(every) > 10

@@ -22,18 +22,36 @@ def _kind(df: DataFrame, key: str) -> str:
     return df.schema[key].dataType.simpleString()
 
 
+#: States that a task holds before those of equal keys are summed.
+HELD = 100_000
+
+
 def covariance_states(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, n, sums, products) of each key and task; null vectors do not count."""
 
+    def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of equal keys, added up."""
+        number, names = pd.factorize(keys)
+        order = np.argsort(number, kind="stable")
+        return names, np.add.reduceat(rows[order], np.flatnonzero(np.diff(number[order], prepend=-1)), axis=0)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict = {}
+        held, most = [], HELD
         for frame in frames:
-            for k, own in frame.groupby(key, sort=False, dropna=False):
-                x = np.stack(own[vector].to_list()).astype(float)
-                n, sums, products = states.get(k, (0, 0.0, 0.0))
-                states[k] = (n + len(x), sums + x.sum(axis=0), products + (x.T @ x).reshape(-1))
-        rows = [(k, n, list(s), list(p)) for k, (n, s, p) in states.items()]
-        yield pd.DataFrame(rows, columns=[key, "n", "sums", "products"])
+            if not len(frame):
+                continue
+            x = np.stack(frame[vector].to_list()).astype(float)
+            rows = np.hstack([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None]).reshape(len(x), -1)])
+            held.append(summed(frame[key].to_numpy(), rows))
+            if sum(len(k) for k, _ in held) > most:
+                held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([r for _, r in held]))]
+                most = max(HELD, 2 * len(held[0][0]))
+        if held:
+            keys, rows = summed(np.concatenate([k for k, _ in held]), np.concatenate([r for _, r in held]))
+            d = int(np.sqrt(rows.shape[1]))  # 1 + d + d * d columns
+            for i in range(0, len(keys), HELD):
+                some = rows[i : i + HELD]
+                yield pd.DataFrame({key: keys[i : i + HELD], "n": some[:, 0].astype(np.int64), "sums": list(some[:, 1 : d + 1]), "products": list(some[:, d + 1 :])})
 
     return vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector).mapInPandas(run, f"{key} {_kind(vectors, key)}, {STATE}")
 

@@ -106,6 +106,25 @@ def test_split_cliques_equal_those_of_the_whole_graph(spark):
     assert sorted(r["clique"] for r in alone.collect()) == [c for g, c in want if g == 1]
 
 
+def test_no_triangle_of_a_graph_is_a_row(spark):
+    """Neighbours' lists meet in a vertex's task: one join, of edges with lists."""
+    df = spark.createDataFrame([(a, b) for a, b in combinations(range(40), 2)], "a long, b long")
+    found = merges.split_cliques(df, [])
+    assert [r["clique"] for r in found.collect()] == [list(range(40))]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_states_of_many_keys_are_summed_a_task(spark):
+    rng = np.random.default_rng(13)
+    keys, x = rng.integers(0, 50, 400), rng.normal(size=(400, 2))
+    df = spark.createDataFrame([(int(k), [float(a) for a in v]) for k, v in zip(keys, x, strict=True)] + [(None, [1.0, 2.0])], "k int, v array<double>").coalesce(1)
+    rows = shapes.covariance_states(df, "k", "v").collect()
+    assert sorted(r["k"] for r in rows) == sorted(set(keys.tolist()))
+    for r in rows:
+        own = x[keys == r["k"]]
+        assert r["n"] == len(own) and np.allclose(r["sums"], own.sum(axis=0)) and np.allclose(r["products"], (own.T @ own).ravel())
+
+
 def test_a_cliques_shape_is_that_of_its_members_rows(spark):
     rng = np.random.default_rng(6)
     data = {k: rng.normal(size=(5 + k, 3)) for k in range(4)}

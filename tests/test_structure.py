@@ -267,3 +267,20 @@ def test_the_first_similar_class_of_each(spark):
     every = structure.class_similarities(classes, types, 2.0, 0.8).groupBy("class").agg(F.min("other")).collect()
     first = structure.class_similarities(classes, types, 2.0, 0.8, first=True).groupBy("class").agg(F.min("other")).collect()
     assert sorted(first) == sorted(every) and len(every) > 10
+
+
+def test_places_decide_where_types_are_nearly_alike(spark):
+    rng = random.Random(7)
+    sub = spark.createDataFrame([(k, i, rng.randrange(3), rng.randrange(-2, 3), rng.randrange(-2, 3)) for k in range(60) for i in range(k % 3 + 1)], "part int, idx int, sub_m int, dx int, dy int")
+    types = lambda s, n=3: spark.createDataFrame([(a, b, 1.0 if a == b else s) for a in range(n) for b in range(n)], "m int, other int, s double")
+    near = types(0.99999)
+    members, places, one = structure.place_classes(sub, near, 2.0, 0.8)
+    named = {r["part"]: r["class"] for r in members.collect()}
+    found = {(r["class"], r["other"]) for r in structure.class_similarities(places, one, 2.0, 0.8).collect()}
+    want = {(r["part"], r["other"]) for r in structure.similarities(sub, near, 2.0, 0.8).collect()}
+    assert {(a, b) for a in named for b in named if (named[a], named[b]) in found} == want
+    assert len(set(named.values())) < structure.part_classes(sub).select("class").distinct().count()
+    # Types that part some pairs, or have no mask, decide themselves.
+    assert structure.place_classes(sub, types(0.9), 2.0, 0.8) is None
+    assert structure.place_classes(sub, types(0.99999, 2), 2.0, 0.8) is None
+    assert structure.place_classes(sub, types(0.99999), 2.0, (1 + np.exp(-1 / 8)) / 2) is None

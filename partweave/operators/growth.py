@@ -11,13 +11,14 @@ order of preference, so a set of nodes is made once.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partweave.operators.ranges import window_join
-from partweave.sources.scratch import stored
+from partweave.operators.keyed import as_value, by_keys, lists, near_pairs, owners, ranges
 
 
 def blurred_peaks(counts: np.ndarray, *, sigma: float, share: float, radius: int, most: int) -> list[tuple[int, int, float]]:
@@ -46,8 +47,21 @@ def blurred_peaks(counts: np.ndarray, *, sigma: float, share: float, radius: int
 def offset_peaks(nodes: DataFrame, *, reach: int, sigma: float = 0.75, share: float = 0.05, radius: int = 5, most: int = 7) -> DataFrame:
     """(m, o_m, peak, dx, dy, v): peaks of the offsets from nodes of type m to those of type
     o_m. Offsets are counted before they meet, so a pair of types is a map of bounded size."""
-    met = window_join(nodes.select("image_id", "x", "y", "m", "node_id"), nodes.select("image_id", "x", "y", "m", "node_id"), ["image_id"], reach, reach)
-    offsets = met.where("node_id <> o_node_id").groupBy("m", "o_m", (F.col("o_x") - F.col("x")).alias("dx"), (F.col("o_y") - F.col("y")).alias("dy")).agg(F.count(F.lit(1)).alias("n"))
+
+    def count(ends: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple:
+        """Offsets of many images, under the first one."""
+        own, x, y, m = owners(ends), x.astype(np.int64), y.astype(np.int64), m.astype(np.int64)
+        i, j = near_pairs(own, x, y, own, x, y, (-reach, reach), (-reach, reach))
+        i, j = i[i != j], j[i != j]
+        kinds, kind = np.unique(m, return_inverse=True)
+        wide = 2 * reach + 1
+        code, n = np.unique(((kind[i] * len(kinds) + kind[j]) * wide + x[j] - x[i] + reach) * wide + y[j] - y[i] + reach, return_counts=True)
+        both, dx, dy = code // (wide * wide), code // wide % wide - reach, code % wide - reach
+        return np.zeros(len(code), dtype=np.int64), *(v.astype(np.int32) for v in (kinds[both // len(kinds)], kinds[both % len(kinds)], dx, dy)), n.astype(np.int64)
+
+    places = nodes.select("image_id", "x", "y", "m").dropna()
+    met = by_keys(places, ["image_id"], ["x", "y", "m"], [], "m int, o_m int, dx int, dy int, n long", count)
+    offsets = met.groupBy("m", "o_m", "dx", "dy").agg(F.sum("n").alias("n"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros((2 * reach + 1, 2 * reach + 1))
@@ -72,49 +86,51 @@ def apart(sets: list[frozenset[int]], known: list[frozenset[int]], share: float,
     return kept
 
 
-MODEL = "image_id long, model array<long>, points array<long>, last long"
-
-
-def candidates(models: DataFrame, nodes: DataFrame, peaks: DataFrame, *, tolerance: int) -> DataFrame:
-    """(image_id, model, last, m, node_id, rank, points, held): for each part of a model and
-    each peak of its type the best node near the place that the peak points to, if it comes
-    after the model's last one. ``nodes``: (image_id, node_id, rank, x, y, m, r, points)."""
-    parts = models.withColumn("part", F.explode("model")).withColumnRenamed("points", "held")
-    at = nodes.select("image_id", F.col("node_id").alias("part"), "x", "y", "m")
-    seen = parts.join(at, ["image_id", "part"]).join(peaks, "m")
-    aims = seen.select("image_id", "model", "held", "last", "part", "m", "peak", F.col("o_m").alias("aim"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    met = window_join(aims, nodes.select("image_id", "x", "y", F.col("m").alias("aim"), "r", "node_id", "rank"), ["image_id", "aim"], tolerance, tolerance)
-    best = met.groupBy("image_id", "model", "last", "part", "m", "aim", "peak").agg(
-        F.max_by(F.struct("o_node_id", "o_rank"), F.struct("o_r", -F.col("o_node_id"))).alias("best"), F.any_value("held").alias("held")
-    )
-    once = best.where(F.col("best.o_rank") > F.col("last")).select("image_id", "model", "last", "aim", "held", F.col("best.o_node_id").alias("node_id"), F.col("best.o_rank").alias("rank")).dropDuplicates(["image_id", "model", "node_id"])
-    return once.join(nodes.select("image_id", "node_id", "points"), ["image_id", "node_id"])
-
+def best_aims(own: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, r: np.ndarray, peaks: dict[str, np.ndarray], tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), in order of i: for each node and each peak of its type the best node near the
+    place that the peak points to, by value and then by place in the rows."""
+    kinds = np.unique(np.concatenate([m, peaks["o_m"], peaks["m"]]))
+    n, at = len(kinds), np.searchsorted(kinds, m)
+    order = np.argsort(peaks["m"], kind="stable")
+    kind = np.searchsorted(kinds, peaks["m"][order])
+    node, place = ranges(np.searchsorted(kind, at, "left"), np.searchsorted(kind, at, "right"))
+    peak = order[place]
+    aim = np.searchsorted(kinds, peaks["o_m"][peak])
+    a, j = near_pairs(own[node] * n + aim, x[node] + peaks["dx"][peak], y[node] + peaks["dy"][peak], own * n + at, x, y, (-tolerance, tolerance), (-tolerance, tolerance))
+    best = np.lexsort((j, -np.nan_to_num(r[j], nan=-np.inf), a))
+    a, j = a[best], j[best]
+    head = np.diff(a, prepend=-1) != 0
+    return node[a[head]], j[head]
+
+
+def larger_models(model: tuple[int, ...], held: frozenset[int], found: list[int], kinds: list[int], points: list[frozenset[int]], *, overlap: float, alike: float, distinct: float, most_types: int) -> list[tuple]:
+    """(nodes, points) of the next size that the candidates of a model make; nodes are numbers in
+    their order of preference, candidates in that order too."""
+    by_kind: dict[int, list[int]] = {}
+    for k in found:
+        by_kind.setdefault(kinds[k], []).append(k)
+    grown, known, used = [], [], 0
+    for own in by_kind.values():
+        rows = [k for k in own if points[k] and len(points[k] & held) < overlap * len(points[k])]
+        rows = [rows[k] for k in apart([points[k] for k in rows], [], alike, True)]
+        rows = [rows[k] for k in apart([points[k] for k in rows], known, distinct, False)]
+        known += [points[k] for k in rows]
+        grown += [((*model, k), held | points[k]) for k in rows]
+        used += bool(rows)
+        if used == most_types:
+            break
+    return grown
 
-def grow(found: DataFrame, *, overlap: float, alike: float, distinct: float, most_types: int, most_models: int) -> DataFrame:
-    """MODEL rows of the next size, of at most ``most_models`` an image."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """The candidates of one model."""
-        held = frozenset(map(int, frame["held"].iloc[0]))
-        grown, known, used = [], [], 0
-        for _, own in frame.sort_values("rank").groupby(frame["aim"].map(frame.groupby("aim")["rank"].min()), sort=True):
-            rows = [(int(r.node_id), int(r.rank), frozenset(map(int, r.points))) for r in own.itertuples()]
-            rows = [r for r in rows if r[2] and len(r[2] & held) < overlap * len(r[2])]
-            rows = [rows[k] for k in apart([r[2] for r in rows], [], alike, True)]
-            kept = [rows[k] for k in apart([r[2] for r in rows], known, distinct, False)]
-            known += [r[2] for r in kept]
-            grown += kept
-            used += bool(kept)
-            if used == most_types:
-                break
-        model = [int(k) for k in frame["model"].iloc[0]]
-        image = int(frame["image_id"].iloc[0])
-        return pd.DataFrame([(image, [*model, n], sorted(held | p), k) for n, k, p in grown], columns=["image_id", "model", "points", "last"], dtype=object)
-
-    larger = found.groupBy("image_id", "model").applyInPandas(run, MODEL)
-    best = Window.partitionBy("image_id").orderBy(F.desc(F.size("points")), "model")
-    return larger.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most_models).drop("_n")
+def first_apart(sets: list[frozenset[int]], share: float, most: int) -> list[int]:
+    """The first ``most`` positions that ``apart`` keeps."""
+    kept: list[int] = []
+    for k, own in enumerate(sets):
+        if len(kept) == most:
+            break
+        if all(len(own & sets[o]) < share * max(1, len(own)) for o in kept):
+            kept.append(k)
+    return kept
 
 
 def object_models(
@@ -123,28 +139,50 @@ def object_models(
 ) -> DataFrame:
     """(image_id, model, points): models of ``least`` to ``longest`` nodes. ``nodes``:
     (image_id, node_id, x, y, m, r, points); nodes of frequent types come first, then by
-    value. Models start from the first nodes of an image that share little support."""
-    frequent = nodes.groupBy("m").agg(F.count(F.lit(1)).alias("_often"))
-    order = Window.partitionBy("image_id").orderBy(F.desc("_often"), "m", F.desc("r"), "node_id")
-    ranked = stored(nodes.join(frequent, "m").withColumn("rank", F.row_number().over(order).cast("long")).drop("_often"), "ranked")
-
-    def first(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
-        kept = apart([frozenset(map(int, p)) for p in frame["points"]], [], start_overlap, False)[:most_starts]
-        own = frame.iloc[kept]
-        return pd.DataFrame({"image_id": own["image_id"], "model": [[int(n)] for n in own["node_id"]], "points": [sorted(map(int, p)) for p in own["points"]], "last": own["rank"]})
-
-    models = stored(ranked.select("image_id", "node_id", "rank", "points").groupBy("image_id").applyInPandas(first, MODEL), "models")
-    sizes = [models] if least <= 1 else []
-    for size in range(2, longest + 1):
-        found = candidates(models, ranked, peaks, tolerance=tolerance)
-        models = stored(grow(found, overlap=overlap, alike=alike, distinct=distinct, most_types=most_types, most_models=most_models), "models")
-        if size >= least:
-            sizes.append(models)
-    out = sizes[0]
-    for more in sizes[1:]:
-        out = out.unionByName(more)
-    return out.select("image_id", "model", "points")
+    value. Models start from the first nodes of an image that share little support. An
+    image's models grow in its task; of many images the nodes that peaks point to are found at once."""
+    frequent = nodes.groupBy("m").agg(F.count(F.lit(1)).alias("often"))
+    grow = partial(larger_models, overlap=overlap, alike=alike, distinct=distinct, most_types=most_types)
+
+    def run(peaks: dict, frequent: dict, ends: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, r: np.ndarray, points: np.ndarray) -> tuple:
+        own, r = owners(ends), r.astype(float)
+        x, y = x.astype(np.int64), y.astype(np.int64)
+        often = dict(zip(frequent["m"].tolist(), frequent["often"].tolist(), strict=True))
+        count = np.array([often[k] for k in m.tolist()], dtype=np.int64)
+        i, j = best_aims(own, x, y, m, r, peaks, tolerance)
+        order = np.lexsort((ids, -r, m, -count, own))
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[order] = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends))
+        # Aims by image, from rank to rank.
+        cuts = np.searchsorted(own[i], np.arange(len(ends)))
+        i, j = rank[i].tolist(), rank[j].tolist()
+        image, models, covers = [], [], []
+        for k, (p, q) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            mine = order[p:q]
+            held = [frozenset() if v is None else frozenset(v.tolist()) for v in points[mine]]
+            kinds, names = m[mine].tolist(), ids[mine].tolist()
+            aims: dict[int, set[int]] = {}
+            for a, b in zip(i[cuts[k] : cuts[k + 1]], j[cuts[k] : cuts[k + 1]], strict=True):
+                aims.setdefault(a, set()).add(b)
+            now = [((s,), held[s]) for s in first_apart(held, start_overlap, most_starts)]
+            for size in range(1, longest + 1):
+                if size > 1:
+                    larger = []
+                    for model, cover in now:
+                        found = sorted({b for part in model for b in aims.get(part, ()) if b > model[-1]})
+                        larger += grow(model, cover, found, kinds, held)
+                    larger.sort(key=lambda g: (-len(g[1]), [names[n] for n in g[0]]))
+                    now = larger[:most_models]
+                if size >= least:
+                    for model, cover in now:
+                        image.append(k)
+                        models.append([names[n] for n in model])
+                        covers.append(sorted(cover))
+        return np.array(image, dtype=np.int64), lists(models), lists(covers)
+
+    known = nodes.dropna(subset=["image_id", "node_id", "x", "y", "m"])
+    model = as_value(peaks.select("m", "o_m", "dx", "dy"), frequent.dropna())
+    return by_keys(known, ["image_id"], ["node_id", "x", "y", "m", "r", "points"], ["node_id"], "model array<long>, points array<long>", run, model)
 
 
 def model_boxes(models: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from partweave.operators import mining as mi
 from partweave.operators import paths as pt
 from partweave.operators import shapes as sh
 from partweave.operators import structure as st
+from partweave.operators.ranges import window_join
 from partweave.plans.registry import query, rounded
 from partweave.sources import projections as p
 from partweave.sources.projections import with_views
@@ -142,7 +143,7 @@ COMMON = """common AS (SELECT m, o_m, dx, dy FROM (SELECT *, row_number() OVER (
 
 def _supports(spark, d):
     nodes = region_nodes(spark, d)
-    met = gw.window_join(nodes.select("image_id", "x", "y", "m", "node_id"), nodes.select("image_id", "x", "y", "m", "node_id"), ["image_id"], 4, 4).where("node_id <> o_node_id")
+    met = window_join(nodes.select("image_id", "x", "y", "m", "node_id"), nodes.select("image_id", "x", "y", "m", "node_id"), ["image_id"], 4, 4).where("node_id <> o_node_id")
     offsets = met.groupBy("m", "o_m", (F.col("o_x") - F.col("x")).alias("dx"), (F.col("o_y") - F.col("y")).alias("dy")).agg(F.count(F.lit(1)).alias("n"))
     common = offsets.groupBy("m", "o_m").agg(F.min(F.struct(-F.col("n"), "dx", "dy")).alias("b")).select("m", "o_m", F.lit(0).alias("peak"), F.col("b.dx").alias("dx"), F.col("b.dy").alias("dy"))
     return mi.supported_subparts(nodes, common, tolerance=2, least=0.5)

@@ -387,3 +387,11 @@ def test_reconstructions_of_the_tables_equal_numpy(spark, data):
             w = np.array([float((r["id"] + k) % 3 != 0) for k in range(8)])
             back = xs.mean(axis=0) + (axes[:count] @ ((x - xs.mean(axis=0)) * w)) @ axes[:count]
             assert abs(got[r["id"]]["distance"] - np.sqrt((((x - back) ** 2) * w).sum())) < 2e-4
+
+
+def test_models_grow_in_their_images_task(spark, data):
+    """No node meets another by a join; offsets of peaks are those of all pairs."""
+    plan = oq.grown_models(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join Inner" not in plan.replace("Join Cross", "")
+    sets = [frozenset(random.Random(k).sample(range(12), 4)) for k in range(30)]
+    assert [growth.first_apart(sets, 0.6, n) for n in (0, 3, 30)] == [growth.apart(sets, [], 0.6, False)[:n] for n in (0, 3, 30)]

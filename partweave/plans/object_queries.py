@@ -75,7 +75,7 @@ def validated_models(spark, d):
     """Kinds of grown models (the types of their nodes) that find enough truths; the hits
     and misses are compared with a plain loop in the tests."""
     nodes = region_nodes(spark, d)
-    models = _models(spark, d)
+    models = stored(_models(spark, d), "models")  # read twice
     named = models.select("image_id", "model", F.posexplode("model").alias("k", "node_id")).join(nodes.select("image_id", "node_id", "m"), ["image_id", "node_id"])
     names = named.groupBy("image_id", "model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda t: t["m"].cast("string")), ",").alias("kind"))
     boxes = gw.model_boxes(models, nodes).drop("m").join(names, ["image_id", "model"])

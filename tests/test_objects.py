@@ -395,3 +395,9 @@ def test_models_grow_in_their_images_task(spark, data):
     assert plan.count("MapInArrow") == 2 and "Join Inner" not in plan.replace("Join Cross", "")
     sets = [frozenset(random.Random(k).sample(range(12), 4)) for k in range(30)]
     assert [growth.first_apart(sets, 0.6, n) for n in (0, 3, 30)] == [growth.apart(sets, [], 0.6, False)[:n] for n in (0, 3, 30)]
+
+
+def test_validated_models_grow_once(spark, data):
+    """Models are written and read again, so the final plan grows none."""
+    plan = oq.validated_models(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
